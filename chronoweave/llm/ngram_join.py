@@ -1,9 +1,11 @@
 """Similarity join of documents on their sets of word n-grams, by prefix trees.
 
 1. Each text's set is hashed to sorted 64-bit tokens. Equal sets are one class from here on.
-2. Two sets whose Jaccard similarity is t share a token among the first ``n - ceil(t n) + 1`` of each, in
-   any global order. With the order of the hashes this finds the classes that may have a partner.
-3. For those the tokens' document frequencies are counted, and the filter is applied again with rare
+2. If a set of n tokens has a partner of Jaccard similarity t, at most ``n - ceil(t n)`` of its tokens are
+   not the partner's. So among its first tokens, in the order of the hashes, all but so many are shared
+   with some other class; this leaves the classes that may have a partner.
+3. Two such sets also share one of the first ``n - ceil(t n) + 1`` of each, in any global order. The
+   tokens' document frequencies are counted, and the filter is applied again with rare
    tokens first; widely shared passages then come last and bring no candidates.
 4. Classes that share such a token meet in a group, in blocks if it is large. A block's sets, globally
    ordered, form a prefix tree; all probes descend it at once, a node's overlap serves all sets below
@@ -102,6 +104,11 @@ def prefix_length(n, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + 1
 
 
+def sample_length(n, percent: int = PERCENT):
+    """How many first tokens by hash are compared: a third more than may differ from a partner's, and one."""
+    return prefix_length(n, percent) + prefix_length(n, percent) // 3
+
+
 def fingerprint(tokens: np.ndarray) -> bytes | None:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
@@ -135,7 +142,7 @@ def _by_bucket(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _suspects(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFrame:
-    """Keys of the classes that share a token with another class in their prefixes by hash."""
+    """``(key, shared)``: how many of a class's first tokens by hash another class has among its own. Classes without any are left out."""
 
     def emit(tokens: list[np.ndarray], keys: list[int]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(tokens)
@@ -155,7 +162,7 @@ def _suspects(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFrame:
                     if not len(s) or (key := key_of(fingerprint(s))) in seen:
                         continue
                     seen.add(key)  # copies beside each other are emitted once; others fall together in their bucket
-                    tokens.append(s[: prefix_length(len(s), percent)].copy())
+                    tokens.append(s[: sample_length(len(s), percent)].copy())
                     keys.append(key)
                     n += len(tokens[-1])
                 if n > 1 << 21:
@@ -172,14 +179,16 @@ def _suspects(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFrame:
                 raw = i.as_buffer()
                 keys.append(np.frombuffer(names.as_buffer(), np.int64)[np.frombuffer(raw, np.uint16 if raw.size == 2 * len(tokens[-1]) else np.uint32)])
         t, v = np.concatenate(tokens), np.concatenate(keys)
-        order = np.argsort(t, kind="stable")
+        order = np.lexsort((v, t))
         t, v = t[order], v[order]
-        start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-        mixed = np.minimum.reduceat(v, start) != np.maximum.reduceat(v, start)
-        yield _table([np.unique(v[np.repeat(mixed, np.diff(np.r_[start, len(t)]))])], ["key"])
+        once = np.r_[True, (t[1:] != t[:-1]) | (v[1:] != v[:-1])]
+        t, v = t[once], v[once]
+        same = t[1:] == t[:-1]
+        names, n = np.unique(v[np.r_[False, same] | np.r_[same, False]], return_counts=True)
+        yield _table([names, pa.array(n, pa.int64())], ["key", "shared"])
 
     blobs = docs.select("text").mapInArrow(run, "bucket int, tokens binary, idx binary, keys binary")
-    return _grouped(blobs, ["bucket"], shared, "key long").distinct()
+    return _grouped(blobs, ["bucket"], shared, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
 
 
 def _grouped(df: DataFrame, by: list[str], f, schema: str, extra: list[str] | None = None) -> DataFrame:
@@ -419,11 +428,15 @@ def similarity_components(docs: DataFrame, k: int = WORDS, percent: int = PERCEN
     result; further columns are ignored.
     """
     every = materialize(sketches(docs, k), "sketches")
-    total = every.agg(F.sum(F.floor((F.col("n") * (100 - percent)) / 100) + 1).alias("p")).first()["p"] or 0
+    total = every.agg(F.sum(F.floor((F.col("n") * (100 - percent)) / 75) + 1).alias("p")).first()["p"] or 0
     buckets = max(1, -(-int(total) // BUCKET_TOKENS))
-    classes = every.where("fp is not null and doc_id is not null").groupBy("fp", "key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = every.where("fp is not null and doc_id is not null").groupBy("fp", "key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")
-    wanted = classes.select("rep", "key").join(_suspects(docs, buckets, k, percent), "key")
+    # Two partners share as many of their first tokens as the smaller one's sample_length exceeds what may differ.
+    smaller = F.floor((percent * F.col("n") + 99) / 100)
+    may_differ = smaller - F.floor((percent * smaller + 99) / 100)
+    shared_at_least = F.floor((may_differ + 1) / 3) + 1
+    wanted = classes.join(_suspects(docs, buckets, k, percent), "key").where(F.col("shared") >= shared_at_least).select("rep", "key")
     sets = materialize(_candidate_sets(docs, wanted, k), "sets")
     tokens = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
     frequencies = _frequencies(sets, max(1, -(-int(tokens) // BUCKET_TOKENS)))
