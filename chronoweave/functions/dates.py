@@ -6,6 +6,8 @@ days need not exist (months end on day 31), and the half-open place in the text,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,10 +31,15 @@ GRAMMARS: dict[str, tuple[str, tuple[int, int, int], tuple[int, int, int]]] = {
 }
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` and its lambdas use it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def month_number(name: Column) -> Column:
     """Two digits of a long or three-letter English month name in any case, else null."""
-    pairs = [F.lit(x) for i, m in enumerate(MONTHS, 1) for k in (m, m[:3]) for x in (k, f"{i:02d}") if not (len(m) == 3 and k is m)]
-    return F.try_element_at(F.create_map(*pairs), F.lower(name))
+    names = {k: f"{i:02d}" for i, m in enumerate(MONTHS, 1) for k in (m, m[:3])}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.lower(name))
 
 
 def month_name(number: Column) -> Column:
@@ -124,11 +131,17 @@ def resolve_overlaps(dates: Column) -> Column:
     Spans that touch overlap. A date that loses still beats those it is longer than.
     """
     same = lambda x, y: (x["s"] == y["s"]) & (x["e"] == y["e"])
-    firsts = F.filter(dates, lambda x, i: F.forall(F.slice(dates, F.lit(1), i), lambda y: ~same(x, y)))
-    once = F.transform(firsts, lambda x: F.element_at(F.filter(dates, lambda y: same(x, y)), -1))
-    placed = F.transform(once, lambda x, i: F.struct(x.alias("v"), i.alias("p"), (x["e"] - x["s"]).alias("n")))
     beats = lambda y, x: (y["v"]["e"] >= x["v"]["s"]) & (y["v"]["s"] <= x["v"]["e"]) & ((y["n"] > x["n"]) | ((y["n"] == x["n"]) & (y["p"] > x["p"])))
-    return F.transform(F.filter(placed, lambda x: ~F.exists(placed, lambda y: beats(y, x))), lambda x: x["v"])
+
+    def once(d: Column) -> Column:
+        firsts = F.filter(d, lambda x, i: F.forall(F.slice(d, F.lit(1), i), lambda y: ~same(x, y)))
+        last = F.transform(firsts, lambda x: F.element_at(F.filter(d, lambda y: same(x, y)), -1))
+        return F.transform(last, lambda x, i: F.struct(x.alias("v"), i.alias("p"), (x["e"] - x["s"]).alias("n")))
+
+    def kept(placed: Column) -> Column:
+        return F.transform(F.filter(placed, lambda x: ~F.exists(placed, lambda y: beats(y, x))), lambda x: x["v"])
+
+    return let(dates, lambda d: let(once(d), kept))
 
 
 def annotate_dates(text: Column) -> Column:

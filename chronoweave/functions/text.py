@@ -26,7 +26,7 @@ def drop_noise(c: Column) -> Column:
     """Noise as spaces, then one ASCII punctuation character and blanks off the end."""
     for noise in NOISE:
         c = F.replace(c, F.lit(noise), F.lit(" "))
-    return F.rtrim(F.regexp_replace(c, r"[!-/:-@\[-`{-~]$", ""))
+    return F.rtrim(F.regexp_replace(c, r"[!-/:-@\[-`{-~]\z", ""))
 
 
 def drop_punctuation(c: Column) -> Column:

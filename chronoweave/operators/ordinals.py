@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.dates import MONTHS
+from ..functions.dates import MONTHS, let
 
 # Ordinal words by number; 14 and 17 stand there as cardinals.
 ORDINALS = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh", "twelfth", "thirteenth", "fourteen", "fifteenth", "sixteenth", "seventeen", "eighteenth", "nineteenth", "twentieth"]
@@ -25,7 +25,13 @@ def annotate_ordinals(text: Column, dates: Column | None = None) -> Column:
     An ordinal next to a month or before a superlative is none (superlatives by a rule), nor is one that
     ``dates`` hold. "most recent" and "most recently" are the latest, but not at the end of the text.
     """
-    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), 1)
+    every = let(F.regexp_extract_all(text, F.lit(_TOKEN), 1), _ordinals)
+    if dates is None:
+        return every
+    return F.filter(every, lambda x: ~F.exists(dates, lambda d: F.contains(d["text"], x["text"])))
+
+
+def _ordinals(tokens: Column) -> Column:
     low = F.transform(tokens, F.lower)
     numbers = {w: i for i, w in enumerate(ORDINALS, 1)}
     months = F.array(*[F.lit(x) for m in MONTHS for x in {m, m[:3]}])
@@ -45,7 +51,4 @@ def annotate_ordinals(text: Column, dates: Column | None = None) -> Column:
         label = F.when(compound.isNotNull(), F.concat(F.get(tokens, i), F.get(tokens, i + 1), F.get(tokens, i + 2))).when(F.coalesce(recent, F.lit(False)), F.concat_ws(" ", F.get(tokens, i), F.get(tokens, i + 1))).otherwise(F.get(tokens, i))
         return F.struct(label.alias("text"), ordinal.cast("int").alias("ordinal"))
 
-    every = F.filter(F.transform(low, found), lambda x: x["ordinal"].isNotNull())
-    if dates is None:
-        return every
-    return F.filter(every, lambda x: ~F.exists(dates, lambda d: F.contains(d["text"], x["text"])))
+    return F.filter(F.transform(low, found), lambda x: x["ordinal"].isNotNull())

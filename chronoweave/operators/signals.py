@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import annotate_dates
+from ..functions.dates import annotate_dates, let
 
 # Keywords of each signal. A keyword may serve two.
 KEYWORDS: dict[str, list[str]] = {
@@ -44,7 +44,8 @@ def explicit_expressions(text: Column, dates: Column | None = None, keywords: di
     take the shortest keyword before them, and "No signal" without one.
     """
     keywords = keywords or KEYWORDS
-    dates = annotate_dates(text) if dates is None else dates
+    if dates is None:
+        return let(annotate_dates(text), lambda d: explicit_expressions(text, d, keywords))
     before = lambda d: F.substring(text, F.lit(1), d["s"])
     link = rf"(?i)^\s+(?:{_alternatives('DURATION', keywords)})\s+$"
 
@@ -60,9 +61,11 @@ def explicit_expressions(text: Column, dates: Column | None = None, keywords: di
         return F.array_min(F.filter(options, lambda o: o["n"] > 0))
 
     def expression(d: Column) -> Column:
-        other, one = F.try_element_at(partner(d), F.lit(-1)), single(d)
-        pair = F.size(partner(d)) > 0
-        o = F.when(pair, other)
+        found = F.struct(F.try_element_at(partner(d), F.lit(-1)).alias("o"), single(d).alias("one"))
+        return let(found, lambda f: told(d, f["o"], f["one"]))
+
+    def told(d: Column, o: Column, one: Column) -> Column:
+        pair = o.isNotNull()
         s = F.when(pair, F.least(d["s"], o["s"])).otherwise(d["s"] - F.coalesce(F.length(one["raw"]), F.lit(0)))
         e = F.when(pair, F.greatest(d["e"], o["e"])).otherwise(d["e"])
         return F.struct(

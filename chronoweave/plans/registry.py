@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import fixtures, star
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**star.QUERIES, **fixtures.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**star.SQL, **fixtures.SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -72,7 +73,8 @@ class _Infobox(HTMLParser):
         if self.done or not self.depth:
             return
         if tag in ("th", "td") and self.cell is not None:
-            text = " ".join(x.strip(" ") for x in self.cell).strip().replace("\n", ", ").replace("\xa0", " ")
+            text = " ".join(x.strip(" ") for x in self.cell).strip()
+            text = re.sub(r" *\n *", ", ", text).replace("\xa0", " ")
             if not self.rows:
                 self.rows.append([])
             self.rows[-1].append((self.head, text))
