@@ -34,7 +34,7 @@ CHUNK = 1 << 20
 PIECE_WORDS = 1 << 17
 #: Prefix tokens that a bucket holds, about; sets and tokens that a block of a group holds at most.
 BUCKET_TOKENS = 3_000_000
-BLOCK_SETS = 2048
+BLOCK_SETS = 256
 BLOCK_TOKENS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
