@@ -16,7 +16,7 @@ from .common import WORD, materialize
 #: Bits of a document's random key.
 KEY_BITS = 60
 #: Rows that one bucket of a source holds, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 EPOCHS = 2

@@ -11,7 +11,7 @@ from .common import materialize
 
 SHARDS = 8
 #: Rows of one shard that one bucket holds, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_000
 #: Fixed value of the published algorithm: the multiplier of its linear congruential generator.
 JUMP_MULTIPLIER = 2862933555777941757
 
