@@ -27,6 +27,9 @@ FILE_BLOCKS = 128
 #: Words whose ids a task keeps; only speed depends on it.
 MEMO_WORDS = 400_000
 CHUNK = 1 << 22
+#: Letters of ASCII and Latin-1, then marks that are no part of a contraction or special token: two pieces of the tokenizer, which ignores case.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?:;|#$&%*]*)")
+_encoders: dict[str, Encoder] = {}
 _SPACES = re.compile(r"[ \t\n\r]+")
 
 
@@ -108,18 +111,38 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that the tokenizer does not part, encoded as one text and cut after each end-of-word id."""
+        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(pieces):  # a tokenizer without such ids
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [x.tobytes() for x in np.split(ids, cuts[:-1])]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [_SPACES.split(t or "") for t in texts]
         if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
+            self.memo = {"": b""}
         memo = self.memo
-        new = list({w for words in split for w in words}.difference(memo))
+        fresh = {w for words in split for w in words}.difference(memo)
+        parts = {w: m.groups() for w in fresh if (m := _PLAIN.fullmatch(w))}
+        new = fresh.difference(parts)
+        pieces = list({x for head, tail in parts.values() for x in (head.lower(), tail)}.difference(memo))
+        for i in range(0, len(pieces), 1024):
+            part = pieces[i : i + 1024]
+            memo.update(zip(part, self._pieces(part)))
+        new = list(new.difference(memo))
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 memo[w] = np.array(e.ids, "<u4").tobytes()
+        for w, (head, tail) in parts.items():
+            memo[w] = memo[head.lower()] + memo[tail]
         return [np.frombuffer(b"".join(map(memo.__getitem__, words)), "<u4") for words in split]
 
 
@@ -134,7 +157,8 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bl
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer)
+        encoder = _encoders.setdefault(tokenizer, None) or Encoder(tokenizer)
+        _encoders[tokenizer] = encoder  # a reused worker keeps what it has met
         width = bits_for(encoder.tokenizer.get_vocab_size(with_added_tokens=True))
         end = np.array([end_id], "<u4")
         names, ids, n = [], [], 0
