@@ -30,7 +30,6 @@ CHUNK = 1 << 22
 #: Letters of ASCII and Latin-1, then marks that are no part of a contraction or special token: two pieces of the tokenizer, which ignores case.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?:;|#$&%*]*)")
 _encoders: dict[str, Encoder] = {}
-_SPACES = re.compile(r"[ \t\n\r]+")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -122,10 +121,11 @@ class Encoder:
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(pieces):  # a tokenizer without such ids
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        return [x.tobytes() for x in np.split(ids, cuts[:-1])]
+        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:])]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [_SPACES.split(t or "") for t in texts]
+        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO_WORDS:
             self.memo = {"": b""}
         memo = self.memo
