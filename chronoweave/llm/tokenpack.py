@@ -24,11 +24,12 @@ MAGIC = b"BPK1"
 #: Ids after which a block is closed, and blocks in a file.
 BLOCK_IDS = 1 << 17
 FILE_BLOCKS = 128
-#: Words whose ids a task keeps; only speed depends on it.
-MEMO_WORDS = 400_000
+#: Pieces whose ids a task keeps; only speed depends on it.
+MEMO_PIECES = 600_000
 CHUNK = 1 << 22
 #: Letters of ASCII and Latin-1, then marks that are no part of a contraction or special token: two pieces of the tokenizer, which ignores case.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?:;|#$&%*]*)")
+_PLAIN = r"^(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,!?:;|#$&%*]*)$"
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[.,!?:;|#$&%*]+")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -103,47 +104,82 @@ class Encoder:
     """The ids of whole texts, by the tokenizer's own ids of the words between blanks.
 
     The tokenizer drops white space, and neither its normaliser nor its splits reach across blanks, so a
-    text's ids are its words' ids in order; words seen before are not encoded again.
+    text's ids are its words' ids in order. A batch's words are told apart by Arrow's dictionaries, a plain
+    word is parted into its letters and the marks after them, pieces met before are not encoded again, and
+    the ids of all words are gathered at once.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {"": b""}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces that the tokenizer does not part, encoded as one text and cut after each end-of-word id."""
-        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(pieces):  # a tokenizer without such ids
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-        return [raw[a:b] for a, b in zip(at, at[1:])]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {"": b""}
-        memo = self.memo
-        fresh = {w for words in split for w in words}.difference(memo)
-        parts = {w: m.groups() for w in fresh if (m := _PLAIN.fullmatch(w))}
-        new = fresh.difference(parts)
-        pieces = list({x for head, tail in parts.values() for x in (head.lower(), tail)}.difference(memo))
-        for i in range(0, len(pieces), 1024):
-            part = pieces[i : i + 1024]
-            memo.update(zip(part, self._pieces(part)))
-        new = list(new.difference(memo))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (head, tail) in parts.items():
-            memo[w] = memo[head.lower()] + memo[tail]
-        return [np.frombuffer(b"".join(map(memo.__getitem__, words)), "<u4") for words in split]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Slot ``i`` holds ``ids[bounds[i]:bounds[i + 1]]``; slot 0 is the empty piece."""
+        self.slots: dict[str, int] = {"": 0}
+        self.ids, self.bounds = np.empty(0, "<u4"), np.zeros(2, np.int64)
+
+    def _encoded(self, pieces: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' ids and how many each has. Plain ones, which the tokenizer does not part, are one text, cut after each end-of-word id."""
+        if plain:
+            ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(pieces):
+                return ids, np.diff(cuts, prepend=0)
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for own in each for i in own], "<u4"), np.fromiter(map(len, each), np.int64, len(each))
+
+    def _learn(self, pieces: list[str]) -> None:
+        parts: tuple[list[str], list[str]] = ([], [])
+        for x in pieces:
+            parts[_PIECE.fullmatch(x) is not None].append(x)
+        ids, sizes = [self.ids], []
+        for plain, own in enumerate(parts):
+            for i in range(0, len(own), 256):
+                found, size = self._encoded(own[i : i + 256], bool(plain))
+                ids.append(found)
+                sizes.append(size)
+        first = len(self.slots)
+        self.slots.update(zip(parts[0] + parts[1], range(first, first + len(pieces))))
+        self.ids = np.concatenate(ids)
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes))])
+
+    def _slots_of(self, pieces: pa.Array) -> np.ndarray:
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if new := [x for x in names if x not in self.slots]:
+            self._learn(new)
+        return np.fromiter(map(self.slots.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        import pyarrow.compute as pc
+
+        if len(self.slots) > MEMO_PIECES:
+            self._forget()
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        words, index = coded.dictionary, coded.indices.to_numpy()
+        head, tail = pc.extract_regex(words, pattern=_PLAIN).flatten()
+        head = self._slots_of(pc.coalesce(pc.utf8_lower(head), words))
+        tail = self._slots_of(pc.fill_null(tail, ""))
+        # each word's ids are those of two slots; first for the distinct words, then for all
+        ids, ends = _gather(self.ids, self.bounds, np.stack([head, tail], 1).reshape(-1))
+        ids, ends = _gather(ids, ends[::2], index)
+        at = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+def _gather(values: np.ndarray, bounds: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``values[bounds[i]:bounds[i + 1]]`` of all ``picks``, side by side, and their bounds."""
+    sizes = (bounds[1:] - bounds[:-1])[picks]
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+    at = np.repeat(bounds[picks] - ends[:-1], sizes) + np.arange(ends[-1])
+    return values[at], ends
 
 
 def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids: int = BLOCK_IDS) -> None:
@@ -164,7 +200,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bl
         names, ids, n = [], [], 0
         for batch in batches:
             for part in batches_of(batch, "text", CHUNK):
-                for name, own in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                for name, own in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                     names.append(name)
                     ids.append(np.concatenate([own, end]))
                     n += len(own) + 1
