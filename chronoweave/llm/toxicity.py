@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
-Voters are lexicon words (a seed list, and words that labelled toxic texts hold far more often) and
-patterns. The label model is a tree-augmented mixture: given the hidden label, each voter fires with a
+Voters are lexicon terms (a seed list, and words and beginnings of words that labelled toxic texts hold
+far more often; inflected words share their beginning) and patterns. The label model is a tree-augmented mixture: given the hidden label, each voter fires with a
 probability that depends on the label and on the one voter it is most correlated with. EM fits it to the
 votes; labelled rows hold their label. Its posteriors train a logistic regression over the voters'
 counts, which scores all texts.
@@ -10,6 +10,7 @@ counts, which scores all texts.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -33,6 +34,11 @@ idiota estúpido imbécil basura escoria cerdo asqueroso perdedor
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 CHUNK = 1 << 22
+#: Letters of a beginning of words, and how often a term may have to occur before it votes.
+STEM_LETTERS = (3, 12)
+MOST_LEAST = 3
+#: Words of a shingle by which copies are told.
+SHINGLE = 5
 _apart = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 or c == 39 else 32 for c in range(256))
 PATTERNS = {
     "shouting": re.compile(r"(?:\b[A-Z]{3,}\b\W+){4}"),
@@ -50,33 +56,121 @@ def words_in(text: str | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Voters:
-    """Lexicon and patterns; ``counts`` gives how often each fires in each text."""
+    """Lexicon and patterns. A term is a word, or with a star at its end the beginning of words; it votes if it occurs ``least`` times."""
 
     lexicon: list[str]
+    least: list[int]
     patterns: list[str] = field(default_factory=lambda: list(PATTERNS))
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
-        place = {w.encode(): j for j, w in enumerate(self.lexicon)}
+        """How often each term occurs in each text, and whether each pattern does."""
+        words: dict[bytes, int] = {}
+        stems: dict[bytes, int] = {}
+        for j, term in enumerate(self.lexicon):
+            (stems if term.endswith("*") else words)[term.rstrip("*").encode()] = j
+        sizes = sorted({len(x) for x in stems})
+        heads = {x[: sizes[0]] for x in stems} if sizes else set()
+        held: dict[bytes, list[int]] = {w: [j] for w, j in words.items()}
+        seen: set[bytes] = set()
         out = np.zeros((len(texts), len(self.lexicon) + len(self.patterns)), np.float32)
         for i, text in enumerate(texts):
-            words = words_in(text)
-            if found := place.keys() & set(words):
-                for w, n in Counter(w for w in words if w in found).items():
-                    out[i, place[w]] = n
+            own = words_in(text)
+            distinct = set(own)
+            if stems:
+                new = distinct - seen
+                seen |= new
+                for w in new:
+                    if w[: sizes[0]] in heads and (begun := [stems[w[:n]] for n in sizes if w[:n] in stems and n <= len(w)]):
+                        held.setdefault(w, []).extend(begun)
+            if found := held.keys() & distinct:
+                for w, n in Counter(w for w in own if w in found).items():
+                    for j in held[w]:
+                        out[i, j] += n
             for j, name in enumerate(self.patterns, len(self.lexicon)):
                 out[i, j] = PATTERNS[name].search(text or "") is not None
         return out
 
+    def fires(self, counts: np.ndarray) -> np.ndarray:
+        return counts >= np.r_[np.array(self.least, np.float32), np.ones(len(self.patterns), np.float32)]
+
+
+def _terms(word: bytes) -> list[str]:
+    w = word.decode("utf-8", "replace")
+    return [w, *(w[:n] + "*" for n in range(STEM_LETTERS[0], min(STEM_LETTERS[1], len(w)) + 1))]
+
+
+def _gain(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Likelihood ratio statistic of terms in ``c1`` of n1 and ``c0`` of n0 texts; 0 where the former are not the more frequent."""
+    out = np.zeros(len(c1))
+    for seen, n in ((c1, n1), (c0, n0), (n1 - c1, n1), (n0 - c0, n0)):
+        both = c1 + c0 if seen is c1 or seen is c0 else n1 + n0 - c1 - c0
+        out += 2 * seen * np.log(np.maximum(seen, 1e-9) * (n1 + n0) / (np.maximum(both, 1e-9) * n))
+    return np.where(c1 * n0 > c0 * n1, out, 0)
+
 
-def mine_words(texts: list[str | None], toxic: np.ndarray, least: int = 3, ratio: float = 8.0, most: int = 200) -> list[str]:
-    """Words in ``least`` toxic texts at least, whose share there is ``ratio`` times that in others at least; the most telling ``most``."""
-    by = (Counter(), Counter())
+def mine_terms(texts: list[str | None], toxic: np.ndarray, least: int = 3, ratio: float = 4.0, most: int = 200) -> list[tuple[str, int]]:
+    """Terms and how often they must occur: those most telling of toxic texts, by a likelihood ratio test.
+
+    Candidates are all words and beginnings of words that ``least`` toxic texts hold, with one to
+    MOST_LEAST occurrences. Copies of a toxic text tell no more than one of them, so those that share their
+    least shingle hash count once. A term must be ``ratio`` times as frequent in toxic texts, and pass a bound that
+    grows with the number of candidates, so that chance passes none. Of terms that begin with each other the
+    most telling one stays, and the longest of equals; ``most`` stay at most.
+    """
+    met: set[int] = set()
+    counted = []
     for text, y in zip(texts, toxic):
-        by[int(y)].update(set(words_in(text)))
-    n0, n1 = max(1, int((toxic == 0).sum())), max(1, int((toxic == 1).sum()))
-    gain = {w: (c / n1) / ((by[0][w] + 0.5) / n0) for w, c in by[1].items() if c >= least}
-    best = sorted((w for w, g in gain.items() if g >= ratio), key=lambda w: (-by[1][w] * np.log(gain[w]), w))[:most]
-    return [w.decode("utf-8", "replace") for w in best]
+        if y == 1:
+            words = words_in(text)
+            mark = min((zlib.crc32(b" ".join(words[i : i + SHINGLE])) for i in range(max(1, len(words) - SHINGLE + 1))))
+            if mark in met:
+                continue
+            met.add(mark)
+        counted.append((text, int(y)))
+    n1, n0 = len(met), len(counted) - len(met)
+    if not n1 or not n0:
+        return []
+    made: dict[bytes, list] = {}
+
+    def occurrences(text: str | None) -> Counter:
+        out: Counter = Counter()
+        for w, n in Counter(words_in(text)).items():
+            if (terms := made.get(w)) is None:
+                terms = made[w] = [t for t in _terms(w) if wanted is None or t in wanted]
+            for t in terms:
+                out[t] += n
+        return out
+
+    wanted: dict[str, int] | None = None
+    held: Counter = Counter()
+    for text, y in counted:
+        if y == 1:
+            held.update(occurrences(text).keys())
+    bound = 2 * np.log(max(2, MOST_LEAST * sum(n >= least for n in held.values())))
+    least = max(least, int(np.ceil(bound / (2 * np.log((n1 + n0) / n1)))))  # fewer cannot pass the bound
+    wanted = {t: j for j, t in enumerate(sorted(t for t, n in held.items() if n >= least))}
+    made.clear()
+    by = np.zeros((2, MOST_LEAST, len(wanted)), np.int64)
+    for text, y in counted:
+        found = occurrences(text)
+        at = np.fromiter((wanted[t] for t in found), np.int64, len(found))
+        often = np.fromiter(found.values(), np.int64, len(found))
+        for k in range(MOST_LEAST):
+            by[y, k, at[often > k]] += 1
+    gains = np.array([np.where((by[1, k] >= least) & (by[1, k] * n0 >= ratio * by[0, k] * n1), _gain(by[1, k], by[0, k], n1, n0), 0) for k in range(MOST_LEAST)])
+    best, gain = gains.argmax(0), gains.max(0, initial=0)
+    names = sorted((t for t, j in wanted.items() if gain[j] >= bound), key=lambda t: (-round(gain[wanted[t]], 6), -len(t.rstrip("*")), t.endswith("*"), t))
+    kept: list[tuple[str, int]] = []
+    stems, beginnings = set(), set()
+    for t in names:
+        base = t.rstrip("*")
+        if len(kept) == most or any(base[:n] in stems for n in range(1, len(base) + 1)) or (t.endswith("*") and base in beginnings):
+            continue
+        kept.append((t, int(best[wanted[t]]) + 1))
+        beginnings.update(base[:n] for n in range(1, len(base) + 1))
+        if t.endswith("*"):
+            stems.add(base)
+    return kept
 
 
 class LabelModel:
@@ -183,9 +277,10 @@ class ToxicityModel:
     weights: np.ndarray
 
     def features(self, counts: np.ndarray) -> np.ndarray:
-        lex = counts[:, : len(self.voters.lexicon)]
-        total = lex.sum(1)
-        return np.c_[np.minimum(lex, 1), counts[:, len(self.voters.lexicon) :], total > 0, total > 1, np.log1p(total)]
+        fires = self.voters.fires(counts)
+        terms = fires[:, : len(self.voters.lexicon)]
+        total = (counts[:, : len(self.voters.lexicon)] * terms).sum(1)
+        return np.c_[fires, total > 0, total > 1, np.log1p(total)].astype(float)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         x = self.features(self.voters.counts(texts))
@@ -195,8 +290,9 @@ class ToxicityModel:
 def learn(texts: list[str | None], labels: np.ndarray) -> ToxicityModel:
     """From texts with labels 1, 0 or -1 (unknown). Without any toxic label the seed lexicon alone votes."""
     known = labels >= 0
-    mined = mine_words([t for t, k in zip(texts, known) if k], labels[known]) if (labels == 1).any() else []
-    voters = Voters(list(dict.fromkeys([*SEED_WORDS, *mined])))
+    mined = dict(mine_terms([t for t, k in zip(texts, known) if k], labels[known]))
+    terms = list(dict.fromkeys([*SEED_WORDS, *mined]))
+    voters = Voters(terms, [mined.get(t, 1) for t in terms])
     counts = voters.counts(texts)
     model = ToxicityModel(voters, np.empty(0))
     if not len(texts):
@@ -204,7 +300,7 @@ def learn(texts: list[str | None], labels: np.ndarray) -> ToxicityModel:
         w = np.zeros(x.shape[1] + 1)
         w[-1], w[-2], w[-3], w[-4] = -4, 1, 1, 3
         return ToxicityModel(voters, w)
-    votes = counts > 0
+    votes = voters.fires(counts)
     label_model = LabelModel().fit(votes, labels)
     p = label_model.posterior(votes)
     target = np.where(labels == 1, np.maximum(p, 0.9), np.where(labels == 0, np.minimum(p, 0.5) * 0.2, p))

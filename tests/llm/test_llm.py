@@ -269,6 +269,26 @@ def test_encoder_equals_whole_text():
         assert got.tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_toxic_terms_of_inflected_words():
+    rng = np.random.default_rng(5)
+    endings, common = ["e", "en", "ung", "lich", "er", "ait"], [f"w{i}" for i in range(300)]
+    make = lambda *more: " ".join([*rng.choice(common, 40), *more])
+    toxic = [make("vequ" + endings[i % 6], "brute") for i in range(40)]
+    twice = [make("maron", "maron") for _ in range(40)]
+    clean = [make("maron") if i % 4 == 0 else make() for i in range(600)]
+    copied = [make("rareword")] * 30
+    texts = [*toxic, *twice, *copied, *clean, None, ""]
+    labels = np.array([1] * 110 + [0] * 602)
+    found = dict(toxicity.mine_terms(texts, labels))
+    assert found == {"vequ*": 1, "brute": 1, "maron": 2}  # thirty copies of one text are one text
+    model = toxicity.learn(texts, labels)
+    assert (model.score([make("vequons"), make("maron", "maron")]) >= toxicity.THRESHOLD).all()
+    assert (model.score([make("maron"), make(), "", None]) < toxicity.THRESHOLD).all()
+    assert toxicity.mine_terms(texts[:5], labels[:5]) == [] == toxicity.mine_terms([], labels[:0])
+    counts = toxicity.Voters(["vequ*", "vequin", "éo*"], [1, 1, 2]).counts(["Vequin, vequ vequon; VEQ", "éon éo Éa", None])
+    assert counts[:, :3].tolist() == [[3, 1, 0], [0, 0, 2], [0, 0, 0]]
+
+
 def test_toxicity(spark, real, docs, empty):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     train = ~toxicity.held_out()
