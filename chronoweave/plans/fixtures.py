@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, predicates, relations
 from ..operators import kb, link, ordinals, questions, rephrase, signals
 from ..sources import html
+from . import generate
 from .star import Query
 
 QUERIES: dict[str, Query] = {}
@@ -186,3 +187,50 @@ def page_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = spark.createDataFrame([(2001,), (2002,), (2003,)], "year int")
     paths = spark.createDataFrame([("2001", "Q1"), ("20.02", "Q2"), ("Portal:Current_events/May_2001", "Q5"), ("May_2001", "Q7"), ("June_2002", "Q6"), ("July_2002", "Q2")], "path string, id string")
     return pool(years, paths)
+
+
+def _wiki(spark: SparkSession) -> dict[str, DataFrame]:
+    """Two pages, their anchors, and facts about the singer Ann."""
+    entity = "Q1 Ann human,Q2 Blue_Album album,Q3 Bob human,Q4 Gold_Prize award"
+    rows = [r.split() for r in entity.split(",")]
+    prose = "Ann was a singer. Ann released Blue Album with Bob in 2001. In 1990 and 1995 Ann slept. == Further reading == Ann in 1999."
+    facts = [("Q1", 1, _fact("Q1=Ann", "P166=award received", "Q4=Gold Prize", "P585=point in time", "2001-01-01T00:00:00Z=2001")), ("Q1", 2, _fact("Q1=Ann", "P26=spouse", "Q3=Bob", "P580=start time", "2000-01-01T00:00:00Z=2000", "P582=end time", "2004-01-01T00:00:00Z=2004"))]
+    return {
+        "pages": spark.createDataFrame([("Q1", "entity", "Ann", prose), ("Q9", "entity", "None", None)], "topic_id string, page_type string, title string, extract string"),
+        "anchors": spark.createDataFrame([("Q1", 0, "Blue Album", "Blue_Album"), ("Q1", 1, "Bob", "Robert"), ("Q1", 2, "Album", "Album")], "topic_id string, pos int, text string, path string"),
+        "paths": spark.createDataFrame([(r[1], r[0]) for r in rows], "path string, id string"),
+        "redirects": spark.createDataFrame([("Robert", "Bob")], "from_path string, to_title string"),
+        "labels": spark.createDataFrame([(r[0], [r[1].replace("_", " ")]) for r in rows], "id string, labels array<string>"),
+        "entities": spark.createDataFrame([(r[0], r[2], [5]) for r in rows], "id string, type string, frequency array<bigint>"),
+        "facts": spark.createDataFrame(facts, f"topic_id string, fact_no int, fact {kb.FACT}"),
+    }
+
+
+def _evidence(spark: SparkSession) -> DataFrame:
+    w = _wiki(spark)
+    told = generate.text_evidence(w["pages"], w["anchors"], w["paths"], w["redirects"], w["labels"], w["entities"])
+    return told.unionByName(generate.fact_evidence(w["facts"], w["labels"], w["entities"]))
+
+
+@fixture("evidence_id, template, begin_day, end_day, entities", [
+    ("Q1:text:1", "Ann, Ann released Blue Album with Bob.", 20010101, 20011231, "Q2/album,Q3/human,Q1/human"), ("Q1:text:2", "Ann, In Ann slept.", 19900101, 19951231, "Q1/human"),
+    ("Q1:kb:1:point", "Ann award received Gold Prize", 20010101, 20011231, "Q1/human,Q4/award"), ("Q1:kb:2:start_end", "Ann spouse Bob", 20000101, 20041231, "Q1/human,Q3/human"),
+])
+def generated_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.array_join(F.transform("entities", lambda x: F.concat_ws("/", x["id"], x["type"])), ",")
+    return _evidence(spark).select("evidence_id", F.col("candidate_question_text").alias("template"), F.col("begin").alias("begin_day"), F.col("end").alias("end_day"), shown.alias("entities"))
+
+
+@fixture("main_id, constraint_id, signal, source, question", [
+    ("Q1:text:1", "Q1:kb:2:start_end", "OVERLAP", "text; kb", "What album Ann, Ann released with Bob., during, Ann spouse Bob"), ("Q1:text:1", "Q1:kb:1:point", "OVERLAP", "text; kb", "What album Ann, Ann released with Bob., during, Ann award received Gold Prize"),
+    ("Q1:kb:1:point", "Q1:text:1", "OVERLAP", "kb; text", "What award Ann award received, during, Ann, Ann released Blue Album with Bob."), ("Q1:kb:1:point", "Q1:kb:2:start_end", "OVERLAP", "kb; kb", "What award Ann award received, during, Ann spouse Bob"),
+    ("Q1:kb:2:start_end", "Q1:kb:1:point", "OVERLAP", "kb; kb", "What human Ann spouse, during, Ann award received Gold Prize"),
+])
+def generated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.pseudo_questions(_evidence(spark)).select("main_id", "constraint_id", "signal", "source", "question")
+
+
+@fixture("topic_id, source, rephrase_question, answer", [("Q1", "kb; text", "What award Ann award received during Ann, Ann released Blue Album with Bob?", "Q4")])
+def finished_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = generate.finished_questions(generate.pseudo_questions(_evidence(spark)))
+    return out.select("topic_id", "source", "rephrase_question", F.array_join(F.transform("answers", lambda x: x["id"]), ",").alias("answer"))

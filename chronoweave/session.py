@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -38,3 +40,15 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(home.parent))
     sc.addPyFile(str(archive))
     _shipped.add(sc.applicationId)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that driver and executors share, ``spark.checkpoint.dir``, and read again; own folder only where none is named."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        shared = f"file://{tempfile.mkdtemp(prefix='chronoweave-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
