@@ -25,8 +25,8 @@ MAGIC = b"BPK1"
 BLOCK_IDS = 1 << 17
 FILE_BLOCKS = 128
 #: Pieces whose ids a task keeps; only speed depends on it.
-MEMO_PIECES = 600_000
-CHUNK = 1 << 22
+MEMO_PIECES = 250_000
+CHUNK = 1 << 21
 #: Letters of ASCII and Latin-1, then marks that are no part of a contraction or special token: two pieces of the tokenizer, which ignores case.
 _PLAIN = r"^(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,!?:;|#$&%*]*)$"
 _PIECE = re.compile(r"[a-zß-öø-ÿ]+|[.,!?:;|#$&%*]+")
@@ -207,6 +207,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bl
                     if n >= block_ids:
                         yield pa.RecordBatch.from_arrays([pa.array([write_block(names, ids, width)], pa.binary())], names=["block"])
                         names, ids, n = [], [], 0
+            pa.default_memory_pool().release_unused()
         if names:
             yield pa.RecordBatch.from_arrays([pa.array([write_block(names, ids, width)], pa.binary())], names=["block"])
 
