@@ -331,7 +331,7 @@ _stop = ", ".join(f"'{w}'" for w in predicates.STOPWORDS)
 @query(f"""SELECT doc_id, len(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(replace(substr(text, 1, 40), 'the ', ''), '[!-/:-@\\[-`{{-~]', '', 'g'), ' {{2,}}', ' ', 'g')), '\\s+'), lambda x: x <> '' AND NOT list_contains([{_stop}], x))) = 0 AS empty_relation FROM documents WHERE text IS NOT NULL""")
 def no_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text is not null")
-    return d.select("doc_id", predicates.no_relation(F.substring("text", 1, 40), F.array(F.lit("the "))).alias("empty_relation"))
+    return d.select("doc_id", predicates.no_relation(F.col("text"), F.array(F.lit("the "))).alias("empty_relation"))
 
 
 @query("""SELECT p_partkey, (NOT contains(t, 'USD')) AND (regexp_matches(lower(t), 'social media followers|population|human development index|wikimedia list article|twinned administrative body|gdp per capita|area code|us\\$|ppp per capita') OR (s IN ('info', 'kb') AND list_has_any(string_split(lower(t), ', '), ['hdi', 'gdp']))) AS meaningless
