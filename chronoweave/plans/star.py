@@ -78,7 +78,7 @@ SELECT signal, count(*) AS n, sum(m) AS main_sum FROM (
 GROUP BY signal""")
 def year_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.col("b") - F.col("b") % 10000
-    s = order_spans(spark, sf_dir).where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey", (y + 101).alias("b"), (y + F.when(F.col("o_orderkey") % 2 == 0, 1231).otherwise(11231)).alias("e"))
+    s = order_spans(spark, sf_dir).select("o_orderkey", "o_custkey", (y + 101).alias("b"), (y + F.when(F.col("o_orderkey") % 2 == 0, 1231).otherwise(11231)).alias("e"))
     pairs = s.alias("m").join(s.alias("c"), "o_custkey").where("m.o_orderkey <> c.o_orderkey")
     found = F.coalesce(relations.signal(F.col("m.b"), F.col("m.e"), F.col("c.b"), F.col("c.e")), F.lit("none"))
     return pairs.select(F.col("m.o_orderkey").alias("m"), found.alias("signal")).groupBy("signal").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("main_sum"))

@@ -3,7 +3,9 @@
 import re
 import string
 
-from chronoweave.functions import predicates
+from pyspark.sql import functions as F
+
+from chronoweave.functions import predicates, relations
 from chronoweave.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -30,3 +32,17 @@ def test_no_relation_reads_whole_texts(spark, tmp_path):
     assert {r["doc_id"]: r["empty_relation"] for r in got} == {i: empty(t) for i, t in enumerate(texts) if t is not None}
     assert [empty(t) for t in texts[:4]] == [True, False, True, False]
     assert {r["doc_id"]: r["empty_relation"] for r in found} == {r["doc_id"]: empty(r["text"]) for r in real if r["text"] is not None}
+
+
+def test_year_signals_pairs_all_orders(spark, tmp_path):
+    """Every pair of a customer's orders is counted; one call for each pair gives its signal."""
+    from datetime import date
+
+    orders = [(k, k % 4, date(1995 + k * 7 % 5, 3, 1 + k)) for k in range(1, 25)]
+    items = [(k, k % 3 + 1, d) for k, _, d in orders]
+    got = run(spark, tmp_path, "year_signals", orders=(orders, "o_orderkey long, o_custkey long, o_orderdate date"), lineitem=(items, "l_orderkey long, l_suppkey long, l_shipdate date"))
+    span = lambda k, d: (d.year * 10000 + 101, d.year * 10000 + (1231 if k % 2 == 0 else 11231))
+    pairs = [(m, *span(m, d), *span(c, o)) for m, x, d in orders for c, y, o in orders if x == y and m != c]
+    told = spark.createDataFrame(pairs, "m long, b int, e int, cs int, ce int").select("m", F.coalesce(relations.signal(*map(F.col, ("b", "e", "cs", "ce"))), F.lit("none")).alias("s")).collect()
+    assert {r["signal"]: (r["n"], r["main_sum"]) for r in got} == {s: (len(x := [r["m"] for r in told if r["s"] == s]), sum(x)) for s in {r["s"] for r in told}}
+    assert sum(r["n"] for r in got) == len(pairs) == 4 * 6 * 5
