@@ -297,7 +297,7 @@ ASKS = """(contains(l, 'during what') OR contains(l, 'during which') OR (contain
 def _posed(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = ["What year was it when ", "Which album came out in 1999 after ", "How many people saw ", "What yearly festival came after ", "When did Ann marry before ", "Who (left the band while ", "Who sang?? during ", "Who met q42 at the time "]
     c = table(spark, sf_dir, "conversations")
-    words = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]+", " "), 1, 30)
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]+", " ")
     start = F.get(F.array(*map(F.lit, starts)), ((F.col("conv_id") + F.col("turn")) % 8).cast("int"))
     return c.select("conv_id", "turn", F.concat(start, words).alias("q"), F.when(F.col("turn") % 3 == 0, "OVERLAP").when(F.col("turn") % 3 == 1, "AFTER").otherwise("OTHER").alias("signal"))
 

@@ -46,3 +46,27 @@ def test_year_signals_pairs_all_orders(spark, tmp_path):
     told = spark.createDataFrame(pairs, "m long, b int, e int, cs int, ce int").select("m", F.coalesce(relations.signal(*map(F.col, ("b", "e", "cs", "ce"))), F.lit("none")).alias("s")).collect()
     assert {r["signal"]: (r["n"], r["main_sum"]) for r in got} == {s: (len(x := [r["m"] for r in told if r["s"] == s]), sum(x)) for s in {r["s"] for r in told}}
     assert sum(r["n"] for r in got) == len(pairs) == 4 * 6 * 5
+
+
+LONG = "the band that toured the whole country "  # longer than 30 characters
+
+
+def test_posed_questions_are_read_whole(spark, tmp_path):
+    """What stands beyond character 30 of a conversation's text decides, and all of its words count."""
+    # (conv_id + turn) % 8 gives the beginning: 1 "Which album came out in 1999 after ", 2 "How many people saw ", 3 "What yearly festival came after ", 4 "When did Ann marry before "
+    rows = [
+        (3, 0, LONG + "and how many came?"), (3, 8, LONG + "in which year?"), (3, 16, LONG + "and that is all"), (4, 0, "a b c"),
+        (19, 0, LONG + "- after 1999"), (11, 9, None), (4, 9, "incomprehensibilities internationalization z z"),
+    ]
+    schema = "conv_id long, turn long, text string"
+    flaws = run(spark, tmp_path, "question_filters", conversations=(rows, schema))
+    assert {(r["conv_id"], r["turn"]): r["flaw"] for r in flaws} == {(3, 0): "number", (3, 8): "time", (3, 16): None, (4, 0): "time", (19, 0): None, (11, 9): "short", (4, 9): "strange"}
+    signals = run(spark, tmp_path, "signal_check")
+    assert {(r["conv_id"], r["turn"]): (r["asks_time"], r["kept"]) for r in signals}[3, 8] == (True, None)
+
+
+def test_kept_signals_are_read_whole(spark, tmp_path):
+    # Turn % 3: 0 OVERLAP, 1 AFTER. (conv_id + turn) % 8 = 2: "How many people saw ".
+    rows = [(2, 0, LONG + "again after it"), (2, 24, LONG + "again"), (1, 1, LONG + "in the year of it"), (9, 1, LONG + "again"), (1, 25, LONG + "and when")]
+    got = run(spark, tmp_path, "signal_check", conversations=(rows, "conv_id long, turn long, text string"))
+    assert {(r["conv_id"], r["turn"]): (r["asks_time"], r["kept"]) for r in got} == {(2, 0): (False, False), (2, 24): (False, True), (1, 1): (False, False), (9, 1): (False, True), (1, 25): (True, False)}
