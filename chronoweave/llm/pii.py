@@ -7,6 +7,7 @@ one, and whoever holds the key can undo it.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import math
@@ -22,6 +23,8 @@ from .common import batches_of
 ROUNDS = 10
 CHUNK = 1 << 22
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: Days that read only as month first when the month is written first: those above 12.
+LATE_DAYS = [x for x in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(x).day > 12]
 # IBAN lengths by country, of the IBAN registry.
 IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
 MONTHS = "January February March April May June July August September October November December".split()
@@ -170,6 +173,16 @@ class Pseudonyms:
             return None
         return datetime.date.fromordinal(FIRST_DAY + feistel(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, self.key, "date", self.inverse))
 
+    def _late_day(self, y: int, m: int, d: int) -> datetime.date | None:
+        """Days above 12 are permuted among themselves, so that a date with the month first stays one."""
+        try:
+            day = datetime.date(y, m, d).toordinal()
+        except ValueError:
+            return None
+        if d <= 12 or not FIRST_DAY <= day <= LAST_DAY:
+            return None
+        return datetime.date.fromordinal(LATE_DAYS[feistel(bisect.bisect_left(LATE_DAYS, day), len(LATE_DAYS), self.key, "late date", self.inverse)])
+
     def date(self, text: str) -> str | None:
         """ISO dates, and day or month first with a full year; an ambiguous one counts as day first. Widths and separators stay."""
         a, s, b, _, c = re.split(r"([-/.])", text)
@@ -179,7 +192,8 @@ class Pseudonyms:
         new = self._day(int(c), int(b), int(a))
         if new:
             return f"{new.day:02d}{s}{new.month:02d}{s}{new.year:04d}"
-        return None
+        new = self._late_day(int(c), int(a), int(b))
+        return new and f"{new.month:02d}{s}{new.day:02d}{s}{new.year:04d}"
 
     def long_date(self, text: str) -> str | None:
         if m := re.fullmatch(r"(\d{1,2}) (\w+) (\d{4})", text):
