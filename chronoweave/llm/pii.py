@@ -229,14 +229,24 @@ _any = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
 _each: dict[str, Callable] = {k: re.compile(p).match for k, p in KINDS.items()}
 
 
+def _beginnings(kind: str, found: str) -> Iterator[str]:
+    """The match and, as it may have taken in what follows a value, its beginnings up to a blank or hyphen: of an IBAN that of its country's length, of a card those of 13 digits and more, longest first."""
+    yield found
+    lengths = {"iban": (IBAN_LENGTHS.get(found[:2]),), "card": range(13, 19)}.get(kind, ())
+    for i in range(len(found) - 1, 0, -1) if lengths else ():
+        if found[i] in " -" and sum(c not in " -" for c in found[:i]) in lengths:
+            yield found[:i]
+
+
 def find_values(text: str, valid: Callable[[str, str], str | None]) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of valid values, from left to right without overlaps."""
     at = 0
     while m := _any.search(text, at):
         for kind in KINDS:
-            if (own := _each[kind](text, m.start())) and (new := valid(kind, own[0])) is not None:
-                yield own.start(), own.end(), kind, new
-                at = own.end()
+            own = _each[kind](text, m.start())
+            if own and (hit := next(((x, new) for x in _beginnings(kind, own[0]) if (new := valid(kind, x)) is not None), None)):
+                at = own.start() + len(hit[0])
+                yield own.start(), at, kind, hit[1]
                 break
         else:
             at = m.start() + 1

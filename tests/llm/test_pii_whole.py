@@ -25,3 +25,25 @@ def test_dates_share_no_pseudonym():
     assert None not in new.values() and len(set(new.values())) == len(texts)
     assert all(back.date(x) == t for t, x in new.items())
     assert [there.date(t) for t in ("02/30/1999", "13/13/1999", "00/25/1999", "31/02/2003")] == [None] * 4
+
+
+IBANS = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606"]
+CARDS = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "3782 822463 10005"]
+
+
+@pytest.mark.parametrize("value, after", [(v, a) for v in IBANS for a in (" I paid", " BIC ABCDEFGH", " 12 EUR", " 2024", "", ".")] + [(v, a) for v in CARDS for a in (" 123", " 7", " 12 27", " 12345", "", " EUR")])
+def test_numbers_before_other_tokens(value, after):
+    there, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", inverse=True)
+    a, spans = pii.replace_values(f"to {value}{after}", there)
+    assert [(s["kind"], s["start"], s["end"]) for s in spans] == [("iban" if value in IBANS else "card", 3, 3 + len(value))]
+    new = spans[0]["pseudonym"]
+    assert new != value and a == f"to {new}{after}"
+    assert back.of(spans[0]["kind"], new) == value
+
+
+def test_longest_valid_number_and_the_rest():
+    own = pii.Pseudonyms(b"key")
+    long = "4111 1111 1111 1111 " + next(f"{x:03d}" for x in range(1000) if pii.luhn_ok(f"4111111111111111{x:03d}"))
+    assert [s["end"] for s in pii.replace_values(long, own)[1]] == [len(long)]
+    for text in ("4111 1111 1111 1112 123", "DE89370400440532013001 I paid", "4111111111111111123", "DE893704004405320130001 I"):
+        assert pii.replace_values(text, own)[0] == text
