@@ -70,3 +70,9 @@ def test_kept_signals_are_read_whole(spark, tmp_path):
     rows = [(2, 0, LONG + "again after it"), (2, 24, LONG + "again"), (1, 1, LONG + "in the year of it"), (9, 1, LONG + "again"), (1, 25, LONG + "and when")]
     got = run(spark, tmp_path, "signal_check", conversations=(rows, "conv_id long, turn long, text string"))
     assert {(r["conv_id"], r["turn"]): (r["asks_time"], r["kept"]) for r in got} == {(2, 0): (False, False), (2, 24): (False, True), (1, 1): (False, False), (9, 1): (False, True), (1, 25): (True, False)}
+
+
+def test_snippets_of_all_languages(spark, tmp_path):
+    rows = [(1, "One. Two is longer! Three?", "en"), (2, "Un. Deux est plus long! Trois?", "fr"), (3, "Eins.\nZwei.", "de"), (4, "No language. None.", None), (5, "", "en"), (6, None, "es")]
+    got = run(spark, tmp_path, "text_snippets", documents=(rows, "doc_id long, text string, lang string"))
+    assert {r["doc_id"]: (r["n"], r["longest"]) for r in got} == {1: (3, 14), 2: (3, 19), 3: (2, 5), 4: (2, 12)}
