@@ -318,12 +318,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, unlabelled_rows:
     drawn = marks.orderBy(by_hash(1), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     with_labels = texts.join(F.broadcast(drawn), "doc_id")  # of `rows` rows at most
-    without = texts.select("doc_id", "text", F.lit(-1).alias("toxic")).where(F.pmod(by_hash(2), F.lit(64)) == 0).orderBy(by_hash(3), "doc_id").limit(unlabelled_rows) if unlabelled_rows else None
+    without = None
+    if unlabelled_rows:  # ids first: drawing among the texts themselves would gather far more of them than are kept
+        others = texts.select("doc_id").join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_anti").orderBy(by_hash(3), "doc_id").limit(unlabelled_rows).distinct()
+        without = texts.join(F.broadcast(others), "doc_id").orderBy(by_hash(3), "doc_id", "text").limit(unlabelled_rows)
     known = with_labels.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     names, own, y = known.column("doc_id").to_pylist(), known.column("text").to_pylist(), known.column("toxic").to_pylist()
     if without is not None:
         held = set(names)
-        more = without.join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_anti").toArrow().sort_by("doc_id")
+        more = without.toArrow().sort_by("doc_id")
         for n, t in zip(more.column("doc_id").to_pylist(), more.column("text").to_pylist()):
             if n not in held:
                 own.append(t)
