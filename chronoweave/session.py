@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-import tempfile
 import zipfile
 from pathlib import Path
 
@@ -42,13 +42,24 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, a session on one machine gets a folder of its own; a cluster has to name one.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[\d*, ]+\])?", sc.master):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    own = f"file://{tempfile.mkdtemp(prefix='chronoweave-')}"
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder that driver and executors share, ``spark.checkpoint.dir``, and read again; own folder only where none is named."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        shared = f"file://{tempfile.mkdtemp(prefix='chronoweave-')}"
-        spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read again: lineage is cut by files that outlive any executor."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
