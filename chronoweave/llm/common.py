@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,22 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: ASCII white space, the word separators of the counting and shingling operators.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _made: list[tuple[object, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``; own one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    own = tempfile.mkdtemp(prefix="chronoweave-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -55,7 +46,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop_stored(*tables: DataFrame | None) -> None:
+    """Delete the files of materialized tables that nothing reads any more."""
+    for df in tables:
+        if (path := getattr(df, "_stored_at", None)) is not None:
+            delete(df.sparkSession, path)
+            _made.remove((df.sparkSession, path))
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores after it until no column is called so (in any case)."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def row_hash(df: DataFrame):
+    """64 bits of all columns of a row; rows that are equal have equal ones."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_stored, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows ``(v, root)`` for each vertex of ``edges(a long, b long)`` but the roots: root is the component's least vertex.
 
     Loops and repeated edges are allowed. Each round writes its edges to the shared folder; rounds go on
-    until the edges no longer change. Groups are joined to their minima, never collected.
+    until the edges no longer change, and deletes the round's before. Groups are joined to their minima,
+    never collected.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
@@ -27,4 +28,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = materialize(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, now = now, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop_stored(old, large)
