@@ -26,7 +26,16 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 #: Days that read only as month first when the month is written first: those above 12.
 LATE_DAYS = [x for x in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(x).day > 12]
 # IBAN lengths by country, of the IBAN registry.
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27,
+    "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+#: Hex digits beyond which a secret is permuted as two halves of bytes.
+LONG_HEX = 128
 MONTHS = "January February March April May June July August September October November December".split()
 
 
@@ -155,14 +164,35 @@ class Pseudonyms:
         new = self._letters(local, "email@" + domain.lower())
         return f"{new}@{domain}"
 
+    def _halves(self, text: str) -> str:
+        """A Feistel network over the two halves of a hex string of any length, by an extendable hash of the other half; linear time."""
+        cut = len(text) // 2
+        left, right = text[:cut], text[cut:]
+
+        def mixed(x: str, other: str, i: int) -> str:
+            noise = hashlib.shake_256(b"|".join((hashlib.blake2b(b"hex", key=self.key[:64]).digest(), f"{len(text)}|{i}".encode(), other.encode()))).hexdigest(-(-len(x) // 2))
+            return f"{int(x, 16) ^ int(noise[: len(x)], 16):0{len(x)}x}"
+
+        for i in range(ROUNDS - 1, -1, -1) if self.inverse else range(ROUNDS):
+            if i % 2:
+                right = mixed(right, left, i)
+            else:
+                left = mixed(left, right, i)
+        return left + right
+
     def secret(self, text: str) -> str | None:
-        """Long hexadecimal strings with digits and letters both: keys, tokens, hashes."""
+        """Hexadecimal strings of any length with digits and letters both: keys, tokens, hashes. Their pseudonyms hold both as well."""
         if text.isdigit() or text.isalpha():
             return None
-        upper = text.upper() == text
-        value = feistel(int(text, 16), 16 ** len(text), self.key, "hex", self.inverse)
-        new = f"{value:0{len(text)}x}"
-        return new.upper() if upper else new
+        new = text.lower()
+        while new == text.lower() or new.isdigit() or new.isalpha():
+            if len(text) > LONG_HEX:
+                new = self._halves(new)
+            else:
+                new = f"{feistel(int(new, 16), 16 ** len(text), self.key, 'hex', self.inverse):0{len(text)}x}"
+            if new == text.lower():  # a fixed point stays one
+                break
+        return new.upper() if text.upper() == text else new
 
     def _day(self, y: int, m: int, d: int) -> datetime.date | None:
         try:
@@ -216,14 +246,14 @@ _month = "|".join(MONTHS)
 #: Kinds and patterns, the first that is valid at a place wins.
 KINDS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]){11,28}(?![0-9A-Za-z])",
-    "card": r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d])",
-    "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d])(?!\.\d)",
-    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "date": r"(?<![\d\-/.])(?:(?:19|20)\d\d-\d\d-\d\d|(?:19|20)\d\d/\d\d/\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d|\d\d-\d\d-(?:19|20)\d\d)(?![\d\-/])",
-    "long_date": rf"(?<!\w)(?:\d{{1,2}} (?:{_month}) (?:19|20)\d\d|(?:{_month}) \d{{1,2}}, (?:19|20)\d\d)(?!\d)",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ \-.]?(?:\(\d{1,4}\)[ \-.]?)?\d{2,4}(?:[ \-.]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ \-.]\d{4}|\d{3}[ \-.]\d{3}[ \-.]\d{4})(?![\w])(?!\.\d)",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,29}(?![0-9A-Za-z])",
+    "card": r"(?<![\d.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\d])",
+    "ip": r"(?<![\d.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\d])(?!\.\d)",
+    "ssn": r"(?<![\d\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d\-])",
+    "date": r"(?<![\d\-/.])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}-[0-9]{2}-(?:19|20)[0-9]{2})(?![\d\-/])",
+    "long_date": rf"(?<!\w)(?:[0-9]{{1,2}} (?:{_month}) (?:19|20)[0-9]{{2}}|(?:{_month}) [0-9]{{1,2}}, (?:19|20)[0-9]{{2}})(?!\d)",
+    "phone": r"(?<![\w.])(?:\+[0-9]{1,3}[ \-.]?(?:\([0-9]{1,4}\)[ \-.]?)?[0-9]{2,4}(?:[ \-.]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ \-.][0-9]{4}|[0-9]{3}[ \-.][0-9]{3}[ \-.][0-9]{4})(?![\w])(?!\.\d)",
 }
 _any = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
 _each: dict[str, Callable] = {k: re.compile(p).match for k, p in KINDS.items()}
@@ -265,8 +295,10 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """``(doc_id, text, n_values, spans)`` of each row of ``docs(doc_id, text)``: the text with its valid values replaced.
 
     Spans give kind, place in the old text and pseudonym, never the old value. A null text stays null and
-    has no values; texts without values stay byte for byte. Repeated rows give equal results. Texts count
-    whole. No shuffle.
+    has no values; empty texts and texts without values stay byte for byte. Where values of several kinds begin at one
+    place the first of KINDS that is valid wins, and values never overlap. Digits are ASCII digits. Repeated
+    rows give equal results, a null doc_id stays null, texts count whole, an empty table gives an empty result, and
+    further columns, whatever their names, are ignored. No shuffle.
     """
     kind = docs.schema["doc_id"].dataType
     span = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType()), StructField("pseudonym", StringType())])

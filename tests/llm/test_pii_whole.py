@@ -47,3 +47,32 @@ def test_longest_valid_number_and_the_rest():
     assert [s["end"] for s in pii.replace_values(long, own)[1]] == [len(long)]
     for text in ("4111 1111 1111 1112 123", "DE89370400440532013001 I paid", "4111111111111111123", "DE893704004405320130001 I"):
         assert pii.replace_values(text, own)[0] == text
+
+
+def _there_and_back(text):
+    there, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", inverse=True)
+    new, spans = pii.replace_values(text, there)
+    assert pii.replace_values(new, back)[0] == text
+    return new, spans
+
+
+@pytest.mark.parametrize("text", ["\uff10\uff100-12-3456", "\uff1900-11-1111", "123-\uff10\uff10-4567", "\uff14111 1111 1111 1111", "\uff11.2.3.4", "2003-05-1\uff17"])
+def test_digits_of_other_scripts_stay(text):
+    assert pii.replace_values(f"a {text} b", pii.Pseudonyms(b"key")) == (f"a {text} b", [])
+
+
+@pytest.mark.parametrize("value", ["TR330006100519786457841326", "MT84MALT011000012345MTLCAST001S", "SA0380000000608010167519", "BR1800360305000010009795493C1"])
+def test_ibans_of_the_whole_registry(value):
+    assert pii.iban_ok(value)
+    new, spans = _there_and_back(f"pay {value}.")
+    assert [s["kind"] for s in spans] == ["iban"] and value not in new
+
+
+@pytest.mark.parametrize("digits", [32, 33, 64, 128, 129, 130, 1001, 200_000])
+@pytest.mark.parametrize("upper", [False, True])
+def test_hex_secrets_of_any_length(digits, upper):
+    value = ("0123456789abcdef5a7" * (digits // 19 + 1))[:digits]
+    value = value.upper() if upper else value
+    new, spans = _there_and_back(f"key={value};")
+    assert [s["kind"] for s in spans] == ["secret"] and value not in new and len(new) == digits + 5
+    assert spans[0]["pseudonym"].isupper() == upper
