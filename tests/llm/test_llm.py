@@ -177,28 +177,56 @@ def test_tiff_media(docs, empty):
         list(tiff.read_tiff(b"GIF89a--"))
 
 
-def test_warc(spark, tmp_path):
-    big = "<p>" + "é" * 700 + "\r\n\r\nWARC/1.1\r\n" + "x" * 400
-    pages = [(1, "http://a/", big), (5, None, big), (3, "http://b/\r\nX: y", big), (2, "u", None), (4, "u", ""), (6, "u", "short"), (7, "u", "short"), (None, "u", big), (8, "u", big + "y"), (8, "u", big + "y"), (9, "u", "")]
-    df = spark.createDataFrame([(*p, "extra") for p in pages], "page_id long, url string, html string, payload string")
+def brute_captures(pages):
+    """Rows of op3 by their contract; a null page_id comes before all others."""
+    raw = [(i, (h or "").encode()) for i, _, h in pages]
+    last = {}
+    for i, x in raw:
+        if len(x) >= 1000 and i is not None:
+            last[x] = max(last.get(x, i), i)
+    rows = []
+    for i, x in raw:
+        visits = len(x) >= 1000 and last.get(x) is not None and last[x] != i
+        rows.append((i, len(x), hashlib.sha1(x).hexdigest(), "revisit" if visits else "response", last[x] if visits else None))
+    return collections.Counter(rows)
+
+
+BIG = "<p>" + "é" * 700 + "\r\n\r\nWARC/1.1\r\n" + "x" * 400
+PAGES = [
+    (1, "http://a/", BIG), (5, None, BIG), (3, "http://b/\r\nX: y", BIG), (2, "u", None), (4, "u", ""), (6, "u", "short"), (7, "u", "short"), (None, "u", BIG), (8, "u", BIG + "y"), (8, "u", BIG + "y"), (9, "u", ""),
+    (5, "u", BIG + "other"), (9, "u", BIG + "z"), (9, "u", BIG + "z"), (9, "v", BIG + "z"), (2, "u", BIG + "z"), (None, "u", None), (None, None, BIG + "n"), (11, "u", BIG * 200), (10, "u", BIG * 200),
+]
+
+
+def test_warc(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(*p, "extra", "x", 1, "y") for p in PAGES], "page_id long, url string, html string, payload string, sha1 string, row int, refers_to string")
     path = str(tmp_path / "warc")
-    got = [tuple(r) for r in warc.archived_pages(df, path).collect()]
-
-    def row(p):
-        raw = (p[2] or "").encode()
-        visits = len(raw) >= 1000 and p[2] == big and p[0] != 5
-        return (p[0], len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if visits else "response", 5 if visits else None)
-
-    assert sorted(map(str, got)) == sorted(str(row(p)) for p in pages)
+    got = warc.archived_pages(df, path)
+    assert got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert collections.Counter(tuple(r) for r in got.collect()) == brute_captures(PAGES)
     records = warc.read_archives(spark, path).collect()
-    assert len(records) == 3 * len(pages)
+    assert len(records) == 3 * len(PAGES) == len({r["record_id"] for r in records})
     assert {r["record_type"] for r in records} == {"request", "response", "revisit", "metadata"}
-    nested = warc.assemble_captures(warc.read_archives(spark, path)).where(F.size("responses") == 1).first()
-    assert len(nested["requests"]) == len(nested["metadata"]) == 1
+    assert {r["refers_to_id"] for r in records if r["record_type"] == "revisit"} <= {r["record_id"] for r in records if r["record_type"] == "response"}
+    nested = warc.assemble_captures(warc.read_archives(spark, path)).collect()
+    assert len(nested) == len(PAGES) and all(len(r["responses"]) == len(r["requests"]) == len(r["metadata"]) == 1 for r in nested)
     assert warc.archived_pages(df.limit(0)).count() == 0
+    texts = [(None if p[0] is None else f" Seite {p[0]}\r\né%", *p[1:]) for p in PAGES]
+    named = warc.archived_pages(spark.createDataFrame(texts, "page_id string, url string, html string"))
+    assert collections.Counter(tuple(r) for r in named.collect()) == brute_captures(texts)
+    small = ((100, 2), (2000, 1), (None, 1))
+    warc.write_pages(df, str(tmp_path / "classes"), classes=small)
+    assert len({r["record_id"] for r in warc.read_archives(spark, str(tmp_path / "classes")).collect()}) == 3 * len(PAGES)
     cut = b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"
     with pytest.raises(ValueError, match="cut off"):
         list(warc.parse_archive(cut))
+    import gzip
+
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\na\r\nb\r\n\r\n"
+    members = b"".join(gzip.compress(record) for _ in range(5000))  # one gzip member a record
+    assert [b for _, b in warc.parse_archive(members)] == [b"a\r\nb"] * 5000
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parse_archive(members[:-9]))
 
 
 def test_jump_hash():
