@@ -24,11 +24,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = tiff.encode_texts(table(spark, sf_dir, "documents"))
     with_digest = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
-    pages = tiff.tiff_pages(with_digest)
-    return pages.select(
-        "doc_id", "n_bytes", F.octet_length("data").cast("long").alias("payload_bytes"), F.sha2("data", 256).alias("payload_sha256"),
-        F.crc32(F.substring("data", F.octet_length("data") - 63, F.lit(64))).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "compression", "predictor",
-    )
+    found = tiff.payload_digests(tiff.tiff_pages(with_digest))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "compression", "predictor", "pages")
 
 
 def op3_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,10 +154,12 @@ def test_language_filters_equal_sets():
 def test_tiff_round_trip(scheme, predictor, tile, order):
     rng = np.random.default_rng(0)
     pages = [rng.integers(0, 9, (37, 64), dtype=np.uint8), rng.integers(0, 60000, (5, 33, 3), dtype=np.uint16), np.zeros((300, 64), np.uint8)]
-    got = list(tiff.read_tiff(tiff.write_tiff(pages, scheme, predictor, 700, tile, order)))
-    assert [p.number for p in got] == [0, 1, 2]
-    for p, want in zip(got, pages):
-        assert np.array_equal(p.data.reshape(want.shape), want)
+    for planar in (False, True):
+        for fill in (1, 2):
+            got = list(tiff.read_tiff(tiff.write_tiff(pages, scheme, predictor, 700, tile, order, planar, fill)))
+            assert [p.number for p in got] == [0, 1, 2]
+            for p, want in zip(got, pages):
+                assert np.array_equal(p.data.reshape(want.shape), want)
 
 
 def test_lzw_and_packbits_long():
@@ -167,14 +169,45 @@ def test_lzw_and_packbits_long():
     assert tiff.packbits_encode(b"") == b""
 
 
-def test_tiff_media(docs, empty):
-    got = tiff.tiff_pages(tiff.encode_texts(docs)).collect()
-    assert len(got) == docs.count()
-    want = collections.Counter((r["doc_id"], tiff.payload(r["text"])) for r in docs.collect())
-    assert collections.Counter((r["doc_id"], bytes(r["data"])) for r in got) == want
-    assert tiff.tiff_pages(tiff.encode_texts(empty)).count() == 0
+def test_tiff_faults():
+    whole = tiff.write_tiff([np.arange(640, dtype=np.uint8).reshape(10, 64)] * 2, tiff.LZW)
+    for i in range(len(whole)):
+        with pytest.raises(ValueError):
+            list(tiff.read_tiff(whole[:i]))
+    damaged = bytearray(tiff.write_tiff([np.zeros((9, 64), np.uint8)], tiff.DEFLATE))
+    damaged[9] ^= 255
+    with pytest.raises(ValueError, match="damaged|cut off"):
+        list(tiff.read_tiff(bytes(damaged)))
+    with pytest.raises(ValueError, match="predictor 3"):
+        list(tiff.read_tiff(tiff.write_tiff([np.zeros((9, 64), np.uint8)], tiff.DEFLATE, 3)))
     with pytest.raises(ValueError, match="not a TIFF"):
         list(tiff.read_tiff(b"GIF89a--"))
+    bomb = tiff.write_tiff([np.zeros((4096, 4096), np.uint8)], tiff.DEFLATE, strip_bytes=1 << 30)
+    assert len(tiff.expand(bomb[8 : 8 + 20_000], tiff.DEFLATE, 100)) == 100
+
+
+def test_tiff_media(spark, docs, empty):
+    media = tiff.encode_texts(docs)
+    got = tiff.tiff_pages(media).collect()
+    want = collections.Counter((r["doc_id"], tiff.payload(r["text"])) for r in docs.collect())
+    assert collections.Counter((r["doc_id"], bytes(r["data"])) for r in got if r["height"] < tiff.PAGE_ROWS and not r["page"]) == collections.Counter({k: n for k, n in want.items() if len(k[1]) < tiff.ROW * tiff.PAGE_ROWS})
+    assert len(got) == sum(-(-len(x) // (tiff.ROW * tiff.PAGE_ROWS)) * n for (_, x), n in want.items()) > docs.count()
+    folded = tiff.payload_digests(tiff.tiff_pages(media)).collect()
+    assert collections.Counter((r["doc_id"], r["payload_sha256"], r["payload_bytes"], r["tail_crc32"]) for r in folded) == collections.Counter({(i, hashlib.sha256(x).hexdigest(), len(x), zlib.crc32(x[-64:])): n for (i, x), n in want.items()})
+    assert tiff.payload_digests(tiff.tiff_pages(tiff.encode_texts(empty))).count() == 0
+    clash = spark.createDataFrame([(7, bytearray(tiff.write_tiff([np.ones((2, 64), np.uint8)] * 2)), "x"), (8, bytearray(b"II*"), "y"), (9, None, "z")], "page int, media binary, feature string")
+    assert [(r["page"], r["height"], r["fault"]) for r in tiff.tiff_pages(clash, strict=False).collect()] == [(0, 2, None), (1, 2, None), (None, None, "not a TIFF")]
+    assert tiff.tiff_pages(clash.where("page = 7")).count() == 2
+
+
+def test_tiff_layouts_have_their_share():
+    """Codec, predictor, layout and byte order do not depend on a payload's size."""
+    for size in (64, 640, 64_000):
+        told = [tuple(tiff.layout_for(bytes([i % 256]) * size + bytes([i // 256]) * 64).values()) for i in range(3000)]
+        assert len(set(told)) == 24
+        for k in range(4):
+            shares = collections.Counter(t[k] for t in told)
+            assert min(shares.values()) > 3000 / len(shares) * 0.85
 
 
 def brute_captures(pages):
