@@ -8,6 +8,7 @@ mask the language is, less what the filter's measured false positive rate explai
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +22,8 @@ from .common import batches_of, crc_of_id, materialize
 GRAM = 4
 #: Bytes of text handled at once.
 CHUNK = 1 << 20
+#: Characters of a long text that are hashed at once.
+PIECE = 1 << 20
 UND = "und"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.uint32(32)
@@ -59,12 +62,46 @@ def gram_hashes(texts: list[str | None], n: int = GRAM) -> tuple[np.ndarray, np.
     c, owner = np.where(letter, chars, _SPACE)[keep].astype(np.uint64), owner[keep]
     if len(c) < n:
         return np.empty(0, np.uint64), np.empty(0, np.int32), lettered
+    inside = owner[n - 1 :] == owner[: len(owner) - n + 1]
+    return _hash(c, n)[inside], owner[: len(owner) - n + 1][inside], lettered
+
+
+def _hash(c: np.ndarray, n: int) -> np.ndarray:
+    if len(c) < n:
+        return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
         h = c[: len(c) - n + 1].copy()
         for i in range(1, n):
             h = h * _ODD + c[i : len(c) - n + 1 + i]
-        inside = owner[n - 1 :] == owner[: len(owner) - n + 1]
-        return _mixed(h[inside]), owner[: len(owner) - n + 1][inside], lettered
+        return _mixed(h)
+
+
+def hashes_by_piece(texts: list[str | None], n: int = GRAM, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``gram_hashes``, in several parts: texts of more than ``piece`` characters come by themselves, cut at blanks."""
+    long = {i for i, t in enumerate(texts) if t and len(t) > piece}
+    yield gram_hashes([None if i in long else t for i, t in enumerate(texts)], n)
+    for i in sorted(long):
+        yield from _pieces_of(texts, i, n, piece)
+
+
+def _pieces_of(texts: list[str | None], i: int, n: int, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The n-grams of one long text, piece by piece: the last n - 1 letters and spaces of a piece begin the next one."""
+    text, carried = texts[i], np.array([32], np.uint64)
+    letter_of = _is_letter()
+    some, end = False, 0
+    while end < len(text):
+        at, end = end, text.find(" ", end + piece, end + 2 * piece)
+        end = min(len(text), at + piece) if end < 0 else end
+        chars = np.frombuffer(text[at:end].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = letter_of[chars]
+        some = some or bool(letter.any())
+        c = np.concatenate([carried, np.where(letter, chars, _SPACE).astype(np.uint64)])
+        if end == len(text):
+            c = np.append(c, np.uint64(32))
+        c = c[np.r_[True, (c[1:] != 32) | (c[:-1] != 32)]]
+        h = _hash(c, n)
+        carried = c[-(n - 1) :]
+        yield h, np.full(len(h), i, np.int32), np.array([j == i and some for j in range(len(texts))])
 
 
 @dataclass(frozen=True)
@@ -91,14 +128,16 @@ class LanguageModel:
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Corrected counts (text, language), numbers of n-grams, and whether a text has letters."""
-        h, owner, lettered = gram_hashes(texts, self.gram)
-        total = np.bincount(owner, minlength=len(texts)).astype(float)
+        total, lettered = np.zeros(len(texts)), np.zeros(len(texts), bool)
         hits = np.zeros((len(texts), len(self.languages)))
-        if len(h):
-            for p, mask in enumerate(self.masks(h)):
-                for j in range(min(64, len(self.languages) - 64 * p)):
-                    has = (mask >> mask.dtype.type(j)) & mask.dtype.type(1)
-                    hits[:, 64 * p + j] = np.bincount(owner, has, len(texts))
+        for h, owner, own_lettered in hashes_by_piece(texts, self.gram):
+            total += np.bincount(owner, minlength=len(texts))
+            lettered |= own_lettered
+            if len(h):
+                for p, mask in enumerate(self.masks(h)):
+                    for j in range(min(64, len(self.languages) - 64 * p)):
+                        has = (mask >> mask.dtype.type(j)) & mask.dtype.type(1)
+                        hits[:, 64 * p + j] += np.bincount(owner, has, len(texts))
         f = self.false_positive
         return np.maximum(0, (hits - total[:, None] * f) / (1 - f)), total, lettered
 
@@ -185,7 +224,8 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """All rows of ``docs(doc_id, text, ...)`` with lang_pred, score and coverage; other columns stay.
 
     A null text, an empty one and one without letters are ``und`` with score 0. Texts of any length count
-    whole. Names of the new columns must not be among ``docs``' columns; the caller drops them before.
+    whole, a long one piece by piece; repeated rows get equal results, an empty table gives an empty result.
+    Columns of ``docs`` that are called lang_pred, score or coverage are replaced; ``known`` keeps them.
     """
     schema = docs.drop("lang_pred", "score", "coverage").schema
     at = schema.fieldNames().index("text")
@@ -200,5 +240,18 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.drop("lang_pred", "score", "coverage").mapInArrow(run, full)
 
 
+def known(docs: DataFrame, model: LanguageModel, least_coverage: float) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language that covers ``least_coverage`` of its n-grams; all columns stay as they are, whatever their names."""
+    at = docs.schema.fieldNames().index("text")
+
+    def run(batches):
+        for batch in batches:
+            for part in batches_of(batch, "text", CHUNK):
+                langs, _, cover = model.predict(part.column(at).to_pylist())
+                yield part.filter(pa.array([x != UND and c >= least_coverage for x, c in zip(langs, cover)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: str = "doc_id", folds: int = 5):
     return crc_of_id(column) % folds == 0

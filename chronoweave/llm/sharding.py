@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
 SHARDS = 8
-#: Rows of one shard that one bucket holds, about.
-BUCKET_ROWS = 2_000
 #: Fixed value of the published algorithm: the multiplier of its linear congruential generator.
 JUMP_MULTIPLIER = 2862933555777941757
 
@@ -53,26 +53,35 @@ def stable_key(column: str):
     return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
-def shard_rows(docs: DataFrame, shards: int = SHARDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def with_shard(docs: DataFrame, shards: int = SHARDS, name: str = "shard") -> DataFrame:
+    """``docs`` with their shard as a last column, called ``name``, or ``name`` with underscores after it where ``docs`` have such a column. No shuffle."""
+    return docs.withColumn(free_name(docs.columns, name), shard_of(stable_key("doc_id"), shards))
+
+
+def shard_rows(docs: DataFrame, shards: int = SHARDS, buckets: int | None = None) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: size, text_crc32, shard, slot, grown_shard.
 
     The doc_id and the number of shards decide on a row's shard; ``grown_shard`` is that of one more
     shard. Slots number each shard's rows from 0, gapless, ordered by a hash of the row's small columns,
     then doc_id. Rows that repeat a doc_id share its shard and get slots of their own; a null doc_id is a
-    key like others; a null text has size 1 and the crc32 of no bytes. Further columns are ignored, an
-    empty table gives an empty result.
+    key like others; a null text has size 1 and the crc32 of no bytes; texts of any length count whole. Further
+    columns are ignored, an empty table gives an empty result.
 
-    Slots need no sort of a whole shard: rows are dealt over buckets of a shard, a bucket's first slot is
-    the count of the buckets before it.
+    Slots need no sort of a whole shard: rows are dealt over ``buckets`` of a shard (by default about as many as
+    each then holds rows), and a bucket's first slot is the count of the buckets before it. Rows that are equal
+    are one row with a count until they have their slots, so no key is hot.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), stable_key("doc_id").alias("key"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32", "key").agg(F.count(F.lit(1)).alias("copies"))
     rows = rows.select("*", shard_of(F.col("key"), shards).alias("shard"), shard_of(F.col("key"), shards + 1).alias("grown_shard"))
     rows = materialize(rows, "shards")
-    buckets = max(1, -(-rows.count() // (bucket_rows * shards)))
+    buckets = buckets or 1 + math.isqrt(rows.count() // shards)
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "size", "text_crc32", F.lit(7)), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = dealt.groupBy("shard", "bucket").agg(F.sum("copies").alias("n"))
     starts = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("first_slot"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("key", "doc_id", "size", "text_crc32")
-    placed = dealt.withColumn("i", F.row_number().over(inside) - 1).join(starts, ["shard", "bucket"])
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("i")).cast("long").alias("slot"), "grown_shard")
+    inside = Window.partitionBy("shard", "bucket").orderBy("key", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = dealt.withColumn("i", F.sum("copies").over(inside) - F.col("copies")).join(starts, ["shard", "bucket"])
+    first = F.col("first_slot") + F.col("i")
+    return placed.select("doc_id", "size", "text_crc32", "shard", F.explode(F.sequence(first, first + F.col("copies") - 1)).alias("slot"), "grown_shard")
+

@@ -134,6 +134,57 @@ def test_language_id(spark, docs, empty, real):
     assert langid.predict(docs.where("text = 'one'"), one).first()["lang_pred"] == "en"
 
 
+def test_long_texts_are_hashed_piece_by_piece():
+    texts = ["Été, ça va?  " * 50 + "!!", None, "x" * 500, " . " * 90, "short one", "a b " * 100 + "\n"]
+    whole, owner, lettered = langid.gram_hashes(texts)
+    for piece in (7, 40, 100_000):
+        parts = list(langid.hashes_by_piece(texts, langid.GRAM, piece))
+        assert collections.Counter((int(i), int(h)) for hs, os, _ in parts for h, i in zip(hs, os)) == collections.Counter(zip(owner.tolist(), whole.tolist()))
+        assert np.logical_or.reduce([p[2] for p in parts]).tolist() == lettered.tolist() == [True, False, True, False, True, True]
+
+
+def test_known_languages_keep_all_columns(spark, real):
+    model = langid.fit(real)
+    docs = spark.createDataFrame([(1, None, 1.0, "x"), (2, "12 -", 2.0, "y"), (3, real.where("lang = 'en' and length(text) > 500").first()["text"], 3.0, "z"), (None, "qzx " * 30, None, None)], "doc_id long, text string, score double, lang_pred string")
+    kept = langid.known(docs, model, 0.2)
+    assert kept.schema == docs.schema and [(r["doc_id"], r["score"], r["lang_pred"]) for r in kept.collect()] == [(3, 3.0, "z")]
+    assert langid.known(docs.limit(0), model, 0.2).count() == 0
+
+
+def brute_language(model_of, texts):
+    """Counts by exact sets: the share of a text's n-grams that each language claims."""
+    out = []
+    for t in texts:
+        h, _, lettered = langid.gram_hashes([t])
+        counts = {x: sum(int(g) in own for g in h) for x, own in model_of.items()}
+        best = max(counts, key=counts.get)
+        out.append(best if lettered[0] else langid.UND)
+    return out
+
+
+def test_language_id_equals_exact_sets(real):
+    """The filters' corrected counts choose the language that exact sets of the same n-grams choose, but for close calls."""
+    import pandas as pd
+
+    rows = real.select("doc_id", "text", "lang").where("text is not null and lang is not null").toPandas()
+    grams, owners = {}, {}
+    for lang, part in rows.groupby("lang"):
+        h, _, _ = langid.gram_hashes(part["text"].tolist())
+        g, n = np.unique(h, return_counts=True)
+        grams[lang] = pd.Series(n / n.sum(), index=g)
+    share = pd.DataFrame(grams).fillna(0)
+    share = share[(share >= 1e-5).any(axis=1)]
+    owners = {x: ((share[x] >= 1e-5) & (share[x] >= 0.25 * share.max(axis=1))).to_numpy() for x in share}
+    names = list(owners)
+    model = langid.build_model(names, share.index.to_numpy().astype(np.uint64), [owners[x] for x in names])
+    sets = {x: set(map(int, share.index[owners[x]])) for x in names}
+    texts = [*rows["text"].tolist()[:120], None, "", "7 - 8", "x"]
+    langs, score, _ = model.predict(texts)
+    want = brute_language(sets, texts)
+    assert all(a == b or s < 0.55 for a, b, s in zip(langs, want, score))
+    assert sum(a == b for a, b in zip(langs, want)) >= len(texts) - 2
+
+
 def test_language_filters_equal_sets():
     """The corrected counts are close to those of exact sets, with more languages than a plane has bits."""
     rng = np.random.default_rng(1)
@@ -279,7 +330,7 @@ def test_jump_hash():
 
 
 def test_shards(docs, empty):
-    got = sharding.shard_rows(docs, bucket_rows=1).collect()
+    got = sharding.shard_rows(docs, buckets=3).collect()
     assert len(got) == docs.count()
     slots = collections.defaultdict(list)
     for r in got:
@@ -436,15 +487,37 @@ def compare(sql, found, **tables):
 
 def test_mixing(docs, empty, real):
     for df in (docs.where("doc_id is not null").dropDuplicates(["doc_id"]), real):
-        compare(mixing.OP9_SQL, mixing.mix_to_targets(df, bucket_rows=1), documents=df.select("doc_id", "text", "source"))
-    again = [sorted(map(str, mixing.mix_to_targets(docs, bucket_rows=2).collect())) for _ in range(2)]
+        compare(mixing.OP9_SQL, mixing.mix_to_targets(df, buckets=37), documents=df.select("doc_id", "text", "source"))
+    again = [sorted(map(str, mixing.mix_to_targets(docs, buckets=4).collect())) for _ in range(2)]
     assert again[0] == again[1] and len(again[0]) == docs.count()
     mixed = mixing.mix_to_targets(docs)
     assert mixed.where("taken > 2 * size or taken < 0").count() == 0
     for r in mixed.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect():
         assert r["t"] == int(r["g"])
     assert mixing.mix_to_targets(empty).count() == 0
-    assert mixing.mixed_documents(docs).columns == docs.columns
+    assert mixing.mixed_documents(empty).count() == 0
+
+
+def test_mixed_documents_are_rows(spark, docs):
+    """Each row, told from others by all its columns, is copied as the mix takes it; clashing names stay."""
+    names = "doc_id long, text string, source string, mix_row int, mix_copies int, copies int, size int, rows int, `a.b` int, props map<string, int>"
+    rows = [(1, "a b c", "s", 1, 2, 3, 4, 5, 6, {"k": 1}), (1, "a b c", "t", 1, 2, 3, 4, 5, 6, {}), (1, "d e f g", "s", 7, 2, 3, 4, 5, 6, None), (None, "n n", "s", 7, 2, 3, 4, 5, 6, None), (None, "m m", "s", 7, 2, 3, 4, 5, 6, None), (2, None, "s", None, None, None, None, None, None, None), (3, "x", None, None, None, None, None, None, None, None)]
+    rows += [(4, "same row here", "t", 0, 0, 0, 0, 0, 0, {"k": 2})] * 7
+    df = spark.createDataFrame(rows, names).repartition(3)
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns and mixing.mixed_documents(df.limit(0)).count() == 0
+    key = lambda r: str(tuple(r))
+    got = collections.Counter(map(key, mixed.collect()))
+    taken = mixing.mix_to_targets(df).collect()
+    want = collections.Counter()
+    for r in taken:
+        want[r["doc_id"], r["source"], r["size"]] += -(-r["taken"] // r["size"]) if r["size"] else 0
+    told = collections.Counter()
+    for r in mixed.collect():
+        told[r["doc_id"], r["source"], len(r["text"].split())] += 1
+    assert told == +want
+    assert set(got) <= {key(r) for r in df.collect()}
+    assert got[key(df.where("doc_id = 4").first())] == want[4, "t", 3]
 
 
 def test_warc_sql(spark):
