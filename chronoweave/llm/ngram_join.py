@@ -7,9 +7,11 @@
 3. Two such sets also share one of the first ``n - ceil(t n) + 1`` of each, in any global order. The
    tokens' document frequencies are counted, and the filter is applied again with rare
    tokens first; widely shared passages then come last and bring no candidates.
-4. Classes that share such a token meet in a group, in blocks if it is large. A block's sets, globally
-   ordered, form a prefix tree; all probes descend it at once, a node's overlap serves all sets below
-   it, and probes leave where the remaining lengths can no longer reach the threshold.
+4. Classes that share such a token meet in a group. A large group is compared with a few leaders first: what is
+   linked to a leader is one cluster, and needs no comparing among itself. Jaccard distance is a metric, so
+   only sets near a leader can be linked to a set of its cluster; the rest goes on with other leaders, then in
+   blocks. A block's sets, globally ordered, form a prefix tree; all probes descend it at once, a node's overlap
+   serves all sets below it, and probes leave where the remaining lengths can no longer reach the threshold.
 5. Links join classes to components.
 """
 
@@ -23,19 +25,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, materialize
+from .common import batches_of, drop_stored, free_name, materialize, row_hash
 from .components import connected_components
 
 WORDS = 4
 #: The threshold, in hundredths.
 PERCENT = 85
 CHUNK = 1 << 20
-#: Words of a text that are hashed at once.
-PIECE_WORDS = 1 << 17
-#: Prefix tokens that a bucket holds, about; sets and tokens that a block of a group holds at most.
-BUCKET_TOKENS = 3_000_000
-BLOCK_SETS = 256
+#: Bytes of a text that are hashed at once.
+PIECE_BYTES = 1 << 20
+#: Prefix tokens that a bucket holds, about, and how many buckets there are at most.
+BUCKET_TOKENS = 1 << 19
+MOST_BUCKETS = 1 << 16
+#: Sets of a group that are compared with its leaders in one place, and tokens; more make a group large.
+BLOCK_SETS = 64
 BLOCK_TOKENS = 1_000_000
+#: Sets of either side of a block that are compared with each other.
+GRID_SETS = 128
+#: Leaders of a large group, and how often what they leave is given new ones.
+LEADERS = 4
+ROUNDS = 3
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 _powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, _U), np.empty(0, _U))
@@ -61,21 +70,29 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's k-word shingles; with 1 to k-1 words, of the whole sequence.
-
-    Words are what ASCII white space parts, with A-Z lower-cased.
-    """
-    pieces, of = [], []
-    for i, t in enumerate(texts):
-        words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-        if words:
-            for at in range(0, max(1, len(words) - k + 1), PIECE_WORDS):
-                pieces.append(b" ".join(words[at : at + PIECE_WORDS + k - 1]))
-                of.append(i)
-    out = [np.empty(0, _U)] * len(texts)
-    if not pieces:
-        return out
+def _pieces(raw, k: int, size: int) -> Iterator[bytes]:
+    """A text's words, lower-cased and joined by spaces, in pieces of about ``size`` bytes that begin with the k - 1 words before them."""
+    view = memoryview(raw).cast("B")
+    words: list[bytes] = []
+    rest, fresh = b"", False
+    for at in range(0, len(view), size):
+        chunk = rest + bytes(view[at : at + size]).lower()
+        own = chunk.split()
+        rest = own.pop() if own and at + size < len(view) and chunk[-1:] not in b" \t\n\r\x0b\x0c" else b""
+        words += own
+        fresh = fresh or bool(own)
+        if len(words) >= k and fresh:
+            yield b" ".join(words)
+            words, fresh = words[len(words) - k + 1 :], False
+    if rest:
+        words.append(rest)
+        fresh = True
+    if fresh:
+        yield b" ".join(words)
+
+
+def _piece_hashes(pieces: list[bytes], k: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each piece's k-word shingles; of fewer words, of the whole."""
     a = np.frombuffer(b"\n" + b"\n".join(pieces) + b"\n", np.uint8)
     lines = np.flatnonzero(a == 10)
     cuts = np.flatnonzero((a == 10) | (a == 32))
@@ -94,10 +111,38 @@ def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[np.ndarray]:
     begin, stop = starts[full], ends[last[full]]
     h = _mixed((sums[stop] - sums[begin]) * inverse[begin])
     bounds = np.searchsorted(owner[full], np.arange(len(pieces) + 1))
-    for p, i in enumerate(of):
-        own = np.unique(h[bounds[p] : bounds[p + 1]])
-        out[i] = own if not len(out[i]) else np.union1d(out[i], own)
-    return out
+    return [np.unique(h[x:y]) for x, y in zip(bounds[:-1], bounds[1:])]
+
+
+def shingle_sets(texts: list, k: int = WORDS, size: int | None = None) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's k-word shingles; with 1 to k-1 words, of the whole sequence.
+
+    Texts are strings, UTF-8 buffers or None. Words are what ASCII white space parts, with A-Z lower-cased. A
+    long text is split and hashed piece by piece, so that beside it only its hashes are held.
+    """
+    size = size or PIECE_BYTES
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    pieces, of, n = [], [], 0
+
+    def flush() -> None:
+        for i, own in zip(of, _piece_hashes(pieces, k)):
+            out[i].append(own)
+
+    for i, t in enumerate(texts):
+        for piece in _pieces(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t, k, size) if t is not None else ():
+            pieces.append(piece)
+            of.append(i)
+            n += len(piece)
+            if n > size:
+                flush()
+                pieces, of, n = [], [], 0
+    if pieces:
+        flush()
+    return [np.empty(0, _U) if not x else x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in out]
+
+
+def _raw(column: pa.Array) -> list:
+    return [x.as_buffer() if x.is_valid else None for x in column]
 
 
 def prefix_length(n, percent: int = PERCENT):
@@ -122,16 +167,16 @@ def _table(columns: list, names: list[str]) -> pa.RecordBatch:
 
 
 def sketches(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """``(doc_id, n, fp, key)`` of each row of ``docs(doc_id, text)``; fp and key are null for an empty set."""
+    """``(doc_id, text_hash, n, fp, key)`` of each row of ``docs(doc_id, text)``; fp and key are null for an empty set."""
 
     def run(batches):
         for batch in batches:
             for part in batches_of(batch, "text", CHUNK):
-                sets = shingle_sets(part.column(1).to_pylist(), k)
+                sets = shingle_sets(_raw(part.column(2)), k)
                 fps = [fingerprint(s) for s in sets]
-                yield _table([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array([f and key_of(f) for f in fps], pa.int64())], ["doc_id", "n", "fp", "key"])
+                yield _table([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array([f and key_of(f) for f in fps], pa.int64())], ["doc_id", "text_hash", "n", "fp", "key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp binary, key long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n long, fp binary, key long")
 
 
 def _by_bucket(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,23 +187,40 @@ def _by_bucket(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _suspects(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFrame:
-    """``(key, shared)``: how many of a class's first tokens by hash another class has among its own. Classes without any are left out."""
+    """``(key, shared)``: how many of a class's first tokens by hash another class has among its own. Classes without any are left out.
+
+    A token that several classes of one task hold is counted for them at once, and goes on without them, to be
+    counted for those of other tasks. So of a token that very many hold, a bucket gets one entry a task. A class
+    may be counted once more than it should for a token that it shares anyway; that lets more through, never less.
+    """
 
     def emit(tokens: list[np.ndarray], keys: list[int]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(tokens)
         own = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(t) for t in tokens])
         names = np.array(keys, np.int64)
+        held = np.argsort(flat, kind="stable")
+        t = flat[held]
+        first = np.r_[True, t[1:] != t[:-1]]
+        group = np.cumsum(first) - 1
+        many = np.bincount(group) > 1
+        here = np.bincount(own[held][many[group]], minlength=len(keys))
+        told = np.flatnonzero(here)
+        if len(told):
+            yield _table([pa.array([int(names[told[0]] % buckets)], pa.int32()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([names[told].tobytes()], pa.binary()), pa.array([here[told].astype(np.int64).tobytes()], pa.binary())], ["bucket", "tokens", "idx", "keys", "counts"])
+        stays = held[first]  # of each token one class, which stands for itself or, marked, for several
+        flat, own, mark = flat[stays], own[stays], many
         order, at = _by_bucket(flat, buckets)
         for b in np.flatnonzero(np.diff(at)):
             part = order[at[b] : at[b + 1]]
             used, index = np.unique(own[part], return_inverse=True)
-            yield _table([pa.array([int(b)], pa.int32()), pa.array([flat[part].tobytes()], pa.binary()), pa.array([index.astype(np.uint16 if len(used) <= 65536 else np.uint32).tobytes()], pa.binary()), pa.array([names[used].tobytes()], pa.binary())], ["bucket", "tokens", "idx", "keys"])
+            index = np.where(mark[part], len(used), index)
+            yield _table([pa.array([int(b)], pa.int32()), pa.array([flat[part].tobytes()], pa.binary()), pa.array([index.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes()], pa.binary()), pa.array([names[used].tobytes()], pa.binary()), pa.array([None], pa.binary())], ["bucket", "tokens", "idx", "keys", "counts"])
 
     def run(batches):
         seen, tokens, keys, n = set(), [], [], 0
         for batch in batches:
             for part in batches_of(batch, "text", CHUNK):
-                for s in shingle_sets(part.column(0).to_pylist(), k):
+                for s in shingle_sets(_raw(part.column(0)), k):
                     if not len(s) or (key := key_of(fingerprint(s))) in seen:
                         continue
                     seen.add(key)  # copies beside each other are emitted once; others fall together in their bucket
@@ -172,22 +234,31 @@ def _suspects(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFrame:
             yield from emit(tokens, keys)
 
     def shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, keys = [], []
+        tokens, keys, several = [np.empty(0, _U)], [np.empty(0, np.int64)], [np.empty(0, _U)]
         for batch in rows:
-            for t, i, names in zip(*(batch.column(c) for c in ("tokens", "idx", "keys"))):
-                tokens.append(np.frombuffer(t.as_buffer(), _U))
-                raw = i.as_buffer()
-                keys.append(np.frombuffer(names.as_buffer(), np.int64)[np.frombuffer(raw, np.uint16 if raw.size == 2 * len(tokens[-1]) else np.uint32)])
+            for t, i, names, counts in zip(*(batch.column(c) for c in ("tokens", "idx", "keys", "counts"))):
+                names = np.frombuffer(names.as_buffer(), np.int64)
+                if counts.is_valid:
+                    yield _table([names, np.frombuffer(counts.as_buffer(), np.int64)], ["key", "shared"])
+                    continue
+                t, raw = np.frombuffer(t.as_buffer(), _U), i.as_buffer()
+                i = np.frombuffer(raw, np.uint16 if raw.size == 2 * len(t) else np.uint32)
+                one = i < len(names)
+                several.append(t[~one])
+                tokens.append(t[one])
+                keys.append(names[i[one]])
         t, v = np.concatenate(tokens), np.concatenate(keys)
         order = np.lexsort((v, t))
         t, v = t[order], v[order]
+        if not len(t):
+            return
         once = np.r_[True, (t[1:] != t[:-1]) | (v[1:] != v[:-1])]
         t, v = t[once], v[once]
         same = t[1:] == t[:-1]
-        names, n = np.unique(v[np.r_[False, same] | np.r_[same, False]], return_counts=True)
+        names, n = np.unique(v[np.r_[False, same] | np.r_[same, False] | np.isin(t, np.concatenate(several))], return_counts=True)
         yield _table([names, pa.array(n, pa.int64())], ["key", "shared"])
 
-    blobs = docs.select("text").mapInArrow(run, "bucket int, tokens binary, idx binary, keys binary")
+    blobs = docs.select("text").mapInArrow(run, "bucket int, tokens binary, idx binary, keys binary, counts binary")
     return _grouped(blobs, ["bucket"], shared, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
 
 
@@ -233,7 +304,7 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
         for batch in batches:
             for part in batches_of(batch, "text", CHUNK):
-                for key, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), k)):
+                for key, s in zip(part.column(0).to_pylist(), shingle_sets(_raw(part.column(1)), k)):
                     if len(s) and key_of(fingerprint(s)) == key:
                         rows.append((key, len(s), s.tobytes()))
                         n += len(s)
@@ -387,77 +458,190 @@ class Union:
             self.up[max(a, b)] = min(a, b)
 
 
+def _with_tokens(rows: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:
+    return rows.join(sets.select("key", "tokens"), "key").select(*by, "role", "key", "tokens")
+
+
+def _sides(rows: Iterator[pa.RecordBatch]) -> tuple[list[list[int]], list[list[np.ndarray]]]:
+    """Keys and tokens of a group's rows, by their role 0 or 1."""
+    keys, tokens = [[], []], [[], []]
+    for batch in rows:
+        for role, key, t in zip(batch.column("role").to_pylist(), batch.column("key").to_pylist(), batch.column("tokens")):
+            keys[role].append(key)
+            tokens[role].append(np.frombuffer(t.as_buffer(), _U))
+    return keys, tokens
+
+
+def _edges(left: list[int], right: list[int], pairs: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """As many edges as join what ``pairs`` of places join."""
+    place = {key: i for i, key in enumerate(dict.fromkeys([*left, *right]))}
+    names, found = list(place), Union(len(place))
+    for a, b in pairs:
+        found.join(place[left[a]], place[right[b]])
+    edges = [(names[x], names[r]) for x in range(len(names)) if (r := found.root(x)) != x]
+    if edges:
+        yield _table([pa.array(c, pa.int64()) for c in zip(*edges)], ["a", "b"])
+
+
+def _judged(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(pivot, leader, key, linked)`` for the leaders of large groups ``(pivot, key, blocks)`` and the members that are linked to one or near enough for a link to its cluster.
+
+    If x is linked to y and y to a leader, the similarity of x and the leader is at least ``2 percent - 100``, by the triangle
+    inequality of Jaccard distances.
+    """
+    chosen = large.groupBy("pivot", "blocks").agg(*[F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
+    leaders = chosen.select("pivot", "blocks", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("key"))
+    leaders = leaders.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("role"), "key")
+    dealt = large.select("pivot", F.pmod(F.xxhash64("key", F.lit(9)), F.col("blocks")).cast("int").alias("i"), F.lit(1).alias("role"), "key")
+    near = 2 * percent - 100
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(rows)
+        pivot = rows[0].column("pivot")[0].as_py()
+        (heads, members), (head_tokens, tokens) = _sides(iter(rows))
+        out: list[tuple] = []
+        for head, h in zip(heads, head_tokens):
+            for key, t in zip(members, tokens):
+                both = len(np.intersect1d(h, t, assume_unique=True))
+                if 100 * both >= near * (len(h) + len(t) - both):
+                    out.append((pivot, head, key, 100 * both >= percent * (len(h) + len(t) - both)))
+        if out:
+            yield _table([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["pivot", "leader", "key", "linked"])
+
+    return _grouped(_with_tokens(leaders.unionByName(dealt), sets, ["pivot", "i"]), ["pivot", "i"], run, "pivot long, leader long, key long, linked boolean")
+
+
+def _visits(judged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: links between a cluster's members and the sets that are near its leader, but not linked to it."""
+    sizes = judged.groupBy("pivot", "leader").agg(F.ceil(F.count_if("linked") / GRID_SETS).cast("int").alias("c"), F.ceil(F.count_if(~F.col("linked")) / GRID_SETS).cast("int").alias("v")).where("v > 0")
+    rows = judged.join(sizes, ["pivot", "leader"]).withColumn("mine", F.pmod(F.xxhash64("key", F.lit(5)), F.when(F.col("linked"), F.col("c")).otherwise(F.col("v"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("linked"), F.col("v")).otherwise(F.col("c")) - 1)))
+    rows = rows.select("pivot", "leader", F.when(F.col("linked"), F.col("other")).otherwise(F.col("mine")).alias("i"), F.when(F.col("linked"), F.col("mine")).otherwise(F.col("other")).alias("j"), F.col("linked").cast("int").alias("role"), "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (left, right), (probes, theirs) = _sides(batches)
+        yield from _edges(left, right, trie_links(probes, theirs, percent))
+
+    by = ["pivot", "leader", "i", "j"]
+    return _grouped(_with_tokens(rows, sets, by), by, run, "a long, b long")
+
+
 def _links(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(a, b)``: edges that join the same classes as all links do, from groups of candidates ``(token, key)``."""
     ends = candidates.groupBy("token").agg(F.min("key").alias("pivot"), F.max("key").alias("most")).where("pivot <> most").select("token", "pivot")
     members = candidates.join(ends, "token").select("pivot", "key").distinct()
     members = materialize(members.join(sets.select("key", "n"), "key"), "candidates")
-    sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
-    blocks = sizes.select("pivot", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("t") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    edges, open_ = [], members
+    for _ in range(ROUNDS):
+        sizes = open_.groupBy("pivot").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+        large = sizes.where("blocks > 1")
+        if not large.limit(1).count():
+            break
+        judged = materialize(_judged(open_.join(large, "pivot"), sets, percent), "judged")
+        edges += [judged.where("linked and leader <> key").select(F.col("leader").alias("a"), F.col("key").alias("b")), materialize(_visits(judged, sets, percent), "visits")]
+        open_ = materialize(open_.join(judged.where("linked").select("pivot", "key").distinct(), ["pivot", "key"], "left_anti"), "candidates")
+    sizes = open_.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t")).where("m > 1")
+    blocks = sizes.select("pivot", F.greatest(F.ceil(F.col("m") / GRID_SETS), F.ceil(F.col("t") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    dealt = members.select("pivot", "key").join(blocks, "pivot").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "pivot", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
+    dealt = open_.select("pivot", "key").join(blocks, "pivot").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("mine", "other"), F.greatest("mine", "other")
+    dealt = dealt.select("pivot", i.alias("i"), j.alias("j"), (F.col("mine") == j).cast("int").alias("role"), "key")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, mine, tokens, i, j = [], [], [], 0, 0
-        for batch in rows:
-            keys += batch.column("key").to_pylist()
-            mine += batch.column("mine").to_pylist()
-            tokens += [np.frombuffer(x.as_buffer(), _U) for x in batch.column("tokens")]
-            i, j = batch.column("i")[0].as_py(), batch.column("j")[0].as_py()
-        left = [x for x in range(len(keys)) if mine[x] == i]
-        right = left if i == j else [x for x in range(len(keys)) if mine[x] == j]
-        found = Union(len(keys))
-        for a, b in trie_links([tokens[x] for x in left], [tokens[x] for x in right], percent):
-            found.join(left[a], right[b])
-        edges = [(keys[x], keys[r]) for x in range(len(keys)) if (r := found.root(x)) != x]
-        if edges:
-            yield _table([pa.array(c, pa.int64()) for c in zip(*edges)], ["a", "b"])
-
-    with_sets = dealt.join(sets.select("key", "tokens"), "key")
-    return _grouped(with_sets, ["pivot", "i", "j"], run, "a long, b long")
-
+        rows = list(rows)
+        (left, right), (probes, theirs) = _sides(iter(rows))
+        if rows[0].column("i")[0].as_py() == rows[0].column("j")[0].as_py():
+            left, probes = right, theirs
+        yield from _edges(left, right, trie_links(probes, theirs, percent))
+
+    by = ["pivot", "i", "j"]
+    out = _grouped(_with_tokens(dealt, sets, by), by, run, "a long, b long")
+    for part in edges:
+        out = out.unionByName(part)
+    return out
 
-def similarity_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id.
 
-    ``component_id`` is the least doc_id that links reach; two documents link if 100 * intersection >=
-    percent * union of their shingle sets. Rows without words are linked with nothing: their component is
-    themselves. Rows that repeat a doc_id are one document of several texts. A null doc_id takes no part:
-    its component_id is null. Texts count whole, whatever their length; an empty table gives an empty
-    result; further columns are ignored.
-    """
+def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' sketches, the classes of equal sets ``(fp, key, rep, n, copies)``, and edges ``(a, b)`` between keys of classes that join what links join."""
     every = materialize(sketches(docs, k), "sketches")
     total = every.agg(F.sum(F.floor((F.col("n") * (100 - percent)) / 75) + 1).alias("p")).first()["p"] or 0
-    buckets = max(1, -(-int(total) // BUCKET_TOKENS))
+    buckets = lambda n: min(MOST_BUCKETS, max(1, -(-int(n) // BUCKET_TOKENS)))
     classes = every.where("fp is not null and doc_id is not null").groupBy("fp", "key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")
     # Two partners share as many of their first tokens as the smaller one's sample_length exceeds what may differ.
     smaller = F.floor((percent * F.col("n") + 99) / 100)
     may_differ = smaller - F.floor((percent * smaller + 99) / 100)
     shared_at_least = F.floor((may_differ + 1) / 3) + 1
-    wanted = classes.join(_suspects(docs, buckets, k, percent), "key").where(F.col("shared") >= shared_at_least).select("rep", "key")
+    wanted = classes.join(_suspects(docs, buckets(total), k, percent), "key").where(F.col("shared") >= shared_at_least).select("rep", "key")
     sets = materialize(_candidate_sets(docs, wanted, k), "sets")
+    if sets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():  # rows that are there several times
+        repeated, sets = sets, materialize(sets.groupBy("key").agg(F.min("block").alias("block"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
+        drop_stored(repeated)
     tokens = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
-    frequencies = _frequencies(sets, max(1, -(-int(tokens) // BUCKET_TOKENS)))
-    candidates = materialize(_rare_prefixes(sets, frequencies, percent), "prefixes")
-    roots = connected_components(_links(candidates, sets, percent))
-    named = classes.join(roots.select(F.col("v").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    # Classes that share a least document (a repeated doc_id) are one component as well.
-    shared = named.groupBy("rep").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("a", "b")
-    more = connected_components(shared)
-    named = named.join(more.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("root", F.coalesce("top", "root"))
+    candidates = materialize(_rare_prefixes(sets, _frequencies(sets, buckets(tokens)), percent), "prefixes")
+    edges = materialize(_links(candidates, sets, percent), "links")
+    drop_stored(sets, candidates)
+    return every, classes, edges
+
+
+def _rooted(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    roots = connected_components(edges)
+    return classes.join(roots.select(F.col("v").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def similarity_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id.
+
+    ``component_id`` is the least doc_id that links reach; two documents link if 100 * intersection >=
+    percent * union of their shingle sets. Rows without words are linked with nothing: their component is
+    themselves. Rows that repeat a doc_id are one document of several texts, which joins the components of all of
+    them. A null doc_id takes no part: its component_id is null. Texts count whole, whatever their length; an
+    empty table gives an empty result; further columns are ignored.
+    """
+    every, classes, edges = _classes(docs, k, percent)
+    ids = every.where("fp is not null and doc_id is not null")
+    several = ids.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc_id", "a")
+    edges = edges.unionByName(ids.join(several, "doc_id").where("key <> a").select("a", F.col("key").alias("b")))
+    named = _rooted(classes, edges)
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("m"), F.sum("copies").alias("c"))
     joined = named.join(least.where("m > 1 or c > 1").drop("m", "c"), "root").select("fp", "component_id")
-    return every.join(joined, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    own = every.join(joined, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    if not several.limit(1).count():
+        return own
+    # A repeated doc_id may have rows without words beside others: all its rows are in one component.
+    lone = own.where("n_shingles = 0").join(several.select(F.col("doc_id").alias("d")).distinct(), F.col("doc_id") == F.col("d"), "left_semi")
+    return own if not lone.limit(1).count() else _one_component_each(own)
+
+
+def _one_component_each(own: DataFrame) -> DataFrame:
+    least = own.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+    return own.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without those whose component has a smaller doc_id; one row of each repeated doc_id. Null ids stay."""
-    found = similarity_components(docs, k, percent)
-    goes = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    stays = docs.join(goes, "doc_id", "left_anti")
-    if repeated.limit(1).count():
-        stays = stays.where("doc_id is null").unionByName(stays.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return stays
+    """``docs`` with one row of each group that links join: that of the least doc_id, of equal ids that of the least text hash.
+
+    Rows are told apart by their texts here, so texts that share a doc_id but no link stay both; a row that is there several
+    times stays once (of rows that differ in further columns, that of the least hash). Rows without words and rows
+    without a doc_id are linked with nothing and stay. Texts count whole, an empty table gives an empty
+    result, all columns stay, whatever their names.
+    """
+    every, classes, edges = _classes(docs, k, percent)
+    ids = every.where("fp is not null and doc_id is not null")
+    named = _rooted(classes, edges).select("fp", "root")
+    rows = materialize(ids.join(named, "fp").groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("c")), "rows")
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    told = rows.join(first, "root").withColumn("stays", F.struct("doc_id", "text_hash") == F.col("first"))
+    goes = materialize(told.where("not stays").select("doc_id", "text_hash"), "copies")
+    name, mark = free_name(docs.columns, "join_id"), free_name(docs.columns, "join_hash")
+    marked = docs.withColumns({name: F.col("doc_id").cast("long"), mark: F.xxhash64("text")})
+    by = lambda t: (F.col(name) == F.col(f"{t}.doc_id")) & (F.col(mark) == F.col(f"{t}.text_hash"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    stays = marked.join(goes.alias("goes"), by("goes"), "left_anti")
+    again = materialize(told.where("stays and c > 1").select("doc_id", "text_hash"), "again")
+    if not again.limit(1).count():
+        return stays.select(*columns)
+    hashed = free_name(docs.columns, "join_row")
+    several = marked.withColumn(hashed, row_hash(docs)).join(again.alias("again"), by("again"), "left_semi")
+    one = several.groupBy(name, mark).agg(F.min_by(F.struct(*columns), F.col(hashed)).alias("all")).select("all.*")
+    return stays.join(again.alias("again"), by("again"), "left_anti").select(*columns).unionByName(one)

@@ -77,7 +77,7 @@ def test_ngram_join(which, docs, real):
         assert r["component_id"] == want.get(r["doc_id"])
     assert collections.Counter((r["doc_id"], r["n_shingles"]) for r in got) == collections.Counter((i, len(sets_of(t))) for i, t in rows)
     kept = [r["doc_id"] for r in ngram_join.one_of_each_group(df).collect()]
-    assert sorted(x for x in kept if x is not None) == sorted(set(want.values()))
+    assert set(x for x in kept if x is not None) == set(want.values())
 
 
 def test_trie_finds_all_links():
@@ -114,11 +114,51 @@ def test_components(spark):
 def test_sketch_pieces(monkeypatch):
     text = " ".join(random.choices("abcdefgh", k=500))
     whole = ngram_join.shingle_sets([text, "a", None, "a b c d"])
-    monkeypatch.setattr(ngram_join, "PIECE_WORDS", 37)
-    assert all(np.array_equal(a, b) for a, b in zip(whole, ngram_join.shingle_sets([text, "a", None, "a b c d"])))
+    for size in (1, 2, 3, 5, 37, 400):
+        monkeypatch.setattr(ngram_join, "PIECE_BYTES", size)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, ngram_join.shingle_sets([text, "a", None, "a b c d"])))
+        for t in ("a", " a", "a ", "a b", "ab  cd\n", "  ", "", "a b c d e", "word " * 40, "\ta\x0bB c\x0cD"):
+            assert np.array_equal(ngram_join.shingle_sets([t])[0], ngram_join.shingle_sets([t], size=1 << 20)[0]), (t, size)
     assert [len(s) for s in whole] == [len(sets_of(text)), 1, 0, 1]
 
 
+def test_large_groups_meet_leaders(spark, monkeypatch):
+    """Near copies, chains of them and unlike texts that share rare words, in groups of many blocks, against brute force."""
+    rng = random.Random(8)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(ngram_join, "GRID_SETS", 3)
+    monkeypatch.setattr(ngram_join, "BUCKET_TOKENS", 300)
+    rows = []
+    for group in range(5):
+        base = [f"g{group}w{i}" for i in range(80)]
+        for _ in range(25):
+            words = base.copy()
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                words[rng.randrange(80)] = f"x{rng.randrange(9)}"
+            rows.append((len(rows), " ".join(words)))
+        for step in range(12):  # a chain: each is near the next one
+            rows.append((len(rows), " ".join(base[step * 2 :] + [f"c{group}n{i}" for i in range(step * 2)])))
+    common = [f"rare{i}" for i in range(12)]
+    rows += [(len(rows) + i, " ".join([f"u{i}n{j}" for j in range(60)] + common)) for i in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    want = brute_components(rows)
+    assert got == want and 20 < len(set(want.values())) < 120
+
+
+def test_repeated_ids(spark):
+    """A doc_id of two texts joins both their groups; the stage keeps texts, not ids."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a, 1), (5, b, 2), (3, a + " z", 3), (4, b, 4), (9, c, 5), (9, a, 6), (9, c, 5), (9, c, 7), (5, None, 8), (None, a, 9), (None, a, 9), (7, "", 1), (7, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, join_hash int").repartition(4)
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similarity_components(df).collect())
+    assert got == collections.Counter([(5, 27, 3), (5, 27, 3), (3, 28, 3), (4, 27, 3), (9, 27, 3), (9, 27, 3), (9, 27, 3), (9, 27, 3), (5, 0, 3), (None, 27, None), (None, 27, None), (7, 0, 7), (7, 0, 7)])
+    kept = ngram_join.one_of_each_group(df)
+    assert kept.columns == df.columns
+    rows_kept = collections.Counter(tuple(r) for r in kept.collect())
+    assert {(i, t) for i, t, _ in rows_kept} == {(3, a + " z"), (4, b), (9, c), (5, None), (None, a), (7, "")}
+    assert sum(rows_kept.values()) == 8 and rows_kept[None, a, 9] == rows_kept[7, "", 1] == 2
+
+
 def test_language_id(spark, docs, empty, real):
     model = langid.fit(real.where(~langid.held_out()))
     got = langid.predict(real.where(langid.held_out()), model)
