@@ -1,12 +1,16 @@
 """Benchmark decontamination by a generalised suffix automaton over words.
 
 The automaton holds every substring of every test item. Reading a document's words, its state is the
-longest suffix so far that occurs in an item; where that reaches a window's length, a window ends.
+longest suffix so far that occurs in an item; where that reaches a window's length, a window ends. It is
+built in parts of bounded size and kept in sorted arrays; words are only read by it where runs of several words
+occur in items.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,53 +22,44 @@ from .common import batches_of
 WINDOW = 13
 #: A document is contaminated if this many times its hit words make up its words.
 COVERAGE = 20
-#: Bytes of test items that may be sent to the driver and each task.
-ITEM_BYTES = 64 << 20
+#: Bytes of test items that may be sent to the driver, of what is built from them, and of the items of one part.
+ITEM_BYTES = 24 << 20
+BUILT_BYTES = 384 << 20
+PART_BYTES = 1 << 20
+#: Words of a run that items must hold for the automaton to read it, at most.
+RUN = 4
 CHUNK = 1 << 22
 _fold = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+
 def words_of(text: str | None) -> list[bytes]:
     """ASCII letters and digits and all other characters beyond ASCII, A-Z lower-cased."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_fold).split()
 
 
-class Automaton:
-    """A suffix automaton of many word sequences, with the items of each state that windows need."""
+class _Growing:
+    """A suffix automaton while words are added to it: dictionaries, 100 and more bytes a word."""
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW) -> None:
-        self.window, self.ids = window, {}
+    def __init__(self) -> None:
         self.next, self.link, self.length = [{}], [-1], [0]
-        held: list[set] = [set()]
-        short: list[dict[int, set]] = [{}]
-        self.least = window
-        for name, text in items:
-            words = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
-            last = 0
-            for w in words:
-                last = self._extend(last, w, held, short)
-                held[last].add(name)
-            if 0 < len(words) < window:
-                # The whole item is its window; it is the longest string of the state that it ends in.
-                short[last].setdefault(len(words), set()).add(name)
-                self.least = min(self.least, len(words))
-        for v in sorted(range(1, len(self.link)), key=lambda v: -self.length[v]):
-            if self.length[self.link[v]] >= window:
-                held[self.link[v]] |= held[v]
-        # States on a state's suffix path that hold windows of WINDOW words: the shortest one serves all.
-        self.full = [0] * len(self.link)
-        self.short: list[tuple] = [()] * len(self.link)
-        for v in sorted(range(1, len(self.link)), key=lambda v: self.length[v]):
-            up = self.link[v]
-            self.full[v] = 0 if self.length[v] < window else v if self.length[up] < window else self.full[up]
-            self.short[v] = self.short[up] + tuple(sorted((k, frozenset(s)) for k, s in short[v].items()))
-        self.held = [frozenset(held[v]) if self.full[v] == v and v else frozenset() for v in range(len(held))]
-
-    def _extend(self, last: int, w: int, held: list, short: list) -> int:
+        self.held: list[set] = [set()]
+        self.short: list[dict[int, set]] = [{}]
+
+    def add(self, item: int, words: list[int], whole: bool) -> None:
+        """A sequence of an item; ``whole`` if the item is shorter than a window and so a window itself."""
+        last = 0
+        for w in words:
+            last = self._extend(last, w)
+            self.held[last].add(item)
+        if whole:  # it is the longest string of the state that it ends in
+            self.short[last].setdefault(len(words), set()).add(item)
+
+    def _extend(self, last: int, w: int) -> int:
         if w in self.next[last]:
             q = self.next[last][w]
-            return q if self.length[q] == self.length[last] + 1 else self._clone(last, w, q, held, short)
-        now = self._state(self.length[last] + 1, {}, held, short)
+            return q if self.length[q] == self.length[last] + 1 else self._clone(last, w, q)
+        now = self._state(self.length[last] + 1, {})
         p = last
         while p != -1 and w not in self.next[p]:
             self.next[p][w] = now
@@ -73,19 +68,19 @@ class Automaton:
             self.link[now] = 0
         else:
             q = self.next[p][w]
-            self.link[now] = q if self.length[q] == self.length[p] + 1 else self._clone(p, w, q, held, short)
+            self.link[now] = q if self.length[q] == self.length[p] + 1 else self._clone(p, w, q)
         return now
 
-    def _state(self, length: int, to: dict, held: list, short: list) -> int:
+    def _state(self, length: int, to: dict) -> int:
         self.next.append(to)
         self.link.append(0)
         self.length.append(length)
-        held.append(set())
-        short.append({})
+        self.held.append(set())
+        self.short.append({})
         return len(self.link) - 1
 
-    def _clone(self, p: int, w: int, q: int, held: list, short: list) -> int:
-        copy = self._state(self.length[p] + 1, dict(self.next[q]), held, short)
+    def _clone(self, p: int, w: int, q: int) -> int:
+        copy = self._state(self.length[p] + 1, dict(self.next[q]))
         self.link[copy] = self.link[q]
         while p != -1 and self.next[p].get(w) == q:
             self.next[p][w] = copy
@@ -93,50 +88,169 @@ class Automaton:
         self.link[q] = copy
         return copy
 
+
+class _Part:
+    """A suffix automaton in arrays: its transitions are sorted by state and word."""
+
+    def __init__(self, grown: _Growing, window: int) -> None:
+        g, n = grown, len(grown.link)
+        order = sorted(range(1, n), key=lambda v: g.length[v])
+        for v in reversed(order):
+            if g.length[g.link[v]] >= window:
+                g.held[g.link[v]] |= g.held[v]
+        full, short = [0] * n, [0] * n
+        for v in order:
+            up = g.link[v]
+            # States on a state's suffix path that hold windows of WINDOW words: the shortest one serves all.
+            full[v] = 0 if g.length[v] < window else v if g.length[up] < window else full[up]
+            short[v] = v if g.short[v] else short[up]
+        keys = np.fromiter((v << 32 | w for v, to in enumerate(g.next) for w in to), np.int64)
+        to = np.fromiter((x for t in g.next for x in t.values()), np.int32)
+        by = np.argsort(keys, kind="stable")
+        ends = [v for v in range(n) if full[v] == v and v]
+        self.keys, self.to = keys[by], to[by]
+        self.link, self.length = np.array(g.link, np.int32), np.array(g.length, np.int32)
+        self.full, self.short = np.array(full, np.int32), np.array(short, np.int32)
+        self.held_state = np.array(ends, np.int32)
+        self.held_at = np.cumsum([0, *(len(g.held[v]) for v in ends)], dtype=np.int64)
+        self.held = np.fromiter((x for v in ends for x in sorted(g.held[v])), np.int32)
+        self.whole = {v: sorted((k, sorted(s)) for k, s in own.items()) for v, own in enumerate(g.short) if own}
+
+    def bytes(self) -> int:
+        return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray)) + 400 * len(self.whole)
+
+    def views(self) -> tuple:
+        return tuple(memoryview(x) for x in (self.keys, self.to, self.link, self.length, self.full, self.short))
+
+    def items_of(self, state: int) -> list[int]:
+        i = int(np.searchsorted(self.held_state, state))
+        return self.held[self.held_at[i] : self.held_at[i + 1]].tolist()
+
+
+class Automaton:
+    """Suffix automata of many word sequences, with the items of each state that windows need.
+
+    Items that are longer than a part are cut into sequences that overlap by a window less a word, so that each window is in one.
+    """
+
+    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW, part_bytes: int = PART_BYTES) -> None:
+        self.window, self.least = window, window
+        self.names = [name for name, _ in items]
+        self.ids: dict[bytes, int] = {}
+        self.parts: list[_Part] = []
+        runs: list[np.ndarray] = []
+        sequences = [np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)], np.int64) for _, text in items]
+        self.least = min([window, *(len(x) for x in sequences if len(x))])
+        self.run = min(self.least, RUN)
+        now, size, most = _Growing(), 0, max(2 * window, part_bytes // 6)
+        for i, words in enumerate(sequences):
+            runs.append(np.unique(self._run_hashes(words)))
+            for at in range(0, max(1, len(words) - window + 1), most - window + 1) if len(words) else ():
+                own = words[at : at + most].tolist()
+                if size and size + len(own) > most:
+                    self.parts.append(_Part(now, window))
+                    now, size = _Growing(), 0
+                now.add(i, own, len(words) < window)
+                size += len(own)
+        if size:
+            self.parts.append(_Part(now, window))
+        self.known = np.unique(np.concatenate([np.empty(0, np.uint64), *runs]))
+        self._views: list | None = None
+
+    def __getstate__(self) -> dict:
+        return {**vars(self), "_views": None}
+
+    def bytes(self) -> int:
+        """About what it takes in each task: its arrays, and some 150 bytes for each word that items know."""
+        return sum(p.bytes() for p in self.parts) + self.known.nbytes + 150 * len(self.ids)
+
+    def _run_hashes(self, ids: np.ndarray) -> np.ndarray:
+        """Hashes of all runs of ``run`` words; 0 where one has a word that no item knows."""
+        n = len(ids) - self.run + 1
+        if n < 1:
+            return np.empty(0, np.uint64)
+        h, ok = np.zeros(n, np.uint64), np.ones(n, bool)
+        for i in range(self.run):
+            own = ids[i : i + n]
+            h = (h ^ own.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            ok &= own > 0
+        return np.where(ok, h | np.uint64(1), np.uint64(0))
+
+    def _stretches(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Where a window may be: stretches of which all runs occur in items, as long as the shortest window."""
+        h = self._run_hashes(ids)
+        if not len(h) or not len(self.known):
+            return
+        inside = self.known[np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)] == h
+        edges = np.flatnonzero(np.diff(np.r_[0, inside.astype(np.int8), 0]))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if b - a + self.run - 1 >= self.least:
+                yield a, b + self.run - 1
+
+    def _walk(self, part: _Part, views: tuple, words: list[int], a: int) -> Iterator[tuple[int, int]]:
+        """(first, after) of the longest window that ends at each word, and the items of all of them into ``self._found``."""
+        keys, to, link, length, full, short = views
+        n, v, matched = len(keys), 0, 0
+        for i, w in enumerate(words, a):
+            while True:
+                key = v << 32 | w
+                at = bisect_left(keys, key)
+                if at < n and keys[at] == key:
+                    v = to[at]
+                    matched += 1
+                    break
+                if not v:
+                    matched = 0
+                    break
+                v = link[v]
+                matched = length[v]
+            size = 0
+            if matched >= self.window:
+                size = self.window
+                self._found.add((part, full[v]))
+            u = short[v]
+            while u:
+                for k, names in part.whole.get(u, ()):
+                    if k <= matched:
+                        size = max(size, k)
+                        self._short.update(names)
+                u = short[link[u]] if link[u] > 0 else 0
+            if size:
+                yield i + 1 - size, i + 1
+
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set]:
         """Number of words, spans (first, after last) of hit words, and the items whose windows occur."""
         words = words_of(text)
         get = self.ids.get
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        spans, items = [], set()
-        # Only runs of words that items know, as long as the shortest window, can hold one.
-        edges = np.flatnonzero(np.diff(np.r_[0, ids > 0, 0]))
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            if b - a < self.least:
-                continue
-            v = matched = 0
-            for i, w in enumerate(ids[a:b].tolist(), a):
-                while v and w not in self.next[v]:
-                    v = self.link[v]
-                    matched = self.length[v]
-                v = self.next[v].get(w, 0)
-                matched = matched + 1 if v else 0
-                size = 0
-                if matched >= self.window:
-                    size = self.window
-                    items |= self.held[self.full[v]] if self.full[v] else frozenset()
-                for k, names in self.short[v]:
-                    if k <= matched:
-                        size = max(size, k)
-                        items |= names
-                if size:
-                    if spans and spans[-1][1] >= i + 1 - size:
-                        start = min(spans.pop()[0], i + 1 - size)
-                        while spans and spans[-1][1] >= start:
-                            start = min(spans.pop()[0], start)
-                        spans.append((start, i + 1))
-                    else:
-                        spans.append((i + 1 - size, i + 1))
+        if self._views is None:
+            self._views = [p.views() for p in self.parts]
+        self._found, self._short = set(), set()
+        hits = []
+        for a, b in self._stretches(ids):
+            for part, views in zip(self.parts, self._views):
+                hits += self._walk(part, views, ids[a:b].tolist(), a)
+        spans: list[tuple[int, int]] = []
+        for a, b in sorted(hits):
+            if spans and a <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+            else:
+                spans.append((a, b))
+        items = {self.names[x] for part, state in self._found for x in part.items_of(state)} | {self.names[x] for x in self._short}
         return len(words), spans, items
 
 
-def build(benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> Automaton:
-    """The automaton of ``benchmark(item_id, text)``, whose size is checked before it is sent anywhere."""
+def build(benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES, built_bytes: int = BUILT_BYTES) -> Automaton:
+    """The automaton of ``benchmark(item_id, text)``; the items' size and its own are checked before anything is sent anywhere."""
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     if size > item_bytes:
         raise ValueError(f"the test items have {size} bytes; at most {item_bytes} fit (item_bytes)")
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").collect()
-    return Automaton([(r["i"], r["text"]) for r in rows], window)
+    automaton = Automaton([(r["i"], r["text"]) for r in rows], window)
+    if automaton.bytes() > built_bytes:
+        raise ValueError(f"the automaton has {automaton.bytes()} bytes; at most {built_bytes} fit (built_bytes)")
+    return automaton
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -144,7 +258,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     A window is ``window`` consecutive words of an item, or a shorter item whole; items without words have
     none. Null and empty texts have no words. Repeated rows, repeated item ids and null item ids (an empty
-    string) are allowed; without items nothing is hit. Texts count whole.
+    string) are allowed; without items nothing is hit. Texts count whole; a null doc_id stays null; an empty table
+    gives an empty result; further columns, whatever their names, are ignored.
     """
     automaton = build(benchmark, window)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -178,7 +293,8 @@ def digests(found: DataFrame, coverage: int = COVERAGE) -> DataFrame:
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, longest: int | None = None) -> DataFrame:
     """``docs`` with hit spans cut out of the texts of contaminated documents, or of any that exceed ``longest`` words.
 
-    Texts without such spans stay byte for byte. The words before and after a cut are joined by a space.
+    Texts without such spans stay byte for byte. What is before and after a cut is joined by a space; a text's own
+    ends stay where no cut touches them.
     """
     import re
 
@@ -194,11 +310,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
         if not spans:
             return text
         where = [m.span() for m in pattern.finditer(text)]
-        out, last = [], 0
-        for a, b in spans:
-            out.append(text[last : where[a][0]])
-            last = where[b - 1][1]
-        return " ".join([*(x.rstrip(" ") if i else x for i, x in enumerate(out)), text[last:].lstrip(" ")]).strip(" ")
+        cuts = [0, *(x for a, b in spans for x in (where[a][0], where[b - 1][1])), len(text)]
+        left = [text[a:b] for a, b in zip(cuts[::2], cuts[1::2])]
+        left = [x.lstrip(" ") if i else x for i, x in enumerate(left)]
+        left = [x.rstrip(" ") if i < len(left) - 1 else x for i, x in enumerate(left)]
+        return " ".join(x for x in left if x)
 
     def run(batches):
         for batch in batches:

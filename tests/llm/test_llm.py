@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pickle
 import random
 import zlib
 
@@ -491,7 +492,8 @@ def test_automaton_equals_brute_force():
         window = random.choice([2, 3, 5])
         say = lambda n: " ".join(random.choices("abcd" if case % 2 else "abcdefghijk", k=n))
         items = [(str(i), say(random.randint(0, 12))) for i in range(6)]
-        automaton = decontam.Automaton(items, window)
+        automaton = decontam.Automaton(items, window, part_bytes=random.choice([1, 60, 100, 1 << 20]))
+        automaton = pickle.loads(pickle.dumps(automaton))
         for _ in range(6):
             text = say(random.randint(0, 40)) + random.choice(["", " " + items[0][1] + " zz " + items[1][1].upper() + ", " + items[2][1]])
             n, spans, found = automaton.scan(text)
@@ -509,10 +511,25 @@ def test_decontamination(spark, docs, empty):
     assert decontam.find_contamination(empty, items).count() == 0
     assert decontam.find_contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
     assert decontam.remove_spans(docs.where("doc_id = 14"), items).first()["text"] == "six"
+    ends = docs.sparkSession.createDataFrame([(1, "  a one two three four five b  c "), (2, "w1 w2 w3 x w1, w2 w3"), (3, "  keep  ")], "doc_id long, text string")
+    assert [r["text"] for r in decontam.remove_spans(ends, items).orderBy("doc_id").collect()] == ["  a b  c ", "x", "  keep  "]
     stays = decontam.without_contaminated(docs, items)
     assert stays.columns == docs.columns and stays.where("doc_id in (5, 13, 14)").count() == 0 and stays.where("doc_id = 3").count() == 1
     with pytest.raises(ValueError, match="item_bytes"):
         decontam.build(items, item_bytes=3)
+    with pytest.raises(ValueError, match="built_bytes"):
+        decontam.build(items, built_bytes=30)
+
+
+def test_automaton_is_small():
+    """Twenty bytes for a byte of the items, at most, where dictionaries take 150."""
+    rng = random.Random(1)
+    words = [f"word{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(words, k=200))) for i in range(300)]
+    automaton = decontam.Automaton(items)
+    size = sum(len(t) for _, t in items)
+    assert automaton.bytes() < 20 * size
+    assert len(pickle.dumps(automaton)) < 20 * size
 
 
 def compare(sql, found, **tables):
