@@ -2,9 +2,10 @@
 
 Voters are lexicon terms (a seed list, and words and beginnings of words that labelled toxic texts hold
 far more often; inflected words share their beginning) and patterns. The label model is a tree-augmented mixture: given the hidden label, each voter fires with a
-probability that depends on the label and on the one voter it is most correlated with. EM fits it to the
-votes; labelled rows hold their label. Its posteriors train a logistic regression over the voters'
-counts, which scores all texts.
+probability that depends on the label and on the one voter it is most correlated with. EM estimates these
+from the votes of all rows; in its steps a labelled row's label counts as one more, very reliable, vote. The
+posteriors that the model then gives the votes alone train a logistic regression over the voters' counts, which
+scores all texts. Terms are counted and votes cast on executors; the driver gets counts and votes, no text.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import batches_of, crc_of_id
+from .common import batches_of, crc_of_id, drop_stored, materialize
 
 # Seed words of abuse in four languages.
 SEED_WORDS = """
@@ -108,55 +109,55 @@ def _gain(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return np.where(c1 * n0 > c0 * n1, out, 0)
 
 
-def mine_terms(texts: list[str | None], toxic: np.ndarray, least: int = 3, ratio: float = 4.0, most: int = 200) -> list[tuple[str, int]]:
-    """Terms and how often they must occur: those most telling of toxic texts, by a likelihood ratio test.
+def copy_mark(text: str | None) -> int:
+    """The least shingle hash of a text: copies of one text mostly share it."""
+    words = words_in(text)
+    return min(zlib.crc32(b" ".join(words[i : i + SHINGLE])) for i in range(max(1, len(words) - SHINGLE + 1)))
 
-    Candidates are all words and beginnings of words that ``least`` toxic texts hold, with one to
-    MOST_LEAST occurrences. Copies of a toxic text tell no more than one of them, so those that share their
-    least shingle hash count once. A term must be ``ratio`` times as frequent in toxic texts, and pass a bound that
-    grows with the number of candidates, so that chance passes none. Of terms that begin with each other the
-    most telling one stays, and the longest of equals; ``most`` stay at most.
-    """
-    met: set[int] = set()
-    counted = []
-    for text, y in zip(texts, toxic):
-        if y == 1:
-            words = words_in(text)
-            mark = min((zlib.crc32(b" ".join(words[i : i + SHINGLE])) for i in range(max(1, len(words) - SHINGLE + 1))))
-            if mark in met:
-                continue
-            met.add(mark)
-        counted.append((text, int(y)))
-    n1, n0 = len(met), len(counted) - len(met)
-    if not n1 or not n0:
-        return []
-    made: dict[bytes, list] = {}
 
-    def occurrences(text: str | None) -> Counter:
+class TermCounts:
+    """How often words and their beginnings occur in texts; with ``wanted``, only those."""
+
+    def __init__(self, wanted: dict[str, int] | None = None) -> None:
+        self.wanted, self.made = wanted, {}
+
+    def of(self, text: str | None) -> Counter:
         out: Counter = Counter()
         for w, n in Counter(words_in(text)).items():
-            if (terms := made.get(w)) is None:
-                terms = made[w] = [t for t in _terms(w) if wanted is None or t in wanted]
+            if (terms := self.made.get(w)) is None:
+                if len(self.made) > 1 << 18:
+                    self.made.clear()
+                terms = self.made[w] = [t for t in _terms(w) if self.wanted is None or t in self.wanted]
             for t in terms:
                 out[t] += n
         return out
 
-    wanted: dict[str, int] | None = None
-    held: Counter = Counter()
-    for text, y in counted:
-        if y == 1:
-            held.update(occurrences(text).keys())
-    bound = 2 * np.log(max(2, MOST_LEAST * sum(n >= least for n in held.values())))
-    least = max(least, int(np.ceil(bound / (2 * np.log((n1 + n0) / n1)))))  # fewer cannot pass the bound
-    wanted = {t: j for j, t in enumerate(sorted(t for t, n in held.items() if n >= least))}
-    made.clear()
-    by = np.zeros((2, MOST_LEAST, len(wanted)), np.int64)
-    for text, y in counted:
-        found = occurrences(text)
-        at = np.fromiter((wanted[t] for t in found), np.int64, len(found))
-        often = np.fromiter(found.values(), np.int64, len(found))
-        for k in range(MOST_LEAST):
-            by[y, k, at[often > k]] += 1
+    def holders(self, texts: list[str | None]) -> Counter:
+        """How many of the texts hold each term."""
+        held: Counter = Counter()
+        for text in texts:
+            held.update(self.of(text).keys())
+        return held
+
+    def table(self, texts: list[str | None], toxic: list[int]) -> np.ndarray:
+        """(label, occurrences less one, term): how many texts hold a wanted term so often at least."""
+        by = np.zeros((2, MOST_LEAST, len(self.wanted)), np.int64)
+        for text, y in zip(texts, toxic):
+            found = self.of(text)
+            at = np.fromiter((self.wanted[t] for t in found), np.int64, len(found))
+            often = np.fromiter(found.values(), np.int64, len(found))
+            for k in range(MOST_LEAST):
+                by[y, k, at[often > k]] += 1
+        return by
+
+
+def _bounds(candidates: int, least: int, n1: int, n0: int) -> tuple[float, int]:
+    """The least gain of a term that is no chance among so many candidates, and how many toxic texts have to hold it to reach that."""
+    bound = 2 * np.log(max(2, MOST_LEAST * candidates))
+    return bound, max(least, int(np.ceil(bound / (2 * np.log((n1 + n0) / n1)))))
+
+
+def _chosen(wanted: dict[str, int], by: np.ndarray, n1: int, n0: int, bound: float, least: int, ratio: float, most: int) -> list[tuple[str, int]]:
     gains = np.array([np.where((by[1, k] >= least) & (by[1, k] * n0 >= ratio * by[0, k] * n1), _gain(by[1, k], by[0, k], n1, n0), 0) for k in range(MOST_LEAST)])
     best, gain = gains.argmax(0), gains.max(0, initial=0)
     names = sorted((t for t, j in wanted.items() if gain[j] >= bound), key=lambda t: (-round(gain[wanted[t]], 6), -len(t.rstrip("*")), t.endswith("*"), t))
@@ -173,6 +174,68 @@ def mine_terms(texts: list[str | None], toxic: np.ndarray, least: int = 3, ratio
     return kept
 
 
+def mine_terms(texts: list[str | None], toxic: np.ndarray, least: int = 3, ratio: float = 4.0, most: int = 200) -> list[tuple[str, int]]:
+    """Terms and how often they must occur: those most telling of toxic texts, by a likelihood ratio test.
+
+    Candidates are all words and beginnings of words that ``least`` toxic texts hold, with one to
+    MOST_LEAST occurrences. Copies of a toxic text tell no more than one of them, so those that share their
+    least shingle hash count once. A term must be ``ratio`` times as frequent in toxic texts, and pass a bound that
+    grows with the number of candidates, so that chance passes none. Of terms that begin with each other the
+    most telling one stays, and the longest of equals; ``most`` stay at most.
+    """
+    bad = list({copy_mark(t): t for t, y in reversed(list(zip(texts, toxic))) if y == 1}.values())
+    good = [t for t, y in zip(texts, toxic) if y != 1]
+    n1, n0 = len(bad), len(good)
+    if not n1 or not n0:
+        return []
+    held = TermCounts().holders(bad)
+    bound, least = _bounds(sum(n >= least for n in held.values()), least, n1, n0)
+    wanted = {t: j for j, t in enumerate(sorted(t for t, n in held.items() if n >= least))}
+    by = TermCounts(wanted).table([*bad, *good], [1] * n1 + [0] * n0)
+    return _chosen(wanted, by, n1, n0, bound, least, ratio, most)
+
+
+def mine_terms_of(rows: DataFrame, least: int = 3, ratio: float = 4.0, most: int = 200) -> list[tuple[str, int]]:
+    """``mine_terms`` of ``rows(text, toxic)`` on executors; the driver gets terms and counts. Of copies that of the least text hash counts."""
+
+    def marked(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([copy_mark(t) for t in batch.column(0).to_pylist()], pa.int64())], names=["text", "mark"])
+
+    bad = rows.where("toxic = 1").select("text").mapInArrow(marked, "text string, mark long").groupBy("mark").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    counted = materialize(bad.select("text", F.lit(1).alias("y")).unionByName(rows.where("toxic = 0").select("text", F.lit(0).alias("y"))), "toxicity-counted")
+    n1, n0 = counted.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
+    if not n1 or not n0:
+        drop_stored(counted)
+        return []
+
+    def holders(batches):
+        count, held = TermCounts(), Counter()
+        for batch in batches:
+            held.update(count.holders(batch.column(0).to_pylist()))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
+
+    held = materialize(counted.where("y = 1").select("text").mapInArrow(holders, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "toxicity-terms")
+    bound, least = _bounds(held.count(), least, n1, n0)
+    wanted = {t: j for j, t in enumerate(sorted(r["term"] for r in held.where(F.col("n") >= least).select("term").collect()))}
+
+    def tables(batches):
+        count = TermCounts(wanted)
+        by = np.zeros((2, MOST_LEAST, len(wanted)), np.int64)
+        for batch in batches:
+            by += count.table(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        at = np.flatnonzero(by)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(by.reshape(-1)[at], pa.int64())], names=["at", "n"])
+
+    by = np.zeros(2 * MOST_LEAST * len(wanted), np.int64)
+    if wanted:
+        found = counted.select("text", "y").mapInArrow(tables, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        by[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    drop_stored(counted, held)
+    return _chosen(wanted, by.reshape(2, MOST_LEAST, len(wanted)), n1, n0, bound, least, ratio, most)
+
+
 class LabelModel:
     """P(label), and P(voter fires | label, its parent voter), by EM.
 
@@ -287,55 +350,76 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def learn(texts: list[str | None], labels: np.ndarray) -> ToxicityModel:
-    """From texts with labels 1, 0 or -1 (unknown). Without any toxic label the seed lexicon alone votes."""
-    known = labels >= 0
-    mined = dict(mine_terms([t for t, k in zip(texts, known) if k], labels[known]))
+def voters_of(mined: dict[str, int]) -> Voters:
     terms = list(dict.fromkeys([*SEED_WORDS, *mined]))
-    voters = Voters(terms, [mined.get(t, 1) for t in terms])
-    counts = voters.counts(texts)
+    return Voters(terms, [mined.get(t, 1) for t in terms])
+
+
+def learn_from(counts: np.ndarray, labels: np.ndarray, voters: Voters) -> ToxicityModel:
+    """From the voters' counts in rows with labels 1, 0 or -1 (unknown). Without rows the seed lexicon alone votes."""
     model = ToxicityModel(voters, np.empty(0))
-    if not len(texts):
+    if not len(counts):
         x = model.features(counts)
         w = np.zeros(x.shape[1] + 1)
         w[-1], w[-2], w[-3], w[-4] = -4, 1, 1, 3
         return ToxicityModel(voters, w)
     votes = voters.fires(counts)
-    label_model = LabelModel().fit(votes, labels)
-    p = label_model.posterior(votes)
-    target = np.where(labels == 1, np.maximum(p, 0.9), np.where(labels == 0, np.minimum(p, 0.5) * 0.2, p))
-    return ToxicityModel(voters, logistic(model.features(counts), target, np.where(known, 1.0, 0.25)))
+    p = LabelModel().fit(votes, labels).posterior(votes)  # of the votes alone: a row's own label has no part in it
+    return ToxicityModel(voters, logistic(model.features(counts), p, np.ones(len(p))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, unlabelled_rows: int = 5_000) -> ToxicityModel:
-    """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
+def learn(texts: list[str | None], labels: np.ndarray) -> ToxicityModel:
+    """From texts with labels 1, 0 or -1 (unknown)."""
+    known = labels >= 0
+    voters = voters_of(dict(mine_terms([t for t, k in zip(texts, known) if k], labels[known])))
+    return learn_from(voters.counts(texts), labels, voters)
+
 
-    Fitting is bounded: ``rows`` labelled rows and ``unlabelled_rows`` others at most, those least by a hash of doc_id.
-    A doc_id with several labels is toxic if one says so; null labels and ids teach nothing.
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = 20_000, unlabelled_rows: int = 5_000) -> DataFrame:
+    """``(doc_id, text, toxic)`` of the documents to learn from: ``rows`` labelled ones and ``unlabelled_rows`` others at most, those least by a hash of doc_id; toxic is null for the others.
+
+    A doc_id with several labels is toxic if one says so; null labels and ids teach nothing. Rows that repeat a
+    doc_id all count, up to the bounds.
     """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = lambda seed: F.xxhash64(F.col("doc_id"), F.lit(seed))
     drawn = marks.orderBy(by_hash(1), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").where("doc_id is not null")
-    with_labels = texts.join(F.broadcast(drawn), "doc_id")  # of `rows` rows at most
-    without = None
-    if unlabelled_rows:  # ids first: drawing among the texts themselves would gather far more of them than are kept
-        others = texts.select("doc_id").join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_anti").orderBy(by_hash(3), "doc_id").limit(unlabelled_rows).distinct()
-        without = texts.join(F.broadcast(others), "doc_id").orderBy(by_hash(3), "doc_id", "text").limit(unlabelled_rows)
-    known = with_labels.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    names, own, y = known.column("doc_id").to_pylist(), known.column("text").to_pylist(), known.column("toxic").to_pylist()
-    if without is not None:
-        held = set(names)
-        more = without.toArrow().sort_by("doc_id")
-        for n, t in zip(more.column("doc_id").to_pylist(), more.column("text").to_pylist()):
-            if n not in held:
-                own.append(t)
-                y.append(-1)
-    return learn(own, np.array(y, np.int64))
+    known = texts.join(F.broadcast(drawn), "doc_id").orderBy(by_hash(1), "doc_id", F.xxhash64("text")).limit(rows)  # of `rows` rows at most
+    # ids first: drawing among the texts themselves would gather far more of them than are kept
+    others = texts.select("doc_id").join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_anti").distinct().orderBy(by_hash(3), "doc_id").limit(unlabelled_rows)
+    more = texts.join(F.broadcast(others), "doc_id").orderBy(by_hash(3), "doc_id", F.xxhash64("text")).limit(unlabelled_rows)
+    return known.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).unionByName(more.select("doc_id", "text", F.lit(None).cast("int").alias("toxic")))
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, unlabelled_rows: int = 5_000) -> ToxicityModel:
+    """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, as far as ``training_rows`` go. Texts stay on executors."""
+    train = materialize(training_rows(docs, labels, rows, unlabelled_rows), "toxicity-rows")
+    voters = voters_of(dict(mine_terms_of(train.where("toxic is not null").select("text", "toxic"))))
+
+    def cast(batches):
+        for batch in batches:
+            for part in batches_of(batch, "text", CHUNK):
+                counts = voters.counts(part.column(0).to_pylist())
+                at = [np.flatnonzero(x) for x in counts]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1), part.column(2), pa.array(at, pa.list_(pa.int32())), pa.array([x[i] for x, i in zip(counts, at)], pa.list_(pa.float32()))], names=["toxic", "place", "at", "n"]
+                )
+
+    votes = train.select("text", "toxic", F.xxhash64("doc_id", "text").alias("place")).mapInArrow(cast, "toxic int, place long, at array<int>, n array<float>").toArrow().sort_by([("place", "ascending"), ("toxic", "ascending")])
+    counts = np.zeros((votes.num_rows, len(voters.lexicon) + len(voters.patterns)), np.float32)
+    for row, at, n in zip(counts, votes.column("at").to_pylist(), votes.column("n").to_pylist()):
+        row[at] = n
+    drop_stored(train)
+    return learn_from(counts, np.array([-1 if y is None else y for y in votes.column("toxic").to_pylist()], np.int64), voters)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, score, predicted)`` of each row of ``docs(doc_id, text)``; empty and null texts get the score of no votes."""
+    """``(doc_id, score, predicted)`` of each row of ``docs(doc_id, text)``; empty and null texts get the score of no votes.
+
+    Texts count whole, whatever their length; repeated rows get equal scores, a null doc_id stays null, an empty
+    table gives an empty result; further columns, whatever their names, are ignored.
+    """
 
     def run(batches):
         for batch in batches:
