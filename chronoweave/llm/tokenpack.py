@@ -8,10 +8,12 @@ blocks, each with a line feed after it (Spark's text writer adds it; readers go
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,10 @@ CHUNK = 1 << 21
 #: Letters of ASCII and Latin-1, then marks that are no part of a contraction or special token: two pieces of the tokenizer, which ignores case.
 _PLAIN = r"^(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,!?:;|#$&%*]*)$"
 _PIECE = re.compile(r"[a-zß-öø-ÿ]+|[.,!?:;|#$&%*]+")
+# What a tokenizer must declare for its words' ids to be its texts' ids. Others encode whole texts.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PARTS = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_WORD_END = "</w>"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -100,11 +106,18 @@ def read_blocks(data) -> Iterator[Block]:
         at += 13 + n
 
 
+def is_word_wise(declared: dict) -> bool:
+    """Whether a tokenizer's file declares that white space is dropped, that neither normaliser, splits nor added tokens reach across it, and that words end in a mark."""
+    model = declared.get("model") or {}
+    plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("normalized") or t.get("single_word") or len(t["content"].split()) != 1 for t in declared.get("added_tokens") or [])
+    return plain and declared.get("normalizer") == _NORMALIZER and declared.get("pre_tokenizer") == _PARTS and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and model.get("end_of_word_suffix") == _WORD_END
+
+
 class Encoder:
-    """The ids of whole texts, by the tokenizer's own ids of the words between blanks.
+    """The ids of whole texts; of a word-wise tokenizer, by its own ids of the words between blanks.
 
-    The tokenizer drops white space, and neither its normaliser nor its splits reach across blanks, so a
-    text's ids are its words' ids in order. A batch's words are told apart by Arrow's dictionaries, a plain
+    Such a tokenizer drops white space, and neither its normaliser nor its splits reach across blanks, so a
+    text's ids are its words' ids in order. Any other tokenizer encodes the texts whole. A batch's words are told apart by Arrow's dictionaries, a plain
     word is parted into its letters and the marks after them, pieces met before are not encoded again, and
     the ids of all words are gathered at once.
     """
@@ -113,9 +126,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.word_wise = is_word_wise(json.loads(Path(path).read_text("utf-8")))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.ends[[i for w, i in vocabulary.items() if w.endswith(_WORD_END)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -158,6 +172,9 @@ class Encoder:
     def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         import pyarrow.compute as pc
 
+        if not self.word_wise:
+            own = texts if isinstance(texts, list) else texts.to_pylist()
+            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t or "" for t in own], add_special_tokens=False)]
         if len(self.slots) > MEMO_PIECES:
             self._forget()
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
@@ -185,8 +202,9 @@ def _gather(values: np.ndarray, bounds: np.ndarray, picks: np.ndarray) -> tuple[
 def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids: int = BLOCK_IDS) -> None:
     """Encode ``docs(doc_id, text)`` and write it in ascending doc_id order (null first), ``end_id`` after each document.
 
-    The rows are range-partitioned by doc_id, so files in the order of their numbers are in order. A null
-    or empty text is its end id alone; rows that repeat a doc_id stay side by side.
+    The rows are range-partitioned by doc_id, rows that share one by a hash of the text, so files in the order
+    of their numbers are in order and no doc_id is hot. A null or empty text is its end id alone; rows that
+    repeat a doc_id follow each other; texts of any length are one document of a block. doc_id must be a number.
     """
 
     def run(batches):
@@ -211,7 +229,8 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bl
         if names:
             yield pa.RecordBatch.from_arrays([pa.array([write_block(names, ids, width)], pa.binary())], names=["block"])
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("place"))
+    ranged = keyed.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
     blocks = ranged.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value"))
     blocks.write.option("maxRecordsPerFile", FILE_BLOCKS).text(path)
 
@@ -240,9 +259,10 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None) -> DataFrame:
-    """Write ``docs`` packed, read the files and place each document among all ids: doc_id, start, n_tokens, ids_crc32.
+    """Write ``docs(doc_id, text)`` packed, read the files and place each document among all ids: doc_id, start, n_tokens, ids_crc32.
 
-    A file's first id is the sum of the files before it, over one row per file.
+    A file's first id is the sum of the files before it, over one row per file. An empty table gives an
+    empty result; further columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "packed")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import pickle
 import random
 import zlib
@@ -422,6 +423,24 @@ def test_encoder_equals_whole_text():
         assert got.tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
+    """Ids across blanks, and a tokenizer whose declared parts differ from the word-wise one's: ids of whole texts."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    texts = ["It's  here now\x0bv", "a b\n\n c", "", None, "été 12  3"]
+    e = tokenpack.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not e.word_wise
+    for t, got in zip(texts, e.encode(texts)):
+        assert got.tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
+    declared = json.loads(open(public_tokenizers.path("word_bpe_49k.json")).read())
+    assert tokenpack.is_word_wise(declared)
+    declared["normalizer"]["normalizers"].pop()  # upper case differs now
+    (tmp_path / "own.json").write_text(json.dumps(declared))
+    e = tokenpack.Encoder(str(tmp_path / "own.json"))
+    assert not e.word_wise and [x.tolist() for x in e.encode(["Ab aB"])] == [e.tokenizer.encode("Ab aB", add_special_tokens=False).ids]
+    got = tokenpack.packed_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), str(tmp_path / "own.json")).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: 1 + len(e.tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_toxic_terms_of_inflected_words():
     rng = np.random.default_rng(5)
     endings, common = ["e", "en", "ung", "lich", "er", "ait"], [f"w{i}" for i in range(300)]
