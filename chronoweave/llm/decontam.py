@@ -344,3 +344,19 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
 def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+#: Windows of documents joined to windows of items.
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bu AS (SELECT item, least(13, len(ws)) AS k, unnest(ws) AS x, generate_subscripts(ws, 1) AS i, id FROM (SELECT *, row_number() OVER () AS id FROM b)),
+bw AS (SELECT DISTINCT item, k, array_to_string(x, ' ') AS x FROM (SELECT item, k, list(x) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS x FROM bu) WHERE len(x) = k),
+du AS (SELECT r, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM d),
+dw AS (SELECT r, i, k, array_to_string(x[1 : k], ' ') AS x FROM (SELECT r, i, list(x) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS x FROM du), (SELECT DISTINCT k FROM bw) WHERE len(x) >= k),
+h AS (SELECT DISTINCT r, i, dw.k, item FROM dw JOIN bw ON bw.k = dw.k AND bw.x = dw.x),
+c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN t ON t.r = d.r
+"""

@@ -645,3 +645,17 @@ def one_of_each_group(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -
     several = marked.withColumn(hashed, row_hash(docs)).join(again.alias("again"), by("again"), "left_semi")
     one = several.groupBy(name, mark).agg(F.min_by(F.struct(*columns), F.col(hashed)).alias("all")).select("all.*")
     return stays.join(again.alias("again"), by("again"), "left_anti").select(*columns).unionByName(one)
+
+
+#: Pairs of rows that share a shingle, links by their counts, components by reach; for small tables.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+u AS (SELECT r, len(ws) AS n, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+s AS (SELECT DISTINCT r, array_to_string(x, ' ') AS x FROM (SELECT r, n, list(x) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS x FROM u) WHERE len(x) = least(n, 4)),
+n AS (SELECT w.r, w.doc_id, coalesce(c, 0)::BIGINT AS n FROM w LEFT JOIN (SELECT r, count(*) AS c FROM s GROUP BY r) k ON k.r = w.r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.r <> b.r GROUP BY 1, 2),
+l AS (SELECT DISTINCT na.doc_id AS a, nb.doc_id AS b FROM p JOIN n na ON na.r = p.a JOIN n nb ON nb.r = p.b WHERE 100 * c >= 85 * (na.n + nb.n - c) AND na.doc_id IS NOT NULL AND nb.doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id AS a, doc_id AS b FROM n WHERE doc_id IS NOT NULL UNION SELECT g.a, l.b FROM g JOIN l ON l.a = g.b)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id FROM n LEFT JOIN (SELECT a, min(b) AS component_id FROM g GROUP BY a) m ON m.a = n.doc_id
+"""

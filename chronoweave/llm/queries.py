@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_captures": warc.OP3_SQL, "op9_mixing": mixing.OP9_SQL}
+    return {"op3_warc_captures": warc.OP3_SQL, "op6_ngram_join": ngram_join.OP6_SQL, "op8_decontamination": decontam.OP8_SQL, "op9_mixing": mixing.OP9_SQL}
