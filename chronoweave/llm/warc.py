@@ -49,7 +49,7 @@ def numbered_pages(pages: DataFrame) -> DataFrame:
     Rows that are equal in all columns differ in their number, so every row has records of its own.
     """
     page = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), _bytes(F.coalesce("html", F.lit(""))).alias("payload"))
-    return materialize(page.select(F.monotonically_increasing_id().alias("row"), "*", F.octet_length("payload").alias("size"), F.sha1("payload").alias("sha1")), "pages")
+    return materialize(page.select(F.monotonically_increasing_id().alias("row"), "*", F.octet_length("payload").alias("size"), F.sha1("payload").alias("sha1")), "pages", "zstd")
 
 
 def capture_records(numbered: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame:
