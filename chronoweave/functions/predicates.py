@@ -14,11 +14,13 @@ MEANINGLESS_ITEMS = ["hdi", "gdp"]
 SPOILING_SIGNALS = ["BEFORE", "AFTER", "START", "FINISH"]
 NO_TYPES = ["NULL", "Wikimedia list article"]
 # Common English words without a relation of their own.
-STOPWORDS = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
-itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do
-does did doing a an the and but if or because as until while of at by for with about against between into through during before after above
-below to from up down in out on off over under again further then once here there when where why how all any both each few more most other
-some such no nor not only own same so than too very s t can will just don should now""".split()
+STOPWORDS = """i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she
+she's her hers herself it it's its itself they them their theirs themselves what which who whom this that that'll these those am is are was
+were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against
+between into through during before after above below to from up down in out on off over under again further then once here there when where
+why how all any both each few more most other some such no nor not only own same so than too very s t can will just don don't should
+should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma
+mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't""".split()
 _death = {"die", "dies", "died", "dying", "death", "deaths", "dead"}
 _birth = {"bear", "bears", "bore", "born", "bearing", "birth", "births"}
 _spouse = {"spouse", "spouses"}
@@ -73,18 +75,27 @@ def _has(tokens: Column, forms: set[str]) -> Column:
     return F.arrays_overlap(tokens, F.array(*[F.lit(x) for x in sorted(forms)]))
 
 
-def same_fact(text: Column, other: Column, b: Column, e: Column, cs: Column, ce: Column, ids: Column, other_ids: Column) -> Column:
-    """Two snippets that tell one fact: a death or birth beside its date's phrase, or nearly equal dates with one theme or equal items."""
-    lower = (F.lower(text), F.lower(other))
-    tokens = tuple(words(x) for x in lower)
-    either = F.lit(False)
-    for mine, its, its_tokens in ((tokens[0], lower[1], tokens[1]), (tokens[1], lower[0], tokens[0])):
-        either = either | (_has(mine, _death) & (F.contains(its, F.lit("date of death")) | F.contains(its, F.lit("death date"))))
-        either = either | (_has(mine, _birth) & (F.contains(its, F.lit("date of birth")) | F.array_contains(its_tokens, "birthdate")))
+def fact_marks(text: Column | str) -> list[Column]:
+    """What the test for one fact needs of a text: words of death, birth and marriage, and phrases of a date of death or birth."""
+    low = F.lower(F.col(text) if isinstance(text, str) else text)
+    tokens = words(low)
+    told_death = F.contains(low, F.lit("date of death")) | F.contains(low, F.lit("death date"))
+    told_birth = F.contains(low, F.lit("date of birth")) | F.array_contains(tokens, "birthdate")
+    return [_has(tokens, _death), _has(tokens, _birth), _has(tokens, _spouse), told_death, told_birth]
+
+
+def marked_same_fact(marks: Column, other: Column, b: Column, e: Column, cs: Column, ce: Column, ids: Column, other_ids: Column) -> Column:
+    """``same_fact`` of texts whose ``fact_marks`` are known, as arrays."""
+    death, birth, spouse, told_death, told_birth = ((marks[i], other[i]) for i in range(5))
+    either = (death[0] & told_death[1]) | (death[1] & told_death[0]) | (birth[0] & told_birth[1]) | (birth[1] & told_birth[0])
     near = ((b == cs) & (e == ce)) | (F.abs(b - cs) < 2) | (F.abs(e - ce) < 2)
-    both = lambda forms: _has(tokens[0], forms) & _has(tokens[1], forms)
     items = lambda a: F.array_sort(F.array_distinct(F.filter(a, lambda x: F.startswith(x, F.lit("Q")))))
-    return either | (near & (both(_birth) | both(_death) | both(_spouse) | (items(ids) == items(other_ids))))
+    return either | (near & ((birth[0] & birth[1]) | (death[0] & death[1]) | (spouse[0] & spouse[1]) | (items(ids) == items(other_ids))))
+
+
+def same_fact(text: Column, other: Column, b: Column, e: Column, cs: Column, ce: Column, ids: Column, other_ids: Column) -> Column:
+    """Two snippets that tell one fact: a death or birth beside its date's phrase, or nearly equal dates with one theme or equal items."""
+    return marked_same_fact(F.array(*fact_marks(text)), F.array(*fact_marks(other)), b, e, cs, ce, ids, other_ids)
 
 
 def asks_time(question: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Escapes that wiki paths decode to.
 PATH_ESCAPES = {"%20": " ", "%28": "(", "%29": ")", "%2C": ",", "%21": "!", "%24": "$", "%25": "%"}
+#: Blanks after an end mark; a full stop after a single capital letter or a title ends no sentence.
+SENTENCE_END = r"(?<=[.!?])(?<!\b\p{Lu}\.)(?<!\b(?:Mr|Ms|Dr|St|Jr|Sr|vs)\.)(?<!\b(?:Mrs|Rev|Gen|Col|Sgt)\.)(?<!\bProf\.)\s+(?![a-z0-9])"
 # Noise that snippets lose.
 NOISE = ("( )", "( % )", ", , ", "•")
 
@@ -57,7 +59,7 @@ def clean_year_template(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Number of words that white space parts; 0 for an empty or blank text."""
-    return F.when(F.trim(F.regexp_replace(c, r"\s+", " ")) == "", 0).otherwise(F.size(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")))
+    return F.regexp_count(c, F.lit(r"\S+"))
 
 
 def words(c: Column) -> Column:
@@ -101,8 +103,8 @@ def page_prose(c: Column, cut_all_sections: bool = False) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """Rule-based sentences: an end mark, then blanks, then anything but a lower-case letter or digit."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+(?![a-z0-9])"), F.trim), lambda s: s != "")
+    """Rule-based sentences: an end mark that no initial or title has, then blanks, then anything but a lower-case letter or digit."""
+    return F.filter(F.transform(F.split(c, SENTENCE_END), F.trim), lambda s: s != "")
 
 
 def strip_token(c: Column) -> Column:

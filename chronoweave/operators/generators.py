@@ -31,7 +31,8 @@ def page_pool(years: DataFrame, paths: DataFrame, portal: str = "Portal:Current_
     A year's page is that of its path, else of the path without dots; without either the year is left
     out. A month's is that of its portal path, else of its plain path, and none if it is the year's own.
     """
-    bare = paths.select(F.replace("path", F.lit("."), F.lit("")).alias("bare"), F.col("id").alias("bare_id")).dropDuplicates(["bare"])
+    paths = paths.groupBy("path").agg(F.min("id").alias("id"))
+    bare = paths.groupBy(F.replace("path", F.lit("."), F.lit("")).alias("bare")).agg(F.min("id").alias("bare_id"))
     year_path = F.col("year").cast("string")
     named = years.select("year", year_path.alias("path")).join(paths, "path", "left").join(bare, F.col("path") == F.col("bare"), "left")
     year_pages = named.select("year", F.coalesce("id", "bare_id").alias("id"), F.col("path").alias("wiki_path"), F.lit("year").alias("page_type")).where("id is not null")

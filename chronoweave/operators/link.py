@@ -12,15 +12,18 @@ from ..functions.text import is_item, title_to_path
 def resolve_paths(rows: DataFrame, paths: DataFrame, redirects: DataFrame, column: str = "path") -> DataFrame:
     """``rows`` with the id of each path: exact, else without dots, else that of its redirect; null if none.
 
-    ``paths``: (path, id), ``redirects``: (from_path, to_title). The dimensions are joined by key; Spark
-    broadcasts one only if its measured size allows.
+    ``paths``: (path, id), ``redirects``: (from_path, to_title); of several ids or titles of a path the least
+    counts. Distinct paths are resolved once, so ``rows`` are shuffled once whatever the dimensions' size.
     """
-    exact = paths.select(F.col("path").alias("_p1"), F.col("id").alias("_id1"))
-    dotless = paths.select(F.col("path").alias("_p2"), F.col("id").alias("_id2"))
-    moved = redirects.select(F.col("from_path").alias("_from"), title_to_path(F.col("to_title")).alias("_to")).dropDuplicates(["_from"])
-    target = paths.select(F.col("path").alias("_p3"), F.col("id").alias("_id3"))
-    out = rows.join(exact, F.col(column) == F.col("_p1"), "left").join(dotless, F.replace(column, F.lit("."), F.lit("")) == F.col("_p2"), "left").join(moved, F.col(column) == F.col("_from"), "left").join(target, F.col("_to") == F.col("_p3"), "left")
-    return out.select(*rows.columns, F.coalesce("_id1", "_id2", "_id3").alias("id"))
+    ids = paths.groupBy("path").agg(F.min("id").alias("id"))
+    exact = ids.select(F.col("path").alias("_p1"), F.col("id").alias("_id1"))
+    dotless = ids.select(F.col("path").alias("_p2"), F.col("id").alias("_id2"))
+    moved = redirects.groupBy(F.col("from_path").alias("_from")).agg(title_to_path(F.min("to_title")).alias("_to"))
+    target = ids.select(F.col("path").alias("_p3"), F.col("id").alias("_id3"))
+    asked = rows.select(F.col(column).alias("_asked")).where("_asked is not null").distinct()
+    known = asked.join(exact, F.col("_asked") == F.col("_p1"), "left").join(dotless, F.replace("_asked", F.lit("."), F.lit("")) == F.col("_p2"), "left").join(moved, F.col("_asked") == F.col("_from"), "left").join(target, F.col("_to") == F.col("_p3"), "left")
+    known = known.select("_asked", F.coalesce("_id1", "_id2", "_id3").alias("_id"))
+    return rows.join(known, F.col(column) == F.col("_asked"), "left").select(*rows.columns, F.col("_id").alias("id"))
 
 
 def redirect_candidates(rows: DataFrame, paths: DataFrame, column: str = "path") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import same_fact
+from ..functions.predicates import fact_marks, marked_same_fact
 from ..functions.relations import signal, signal_word
 from ..functions.text import squeeze, word_count
 
@@ -16,26 +16,31 @@ def temporal_pairs(mains: DataFrame, constraints: DataFrame, max_words: int | No
     """Mains with constraints that share a question entity, hold none of the answers, and stand before, after or during.
 
     ``mains``: (main_id, text, begin, end, question_ids, answer_ids), ``constraints``: (constraint_id,
-    text, begin, end, entity_ids); spans as integers. Both sides are dealt by entity, so the pairs meet
+    text, begin, end, entity_ids); spans as integers. Pairs that tell one fact go: of equal items only those of the
+    question count, as a constraint with an answer is none anyway. Both sides are dealt by entity, so the pairs meet
     by an equi-join (hub entities are split by AQE); a pair that shares several entities is kept where
     it meets on the least of them, which needs no further shuffle.
     """
-    m = mains.select(F.col("main_id"), F.col("text").alias("main_text"), F.col("begin").alias("b"), F.col("end").alias("e"), "question_ids", "answer_ids")
-    c = constraints.select(F.col("constraint_id"), F.col("text").alias("constraint_text"), F.col("begin").alias("cs"), F.col("end").alias("ce"), F.col("entity_ids"))
+    themes = lambda c: F.array(*fact_marks(c)) if suppress_same_fact else F.array().cast("array<boolean>")
+    n = lambda c: word_count(c) if max_words is not None else F.lit(0)
+    m = mains.select("main_id", F.col("text").alias("main_text"), F.col("begin").alias("b"), F.col("end").alias("e"), "question_ids", "answer_ids", n(F.col("text")).alias("n"), themes("text").alias("themes"))
+    c = constraints.select("constraint_id", F.col("text").alias("constraint_text"), F.col("begin").alias("cs"), F.col("end").alias("ce"), "entity_ids", n(F.col("text")).alias("cn"), themes("text").alias("c_themes"))
+    # What a pair needs is worked out once for each side; the texts stay with it, as a pair shows both.
     left = m.withColumn("entity", F.explode(F.array_distinct("question_ids")))
     right = c.withColumn("entity", F.explode(F.array_distinct("entity_ids")))
     met = left.join(right, "entity").where(F.col("main_id") != F.col("constraint_id"))
-    met = met.withColumn("signal", signal(F.col("b"), F.col("e"), F.col("cs"), F.col("ce"), gap_mode)).where("signal is not null")
-    met = met.where(F.col("entity") == F.array_min(F.array_intersect("question_ids", "entity_ids"))).where(~F.arrays_overlap("answer_ids", "entity_ids"))
     if max_words is not None:
-        met = met.where(word_count(F.col("main_text")) + word_count(F.col("constraint_text")) <= max_words)
+        met = met.where(F.col("n") + F.col("cn") <= max_words)
+    met = met.withColumn("signal", signal(F.col("b"), F.col("e"), F.col("cs"), F.col("ce"), gap_mode)).where("signal is not null")
+    only = (F.size("question_ids") == 1) | (F.size("entity_ids") == 1)
+    met = met.where(only | (F.col("entity") == F.array_min(F.array_intersect("question_ids", "entity_ids")))).where(~F.arrays_overlap("answer_ids", "entity_ids"))
     if suppress_same_fact:
-        met = met.where(~same_fact(F.col("main_text"), F.col("constraint_text"), F.col("b"), F.col("e"), F.col("cs"), F.col("ce"), F.array_union("question_ids", "answer_ids"), F.col("entity_ids")))
+        met = met.where(~marked_same_fact(F.col("themes"), F.col("c_themes"), F.col("b"), F.col("e"), F.col("cs"), F.col("ce"), F.col("question_ids"), F.col("entity_ids")))
     return met.select("main_id", "constraint_id", "signal", pseudo_question(F.col("main_text"), F.col("signal"), F.col("constraint_text")).alias("question"), "b", "e", "cs", "ce")
 
 
 def pseudo_question(main: Column, relation: Column, constraint: Column) -> Column:
-    return F.concat_ws(", ", main, signal_word(relation), constraint)
+    return squeeze(F.concat_ws(", ", main, signal_word(relation), constraint))
 
 
 def main_parts(evidence: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 HUMAN = ("human", "Q5")
 
 
@@ -65,16 +67,16 @@ def sample_until(pool: DataFrame, size: int, target: int, ratios: dict[str, int]
     """Sample without repeats and ``produce`` questions from each sample until ``target`` topics have one.
 
     ``produce`` takes the sampled entities and returns rows with ``key``. Each round is written to the
-    session's checkpoint folder, so lineage stays short.
+    shared folder, so lineage stays short.
     """
     taken, made = pool.select(key).limit(0), None
     for i in range(rounds):
-        now = stratified_sample(pool, size, ratios, seed + i, key, taken=taken).checkpoint()
+        now = stored(stratified_sample(pool, size, ratios, seed + i, key, taken=taken), "sampled")
         if not now.limit(1).count():
             break
-        taken = taken.unionByName(now.select(key)).checkpoint()
-        out = produce(now).checkpoint()
-        made = out if made is None else made.unionByName(out).checkpoint()
+        taken = stored(taken.unionByName(now.select(key)), "taken")
+        out = stored(produce(now), "produced")
+        made = out if made is None else stored(made.unionByName(out), "made")
         if made.select(key).distinct().count() >= target:
             break
     return made if made is not None else produce(pool.limit(0))

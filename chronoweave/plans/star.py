@@ -72,7 +72,7 @@ def temporal_signal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.temporal_pairs(mains, constraints, suppress_same_fact=False)
 
 
-@query(f"""WITH {SPANS}, y AS (SELECT o_orderkey, o_custkey, b - b % 10000 + 101 AS b, CASE WHEN o_orderkey % 2 = 0 THEN b - b % 10000 + 1231 ELSE b - b % 10000 + 11231 END AS e FROM spans WHERE o_orderkey % 3 = 0)
+@query(f"""WITH {SPANS}, y AS (SELECT o_orderkey, o_custkey, b - b % 10000 + 101 AS b, CASE WHEN o_orderkey % 2 = 0 THEN b - b % 10000 + 1231 ELSE b - b % 10000 + 11231 END AS e FROM spans)
 SELECT signal, count(*) AS n, sum(m) AS main_sum FROM (
   SELECT m.o_orderkey AS m, coalesce({sql_signal("m.b", "m.e", "c.b", "c.e")}, 'none') AS signal FROM y m JOIN y c ON m.o_custkey = c.o_custkey AND m.o_orderkey <> c.o_orderkey)
 GROUP BY signal""")
@@ -289,7 +289,7 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Q_TEXT = """q AS (SELECT conv_id, turn, CASE (conv_id + turn) % 8 WHEN 0 THEN 'What year was it when ' WHEN 1 THEN 'Which album came out in 1999 after ' WHEN 2 THEN 'How many people saw ' WHEN 3 THEN 'What yearly festival came after '
-  WHEN 4 THEN 'When did Ann marry before ' WHEN 5 THEN 'Who (left the band while ' WHEN 6 THEN 'Who sang?? during ' ELSE 'Who met q42 at the time ' END || substr(regexp_replace(coalesce(text, ''), '[^a-zA-Z]+', ' ', 'g'), 1, 30) AS q, CASE turn % 3 WHEN 0 THEN 'OVERLAP' WHEN 1 THEN 'AFTER' ELSE 'OTHER' END AS signal FROM conversations)"""
+  WHEN 4 THEN 'When did Ann marry before ' WHEN 5 THEN 'Who (left the band while ' WHEN 6 THEN 'Who sang?? during ' ELSE 'Who met q42 at the time ' END || regexp_replace(coalesce(text, ''), '[^a-zA-Z]+', ' ', 'g') AS q, CASE turn % 3 WHEN 0 THEN 'OVERLAP' WHEN 1 THEN 'AFTER' ELSE 'OTHER' END AS signal FROM conversations)"""
 ASKS = """(contains(l, 'during what') OR contains(l, 'during which') OR (contains(l, 'what year') AND NOT contains(l, 'what yearly')) OR contains(l, 'which month') OR (contains(l, 'which year') AND NOT contains(l, 'which yearly')) OR contains(l, 'which date') OR contains(l, 'what date') OR contains(l, 'what time')
   OR (list_contains(w, 'when') AND NOT list_has_any(w, ['what', 'which', 'who', 'where'])))"""
 
@@ -325,10 +325,10 @@ def noise_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.md5(text.drop_noise(t).cast("binary")).alias("clean_md5"), F.length(text.drop_punctuation(t)).alias("bare_length"), F.length(text.squeeze(t)).alias("squeezed_length"), text.word_count(t).alias("n_words"))
 
 
-_stop = ", ".join(f"'{w}'" for w in predicates.STOPWORDS)
+_stop = ", ".join("'" + w.replace("'", "''") + "'" for w in predicates.STOPWORDS)
 
 
-@query(f"""SELECT doc_id, len(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(replace(substr(text, 1, 40), 'the ', ''), '[!-/:-@\\[-`{{-~]', '', 'g'), ' {{2,}}', ' ', 'g')), '\\s+'), lambda x: x <> '' AND NOT list_contains([{_stop}], x))) = 0 AS empty_relation FROM documents WHERE text IS NOT NULL""")
+@query(f"""SELECT doc_id, len(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(replace(text, 'the ', ''), '[!-/:-@\\[-`{{-~]', '', 'g'), ' {{2,}}', ' ', 'g')), '\\s+'), lambda x: x <> '' AND NOT list_contains([{_stop}], x))) = 0 AS empty_relation FROM documents WHERE text IS NOT NULL""")
 def no_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text is not null")
     return d.select("doc_id", predicates.no_relation(F.col("text"), F.array(F.lit("the "))).alias("empty_relation"))
@@ -393,7 +393,7 @@ def source_centric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.source_centric(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("topic"), sources.alias("source")))
 
 
-@query(r"""WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(replace(text, chr(10), ' '), ' {2,}', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS sentence FROM documents WHERE lang = 'en')
+@query(r"""WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(replace(text, chr(10), ' '), ' {2,}', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS sentence FROM documents)
 SELECT doc_id, count(*) AS n, max(length(sentence)) AS longest FROM s GROUP BY doc_id""")
 def text_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     prose = text.page_prose(F.col("text"))

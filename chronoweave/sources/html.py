@@ -104,11 +104,24 @@ def infobox_of(html: str | None) -> list[list[tuple[bool, str]]]:
     return [r for r in parser.rows if r] if parser.done else []
 
 
+def _small(batches, limit: int = 1 << 22):
+    """Slices of about ``limit`` bytes of pages, one page at least."""
+    for batch in batches:
+        start = size = 0
+        for i, page in enumerate(batch.column(1)):
+            size += page.as_buffer().size if page.is_valid else 0
+            if size >= limit:
+                yield batch.slice(start, i + 1 - start)
+                start, size = i + 1, 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def page_anchors(pages: DataFrame, key: str, html: str = "html", wiki_only: bool = True) -> DataFrame:
     """``(key, pos, text, href)``; with ``wiki_only`` just links to wiki pages. Null pages have none."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             rows = [(k, i, t, h) for k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, (t, h) in enumerate(anchors_of(page))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())], names=[key, "pos", "text", "href"])
 
@@ -120,7 +133,7 @@ def infobox_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """``(key, row, heading, cells)``: heading is the text of a row that is one header cell."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             keys, number, heads, cells = [], [], [], []
             for k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for i, row in enumerate(infobox_of(page)):

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import time
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.questions import last_per_key
+from ..session import stored
 
 
 def read_config(path: str) -> dict:
@@ -43,13 +46,28 @@ def read_years(spark: SparkSession, path: str, first: int, last: int, schema: st
     return spark.read.schema(schema).option("basePath", path).json(path).where(F.col("year").between(first, last))
 
 
+def read_year_files(spark: SparkSession, path: str, first: int, last: int, schema: str, suffix: str = ".jsonl") -> DataFrame:
+    """Files called by a year and anything, with ``suffix`` at their end (evidence ``.jsonl``, entities ``.json``): their records with ``year``. Other years' files are not read."""
+    if first > last:
+        return spark.createDataFrame([], f"{schema}, year int")
+    names = "{" + ",".join(str(y) for y in range(first, last + 1)) + "}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{names}*{suffix}")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    files = [str(s.getPath()) for s in found or [] if not re.match(r"\d{5}", s.getPath().getName())]
+    if not files:
+        return spark.createDataFrame([], f"{schema}, year int")
+    rows = spark.read.schema(schema).option("multiLine", suffix == ".json").option("mode", "DROPMALFORMED").json(files)
+    return rows.withColumn("year", F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -1), r"^(\d{4})", 1).cast("int"))
+
+
 def numbered(rows: DataFrame, iteration: int, *order: str) -> DataFrame:
     """Ids ``"{iteration}-{n}"`` in the order of the given columns, without sorting all rows in one task.
 
     Rows are range-partitioned and sorted; a partition's first number is the count of those before it.
     """
     part = F.spark_partition_id()
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", part).withColumn("_i", F.monotonically_increasing_id() % (1 << 33)).checkpoint()
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", part).withColumn("_i", F.monotonically_increasing_id() % (1 << 33))
+    ranged = stored(ranged, "numbered")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     firsts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_first"))
     return ranged.join(firsts, "_part").withColumn("id", F.concat_ws("-", F.lit(str(iteration)), (F.col("_first") + F.col("_i")).cast("string"))).drop("_part", "_i", "_first")
@@ -63,18 +81,62 @@ def write_list(rows: DataFrame, column: str, path: str) -> None:
     rows.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of a cache's versions, oldest first: v and a number of ten digits."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    return sorted(n for s in fs.listStatus(where) if re.fullmatch(r"v\d{10}", n := s.getPath().getName()))
+
+
 def read_cache(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """A cache table, empty if there is none yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    """A cache table's newest version, empty if there is none yet."""
+    versions = _versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/{versions[-1]}") if versions else spark.createDataFrame([], schema)
 
 
-def upsert_cache(spark: SparkSession, path: str, new: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
-    """The cache with ``new`` rows, of each key the latest version, written beside the old one under a new name."""
-    merged = last_per_key(read_cache(spark, path, new.schema), new, keys, version)
-    target = f"{path}-{uuid.uuid4().hex}"
-    merged.write.parquet(target)
-    return spark.read.schema(new.schema).parquet(target)
+def upsert_cache(spark: SparkSession, path: str, new: DataFrame, keys: list[str], version: str = "version", tries: int = 20) -> DataFrame:
+    """The cache with ``new`` rows, of each key the latest version, committed as the next version in the cache's folder.
 
+    A version is written aside and gets its name by a rename, which only one writer can do for one name; who
+    comes second merges with the first one's version and tries again, so no update is lost. Of versions the newest two stay.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = place(path).getFileSystem(conf)
+    for _ in range(tries):
+        before = _versions(spark, path)
+        target = f"{path}/v{(int(before[-1][1:]) if before else 0) + 1:010d}"
+        aside = f"{path}/.{uuid.uuid4().hex}"
+        last_per_key(read_cache(spark, path, new.schema), new, keys, version).write.parquet(aside)
+        # The claim is a file that only one writer can create; a folder of that name might take the rename in.
+        try:
+            fs.create(place(f"{target}.claim"), False).close()
+        except Exception:  # another writer has the number
+            fs.delete(place(aside), True)
+            time.sleep(0.2)
+            continue
+        fs.rename(place(aside), place(target))
+        for old in before[:-1]:
+            fs.delete(place(f"{path}/{old}"), True)
+            fs.delete(place(f"{path}/{old}.claim"), False)
+        return spark.read.schema(new.schema).parquet(target)
+    raise TimeoutError(f"other writers hold {path}")
+
+
+def write_dump(rows: DataFrame, path: str) -> None:
+    """A cache without versions: the rows as they are, in the place of what was there."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def unless_written(spark: SparkSession, path: str, schema: str | StructType, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path`` if it is complete, else that which ``make`` gives, written there; nothing is planned for what is there."""
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path)

@@ -1,6 +1,7 @@
 """All registered queries of the library against their SQL, and properties of the date and relation operators."""
 
 import itertools
+import json
 import math
 import random
 from pathlib import Path
@@ -111,14 +112,78 @@ def test_streams_are_annotated(spark, tmp_path):
     assert spark.table("annotated").first()["expressions"][0]["signal"] == "BEFORE"
 
 
-def test_cache_and_numbers(spark, tmp_path):
+def test_cache_keeps_all_updates(spark, tmp_path):
+    from threading import Thread
+
+    from chronoweave.sources import io
+
+    schema, path = "prompt string, question string, version double", str(tmp_path / "cache")
+    assert io.read_cache(spark, path, schema).count() == 0
+    row = lambda p, q, v: spark.createDataFrame([(p, q, v)], schema)
+    io.upsert_cache(spark, path, row("p", "old", 1.0), ["prompt"])
+    io.upsert_cache(spark, path, row("r", "q", 1.0), ["prompt"])
+    io.upsert_cache(spark, path, row("p", "new", 2.0), ["prompt"])
+    io.upsert_cache(spark, path, row("p", "late", 1.5), ["prompt"])
+    assert {tuple(r) for r in io.read_cache(spark, path, schema).collect()} == {("p", "new", 2.0), ("r", "q", 1.0)}
+    writers = [Thread(target=io.upsert_cache, args=(spark, path, row(f"t{i}", "x", 1.0), ["prompt"])) for i in range(3)]
+    [w.start() for w in writers], [w.join() for w in writers]
+    assert {r["prompt"] for r in io.read_cache(spark, path, schema).collect()} == {"p", "r", "t0", "t1", "t2"}
+
+
+def test_readers_and_writers(spark, tmp_path):
     from chronoweave.sources import io
 
-    new = spark.createDataFrame([("p", "q2", 2.0), ("r", "q", 1.0)], "prompt string, question string, version double")
-    old = io.upsert_cache(spark, str(tmp_path / "none"), new.where("prompt = 'p'").withColumn("version", F.lit(1.0)), ["prompt"])
-    assert old.count() == 1
     numbered = io.numbered(spark.range(20).withColumnRenamed("id", "k"), 4, "k")
     assert [r["id"] for r in numbered.orderBy("k").collect()] == [f"4-{i}" for i in range(20)]
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "lines.json").write_text('{"id": "Q1", "n": 1}\n{"id": broken\n{"id": "Q2", "n": 2}\n')
+    (d / "array.json").write_text('[{"id": "Q1"}, {"id": "Q2"}]')
+    (d / "map.json").write_text('{"Q1": [{"n": 1}, {"n": 2}], "Q2": []}')
+    (d / "used.txt").write_text(" Q1 \n\nQ2\n")
+    (d / "config.yml").write_text("a:\n  b: 3\n")
+    assert [(r["id"], r["n"]) for r in io.read_json_lines(spark, str(d / "lines.json"), "id string, n int").collect()] == [("Q1", 1), ("Q2", 2)]
+    assert [r["id"] for r in io.read_json_array(spark, str(d / "array.json"), "id string").collect()] == ["Q1", "Q2"]
+    assert [tuple(r) for r in io.read_json_map(spark, str(d / "map.json"), "struct<n:int>").collect()] == [("Q1", 0, 1), ("Q1", 1, 2)]
+    assert [r["value"] for r in io.read_list(spark, str(d / "used.txt")).collect()] == ["Q1", "Q2"]
+    assert io.read_config(str(d / "config.yml")) == {"a": {"b": 3}}
+    for year in (1999, 2000, 2001):
+        (d / f"{year}_page.jsonl").write_text(json.dumps({"id": f"E{year}"}) + "\n")
+        (d / f"{year}_page.json").write_text(json.dumps([{"id": f"Q{year}"}, {"id": f"R{year}"}], indent=4))
+    (d / "20001_page.jsonl").write_text('{"id": "no"}\n')
+    got = lambda **k: sorted(tuple(r) for r in io.read_year_files(spark, str(d), schema="id string", **k).collect())
+    assert got(first=2000, last=2005) == [("E2000", 2000), ("E2001", 2001)]
+    assert got(first=1990, last=1999, suffix=".json") == [("Q1999", 1999), ("R1999", 1999)]
+    assert got(first=1800, last=1801) == got(first=5, last=3) == []
+    rows = spark.createDataFrame([("Q1", 1)], "id string, n int")
+    io.write_json(rows, str(tmp_path / "j"))
+    io.write_json(rows.where("n = 2"), str(tmp_path / "j"), skip_existing=True)
+    assert [tuple(r) for r in io.read_json_lines(spark, str(tmp_path / "j"), "id string, n int").collect()] == [("Q1", 1)]
+    io.write_list(rows, "id", str(tmp_path / "l"))
+    assert [r["value"] for r in io.read_list(spark, str(tmp_path / "l")).collect()] == ["Q1"]
+    io.write_dump(rows, str(tmp_path / "d"))
+    assert spark.read.parquet(str(tmp_path / "d")).count() == 1
+    made = []
+    make = lambda: made.append(1) or rows
+    for _ in range(2):
+        assert io.unless_written(spark, str(tmp_path / "w"), "id string, n int", make).count() == 1
+    assert made == [1]
+
+
+def test_same_facts_go_and_spaces_collapse(spark):
+    """Equal question items at equal dates tell one fact; the answer is no part of the comparison."""
+    mains = spark.createDataFrame([("m", "Ann  sang", 20010101, 20011231, ["Q1"], ["Q9"])], "main_id string, text string, begin int, end int, question_ids array<string>, answer_ids array<string>")
+    rows = [("same", "Ann told", 20010101, 20011231, ["Q1"]), ("more", "Ann  and Bob", 20010101, 20011231, ["Q1", "Q2"]), ("answer", "x", 20010101, 20011231, ["Q1", "Q9"]), ("far", "Ann", 19990101, 19991231, ["Q1"])]
+    constraints = spark.createDataFrame(rows, "constraint_id string, text string, begin int, end int, entity_ids array<string>")
+    got = questions.temporal_pairs(mains, constraints).collect()
+    assert [(r["constraint_id"], r["question"]) for r in got] == [("more", "Ann sang, during, Ann and Bob")]
+    assert {r["constraint_id"] for r in questions.temporal_pairs(mains, constraints, suppress_same_fact=False).collect()} == {"same", "more"}
+    assert questions.temporal_pairs(mains, constraints, max_words=4).count() == 0
+
+
+def test_sentences_keep_initials(spark):
+    got = spark.createDataFrame([("J. R. Smith met Dr. Who. It rained! So? Yes. In the U.S. he won. a 5 b. The end.",)], "t string").select(text.sentences(F.col("t")).alias("s")).first()["s"]
+    assert got == ["J. R. Smith met Dr. Who.", "It rained!", "So?", "Yes.", "In the U.S. he won. a 5 b.", "The end."]
 
 
 def test_the_rest_does_not_import_the_training_data_operators():
