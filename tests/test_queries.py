@@ -47,6 +47,18 @@ def test_query_matches_its_sql(spark, duck, name):
     assert rows(found.select(names).collect()) == rows(cursor.fetchall())
 
 
+def test_date_scan_equals_the_columns(spark):
+    """The Arrow pass and the built-in functions find the same dates."""
+    rng = random.Random(7)
+    parts = ["5 March 2003", "March 5, 2003", "2003, March 5", "2003, March 20–May 22", "2003–2005", "2003, March 20–22", "24 May 2001 – 2008", "29 May 2000 – 13 July 2000", "May 29, 2000 – July 13, 2000", "march 2005", "Sept 2005"]
+    parts += ["123 March 2003", "2003-05-17", "2003/5/7.", "(1999),", "12/25/2003", "25/12/2003;", "13.13.2003", "2003-05-00", "2003-00-00", "1999", "99", "12345", "in", "and", "the", "foo 2001", "_ 5 March 2003", "é", "\u0663\u0663\u0663\u0663", "5  March 2003", "2003,", "March", "–"]
+    texts = [" ".join(rng.choices(parts, k=rng.randint(0, 7))) for _ in range(1500)] + ["", None, "no digits", "1999\n", "2003\u2013\u0032005", "5 March 2003" * 3]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", dates.annotate_dates(F.col("t")).alias("a"), dates.annotate_dates_native(F.col("t")).alias("b")).collect()
+    for r in got:
+        assert r["a"] == r["b"], texts[r["i"]]
+
+
 def test_overlap_resolution_equals_a_sweep(spark):
     random.seed(1)
     lists = []
