@@ -30,7 +30,7 @@ CLEAR, END, FIRST = 256, 257, 258
 ROW = 64
 #: Bytes in a strip, about; samples along a tile's side; rows in a page at most.
 STRIP = 1 << 16
-TILE = 32
+TILE = 64
 PAGE_ROWS = 4096
 _turned = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 CHUNK = 1 << 22
@@ -42,27 +42,23 @@ def packbits_encode(data: bytes) -> bytes:
         return b""
     starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
     runs = np.diff(np.r_[starts, len(a)])
-    out, literal = bytearray(), bytearray()
+    out, at = bytearray(), 0
 
-    def flush() -> None:
-        for i in range(0, len(literal), 128):
-            piece = literal[i : i + 128]
+    def literal(end: int) -> None:
+        for i in range(at, end, 128):
+            piece = data[i : min(i + 128, end)]
             out.append(len(piece) - 1)
             out.extend(piece)
-        literal.clear()
 
-    for s, n in zip(starts.tolist(), runs.tolist()):
-        if n < 3:
-            literal.extend(data[s : s + n])
-            continue
-        flush()
+    for i in np.flatnonzero(runs >= 3).tolist():
+        s, n = int(starts[i]), int(runs[i])
+        literal(s)
+        at = s
         while n > 1:
             k = min(n, 128)
             out += bytes((257 - k, data[s]))
-            n -= k
-        if n:
-            literal.append(data[s])
-    flush()
+            n, at = n - k, at + k
+    literal(len(a))
     return bytes(out)
 
 
@@ -83,76 +79,70 @@ def packbits_decode(data: bytes, size: int) -> bytes:
 
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first, widened one code early as TIFF does."""
-    out, acc, bits, width = bytearray(), 0, 0, 9
-    table = {bytes((i,)): i for i in range(256)}
-    following = FIRST
-
-    def put(code: int) -> None:
-        nonlocal acc, bits
-        acc = acc << width | code
-        bits += width
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits & 255)
-        acc &= (1 << bits) - 1
-
-    put(CLEAR)
-    word = b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
+    codes, widths, table, following, width = [CLEAR], [9], {}, FIRST, 9
+    word = None
+    for c in data:
+        if word is None:
+            word = c
+            continue
+        longer = word << 8 | c
+        if (known := table.get(longer)) is not None:
+            word = known
             continue
-        put(table[word])
+        codes.append(word)
+        widths.append(width)
         table[longer] = following
         following += 1
         if following == 4094:
-            put(CLEAR)
-            table = {bytes((k,)): k for k in range(256)}
-            following, width = FIRST, 9
+            codes.append(CLEAR)
+            widths.append(width)
+            table, following, width = {}, FIRST, 9
         elif following + 1 > 1 << width:
             width += 1
-        word = data[i : i + 1]
-    if word:
-        put(table[word])
-        following += 1
-        if following + 1 > 1 << width and width < 12:
+        word = c
+    if word is not None:
+        codes.append(word)
+        widths.append(width)
+        if following + 2 > 1 << width and width < 12:
             width += 1
-    put(END)
-    if bits:
-        out.append(acc << (8 - bits) & 255)
-    return bytes(out)
+    w = np.array([*widths, width])
+    ends = np.cumsum(w)
+    bits = np.repeat(np.array([*codes, END]), w) >> (np.repeat(ends, w) - 1 - np.arange(ends[-1])) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+#: Widths of the codes after a CLEAR, and where each begins.
+_WIDTHS = np.array([9, *(max(9, min(12, (258 + i).bit_length())) for i in range(1, 4096))])
+_STARTS = np.cumsum(_WIDTHS) - _WIDTHS
+_SINGLE = [bytes((i,)) for i in range(256)] + [b"", b""]
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
-    out, table, width, acc, bits, last = bytearray(), [], 9, 0, 0, b""
-    fresh = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table = fresh.copy()
-    for byte in data:
-        acc = acc << 8 | byte
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = acc >> bits
-        acc &= (1 << bits) - 1
-        if code == END:
-            break
-        if code == CLEAR:
-            table, width, last = fresh.copy(), 9, b""
-            continue
-        if not last:
-            entry = table[code]
-        else:
-            entry = table[code] if code < len(table) else last + last[:1]
-            table.append(last + entry[:1])
-        out += entry
-        last = entry
-        if len(table) + 1 >= 1 << width and width < 12:
-            width += 1
-        if len(out) >= size:
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    at, end, out, made = 0, 8 * len(data), [], 0
+    while made < size:
+        n = int(np.searchsorted(_STARTS + _WIDTHS, end - at, "right"))  # codes that are there, if none of them clears
+        begin, width = at + _STARTS[:n], _WIDTHS[:n]
+        byte = begin >> 3
+        codes = (raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]) >> (24 - (begin & 7) - width) & ((1 << width) - 1)
+        stops = np.flatnonzero((codes == CLEAR) | (codes == END))
+        stop = int(stops[0]) if len(stops) else n
+        table, last = _SINGLE.copy(), b""
+        for code in codes[:stop].tolist():
+            if not last:
+                entry = table[code]
+            else:
+                entry = table[code] if code < len(table) else last + last[:1]
+                table.append(last + entry[:1])
+            out.append(entry)
+            last = entry
+            made += len(entry)
+            if made >= size:
+                break
+        if stop == n or codes[stop] == END:
             break
-    return bytes(out[:size])
+        at += int(_STARTS[stop] + _WIDTHS[stop])
+    return b"".join(out)[:size]
 
 
 def compress(data: bytes, scheme: int, level: int = 6) -> bytes:
