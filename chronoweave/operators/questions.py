@@ -17,13 +17,15 @@ def temporal_pairs(mains: DataFrame, constraints: DataFrame, max_words: int | No
 
     ``mains``: (main_id, text, begin, end, question_ids, answer_ids), ``constraints``: (constraint_id,
     text, begin, end, entity_ids); spans as integers. Pairs that tell one fact go: of equal items only those of the
-    question count, as a constraint with an answer is none anyway. Both sides are dealt by entity, so the pairs meet
+    question count, as a constraint with an answer is none anyway. A column ``told`` of mains, if there is one, is what
+    these tests and the word limit read instead of ``text``. Both sides are dealt by entity, so the pairs meet
     by an equi-join (hub entities are split by AQE); a pair that shares several entities is kept where
     it meets on the least of them, which needs no further shuffle.
     """
+    told = F.col("told" if "told" in mains.columns else "text")
     themes = lambda c: F.array(*fact_marks(c)) if suppress_same_fact else F.array().cast("array<boolean>")
     n = lambda c: word_count(c) if max_words is not None else F.lit(0)
-    m = mains.select("main_id", F.col("text").alias("main_text"), F.col("begin").alias("b"), F.col("end").alias("e"), "question_ids", "answer_ids", n(F.col("text")).alias("n"), themes("text").alias("themes"))
+    m = mains.select("main_id", F.col("text").alias("main_text"), F.col("begin").alias("b"), F.col("end").alias("e"), "question_ids", "answer_ids", n(told).alias("n"), themes(told).alias("themes"))
     c = constraints.select("constraint_id", F.col("text").alias("constraint_text"), F.col("begin").alias("cs"), F.col("end").alias("ce"), "entity_ids", n(F.col("text")).alias("cn"), themes("text").alias("c_themes"))
     # What a pair needs is worked out once for each side; the texts stay with it, as a pair shows both.
     left = m.withColumn("entity", F.explode(F.array_distinct("question_ids")))

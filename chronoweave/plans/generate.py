@@ -17,6 +17,7 @@ from ..functions.text import clean_template, clean_year_template, page_prose, se
 from ..operators import questions as q
 from ..operators.kb import kb_evidence
 from ..operators.link import label_of, link_anchors, resolve_paths, titled, with_types
+from ..operators.records import with_similar_main
 from ..operators.rephrase import checked, rephrased
 from ..operators.sample import inverse_weights, weighted_pick
 from ..operators.signals import explicit_expressions
@@ -88,9 +89,10 @@ def fact_evidence(facts: DataFrame, labels: DataFrame, entities: DataFrame) -> D
     )
 
 
-def pseudo_questions(evidence: DataFrame, embed: Callable[[Column], Column] = hashed_embedding, max_words: int = q.MAX_WORDS) -> DataFrame:
+def pseudo_questions(evidence: DataFrame, embed: Callable[[Column], Column] = hashed_embedding, max_words: int = q.MAX_WORDS, need_similar: bool = True) -> DataFrame:
     """Mains and constraints of ``evidence`` (columns EVIDENCE) joined by entities and time, with similar questions merged into earlier ones.
 
+    With ``need_similar`` only mains that another main of their topic is similar to are asked.
     Returns (topic_id, question_id, main_id, constraint_id, signal, question, source, answer, question_ids, spans, similar).
     """
     dated = stored(evidence, "evidence").where(F.col("begin").between(FIRST_DAY, LAST_DAY) & F.col("end").between(FIRST_DAY, LAST_DAY))
@@ -98,7 +100,11 @@ def pseudo_questions(evidence: DataFrame, embed: Callable[[Column], Column] = ha
     meant = dated.where(~meaningless_relation(F.col("evidence_text"), F.col("source")) & ~no_relation(F.col("candidate_question_text"), names))
     about = meant.where((F.col("page_type") == "entity") & F.col("main_fact")).withColumn("answers", answerable(F.col("entities"), F.col("topic_id")))
     parts = q.main_parts(about).join(about.select("evidence_id", "topic_id", "begin", "end", F.get("answers", F.lit(0)).alias("answer")), "evidence_id")
-    mains = parts.select(F.col("evidence_id").alias("main_id"), F.col("main_pseudo_question").alias("text"), "begin", "end", "question_ids", F.array("answer_id").alias("answer_ids"), "topic_id", "source", "answer")
+    mains = parts.select(F.col("evidence_id").alias("main_id"), F.col("main_pseudo_question").alias("text"), F.col("main_question_text").alias("told"), "begin", "end", "question_ids", F.array("answer_id").alias("answer_ids"), "topic_id", "source", "answer")
+    vectors = mains.select("main_id", "topic_id", "source", F.struct("begin", "end").alias("span"), embed(F.col("text")).alias("vector"))
+    near = q.similar_pairs(vectors, "main_id", "topic_id", "vector", q.similar_threshold(F.col("source"), F.col("other_source")), "span")
+    if need_similar:
+        mains = with_similar_main(mains, near)
     bounds = meant.where(constraint_sentence(F.col("index"), F.col("source"), F.col("page_type")))
     constraints = bounds.select(F.col("evidence_id").alias("constraint_id"), F.col("candidate_question_text").alias("text"), "begin", "end", F.transform("entities", lambda x: x["id"]).alias("entity_ids"))
     pairs = q.temporal_pairs(mains, constraints, max_words)
@@ -106,8 +112,6 @@ def pseudo_questions(evidence: DataFrame, embed: Callable[[Column], Column] = ha
     spans = F.array(F.array("b", "e"), F.array("cs", "ce"))
     asked = told.select("topic_id", F.concat_ws("|", "main_id", "constraint_id").alias("question_id"), "main_id", "constraint_id", "signal", "question", F.concat_ws("; ", "source", "constraint_source").alias("source"), "answer", "question_ids", spans.alias("spans"))
     asked = stored(asked, "questions")
-    vectors = mains.select("main_id", "topic_id", "source", F.struct("begin", "end").alias("span"), embed(F.col("text")).alias("vector"))
-    near = q.similar_pairs(vectors, "main_id", "topic_id", "vector", q.similar_threshold(F.col("source"), F.col("other_source")), "span")
     named = asked.withColumnRenamed("topic_id", "topic")
     similar = q.similar_questions(named.select("topic", "question_id", "main_id", "constraint_id", "signal"), near.select("main_id", "other"))
     return q.merge_similar(asked, similar.select("question_id", "other_id"), ["main_id", "answer", "source"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, predicates, relations, text
-from ..operators import generators, link, questions, sample
+from ..operators import generators, link, questions, records, sample
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -204,7 +204,7 @@ def type_capped_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def anti_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf_dir, "part").join(used, "p_partkey", "left_anti").select("p_partkey", "p_name")
+    return records.not_sampled(table(spark, sf_dir, "part"), used, "p_partkey").select("p_partkey", "p_name")
 
 
 WEIGHTS = "w AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS topics FROM events GROUP BY 1), ww AS (SELECT *, (1 / n::DOUBLE) / sum(1 / n::DOUBLE) OVER () AS weight FROM w)"
@@ -280,12 +280,12 @@ GROUP BY 1, 2""")
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey"), F.lit("customer").alias("source"), F.col("c_name").alias("name"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nationkey"), F.lit("supplier").alias("source"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 5).alias("extra"))
-    return c.unionByName(s, allowMissingColumns=True).groupBy("nationkey", "source").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first_name"))
+    return records.union_all(c, s).groupBy("nationkey", "source").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first_name"))
 
 
 @query("SELECT o_custkey, o_orderstatus, min(o_orderkey) AS first_order FROM orders GROUP BY 1, 2")
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.min("o_orderkey").alias("first_order"))
+    return records.first_records(table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", F.col("o_orderkey").alias("first_order")), ["o_custkey", "o_orderstatus"], "first_order")
 
 
 Q_TEXT = """q AS (SELECT conv_id, turn, CASE (conv_id + turn) % 8 WHEN 0 THEN 'What year was it when ' WHEN 1 THEN 'Which album came out in 1999 after ' WHEN 2 THEN 'How many people saw ' WHEN 3 THEN 'What yearly festival came after '
@@ -411,7 +411,79 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderpriority AS priority, o_orderstatus AS status, count(*) AS n, count(DISTINCT o_custkey) AS topics FROM orders GROUP BY 1, 2""")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("topics"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), "o_custkey")
+    return records.document_frequency(o, ["priority", "status"], "o_custkey")
+
+
+@query("""SELECT l_orderkey, l_linenumber, s AS source FROM (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'kb' WHEN 1 THEN 'text' WHEN 2 THEN 'info' END AS s FROM lineitem) WHERE s IN ('kb', 'info')""")
+def chosen_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_linenumber") % 4
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(k == 0, "kb").when(k == 1, "text").when(k == 2, "info").alias("source"))
+    return records.of_sources(rows, ("kb", "info"))
+
+
+@query("""SELECT l_partkey AS id, count(*) AS frequency, row_number() OVER (ORDER BY count(*) DESC, l_partkey) AS place FROM lineitem GROUP BY l_partkey""")
+def frequency_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.by_frequency(table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count(F.lit(1)).alias("frequency")))
+
+
+@query("""SELECT s_suppkey, 'Q' || s_nationkey AS id, n_name AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 3 <> 0""")
+def id_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = table(spark, sf_dir, "nation").where("n_nationkey % 3 <> 0").select(F.concat(F.lit("Q"), "n_nationkey").alias("id"), F.col("n_name").alias("path"))
+    return records.with_path(table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("Q"), "s_nationkey").alias("id")), paths)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || '=Q' || p_partkey ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_brand || '=R' || p_partkey END AS found FROM part""")
+def zipped_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.col("p_partkey") % 2 == 0
+    known = F.when(even, F.create_map(F.lit("a"), F.concat(F.lit("Q"), "p_partkey"))).otherwise(F.create_map(F.lit("b"), F.concat(F.lit("R"), "p_partkey")))
+    found = records.zipped_ids(F.array(F.lit("a"), F.lit("b"), F.lit("a")), F.array("p_name", "p_brand"), known)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(found, lambda x: F.concat_ws("=", x["text"], x["id"])), ",").alias("found"))
+
+
+@query("""SELECT y::INT AS year, count(*) AS n, min(name) AS first_name FROM (SELECT strftime(o_orderdate, '%Y') AS y, strftime(o_orderdate, '%Y') || '_' || o_orderkey || '.jsonl' AS name FROM orders WHERE o_orderkey % 5 <> 0) GROUP BY y""")
+def files_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    year = F.when(F.col("o_orderkey") % 5 == 0, F.lit("x")).otherwise(F.date_format("o_orderdate", "yyyy"))
+    found = records.grouped_files(table(spark, sf_dir, "orders").select(F.concat(year, F.lit("_"), "o_orderkey", F.lit(".jsonl")).alias("name")))
+    return found.select("year", F.size("names").cast("long").alias("n"), F.get("names", F.lit(0)).alias("first_name"))
+
+
+@query("""SELECT c_custkey AS topic, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY 1""")
+def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("topic"))
+    return records.counts_of_topics(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("topic")), rows)
+
+
+@query(f"""SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY {sql_draw(5, "o_custkey", "o_orderkey")}, o_orderkey) AS rn FROM orders) WHERE rn = 1""")
+def one_question_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.one_per_entity(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 5)
+
+
+@query("""WITH s AS (SELECT a.o_orderkey AS main_id, b.o_orderkey AS other FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate < b.o_orderdate AND a.o_orderpriority = b.o_orderpriority AND a.o_orderstatus = b.o_orderstatus)
+SELECT o_orderkey AS main_id FROM orders WHERE o_orderkey IN (SELECT main_id FROM s) OR o_orderkey IN (SELECT other FROM s)""")
+def mains_with_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    pairs = o.alias("a").join(o.alias("b"), ["o_custkey", "o_orderpriority", "o_orderstatus"]).where("a.o_orderdate < b.o_orderdate").select(F.col("a.o_orderkey").alias("main_id"), F.col("b.o_orderkey").alias("other"))
+    return records.with_similar_main(o.select(F.col("o_orderkey").alias("main_id")), pairs)
+
+
+@query(f"""SELECT o_orderkey, o_orderkey % 7 = 0 AS whole_year, o_orderkey % 3 = 0 AS item, o_orderkey % 3 = 1 AS predicate, o_orderkey % 3 = 2 AS number, CASE WHEN o_orderkey % 3 = 2 THEN o_orderkey::VARCHAR WHEN o_orderkey % 3 = 0 THEN 'Q' || o_orderkey ELSE 'P' || o_orderkey END AS value,
+  CASE o_orderkey % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS yes FROM orders""")
+def value_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, key = F.col("o_orderkey") % 3, F.col("o_orderkey").cast("string")
+    raw = F.when(k == 0, F.concat(F.lit("Q"), key)).when(k == 1, F.concat(F.lit("P"), key)).otherwise(key)
+    url = F.when(k == 0, F.concat(F.lit("http://www.wikidata.org/entity/"), raw)).when(k == 1, F.concat(F.lit("<https://www.wikidata.org/wiki/"), raw, F.lit(">"))).otherwise(F.concat(F.lit('"'), raw, F.lit('"')))
+    year = F.year("o_orderdate") * 10000
+    end = year + F.when(F.col("o_orderkey") % 7 == 0, 1231).otherwise(1230)
+    word = F.when(k == 0, "Yes").when(k == 1, "NO").otherwise("maybe")
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", relations.is_whole_year(year + 101, end).alias("whole_year"), text.is_item(raw).alias("item"), text.is_predicate(raw).alias("predicate"), text.is_number(raw).alias("number"), text.wikidata_value(url).alias("value"), text.yes_no(word).alias("yes"))
+
+
+@query("""SELECT p_partkey, replace(p_name, ' ', 'é"') AS decoded, 'A_' || p_brand AS path, p_name || ', ' || p_brand || ' x, x, ' || p_brand AS title FROM part""")
+def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    escaped = F.replace("p_name", F.lit(" "), F.lit('\\u00e9"'))
+    return table(spark, sf_dir, "part").select("p_partkey", text.unescape(escaped).alias("decoded"), text.local_path(F.concat(F.lit("/wiki/A_"), "p_brand")).alias("path"), link.titled(F.col("p_name"), F.concat(F.col("p_brand"), F.lit(" \t x,\n x, "), F.col("p_brand"))).alias("title"))
 
 
 @query("""SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i, CASE WHEN l_returnflag = 'N' THEN 'text' ELSE 'kb' END AS s FROM lineitem) WHERE s <> 'text' OR i <= 2""")

@@ -193,6 +193,16 @@ def test_same_facts_go_and_spaces_collapse(spark):
     assert questions.temporal_pairs(mains, constraints, max_words=4).count() == 0
 
 
+def test_mains_need_a_similar_one(spark):
+    """No main of the small wiki is like another, so none is asked; where two are alike both are."""
+    from chronoweave.plans import fixtures, generate
+
+    evidence = fixtures._evidence(spark)
+    assert generate.pseudo_questions(evidence).count() == 0
+    alike = generate.pseudo_questions(evidence, embed=lambda text: F.array(F.lit(1.0), F.lit(2.0)))
+    assert {r["main_id"] for r in alike.select("main_id").collect()} == {r["main_id"] for r in generate.pseudo_questions(evidence, need_similar=False).select("main_id").collect()}
+
+
 def test_sentences_keep_initials(spark):
     got = spark.createDataFrame([("J. R. Smith met Dr. Who. It rained! So? Yes. In the U.S. he won. a 5 b. The end.",)], "t string").select(text.sentences(F.col("t")).alias("s")).first()["s"]
     assert got == ["J. R. Smith met Dr. Who.", "It rained!", "So?", "Yes.", "In the U.S. he won. a 5 b.", "The end."]
