@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where a small file has them in fewer partitions; for work that costs far more than the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def day_int(c: Column) -> Column:
     return F.date_format(c, "yyyyMMdd").cast("int")
 
@@ -118,7 +124,7 @@ def _grammar_query(grammar: str) -> None:
 
     @query(f"SELECT o_orderkey, {said} AS text, {begin} || 'T00:00:00Z' AS begin_ts, {end} || 'T00:00:00Z' AS end_ts FROM orders", name=f"date_parse_{grammar}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        o = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(dates.grammar_dates(dated_sentence(form), grammar)).alias("x"))
+        o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")).select("o_orderkey", F.explode(dates.grammar_dates(dated_sentence(form), grammar)).alias("x"))
         return o.select("o_orderkey", "x.text", F.col("x.begin").alias("begin_ts"), F.col("x.end").alias("end_ts"))
 
 
@@ -134,7 +140,7 @@ FROM orders""")
 def date_parse_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
     token = F.when(k == 0, F.date_format(d, "yyyy")).when(k == 1, F.date_format(d, "yyyy-MM-dd")).when(k == 2, F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("It was ("), token, F.lit("), they say.")).alias("text"))
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")).select("o_orderkey", F.concat(F.lit("It was ("), token, F.lit("), they say.")).alias("text"))
     return o.select("o_orderkey", F.explode(dates.numeric_dates(F.regexp_replace("text", r"\),", ")"))).alias("x")).select("o_orderkey", "x.method", F.col("x.begin").alias("begin_ts"), F.col("x.end").alias("end_ts"))
 
 
@@ -145,7 +151,7 @@ FROM orders""")
 def date_overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("o_orderdate")
     said = F.concat(dated_sentence(SENTENCES["ts5"][0]), F.lit(" Again in "), F.date_format(d, "MMMM"), F.lit(" "), (F.year(d) + 5).cast("string"), F.lit(" and "), (F.year(d) + 7).cast("string"), F.lit("."))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", said.alias("text"))
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")).select("o_orderkey", said.alias("text"))
     shown = F.transform(dates.annotate_dates(F.col("text")), lambda x: F.concat(x["text"], F.lit("="), dates.timestamp_date(x["begin"]), F.lit("/"), dates.timestamp_date(x["end"])))
     return o.select("o_orderkey", F.array_join(shown, "; ").alias("found"))
 
@@ -321,7 +327,7 @@ def signal_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def noise_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("t")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")))
     return d.select("doc_id", F.md5(text.drop_noise(t).cast("binary")).alias("clean_md5"), F.length(text.drop_punctuation(t)).alias("bare_length"), F.length(text.squeeze(t)).alias("squeezed_length"), text.word_count(t).alias("n_words"))
 
 
