@@ -50,8 +50,8 @@ def sets_of(text, k=4):
     return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
 
 
-def brute_components(rows, percent=85):
-    own = [(i, sets_of(t)) for i, t in rows if i is not None]
+def brute_components(rows, percent=85, k=4):
+    own = [(i, sets_of(t, k)) for i, t in rows if i is not None]
     up = {i: i for i, _ in own}
 
     def root(x):
@@ -646,10 +646,33 @@ def test_pipeline(spark, real):
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns == [*real.columns, "shard"]
     rows = [(r["doc_id"], r["text"]) for r in language(spark, real, DATA).select("doc_id", "text").collect()]
-    least = set(brute_components(rows).values())
+    least = set(brute_components(rows, 80, 5).values())
     items = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     kept = [(i, t) for i, t in rows if i in least and not ((h := brute_hits(t, items))[1] and 20 * h[1] >= h[0])]
     assert {r["doc_id"] for r in out.select("doc_id").collect()} <= {i for i, _ in kept}
     stage4 = real.join(spark.createDataFrame([(i,) for i, _ in kept], "doc_id long"), "doc_id").select(*real.columns)
     want = collections.Counter({r["doc_id"]: -(-r["taken"] // r["size"]) for r in mixing.mix_to_targets(stage4).collect() if r["taken"]})
     assert collections.Counter(r["doc_id"] for r in out.collect()) == want
+
+
+def test_stages_keep_columns(spark, real, tmp_path):
+    """Each stage on nulls, repeated ids, clashing names and nothing at all: its columns stay, and so do rows it has no reason to drop."""
+    import corpus_pipeline
+
+    rows = [tuple(r) for r in real.where("lang = 'en'").select("doc_id", "text", "lang", "source", "n_chars").limit(30).collect()]
+    rows = [*rows, rows[0], (rows[0][0], rows[1][1], None, None, None), (None, rows[2][1], "en", "web", 1), (7_000_001, None, None, None, None), (7_000_002, "", "en", None, 0)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, coverage double, shard int, mix_copy int, mix_copies int, text_hash long"
+    docs = spark.createDataFrame([(*r, 0.5, "x", 0.1, 3, 1, 2, 9) for r in rows], names)
+    spark.createDataFrame([(1, "no such words at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == (docs.columns if name != "sharding" else [*docs.columns, "shard_"]), name
+        assert out.where("score <> 0.5 or shard <> 3 or mix_copy <> 1 or mix_copies <> 2 or lang_pred <> 'x' or text_hash <> 9").count() == 0
+        kept[name] = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    told = collections.Counter(r[:2] for r in rows)
+    assert kept["decontamination"] == kept["sharding"] == told
+    assert kept["language_id"] == collections.Counter({k: n for k, n in told.items() if k[1]})
+    assert (None, rows[2][1]) in kept["ngram_join"] and (7_000_001, None) in kept["ngram_join"] and max(kept["ngram_join"].values()) == 1
+    assert all(k in told and k[1] for k in kept["mixing"])
