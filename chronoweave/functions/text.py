@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -147,8 +149,10 @@ def unescape(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("\\u")), F.coalesce(F.get_json_object(quoted, "$.v"), c)).otherwise(c)
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All n-grams up to ``n`` tokens, by start, then length."""
+def ngrams(tokens: Column, n: int, skip: Callable[[Column], Column] | None = None) -> Column:
+    """All n-grams up to ``n`` tokens, by start, then length, without those whose tokens ``skip`` holds for."""
     starts = F.sequence(F.lit(0), F.size(tokens) - 1)
-    each = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(n), F.size(tokens) - i)), lambda k: F.array_join(F.slice(tokens, i + 1, k), " ")))
-    return F.when(F.size(tokens) == 0, F.array().cast("array<string>")).otherwise(F.flatten(each))
+    each = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(n), F.size(tokens) - i)), lambda k: F.slice(tokens, i + 1, k)))
+    grams = F.when(F.size(tokens) == 0, F.array().cast("array<array<string>>")).otherwise(F.flatten(each))
+    kept = grams if skip is None else F.filter(grams, lambda g: ~skip(g))
+    return F.transform(kept, lambda g: F.array_join(g, " "))

@@ -6,7 +6,7 @@ facts are routed by their predicates; triples of a topic are merged by one condi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import timestamp_int, widened_end
@@ -89,6 +89,17 @@ def kb_evidence(facts: DataFrame, reference_end: str = REFERENCE_END) -> DataFra
     return flat.withColumns({"start_time_int": timestamp_int(F.col("begin")), "end_time_int": timestamp_int(F.col("end"))})
 
 
+def facts_of(entities: DataFrame, facts: DataFrame, most: int = 1000) -> DataFrame:
+    """Facts ``(fact_id, fact)`` that name an entity of ``entities(topic_id)`` in any place: ``(topic_id, fact_no, fact)``, the first ``most`` of each by fact_id.
+
+    Facts are numbered from 1. Spark's limit on row_number cuts each task's share of an entity to ``most`` before the shuffle.
+    """
+    named = facts.select("fact_id", "fact", F.explode(F.array_distinct(F.transform("fact", lambda x: x["id"]))).alias("topic_id"))
+    met = named.join(entities.select("topic_id").distinct(), "topic_id")
+    rank = F.row_number().over(Window.partitionBy("topic_id").orderBy("fact_id"))
+    return met.withColumn("fact_no", rank).where(F.col("fact_no") <= most).select("topic_id", "fact_no", "fact")
+
+
 def without_label_suffix(text: Column, label: Column) -> Column:
     """A template without trailing characters of the last label."""
     return F.rtrim(rstrip_chars(text, label))

@@ -64,6 +64,12 @@ def link_anchors(text: Column, anchors: Column) -> Column:
     return F.aggregate(placed, start, lambda acc, a: F.when((a["s"] < 0) | taken(acc, a), acc).otherwise(F.concat(acc, F.array(a))))
 
 
+def reconciled(rows: DataFrame, names: DataFrame, column: str = "url") -> DataFrame:
+    """``rows`` with the first hit ``(id, name)`` of their URL in ``names(url, rank, id, name)``; null without one."""
+    first = names.groupBy(F.col("url").alias("_u")).agg(F.min(F.struct("rank", "id", "name")).alias("_n"))
+    return rows.join(first, F.col(column) == F.col("_u"), "left").select(*rows.columns, F.col("_n.id").alias("id"), F.col("_n.name").alias("name"))
+
+
 def disambiguated(entities: Column, disambiguations: Column) -> Column:
     """Entities with ``disam_label``: the last text that is linked to their id."""
     return F.transform(

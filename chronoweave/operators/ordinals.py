@@ -20,15 +20,25 @@ def _lookup(pairs: dict[str, int], key: Column) -> Column:
 
 
 def annotate_ordinals(text: Column, dates: Column | None = None) -> Column:
-    """``array<struct<text, ordinal>>`` by place: -1 is the latest, 0 the oldest.
+    """``array<struct<text, ordinal, s, e>>`` by place: -1 is the latest, 0 the oldest.
 
     An ordinal next to a month or before a superlative is none (superlatives by a rule), nor is one that
-    ``dates`` hold. "most recent" and "most recently" are the latest, but not at the end of the text.
+    lies in one of ``dates``. "most recent" and "most recently" are the latest, but not at the end of the text.
     """
-    every = let(F.regexp_extract_all(text, F.lit(_TOKEN), 1), _ordinals)
+    parts = F.struct(F.regexp_extract_all(text, F.lit(_TOKEN), 1).alias("tokens"), F.split(text, _TOKEN, -1).alias("gaps"))
+    every = let(parts, lambda p: F.transform(_ordinals(p["tokens"]), lambda x: _placed(p["tokens"], p["gaps"], x)))
     if dates is None:
         return every
-    return F.filter(every, lambda x: ~F.exists(dates, lambda d: F.contains(d["text"], x["text"])))
+    return F.filter(every, lambda x: ~F.exists(dates, lambda d: (d["s"] <= x["s"]) & (x["e"] <= d["e"])))
+
+
+def _placed(tokens: Column, gaps: Column, x: Column) -> Column:
+    """An ordinal of tokens ``first`` to ``last`` with its place: the length of the tokens and gaps before."""
+
+    def start(i: Column) -> Column:
+        return F.length(F.array_join(F.slice(tokens, F.lit(1), i), "")) + F.length(F.array_join(F.slice(gaps, F.lit(1), i + 1), ""))
+
+    return F.struct(x["text"].alias("text"), x["ordinal"].alias("ordinal"), start(x["first"]).alias("s"), (start(x["last"]) + F.length(F.get(tokens, x["last"]))).alias("e"))
 
 
 def _ordinals(tokens: Column) -> Column:
@@ -49,6 +59,7 @@ def _ordinals(tokens: Column) -> Column:
         recent = (w == "most") & at(i, 1).isin("recent", "recently") & (i + 2 < n)
         ordinal = F.when(compound.isNotNull(), compound).when(w.isin(*LATEST), -1).when(w.isin(*OLDEST), 0).when(F.coalesce(recent, F.lit(False)), -1).otherwise(plain)
         label = F.when(compound.isNotNull(), F.concat(F.get(tokens, i), F.get(tokens, i + 1), F.get(tokens, i + 2))).when(F.coalesce(recent, F.lit(False)), F.concat_ws(" ", F.get(tokens, i), F.get(tokens, i + 1))).otherwise(F.get(tokens, i))
-        return F.struct(label.alias("text"), ordinal.cast("int").alias("ordinal"))
+        last = i + F.when(compound.isNotNull(), 2).when(F.coalesce(recent, F.lit(False)), 1).otherwise(0)
+        return F.struct(label.alias("text"), ordinal.cast("int").alias("ordinal"), i.alias("first"), last.alias("last"))
 
     return F.filter(F.transform(low, found), lambda x: x["ordinal"].isNotNull())

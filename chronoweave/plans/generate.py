@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import annotate_dates, remove_spans, timestamp_int
+from ..functions.dates import annotate_dates, merged_span, remove_spans, timestamp_int
 from ..functions.predicates import answerable, constraint_sentence, meaningless_relation, no_relation, non_date_entities, snippet_kept, year_snippet_kept
 from ..functions.text import clean_template, clean_year_template, page_prose, sentences
 from ..operators import questions as q
@@ -23,6 +23,7 @@ from ..operators.sample import inverse_weights, weighted_pick
 from ..operators.signals import explicit_expressions
 from ..providers import hashed_embedding
 from ..session import stored
+from ..sources.html import infobox_evidence
 
 EVIDENCE = "evidence_id string, topic_id string, source string, page_type string, index int, evidence_text string, candidate_question_text string, begin int, end int, entities array<struct<id:string,label:string,type:string,disam_label:string>>, main_fact boolean"
 #: Days outside are no evidence, as yyyymmdd.
@@ -61,6 +62,23 @@ def text_evidence(pages: DataFrame, anchors: DataFrame, paths: DataFrame, redire
     rows = told.join(known, "topic_id").withColumn("evidence_id", F.format_string("%s:text:%d", "topic_id", "index"))
     rows = _step(rows, "links", link_anchors(F.col("sentence"), F.col("anchors"))).drop("anchors")
     rows = stored(rows, "snippets")
+    return _linked_evidence(rows, "text", paths, redirects, labels, entities, most_entities)
+
+
+def info_evidence(pages: DataFrame, paths: DataFrame, redirects: DataFrame, labels: DataFrame, entities: DataFrame, most_entities: int = 3) -> DataFrame:
+    """Evidence of the infobox rows of entity ``pages(topic_id, title, html)`` that tell one time or two; rows without a date go before anything is linked."""
+    cells = infobox_evidence(pages, "topic_id").join(pages.select("topic_id", "title"), "topic_id")
+    told = cells.select("topic_id", F.lit("entity").alias("page_type"), "title", F.col("row").alias("index"), titled(F.col("title"), F.col("evidence_text")).alias("evidence_text"), F.col("links").alias("known"))
+    told = _step(told, "dates", annotate_dates(F.col("evidence_text"))).where(F.size("dates") > 0)
+    told = _step(told, "told", explicit_expressions(F.col("evidence_text"), F.col("dates")))
+    spans, signals = F.transform("told", lambda x: F.struct(x["begin"], x["end"])), F.transform("told", lambda x: x["signal"])
+    rows = told.where(snippet_kept(F.lit("info"), spans, signals)).withColumn("evidence_id", F.format_string("%s:info:%d", "topic_id", "index"))
+    placed = F.transform("known", lambda x: F.struct(x["text"].alias("text"), x["path"].alias("path"), (F.position(x["text"], F.col("evidence_text")) - 1).alias("s")))
+    return _linked_evidence(stored(rows.withColumn("links", placed), "cells"), "info", paths, redirects, labels, entities, most_entities)
+
+
+def _linked_evidence(rows: DataFrame, source: str, paths: DataFrame, redirects: DataFrame, labels: DataFrame, entities: DataFrame, most_entities: int) -> DataFrame:
+    """Told rows with ``links`` to evidence: linked pages and the page itself as entities, in the span that all told ones are merged to."""
     links = rows.select("evidence_id", F.explode("links").alias("l")).select("evidence_id", F.col("l.path").alias("path"), F.col("l.s").alias("place"), F.col("l.text").alias("mention"))
     linked = resolve_paths(links, paths, redirects).where("id is not null").select("evidence_id", "id", "place", "mention")
     page = rows.select("evidence_id", F.col("topic_id").alias("id"), F.lit(1 << 30).alias("place"), F.col("title").alias("mention"))
@@ -69,10 +87,11 @@ def text_evidence(pages: DataFrame, anchors: DataFrame, paths: DataFrame, redire
     n = F.size(non_date_entities(F.col("entities")))
     out = out.where(F.when(F.col("page_type") == "year", n >= 1).otherwise(n.between(1, most_entities)))
     said, year_said = (F.transform("told", lambda x: F.struct(x["s"], x["e"])), F.transform("dates", lambda x: F.struct(x["s"], x["e"])))
+    year_said = F.when(F.size("dates") <= 2, year_said).otherwise(F.filter(year_said, lambda x: F.lit(False)))
     template = F.when(F.col("page_type") == "year", clean_year_template(remove_spans(F.col("evidence_text"), year_said))).otherwise(clean_template(remove_spans(F.col("evidence_text"), said)))
-    span = F.get("told", F.lit(0))
+    span = merged_span(F.transform("told", lambda x: x["begin"]), F.transform("told", lambda x: x["end"]))
     return out.select(
-        "evidence_id", "topic_id", F.lit("text").alias("source"), "page_type", "index", "evidence_text", template.alias("candidate_question_text"),
+        "evidence_id", "topic_id", F.lit(source).alias("source"), "page_type", "index", "evidence_text", template.alias("candidate_question_text"),
         timestamp_int(span["begin"]).alias("begin"), timestamp_int(span["end"]).alias("end"), "entities", F.lit(True).alias("main_fact"),
     )
 

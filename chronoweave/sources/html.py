@@ -44,12 +44,17 @@ class _Anchors(HTMLParser):
 
 
 class _Infobox(HTMLParser):
-    """Rows of cells of the first infobox table: ``(header, text)``; character references are dropped."""
+    """Rows of cells of the first infobox table: ``(header, text, links)``; character references are dropped.
 
-    def __init__(self) -> None:
+    A cell's links are the anchors known so far whose text it holds: the page's, overwritten by the table's as they come.
+    """
+
+    def __init__(self, known: dict[str, str] | None = None) -> None:
         super().__init__(convert_charrefs=False)
         self.depth, self.done = 0, False
-        self.rows: list[list[tuple[bool, str]]] = []
+        self.known = dict(known or {})
+        self.path: str | None = None
+        self.rows: list[list[tuple[bool, str, list[tuple[str, str]]]]] = []
         self.cell: list[str] | None = None
         self.head = False
 
@@ -64,10 +69,15 @@ class _Infobox(HTMLParser):
             self.cell, self.head = [], tag == "th"
         elif tag == "br" and self.cell is not None:
             self.cell.append("\n")
+        elif self.depth and tag == "a" and _is_wiki(href := dict(attrs).get("href")):
+            self.path = href.replace("/wiki/", "")
 
     def handle_data(self, data):
         if self.cell is not None:
             self.cell.append(data)
+        if self.path is not None:
+            self.known[data] = self.path
+            self.path = None
 
     def handle_endtag(self, tag):
         if self.done or not self.depth:
@@ -77,13 +87,18 @@ class _Infobox(HTMLParser):
             text = re.sub(r" *\n *", ", ", text).replace("\xa0", " ")
             if not self.rows:
                 self.rows.append([])
-            self.rows[-1].append((self.head, text))
+            self.rows[-1].append((self.head, text, [(t, p) for t, p in self.known.items() if t in text]))
             self.cell = None
         elif tag == "table":
             self.depth -= 1
             self.done = not self.depth
 
 
+def _is_wiki(href: str | None) -> bool:
+    """``is_wiki_path`` of a Python string."""
+    return bool(href) and href.startswith("/wiki") and not (href.startswith("/wiki/File:") or "Category:" in href or "Special:" in href)
+
+
 def anchors_of(html: str | None) -> list[tuple[str, str]]:
     """(text, href) of anchors outside navigation boxes; texts of 3 characters or more, the first of each."""
     parser = _Anchors()
@@ -97,8 +112,8 @@ def anchors_of(html: str | None) -> list[tuple[str, str]]:
     return out
 
 
-def infobox_of(html: str | None) -> list[list[tuple[bool, str]]]:
-    parser = _Infobox()
+def infobox_of(html: str | None) -> list[list[tuple[bool, str, list[tuple[str, str]]]]]:
+    parser = _Infobox({t: h.replace("/wiki/", "") for t, h in anchors_of(html) if _is_wiki(h)})
     parser.feed(html or "")
     parser.close()
     return [r for r in parser.rows if r] if parser.done else []
@@ -129,27 +144,32 @@ def page_anchors(pages: DataFrame, key: str, html: str = "html", wiki_only: bool
     return found.where(is_wiki_path(F.col("href"))) if wiki_only else found
 
 
+LINKS = "array<struct<text:string,path:string>>"
+
+
 def infobox_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """``(key, row, heading, cells)``: heading is the text of a row that is one header cell."""
+    """``(key, row, heading, cells, links)``: heading is the text of a row that is one header cell; links to sections are left out."""
+    link = pa.list_(pa.struct([("text", pa.string()), ("path", pa.string())]))
 
     def run(batches):
         for batch in _small(batches):
-            keys, number, heads, cells = [], [], [], []
+            keys, number, heads, cells, links = [], [], [], [], []
             for k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for i, row in enumerate(infobox_of(page)):
                     keys.append(k)
                     number.append(i)
                     heads.append(row[0][1] if len(row) == 1 and row[0][0] else None)
-                    cells.append([t for _, t in row if t])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(number, pa.int32()), pa.array(heads, pa.string()), pa.array(cells, pa.list_(pa.string()))], names=[key, "row", "heading", "cells"])
+                    cells.append([t for _, t, _ in row if t])
+                    links.append([{"text": t, "path": p} for _, _, held in row for t, p in held if "#" not in p])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(number, pa.int32()), pa.array(heads, pa.string()), pa.array(cells, pa.list_(pa.string())), pa.array(links, link)], names=[key, "row", "heading", "cells", "links"])
 
-    return pages.select(key, html).mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, row int, heading string, cells array<string>")
+    return pages.select(key, html).mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, row int, heading string, cells array<string>, links {LINKS}")
 
 
 def infobox_evidence(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """``(key, row, evidence_text)``: each data row, after the heading above it; equal texts of a page once."""
+    """``(key, row, evidence_text, links)``: each data row, after the heading above it; equal texts with equal links of a page once."""
     from ..operators.questions import carried_header
 
     rows = carried_header(infobox_rows(pages, key, html), key, ["row"], F.col("heading"))
-    data = rows.where("heading is null").select(key, "row", F.concat_ws(", ", "header", F.array_join("cells", ", ")).alias("evidence_text"))
-    return data.groupBy(key, "evidence_text").agg(F.min("row").alias("row")).select(key, "row", "evidence_text")
+    data = rows.where("heading is null").select(key, "row", F.concat_ws(", ", "header", F.array_join("cells", ", ")).alias("evidence_text"), "links")
+    return data.groupBy(key, "evidence_text", "links").agg(F.min("row").alias("row")).select(key, "row", "evidence_text", "links")
