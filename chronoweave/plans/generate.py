@@ -17,7 +17,7 @@ from ..functions.text import clean_template, clean_year_template, page_prose, se
 from ..operators import questions as q
 from ..operators.kb import kb_evidence
 from ..operators.link import label_of, link_anchors, resolve_paths, titled, with_types
-from ..operators.records import with_similar_main
+from ..operators.records import SOURCES, union_all, with_similar_main
 from ..operators.rephrase import checked, rephrased
 from ..operators.sample import inverse_weights, weighted_pick
 from ..operators.signals import explicit_expressions
@@ -108,6 +108,22 @@ def fact_evidence(facts: DataFrame, labels: DataFrame, entities: DataFrame) -> D
     )
 
 
+def all_evidence(pages: DataFrame, anchors: DataFrame, facts: DataFrame, paths: DataFrame, redirects: DataFrame, labels: DataFrame, entities: DataFrame, sources: tuple[str, ...] = SOURCES) -> DataFrame:
+    """Evidence of the ``sources`` that are asked for, in the columns EVIDENCE; others are not worked out.
+
+    ``pages(topic_id, page_type, title, extract, html)``; infoboxes are read of entity pages alone.
+    """
+    if unknown := set(sources) - set(SOURCES):
+        raise ValueError(f"no such source: {sorted(unknown)}")
+    parts = {
+        "kb": lambda: fact_evidence(facts, labels, entities),
+        "text": lambda: text_evidence(pages.drop("html"), anchors, paths, redirects, labels, entities),
+        "info": lambda: info_evidence(pages.where("page_type = 'entity'"), paths, redirects, labels, entities),
+    }
+    chosen = [parts[s]() for s in SOURCES if s in sources]
+    return union_all(*chosen) if chosen else labels.sparkSession.createDataFrame([], EVIDENCE)
+
+
 def pseudo_questions(evidence: DataFrame, embed: Callable[[Column], Column] = hashed_embedding, max_words: int = q.MAX_WORDS, need_similar: bool = True) -> DataFrame:
     """Mains and constraints of ``evidence`` (columns EVIDENCE) joined by entities and time, with similar questions merged into earlier ones.
 

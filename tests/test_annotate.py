@@ -70,3 +70,14 @@ def test_evidence_of_year_pages(spark):
     got = generate.text_evidence(pages, anchors, w["paths"], w["redirects"], w["labels"], w["entities"]).orderBy("index").collect()
     assert [(r["evidence_id"], r["page_type"], [e["id"] for e in r["entities"]], r["begin"], r["end"]) for r in got] == [(f"Y1:text:{i}", "year", ids, 20010101, 20011231) for i, ids in ((0, ["Q3", "Q4"]), (3, ["Q3"]), (4, ["Q3"]))]
     assert [r["candidate_question_text"].count("2001") for r in got] == [0, 0, 3]
+
+
+def test_evidence_of_chosen_sources(spark):
+    w = fixtures._wiki(spark)
+    box = '<table class="infobox"><tr><td>Spouse</td><td><a href="/wiki/Bob">Bob</a> (2001)</td></tr></table>'
+    w["pages"] = w["pages"].withColumn("html", F.when(F.col("topic_id") == "Q1", box))
+    found = {s: generate.all_evidence(**w, sources=s) for s in ((), ("kb",), ("info", "text"))}
+    assert {s: sorted(r["source"] for r in df.collect()) for s, df in found.items()} == {(): [], ("kb",): ["kb", "kb"], ("info", "text"): ["info", "text", "text"]}
+    assert all(df.columns == spark.createDataFrame([], generate.EVIDENCE).columns for df in found.values())
+    questions = generate.pseudo_questions(generate.all_evidence(**w), need_similar=False).collect()
+    assert any("info" in r["source"] for r in questions)
