@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, ngram_join, pii, sharding, tiff, tokenpack, toxicity, warc
+from . import decontam, langid, mixing, ngram_join, pii, rolling_median, sharding, spelling, subspace_join, tiff, tokenpack, toxicity, warc
 from .common import table
 
 #: The key of the registered query's pseudonyms; a real one comes from a secret store.
@@ -65,6 +65,18 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
 
 
+def op11_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling_median.rolling_medians(table(spark, sf_dir, "clicks"))
+
+
+def op12_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,9 +84,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_language_id, op2_tiff_media, op3_warc_captures, op4_jump_shards, op5_token_pack, op6_ngram_join, op7_toxicity, op8_decontamination, op9_mixing, op10_pseudonyms, pipeline]
+    own = [op1_language_id, op2_tiff_media, op3_warc_captures, op4_jump_shards, op5_token_pack, op6_ngram_join, op7_toxicity, op8_decontamination, op9_mixing, op10_pseudonyms, op11_rolling_median, op12_embedding_join, op13_spelling_variants, pipeline]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_captures": warc.OP3_SQL, "op6_ngram_join": ngram_join.OP6_SQL, "op8_decontamination": decontam.OP8_SQL, "op9_mixing": mixing.OP9_SQL}
+    return {"op3_warc_captures": warc.OP3_SQL, "op6_ngram_join": ngram_join.OP6_SQL, "op8_decontamination": decontam.OP8_SQL, "op9_mixing": mixing.OP9_SQL, "op11_rolling_median": rolling_median.OP11_SQL, "op12_embedding_join": subspace_join.OP12_SQL}

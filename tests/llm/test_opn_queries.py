@@ -28,6 +28,12 @@ def tables(spark, where, docs, labels, pages, items):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string").write.parquet(f"{where}/labels.parquet")
     spark.createDataFrame([(*p, "x", 4) for p in pages], "page_id long, url string, html string, payload string, row int").write.parquet(f"{where}/pages.parquet")
     spark.createDataFrame([(*i, "y") for i in items], "item_id long, text string, doc_id string").write.parquet(f"{where}/benchmark.parquet")
+    some = bool(docs)
+    when = datetime.datetime(2024, 1, 1)
+    clicks = [(1, when, None, 1, "view", 1.5, "{}", 1), (1, when, when, 1, "view", 2.5, "{}", 1), (2, None, when, None, None, None, None, 1), (3, when, when, 1, None, 0.005, "{}", 1), (None, when, when, 1, "view", float("nan"), "{}", 1)]
+    spark.createDataFrame(clicks if some else [], "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, client_id long, kind string, value double, props string, n int").write.parquet(f"{where}/clicks.parquet")
+    vectors = [(1, [1.0, 0.0], 1, 5), (2, [1.0, 0.1], 1, 5), (2, [0.0, 1.0], 1, 5), (None, [1.0, 0.0], 1, 5), (4, None, 1, 5), (5, [1.0, None], 1, 5), (6, [1.0, 0.0], None, 5)]
+    spark.createDataFrame(vectors if some else [], "vec_id long, embedding array<float>, label int, c int").write.parquet(f"{where}/embeddings.parquet")
     return str(where)
 
 
@@ -248,3 +254,23 @@ def test_sql(spark, data, name):
         assert sorted(found.columns) == sorted(names)
         show = lambda r: tuple(f"{x:.6f}" if isinstance(x, float) else str(x) for x in r)
         assert sorted(map(show, cursor.fetchall())) == sorted(show(tuple(r)) for r in found.select(names).collect()), where
+
+
+def test_op11(spark, data):
+    columns, rows = run(spark, "op11", data[0])
+    assert columns == ["click_id", "kind", "n", "median2", "mad4", "far"]
+    assert bag(rows, *columns) == collections.Counter([(1, "view", 1, 300, 0, False), (3, None, 1, 2, 0, False), (None, "view", 1, 300, 0, None)])
+
+
+def test_op12(spark, data):
+    columns, rows = run(spark, "op12", data[0])
+    assert bag(rows, *columns) == collections.Counter([(1, 2, 1, True), (2, 2, 1, False), (2, 0, 2, True), (None, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True)])
+
+
+def test_op13(spark, data):
+    from .test_spelling import brute, brute_counts
+
+    columns, rows = run(spark, "op13", data[0])
+    assert columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    counts = brute_counts([(d[0], d[1]) for d in data[1]])
+    assert bag(rows, *columns) == collections.Counter(brute(counts))
