@@ -376,7 +376,7 @@ def rolling_medians(events: DataFrame, key: str = "click_id", ts: str = "ts", se
 OP11_SQL = """WITH once AS (
   SELECT click_id, kind, value, ts FROM (
     SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY ts IS NULL, arrived_at NULLS FIRST, ts, kind NULLS FIRST, value NULLS FIRST) AS r FROM clicks) WHERE r = 1 AND ts IS NOT NULL),
-c AS (SELECT *, CAST(floor(100 * value + 0.5) AS BIGINT) AS cents FROM once),
+c AS (SELECT *, CASE WHEN abs(100 * value + 0.5) <= 4503599627370496 THEN CAST(floor(100 * value + 0.5) AS BIGINT) END AS cents FROM once),
 w AS (SELECT click_id, kind, cents, list_sort(list(cents) FILTER (cents IS NOT NULL) OVER (PARTITION BY kind ORDER BY ts RANGE BETWEEN INTERVAL '899.999999 seconds' PRECEDING AND CURRENT ROW)) AS l FROM c),
 m AS (SELECT click_id, kind, cents, l, coalesce(len(l), 0) AS n, l[(len(l) + 1) // 2] + l[len(l) // 2 + 1] AS median2 FROM w),
 d AS (SELECT *, list_sort(list_transform(l, lambda x: abs(2 * x - median2))) AS far_by FROM m),

@@ -156,8 +156,9 @@ def heavy_children(places: DataFrame) -> DataFrame:
 def one_edit_pairs(words: DataFrame) -> DataFrame:
     """Pairs ``(a, b)``, each in both orders, of ids of ``words(id, word)`` that differ by one inserted, deleted or replaced code point; words are distinct."""
     places = trie_places(words)
-    light = places.join(heavy_children(places), ["node", "i"]).where("c <> heavy")
-    light = materialize(light, "light")
+    # Written first: all words meet at the shortest prefixes, and Spark splits such a partition only if no aggregate stands on the join's other side.
+    heavy = materialize(heavy_children(places), "heavy")
+    light = materialize(places.join(heavy, ["node", "i"]).where("c <> heavy"), "light")
     filled = lambda gap: f"({gap} + heavy * power) % {MODULUS} * {BASE} % {MODULUS}"
     path = lambda at, length, hash_: F.struct(F.expr(at).alias("at"), F.expr(length).cast("int").alias("length"), F.expr(hash_).alias("h"))
     inner, real = F.col("c") > 0, F.col("heavy") > 0

@@ -28,7 +28,7 @@ BLOCKS = 8
 #: A cell is so many times the block's radius wide.
 WIDTH = 4
 #: Vectors of a cell that are compared in one task with as many others; larger cells are dealt over several tasks.
-MOST = 4096
+MOST = 16_384
 #: Vectors that are compared with the others of their cell at once.
 CHUNK = 512
 UNIT = 1 << 20
@@ -135,22 +135,28 @@ def _tiled(cells: DataFrame, most: int) -> DataFrame:
     return sized.select(*cells.columns, F.inline(F.concat(asking, others)))
 
 
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+class _Block:
+    """A block's coordinates of some vectors, laid out so that one product tells which pairs are within the block's radius: ``ab - (aa + bb) / 2`` is minus half the squared distance, exactly."""
 
+    def __init__(self, y: np.ndarray, radius: float) -> None:
+        half, one = (y * y).sum(1, keepdims=True) / 2, np.ones((len(y), 1))
+        self.asking, self.answering, self.limit = np.hstack([y, -half, one]), np.hstack([y, one, -half]), -radius * radius / 2
 
-def _met(block: int, ids: tuple[np.ndarray, np.ndarray], x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], bounds: list[tuple[int, int, float]], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Links that ``block`` is the first to find: the rows and columns that have any, and the matrix of them."""
-    a, b, limit = bounds[block]
-    near = _squared(y[0][:, a:b], y[1][:, a:b]) <= limit
-    near &= ids[0][:, None] != ids[1][None, :]
-    rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-    if not len(rows):
+    def near(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        return self.asking[rows] @ self.answering[columns].T >= self.limit
+
+
+def _met(laid: list[_Block], ids: np.ndarray, x: np.ndarray, rows: np.ndarray, columns: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Links between ``rows`` and ``columns`` that the last of the blocks is the first to find: the rows and columns that may have any, and the matrix of them."""
+    near = laid[-1].near(rows, columns)
+    some, others = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+    if not len(some):
         return None
-    near = near[np.ix_(rows, columns)]
-    for a, b, limit in bounds[:block]:
-        near &= _squared(y[0][rows, a:b], y[1][columns, a:b]) > limit
-    near &= x[0][rows] @ x[1][columns].T >= least
+    near, rows, columns = near[np.ix_(some, others)], rows[some], columns[others]
+    near &= ids[rows][:, None] != ids[columns][None, :]
+    for before in laid[:-1]:
+        near &= ~before.near(rows, columns)
+    near &= x[rows] @ x[columns].T >= least
     return rows, columns, near
 
 
@@ -177,19 +183,23 @@ def _links(tiles: DataFrame, element: str, blocks: int, least: float) -> DataFra
         x = units(np.frombuffer(b"".join(t["v"]), kind).reshape(len(t), -1))
         y = rotated(x)
         size = y.shape[1]
-        bounds = [(a, b, r * r) for (a, b), r in zip(cuts(size, blocks), radii(size, blocks, least))]
-        asks, answers = np.flatnonzero(t["asks"].to_numpy()), np.flatnonzero(t["answers"].to_numpy())
+        laid = [_Block(y[:, a:b], r) for (a, b), r in zip(cuts(size, blocks)[: block + 1], radii(size, blocks, least))]
+        # By the block's first coordinate only those within its radius of a chunk come into question.
+        first, radius = y[:, cuts(size, blocks)[block][0]], radii(size, blocks, least)[block]
+        order = np.argsort(first, kind="stable")
+        asks, answers = order[t["asks"].to_numpy()[order]], order[t["answers"].to_numpy()[order]]
         links, edges = np.zeros(len(t), np.int64), [np.zeros((0, 2), np.int64)]
         for at in range(0, len(asks), CHUNK):
             some = asks[at : at + CHUNK]
-            met = _met(block, (ids[some], ids[answers]), (x[some], x[answers]), (y[some], y[answers]), bounds, least)
+            low, high = np.searchsorted(first[answers], [first[some[0]] - radius, first[some[-1]] + radius + 1])
+            met = _met(laid, ids, x, some, answers[low:high], least)
             if met is None:
                 continue
             rows, columns, near = met
-            links[some[rows]] += near @ n[answers[columns]]
+            links[rows] += near @ n[columns]
             rows, columns, near = rows[near.any(1)], columns[near.any(0)], near[near.any(1)][:, near.any(0)]
             if len(rows):
-                edges.append(_spanning(near, ids[some[rows]], ids[answers[columns]]))
+                edges.append(_spanning(near, ids[rows], ids[columns]))
         found, edges = np.flatnonzero(links), np.unique(np.concatenate(edges), axis=0)
         return pd.DataFrame({"c": np.concatenate([ids[found], edges[:, 0]]), "links": np.concatenate([links[found], np.zeros(len(edges), np.int64)]), "other": np.concatenate([ids[found], edges[:, 1]])})
 
