@@ -24,7 +24,7 @@ ROW = pa.struct([("text", pa.string()), ("method", pa.string()), ("begin", pa.st
 
 
 def _day(y: str, m: str, d: str) -> str:
-    return f"{y}-{m}-{d.rjust(2, '0')[:2]}{SUFFIX}"
+    return f"{y}-{m}-{d.rjust(2, '0')}{SUFFIX}"
 
 
 def _side(found: re.Match, groups: tuple[int, int, int], last: bool) -> str | None:

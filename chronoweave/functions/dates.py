@@ -48,7 +48,8 @@ def month_name(number: Column) -> Column:
 
 
 def timestamp(y: Column, m: Column, d: Column) -> Column:
-    return F.concat(y, F.lit("-"), m, F.lit("-"), F.lpad(d, 2, "0"), F.lit(SUFFIX))
+    """A day of one digit gets a zero; longer ones stay as written, and are no day that the bounds let through."""
+    return F.concat(y, F.lit("-"), m, F.lit("-"), F.when(F.length(d) < 2, F.lpad(d, 2, "0")).otherwise(d), F.lit(SUFFIX))
 
 
 def year_span(y: Column) -> tuple[Column, Column]:
@@ -67,8 +68,7 @@ def _side(found: Column, pattern: str, groups: tuple[int, int, int], last: bool)
     month = month_number(m)
     if d is None:
         return month_span(y, month)[last]
-    # Days longer than two digits keep their last two when they pad with zeros only.
-    return timestamp(y, month, F.when(F.length(d) > 2, d).otherwise(F.lpad(d, 2, "0")))
+    return timestamp(y, month, d)
 
 
 def grammar_dates(text: Column, grammar: str) -> Column:

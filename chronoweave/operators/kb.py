@@ -41,12 +41,17 @@ def last_timestamp(fact: Column) -> Column:
 
 
 def template(fact: Column) -> Column:
-    """Labels without dates: the first three items, then qualifier pairs whose value is no date. Of longer facts the first five items count."""
+    """Labels without dates: the first three items, then qualifier pairs whose value is no date. Of longer facts the first five items count.
+
+    Where the object of a qualified fact is a date, the characters of its predicate's label go off the end too.
+    """
     short = F.when(F.size(fact) > 5, F.slice(fact, 1, 5)).otherwise(fact)
     date = lambda x: F.contains(x["id"], F.lit("T00:00:00Z"))
     head = F.filter(F.slice(short, 1, 3), lambda x: ~date(x))
     tail = F.filter(short, lambda x, i: (i >= 3) & ~date(F.get(short, F.when(i % 2 == 1, i + 1).otherwise(i))))
-    return F.array_join(F.transform(F.concat(head, tail), lambda x: x["label"]), " ")
+    labels = lambda items: F.array_join(F.transform(items, lambda x: x["label"]), " ")
+    bare = F.concat(rstrip_chars(F.concat(F.lit(" "), labels(head)), F.get(short, F.lit(1))["label"]), F.lit(" "), labels(tail))
+    return F.when((F.size(fact) > 3) & date(F.get(short, F.lit(2))), F.trim(bare)).otherwise(labels(F.concat(head, tail)))
 
 
 def _evidence(begin: Column, end: Column, rule: str, answers: bool) -> Column:
@@ -98,8 +103,3 @@ def facts_of(entities: DataFrame, facts: DataFrame, most: int = 1000) -> DataFra
     met = named.join(entities.select("topic_id").distinct(), "topic_id")
     rank = F.row_number().over(Window.partitionBy("topic_id").orderBy("fact_id"))
     return met.withColumn("fact_no", rank).where(F.col("fact_no") <= most).select("topic_id", "fact_no", "fact")
-
-
-def without_label_suffix(text: Column, label: Column) -> Column:
-    """A template without trailing characters of the last label."""
-    return F.rtrim(rstrip_chars(text, label))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import is_timestamp, timestamp_label
 from ..functions.text import is_item, title_to_path
+from ..session import stored
 
 
 def resolve_paths(rows: DataFrame, paths: DataFrame, redirects: DataFrame, column: str = "path") -> DataFrame:
@@ -18,17 +19,17 @@ def resolve_paths(rows: DataFrame, paths: DataFrame, redirects: DataFrame, colum
     ids = paths.groupBy("path").agg(F.min("id").alias("id"))
     exact = ids.select(F.col("path").alias("_p1"), F.col("id").alias("_id1"))
     dotless = ids.select(F.col("path").alias("_p2"), F.col("id").alias("_id2"))
-    moved = redirects.groupBy(F.col("from_path").alias("_from")).agg(title_to_path(F.min("to_title")).alias("_to"))
-    target = ids.select(F.col("path").alias("_p3"), F.col("id").alias("_id3"))
     asked = rows.select(F.col(column).alias("_asked")).where("_asked is not null").distinct()
-    known = asked.join(exact, F.col("_asked") == F.col("_p1"), "left").join(dotless, F.replace("_asked", F.lit("."), F.lit("")) == F.col("_p2"), "left").join(moved, F.col("_asked") == F.col("_from"), "left").join(target, F.col("_to") == F.col("_p3"), "left")
-    known = known.select("_asked", F.coalesce("_id1", "_id2", "_id3").alias("_id"))
+    found = asked.join(exact, F.col("_asked") == F.col("_p1"), "left").join(dotless, F.replace("_asked", F.lit("."), F.lit("")) == F.col("_p2"), "left")
+    found = stored(found.select("_asked", F.coalesce("_id1", "_id2").alias("_id")), "paths")
+    known = found.where("_id is not null").unionByName(_redirected(found.where("_id is null").select("_asked"), ids, redirects))
     return rows.join(known, F.col(column) == F.col("_asked"), "left").select(*rows.columns, F.col("_id").alias("id"))
 
 
-def redirect_candidates(rows: DataFrame, paths: DataFrame, column: str = "path") -> DataFrame:
-    """Paths that the dictionary does not know."""
-    return rows.select(F.col(column).alias("path")).distinct().join(paths.select("path"), "path", "left_anti")
+def _redirected(candidates: DataFrame, ids: DataFrame, redirects: DataFrame) -> DataFrame:
+    """``(_asked, _id)`` of those paths ``_asked``, which the dictionary does not know, whose redirect it knows."""
+    moved = redirects.groupBy(F.col("from_path").alias("_asked")).agg(title_to_path(F.min("to_title")).alias("_to"))
+    return candidates.join(moved, "_asked").join(ids.select(F.col("path").alias("_to"), F.col("id").alias("_id")), "_to").select("_asked", "_id")
 
 
 def label_of(item: Column, labels: Column) -> Column:
@@ -48,6 +49,14 @@ def with_types(rows: DataFrame, entities: DataFrame, column: str = "id") -> Data
     return rows.join(dim, F.col(column) == F.col("_id"), "left").select(*rows.columns, F.coalesce("_t", F.lit("NULL")).alias("type"), F.coalesce("_f", F.lit(0)).alias("frequency"))
 
 
+def with_all_types(rows: DataFrame, entities: DataFrame, column: str = "id") -> DataFrame:
+    """``rows`` whose id has types, with all of them by label (``types``) and the sum of its frequencies."""
+    labels = F.array_distinct(F.filter(F.transform("types", lambda t: t["label"]), lambda t: t.isNotNull()))
+    total = F.aggregate(F.coalesce("frequency", F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    dim = entities.select(F.col("id").alias("_id"), labels.alias("_types"), total.alias("_f")).where(F.size("_types") > 0)
+    return rows.join(dim, F.col(column) == F.col("_id")).select(*rows.columns, F.col("_types").alias("types"), F.col("_f").alias("frequency"))
+
+
 def link_anchors(text: Column, anchors: Column) -> Column:
     """Anchors ``array<struct<text, path>>`` that a text holds: ``array<struct<text, path, s, e>>``.
 
@@ -70,18 +79,6 @@ def reconciled(rows: DataFrame, names: DataFrame, column: str = "url") -> DataFr
     return rows.join(first, F.col(column) == F.col("_u"), "left").select(*rows.columns, F.col("_n.id").alias("id"), F.col("_n.name").alias("name"))
 
 
-def disambiguated(entities: Column, disambiguations: Column) -> Column:
-    """Entities with ``disam_label``: the last text that is linked to their id."""
-    return F.transform(
-        entities, lambda x: F.struct(x["id"].alias("id"), x["label"].alias("label"), x["type"].alias("type"), F.try_element_at(F.filter(disambiguations, lambda d: d["id"] == x["id"]), F.lit(-1))["text"].alias("disam_label"))
-    )
-
-
-def evidence_ids(page_id: Column, timestamps: Column, linked: Column) -> Column:
-    """A snippet's ids once each: the page's, the dates', the links'."""
-    return F.array_distinct(F.filter(F.concat(F.array(page_id), timestamps, linked), lambda x: x.isNotNull()))
-
-
 def titled(title: Column, sentence: Column) -> Column:
     from ..functions.text import one_line
 

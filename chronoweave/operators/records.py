@@ -1,4 +1,4 @@
-"""Whole records: unions of sources, duplicates, orders, lookups by position, totals."""
+"""Whole records: unions of sources, duplicates, orders, lookups by position."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 SOURCES = ("kb", "text", "info")
 
 
@@ -28,7 +30,20 @@ def first_records(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def by_frequency(entities: DataFrame, frequency: str = "frequency", key: str = "id") -> DataFrame:
     """Entities with their place by frequency, the most frequent first, ties by key; null frequencies last."""
-    return entities.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last(frequency), F.asc(key))))
+    return placed(entities, F.desc_nulls_last(frequency), F.asc(key))
+
+
+def placed(rows: DataFrame, *order: Column | str, name: str = "place", first: int = 1) -> DataFrame:
+    """``rows`` with their place in an order, counted from ``first``, without all rows in one task.
+
+    Rows are dealt by ranges and sorted in each; a row's place is its place in its range after all rows of the ranges before,
+    whose sizes are one row for each range.
+    """
+    part, at = F.spark_partition_id(), F.monotonically_increasing_id() % (1 << 33)
+    ranged = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", part).withColumn("_at", at), "placed")
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + first).drop("_part", "_at", "_before")  # one row for each partition
 
 
 def not_sampled(pool: DataFrame, taken: DataFrame, key: str = "id") -> DataFrame:

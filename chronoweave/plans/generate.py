@@ -59,7 +59,8 @@ def text_evidence(pages: DataFrame, anchors: DataFrame, paths: DataFrame, redire
     told = told.where(F.when(F.col("page_type") == "year", year_snippet_kept(spans, signals)).otherwise(snippet_kept(F.lit("text"), spans, signals)))
     known = anchors.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "path"))).alias("a"))
     known = known.select("topic_id", F.transform("a", lambda x: F.struct(x["text"].alias("text"), x["path"].alias("path"))).alias("anchors"))
-    rows = told.join(known, "topic_id").withColumn("evidence_id", F.format_string("%s:text:%d", "topic_id", "index"))
+    # A page without anchors still tells of itself.
+    rows = told.join(known, "topic_id", "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<struct<text:string,path:string>>"))).withColumn("evidence_id", F.format_string("%s:text:%d", "topic_id", "index"))
     rows = _step(rows, "links", link_anchors(F.col("sentence"), F.col("anchors"))).drop("anchors")
     rows = stored(rows, "snippets")
     return _linked_evidence(rows, "text", paths, redirects, labels, entities, most_entities)

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fixtures, shaped, star
+from . import shaped, star, ways
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**star.QUERIES, **shaped.QUERIES, **fixtures.QUERIES}
+    return {**star.QUERIES, **shaped.QUERIES, **ways.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**star.SQL, **shaped.SQL, **fixtures.SQL}
+    return {**star.SQL, **shaped.SQL, **ways.SQL}

@@ -15,11 +15,10 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None, name: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str, name: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name or f.__name__] = f
-        if sql:
-            SQL[name or f.__name__] = sql
+        SQL[name or f.__name__] = sql
         return f
 
     return add
@@ -172,7 +171,7 @@ def year_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT s, least(s + 1, (SELECT max(y) FROM p)) AS e FROM (SELECT unnest(range(min(y), max(y) + 1, 2)) AS s FROM p))
 SELECT s::INT AS range_start, e::INT AS range_end, sum(ceil(n * 1000 / (SELECT sum(n) FROM p)))::BIGINT AS target FROM r JOIN p ON y BETWEEN s AND e GROUP BY s, e""")
 def target_apportion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n")).cache()
+    pages = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
     lo, hi = pages.agg(F.min("year"), F.max("year")).first()
     return generators.apportioned_targets(pages, generators.year_ranges(spark, lo, hi, 2).select("range_start", "range_end"), 1000)
 
@@ -408,13 +407,6 @@ def text_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("sentence")).alias("longest"))
 
 
-@query(None)
-def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.html import page_anchors
-
-    return page_anchors(table(spark, sf_dir, "pages"), "page_id", wiki_only=False)
-
-
 @query("""SELECT o_orderpriority AS priority, o_orderstatus AS status, count(*) AS n, count(DISTINCT o_custkey) AS topics FROM orders GROUP BY 1, 2""")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), "o_custkey")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_made: list[tuple[SparkSession, str]] = []
 
 
 def get_session(name: str = "chronoweave", **conf: str) -> SparkSession:
@@ -58,8 +60,40 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            delete(spark, path)
+        except Exception:  # the session has ended: the folder's owner cleans up
+            return
+
+
+def stored(df: DataFrame, name: str, compression: str = "snappy", partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage is cut by files that outlive any executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = scratch_path(df.sparkSession, name)
+    writer = df.write.option("compression", compression)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop_stored(*tables: DataFrame | None) -> None:
+    """Delete the files of stored tables that nothing reads any more."""
+    for df in tables:
+        if (path := getattr(df, "_stored_at", None)) is not None:
+            delete(df.sparkSession, path)
+            _made.remove((df.sparkSession, path))

@@ -8,12 +8,12 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.questions import last_per_key
-from ..session import stored
+from ..operators.records import placed
 
 
 def read_config(path: str) -> dict:
@@ -61,16 +61,8 @@ def read_year_files(spark: SparkSession, path: str, first: int, last: int, schem
 
 
 def numbered(rows: DataFrame, iteration: int, *order: str) -> DataFrame:
-    """Ids ``"{iteration}-{n}"`` in the order of the given columns, without sorting all rows in one task.
-
-    Rows are range-partitioned and sorted; a partition's first number is the count of those before it.
-    """
-    part = F.spark_partition_id()
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", part).withColumn("_i", F.monotonically_increasing_id() % (1 << 33))
-    ranged = stored(ranged, "numbered")
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    firsts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_first"))
-    return ranged.join(firsts, "_part").withColumn("id", F.concat_ws("-", F.lit(str(iteration)), (F.col("_first") + F.col("_i")).cast("string"))).drop("_part", "_i", "_first")
+    """Ids ``"{iteration}-{n}"`` in the order of the given columns, without sorting all rows in one task."""
+    return placed(rows, *order, name="_n", first=0).withColumn("id", F.concat_ws("-", F.lit(str(iteration)), F.col("_n").cast("string"))).drop("_n")
 
 
 def write_json(rows: DataFrame, path: str, skip_existing: bool = False) -> None:
@@ -86,48 +78,74 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    """Names of a cache's versions, oldest first: v and a number of ten digits."""
+#: Seconds that a part of a cache stays after a compaction has taken it in, for readers that have begun.
+GRACE = 3600
+_INCLUDED = "_included"
+
+
+def _parts(spark: SparkSession, path: str) -> list[str]:
+    """Names of a cache's parts by the time they were written: p, 20 digits of nanoseconds, an id."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(where):
-        return []
-    return sorted(n for s in fs.listStatus(where) if re.fullmatch(r"v\d{10}", n := s.getPath().getName()))
+    return sorted(n for s in fs.listStatus(where) if re.fullmatch(r"p\d{20}-[0-9a-f]{32}", n := s.getPath().getName())) if fs.exists(where) else []
+
+
+def read_cache(spark: SparkSession, path: str, schema: str | StructType, keys: list[str] | None = None, version: str = "version") -> DataFrame:
+    """A cache table: of each key (the first column unless named) the row of the greatest version, of equal versions that written last; empty if there is none."""
+    parts = _parts(spark, path)
+    empty = spark.createDataFrame([], schema)
+    return _merged(spark, path, parts, empty.schema, keys or empty.columns[:1], version) if parts else empty
 
 
-def read_cache(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """A cache table's newest version, empty if there is none yet."""
-    versions = _versions(spark, path)
-    return spark.read.schema(schema).parquet(f"{path}/{versions[-1]}") if versions else spark.createDataFrame([], schema)
+def _merged(spark: SparkSession, path: str, parts: list[str], schema: StructType, keys: list[str], version: str) -> DataFrame:
+    rows = spark.read.schema(schema).parquet(*[f"{path}/{p}" for p in parts])
+    part = F.element_at(F.split(F.input_file_name(), "/"), -2)
+    rest = [c for c in rows.columns if c not in keys]
+    last = rows.withColumn("_part", part).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, "_part")).alias("_last"))
+    return last.select(*keys, "_last.*").select(*rows.columns)
 
 
-def upsert_cache(spark: SparkSession, path: str, new: DataFrame, keys: list[str], version: str = "version", tries: int = 20) -> DataFrame:
-    """The cache with ``new`` rows, of each key the latest version, committed as the next version in the cache's folder.
+def upsert_cache(spark: SparkSession, path: str, new: DataFrame, keys: list[str], version: str = "version", most_parts: int = 16) -> DataFrame:
+    """The cache with ``new`` rows, of each key the greatest version.
 
-    A version is written aside and gets its name by a rename, which only one writer can do for one name; who
-    comes second merges with the first one's version and tries again, so no update is lost. Of versions the newest two stay.
+    A writer adds a part under a name of its own and changes no other's, so writers never wait for each other, none
+    loses rows however slow it is, and one that dies leaves nothing that counts. Beyond ``most_parts`` parts a writer also
+    adds one that holds what they hold together; parts taken in go once they are older than GRACE. Errors of the file system are raised.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = place(path).getFileSystem(conf)
-    for _ in range(tries):
-        before = _versions(spark, path)
-        target = f"{path}/v{(int(before[-1][1:]) if before else 0) + 1:010d}"
-        aside = f"{path}/.{uuid.uuid4().hex}"
-        last_per_key(read_cache(spark, path, new.schema), new, keys, version).write.parquet(aside)
-        # The claim is a file that only one writer can create; a folder of that name might take the rename in.
-        try:
-            fs.create(place(f"{target}.claim"), False).close()
-        except Exception:  # another writer has the number
-            fs.delete(place(aside), True)
-            time.sleep(0.2)
-            continue
-        fs.rename(place(aside), place(target))
-        for old in before[:-1]:
-            fs.delete(place(f"{path}/{old}"), True)
-            fs.delete(place(f"{path}/{old}.claim"), False)
-        return spark.read.schema(new.schema).parquet(target)
-    raise TimeoutError(f"other writers hold {path}")
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def commit(rows: DataFrame, time_ns: int, included: list[str]) -> None:
+        name = f"p{time_ns:020d}-{uuid.uuid4().hex}"
+        aside = f"{path}/.{name}"
+        rows.write.parquet(aside)
+        out = fs.create(place(f"{aside}/{_INCLUDED}"))
+        out.write(bytearray("\n".join(included).encode()))
+        out.close()
+        if not fs.rename(place(aside), place(f"{path}/{name}")):
+            raise OSError(f"{aside} can't be renamed")
+
+    commit(last_per_key(new.limit(0), new, keys, version), time.time_ns(), [])
+    parts = _parts(spark, path)
+    if len(parts) > most_parts:
+        # It bears the time of the latest part in it, so that a part written meanwhile still counts as later.
+        commit(_merged(spark, path, parts, new.schema, keys, version), int(parts[-1][1:21]), parts)
+        for part in _taken_in(spark, path):
+            if int(part[1:21]) < time.time_ns() - GRACE * 10**9:
+                fs.delete(place(f"{path}/{part}"), True)
+    return read_cache(spark, path, new.schema, keys, version)
+
+
+def _taken_in(spark: SparkSession, path: str) -> set[str]:
+    """Parts whose rows a later part holds too."""
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts, names = _parts(spark, path), set()
+    for part in parts:  # some dozens at most
+        stream = fs.open(place(f"{path}/{part}/{_INCLUDED}"))
+        names |= set(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n"))
+        stream.close()
+    return names & set(parts)
 
 
 def write_dump(rows: DataFrame, path: str) -> None:
