@@ -28,30 +28,67 @@ def _near(later: Column, earlier: Column, gap_mode: str) -> Column:
     return F.floor(later / 10000) - F.floor(earlier / 10000) < GAP
 
 
+def span_marks(b: Column, e: Column) -> Column:
+    """What the relations need of a span, worked out once for each span and not for each pair: its ends, whether it begins on 1 January and ends on 31 December, and the new year of its end's year.
+
+    For spans without nulls.
+    """
+    # No field is ever null: tests for nulls would make the pairs' code too long for the JVM to compile.
+    some = lambda x: F.coalesce(x, F.lit(0))
+    no = F.lit(False)
+    return F.struct(some(b).alias("b"), some(e).alias("e"), F.coalesce(_jan1(b), no).alias("j"), F.coalesce(_dec31(e), no).alias("d"), some(_new_year(e)).alias("y"))
+
+
+def _end(x: Column, other: Column) -> Column:
+    """Where a span ends beside another: whole years end where they begin if the other begins on 1 January."""
+    return F.when(x["j"] & x["d"] & other["j"], x["y"]).otherwise(x["e"])
+
+
+def _same(m: Column, c: Column) -> Column:
+    return (m["b"] == c["b"]) & (m["e"] == c["e"])
+
+
+def _after(m: Column, c: Column, end: Column, gap_mode: str) -> Column:
+    follows = F.when(m["b"] == m["e"], m["b"] > end).otherwise((m["b"] < m["e"]) & (m["b"] >= end))
+    return ~_same(m, c) & _near(m["b"], end, gap_mode) & follows
+
+
+def _before(m: Column, c: Column, end: Column, gap_mode: str) -> Column:
+    precedes = F.when(m["b"] <= end, end < c["b"]).otherwise(False) | ((m["b"] < end) & (end <= c["b"])) | ((end < c["b"]) & (c["b"] <= c["e"]))
+    return ~_same(m, c) & _near(c["b"], end, gap_mode) & precedes
+
+
+def _during(m: Column, c: Column) -> Column:
+    years = m["j"] & m["d"] & c["j"] & c["d"]
+    me, oe = F.when(years, m["y"]).otherwise(m["e"]), F.when(years, c["y"]).otherwise(c["e"])
+    inside, around = (c["b"] <= m["b"]) & (oe >= me), (m["b"] <= c["b"]) & (me >= oe)
+    head, tail = (m["b"] <= c["b"]) & (me > c["b"]) & (me <= oe), (me >= oe) & (m["b"] > c["b"]) & (m["b"] < oe)
+    return _same(m, c) | inside | around | head | tail
+
+
 def is_after(b: Column, e: Column, cs: Column, ce: Column, gap_mode: str = "int") -> Column:
     """The main span (b, e) begins at or soon after the end of (cs, ce); whole years end where they begin."""
-    end = F.when(_jan1(cs) & _dec31(ce) & _jan1(b), _new_year(ce)).otherwise(ce)
-    follows = F.when(b == e, b > end).otherwise((b < e) & (b >= end))
-    return ~((b == cs) & (e == ce)) & follows & _near(b, end, gap_mode)
+    m, c = span_marks(b, e), span_marks(cs, ce)
+    return _after(m, c, _end(c, m), gap_mode)
 
 
 def is_before(b: Column, e: Column, cs: Column, ce: Column, gap_mode: str = "int") -> Column:
-    end = F.when(_jan1(b) & _dec31(e) & _jan1(cs), _new_year(e)).otherwise(e)
-    precedes = ((b == end) & (end < cs)) | ((b < end) & (end <= cs)) | ((end < cs) & (cs <= ce))
-    return ~((b == cs) & (e == ce)) & precedes & _near(cs, end, gap_mode)
+    m, c = span_marks(b, e), span_marks(cs, ce)
+    return _before(m, c, _end(m, c), gap_mode)
 
 
 def is_during(b: Column, e: Column, cs: Column, ce: Column) -> Column:
-    years = _jan1(b) & _dec31(e) & _jan1(cs) & _dec31(ce)
-    me, oe = F.when(years, _new_year(e)).otherwise(e), F.when(years, _new_year(ce)).otherwise(ce)
-    inside, around = (cs <= b) & (oe >= me), (b <= cs) & (me >= oe)
-    head, tail = (b <= cs) & (me > cs) & (me <= oe), (me >= oe) & (b > cs) & (b < oe)
-    return ((b == cs) & (e == ce)) | inside | around | head | tail
+    return _during(span_marks(b, e), span_marks(cs, ce))
+
+
+def marked_signal(m: Column, c: Column, gap_mode: str = "int") -> Column:
+    """``signal`` of two spans whose ``span_marks`` are known."""
+    return F.when(_after(m, c, _end(c, m), gap_mode), "AFTER").when(_before(m, c, _end(m, c), gap_mode), "BEFORE").when(_during(m, c), "OVERLAP")
 
 
 def signal(b: Column, e: Column, cs: Column, ce: Column, gap_mode: str = "int") -> Column:
     """AFTER, else BEFORE, else OVERLAP, else null."""
-    return F.when(is_after(b, e, cs, ce, gap_mode), "AFTER").when(is_before(b, e, cs, ce, gap_mode), "BEFORE").when(is_during(b, e, cs, ce), "OVERLAP")
+    return F.when(b.isNotNull() & e.isNotNull() & cs.isNotNull() & ce.isNotNull(), marked_signal(span_marks(b, e), span_marks(cs, ce), gap_mode))
 
 
 def signal_word(s: Column) -> Column:

@@ -2,40 +2,94 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import fact_marks, marked_same_fact
-from ..functions.relations import signal, signal_word
+from ..functions.relations import GAP, marked_signal, signal_word, span_marks
 from ..functions.text import squeeze, word_count
+from ..session import stored
 
 MAX_WORDS = 80
 
 
-def temporal_pairs(mains: DataFrame, constraints: DataFrame, max_words: int | None = MAX_WORDS, gap_mode: str = "int", suppress_same_fact: bool = True) -> DataFrame:
+#: Pairs of an entity beyond which its mains and constraints meet by time as well.
+HUB_PAIRS = 4_000_000
+#: Widths of the time buckets, in yyyymmdd integers; a span lies at the least one that is as wide as it.
+WIDTHS = (8, 32, 128, 512, 2_048, 8_192, 32_768, 1 << 31)
+
+
+def _bucketed(rows: DataFrame, begin: str, end: str, pad: int, roles: dict[bool, tuple[str, ...]]) -> DataFrame:
+    """Rows once for each bucket that their span and ``pad`` on both sides touch, one or two of its own width and of each greater width, with ``first``, the first of them, and ``role``."""
+    lo, hi = F.least(begin, end) - pad, F.greatest(begin, end) + pad
+    length = hi - lo + 1
+    own = F.lit(len(WIDTHS) - 1)
+    for level in range(len(WIDTHS) - 2, -1, -1):
+        own = F.when(length <= WIDTHS[level], level).otherwise(own)
+
+    def touched(level: int, width: int) -> Column:
+        a, z = F.floor(lo / width), F.floor(hi / width)
+        each = F.transform(F.sequence(a, z), lambda k: F.struct(F.lit(level).alias("level"), k.alias("bucket"), a.alias("first"), (own == level).alias("home")))
+        return F.when(own <= level, each).otherwise(F.array().cast("array<struct<level:int,bucket:bigint,first:bigint,home:boolean>>"))
+
+    placed = rows.select("*", F.inline(F.flatten(F.array(*[touched(i, w) for i, w in enumerate(WIDTHS)]))))
+    role = F.when(F.col("home"), F.array(*map(F.lit, roles[True]))).otherwise(F.array(*map(F.lit, roles[False])))
+    return placed.withColumn("role", F.explode(role)).drop("home")
+
+
+def near_in_time(left: DataFrame, right: DataFrame, pad: int) -> DataFrame:
+    """Pairs of one ``entity`` whose spans ``(b, e)`` and ``(cs, ce)`` are at most ``pad`` apart, each once.
+
+    A span has buckets of its own width, where it is at home, and of greater ones, where it visits. Those at home meet each other and visitors, so
+    a pair meets at the wider span's width alone; of two common buckets the first counts.
+    """
+    m = _bucketed(left, "b", "e", pad, {True: ("both", "left"), False: ("right",)}).withColumnRenamed("first", "m_first")
+    c = _bucketed(right, "cs", "ce", 0, {True: ("both", "right"), False: ("left",)}).withColumnRenamed("first", "c_first")
+    near = (F.least("b", "e") - pad <= F.greatest("cs", "ce")) & (F.greatest("b", "e") + pad >= F.least("cs", "ce"))
+    met = m.join(c, ["entity", "level", "bucket", "role"]).where(near & (F.col("bucket") == F.greatest("m_first", "c_first")))
+    return met.drop("level", "bucket", "role", "m_first", "c_first")
+
+
+def _met(left: DataFrame, right: DataFrame, pad: int, hub_pairs: int) -> DataFrame:
+    """Pairs of one ``entity``: all of them, but of hub entities those near in time."""
+    count = lambda rows, name: rows.groupBy("entity").agg(F.count(F.lit(1)).alias(name))
+    hubs = stored(count(left, "m").join(count(right, "c"), "entity").where(F.col("m") * F.col("c") > hub_pairs).select("entity"), "hubs")
+    if hubs.isEmpty():
+        return left.join(right, "entity")
+    rest = left.join(hubs, "entity", "left_anti").join(right, "entity")
+    hub = near_in_time(left.join(hubs, "entity", "left_semi"), right.join(hubs, "entity", "left_semi"), pad)
+    return rest.unionByName(hub)
+
+
+def temporal_pairs(mains: DataFrame, constraints: DataFrame, max_words: int | None = MAX_WORDS, gap_mode: str = "int", suppress_same_fact: bool = True, hub_pairs: int = HUB_PAIRS) -> DataFrame:
     """Mains with constraints that share a question entity, hold none of the answers, and stand before, after or during.
 
     ``mains``: (main_id, text, begin, end, question_ids, answer_ids), ``constraints``: (constraint_id,
-    text, begin, end, entity_ids); spans as integers. Pairs that tell one fact go: of equal items only those of the
+    text, begin, end, entity_ids); spans as integers, a row without one pairs with nothing. Pairs that tell one fact go: of equal items only those of the
     question count, as a constraint with an answer is none anyway. A column ``told`` of mains, if there is one, is what
     these tests and the word limit read instead of ``text``. Both sides are dealt by entity, so the pairs meet
-    by an equi-join (hub entities are split by AQE); a pair that shares several entities is kept where
-    it meets on the least of them, which needs no further shuffle.
+    by an equi-join; an entity with more than ``hub_pairs`` of them is dealt by time as well. A pair that
+    shares several entities is kept where it meets on the least of them, which needs no further shuffle.
     """
     told = F.col("told" if "told" in mains.columns else "text")
     themes = lambda c: F.array(*fact_marks(c)) if suppress_same_fact else F.array().cast("array<boolean>")
     n = lambda c: word_count(c) if max_words is not None else F.lit(0)
-    m = mains.select("main_id", F.col("text").alias("main_text"), F.col("begin").alias("b"), F.col("end").alias("e"), "question_ids", "answer_ids", n(told).alias("n"), themes(told).alias("themes"))
-    c = constraints.select("constraint_id", F.col("text").alias("constraint_text"), F.col("begin").alias("cs"), F.col("end").alias("ce"), "entity_ids", n(F.col("text")).alias("cn"), themes("text").alias("c_themes"))
+    dated = lambda rows: rows.where(F.col("begin").isNotNull() & F.col("end").isNotNull())
+    span = span_marks(F.col("begin"), F.col("end"))
+    m = dated(mains).select("main_id", F.col("text").alias("main_text"), F.col("begin").alias("b"), F.col("end").alias("e"), span.alias("m_span"), "question_ids", "answer_ids", n(told).alias("n"), themes(told).alias("themes"))
+    c = dated(constraints).select("constraint_id", F.col("text").alias("constraint_text"), F.col("begin").alias("cs"), F.col("end").alias("ce"), span.alias("c_span"), "entity_ids", n(F.col("text")).alias("cn"), themes("text").alias("c_themes"))
     # What a pair needs is worked out once for each side; the texts stay with it, as a pair shows both.
     left = m.withColumn("entity", F.explode(F.array_distinct("question_ids")))
     right = c.withColumn("entity", F.explode(F.array_distinct("entity_ids")))
-    met = left.join(right, "entity").where(F.col("main_id") != F.col("constraint_id"))
+    met = _met(left, right, GAP if gap_mode == "int" else GAP * 10_000, hub_pairs).where(F.col("main_id") != F.col("constraint_id"))
     if max_words is not None:
         met = met.where(F.col("n") + F.col("cn") <= max_words)
-    met = met.withColumn("signal", signal(F.col("b"), F.col("e"), F.col("cs"), F.col("ce"), gap_mode)).where("signal is not null")
-    only = (F.size("question_ids") == 1) | (F.size("entity_ids") == 1)
-    met = met.where(only | (F.col("entity") == F.array_min(F.array_intersect("question_ids", "entity_ids")))).where(~F.arrays_overlap("answer_ids", "entity_ids"))
+    met = met.withColumn("signal", marked_signal(F.col("m_span"), F.col("c_span"), gap_mode)).where("signal is not null")
+    # By lambdas, whose code stays outside the join's: with set operations in it the JVM would not compile it.
+    held = lambda x: F.array_contains("entity_ids", x)
+    met = met.where(F.forall("question_ids", lambda q: (q >= F.col("entity")) | ~held(q))).where(~F.exists("answer_ids", held))
     if suppress_same_fact:
         met = met.where(~marked_same_fact(F.col("themes"), F.col("c_themes"), F.col("b"), F.col("e"), F.col("cs"), F.col("ce"), F.col("question_ids"), F.col("entity_ids")))
     return met.select("main_id", "constraint_id", "signal", pseudo_question(F.col("main_text"), F.col("signal"), F.col("constraint_text")).alias("question"), "b", "e", "cs", "ce")
@@ -68,19 +122,65 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.try_divide(x.cast("double"), norm))
 
 
-def similar_pairs(rows: DataFrame, key: str, topic: str, vector: str, threshold: Column | float, distinct: str | None = None) -> DataFrame:
+#: Vectors of a topic that are compared in one task with as many others; a topic with more is dealt over several tasks.
+TILE = 4096
+
+
+def _tiled(rows: DataFrame, topic: str, tile: int) -> DataFrame:
+    """``rows (topic, key, vector)`` with the pair of tiles ``(_i, _j)``, i <= j, in which they are compared, and their own tile ``_t``; small topics are one tile."""
+    zero = F.lit(0)
+    large = stored(rows.groupBy(topic).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tile).select(topic, F.ceil(F.col("_n") / tile).cast("int").alias("_tiles")), "large-topics")
+    if large.isEmpty():
+        return rows.withColumns({"_t": zero, "_i": zero, "_j": zero})
+    own = F.pmod(F.xxhash64("_key"), F.coalesce("_tiles", F.lit(1))).cast("int")
+    dealt = rows.join(large, topic, "left").withColumn("_t", own).withColumn("_k", F.explode(F.sequence(zero, F.coalesce("_tiles", F.lit(1)) - 1)))
+    return dealt.select(topic, "_key", "_v", "_t", F.least("_t", "_k").alias("_i"), F.greatest("_t", "_k").alias("_j"))
+
+
+def cosines(rows: DataFrame, key: str, topic: str, vector: str, least: float, tile: int = TILE) -> DataFrame:
+    """Pairs ``(topic, key, other, score)``, key < other, of one topic whose cosine is above ``least``, as matrix products of tiles.
+
+    Null and zero vectors and those with null or non-finite components have no cosine; vectors of a topic have one length. A null topic or key has no pairs.
+    """
+    t = rows.schema
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(vector, lambda x: x != 0)
+    good = rows.where(finite & F.col(topic).isNotNull() & F.col(key).isNotNull()).select(topic, F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_v"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        keys, own = group["_key"].to_numpy(), group["_t"].to_numpy()
+        x = np.stack(group["_v"].to_numpy())
+        x = x / np.linalg.norm(x, axis=1)[:, None]
+        i, j = group["_i"].iloc[0], group["_j"].iloc[0]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out = []
+        for at in range(0, len(left), 512):
+            some = left[at : at + 512]
+            score = x[some] @ x[right].T
+            a, b = np.nonzero(score > least)
+            found = pd.DataFrame({topic: group[topic].iloc[0], "_a": keys[some[a]], "_b": keys[right[b]], "score": score[a, b]})
+            # A tile meets itself in both orders.
+            out.append(found[found["_a"] < found["_b"]] if i == j else found[found["_a"] != found["_b"]])
+        return pd.concat(out) if out else pd.DataFrame({topic: [], "_a": [], "_b": [], "score": []})
+
+    kind = lambda c: t[c].dataType.simpleString()
+    found = _tiled(good, topic, tile).groupBy(topic, "_i", "_j").applyInPandas(compare, f"`{topic}` {kind(topic)}, _a {kind(key)}, _b {kind(key)}, score double")
+    return found.select(topic, F.least("_a", "_b").alias(key), F.greatest("_a", "_b").alias("other"), "score")
+
+
+def similar_pairs(rows: DataFrame, key: str, topic: str, vector: str, threshold: Column | float, distinct: str | None = None, least: float | None = None, tile: int = TILE) -> DataFrame:
     """Pairs ``key < other`` of one topic whose cosine is above ``threshold``; ``distinct`` names a column in which they must differ.
 
-    Vectors are normalised once; a threshold column may use ``source`` and ``other_source``.
+    A threshold column may use ``source`` and ``other_source``; ``least`` is then the least value it can take, pairs below which are never made. Keys are unique in a topic.
     """
-    one = rows.withColumn("_u", unit(F.col(vector)))
-    keep = [c for c in one.columns if c not in (topic, vector)]
+    if least is None:
+        least = threshold if isinstance(threshold, float) else -2.0
+    one = rows.drop(vector)
+    keep = [c for c in one.columns if c != topic]
     other = one.select(topic, *[F.col(c).alias("other" if c == key else f"other_{c}") for c in keep])
-    met = one.drop(vector).join(other, topic).where(F.col(key) < F.col("other"))
+    met = cosines(rows, key, topic, vector, least, tile).join(one, [topic, key]).join(other, [topic, "other"])
     if distinct:
         met = met.where(F.col(distinct) != F.col(f"other_{distinct}"))
-    score = F.aggregate(F.zip_with("_u", "other__u", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return met.withColumn("score", score).where(F.col("score") > threshold).drop("_u", "other__u")
+    return met.where(F.col("score") > threshold)
 
 
 def similar_threshold(source: Column, other: Column, text: float = 0.7, rest: float = 0.9) -> Column:

@@ -22,7 +22,7 @@ from ..operators.rephrase import checked, rephrased
 from ..operators.sample import inverse_weights, weighted_pick
 from ..operators.signals import explicit_expressions
 from ..providers import hashed_embedding
-from ..session import stored
+from ..session import Totals, stored
 from ..sources.html import infobox_evidence
 
 EVIDENCE = "evidence_id string, topic_id string, source string, page_type string, index int, evidence_text string, candidate_question_text string, begin int, end int, entities array<struct<id:string,label:string,type:string,disam_label:string>>, main_fact boolean"
@@ -125,20 +125,20 @@ def all_evidence(pages: DataFrame, anchors: DataFrame, facts: DataFrame, paths:
     return union_all(*chosen) if chosen else labels.sparkSession.createDataFrame([], EVIDENCE)
 
 
-def pseudo_questions(evidence: DataFrame, embed: Callable[[Column], Column] = hashed_embedding, max_words: int = q.MAX_WORDS, need_similar: bool = True) -> DataFrame:
+def pseudo_questions(evidence: DataFrame, embed: Callable[[Column], Column] = hashed_embedding, max_words: int = q.MAX_WORDS, need_similar: bool = True, totals: Totals | None = None) -> DataFrame:
     """Mains and constraints of ``evidence`` (columns EVIDENCE) joined by entities and time, with similar questions merged into earlier ones.
 
-    With ``need_similar`` only mains that another main of their topic is similar to are asked.
+    With ``need_similar`` only mains that another main of their topic is similar to are asked. ``totals`` gets the numbers of evidence and questions.
     Returns (topic_id, question_id, main_id, constraint_id, signal, question, source, answer, question_ids, spans, similar).
     """
-    dated = stored(evidence, "evidence").where(F.col("begin").between(FIRST_DAY, LAST_DAY) & F.col("end").between(FIRST_DAY, LAST_DAY))
+    dated = stored(evidence, "evidence", totals=totals).where(F.col("begin").between(FIRST_DAY, LAST_DAY) & F.col("end").between(FIRST_DAY, LAST_DAY))
     names = F.transform("entities", lambda x: F.coalesce(x["disam_label"], x["label"]))
     meant = dated.where(~meaningless_relation(F.col("evidence_text"), F.col("source")) & ~no_relation(F.col("candidate_question_text"), names))
     about = meant.where((F.col("page_type") == "entity") & F.col("main_fact")).withColumn("answers", answerable(F.col("entities"), F.col("topic_id")))
     parts = q.main_parts(about).join(about.select("evidence_id", "topic_id", "begin", "end", F.get("answers", F.lit(0)).alias("answer")), "evidence_id")
     mains = parts.select(F.col("evidence_id").alias("main_id"), F.col("main_pseudo_question").alias("text"), F.col("main_question_text").alias("told"), "begin", "end", "question_ids", F.array("answer_id").alias("answer_ids"), "topic_id", "source", "answer")
     vectors = mains.select("main_id", "topic_id", "source", F.struct("begin", "end").alias("span"), embed(F.col("text")).alias("vector"))
-    near = q.similar_pairs(vectors, "main_id", "topic_id", "vector", q.similar_threshold(F.col("source"), F.col("other_source")), "span")
+    near = q.similar_pairs(vectors, "main_id", "topic_id", "vector", q.similar_threshold(F.col("source"), F.col("other_source")), "span", least=0.7)
     if need_similar:
         mains = with_similar_main(mains, near)
     bounds = meant.where(constraint_sentence(F.col("index"), F.col("source"), F.col("page_type")))
@@ -147,18 +147,18 @@ def pseudo_questions(evidence: DataFrame, embed: Callable[[Column], Column] = ha
     told = mains.select("main_id", "topic_id", "source", "answer", "question_ids").join(pairs, "main_id").join(dated.select(F.col("evidence_id").alias("constraint_id"), F.col("source").alias("constraint_source")), "constraint_id")
     spans = F.array(F.array("b", "e"), F.array("cs", "ce"))
     asked = told.select("topic_id", F.concat_ws("|", "main_id", "constraint_id").alias("question_id"), "main_id", "constraint_id", "signal", "question", F.concat_ws("; ", "source", "constraint_source").alias("source"), "answer", "question_ids", spans.alias("spans"))
-    asked = stored(asked, "questions")
+    asked = stored(asked, "questions", totals=totals)
     named = asked.withColumnRenamed("topic_id", "topic")
     similar = q.similar_questions(named.select("topic", "question_id", "main_id", "constraint_id", "signal"), near.select("main_id", "other"))
     return q.merge_similar(asked, similar.select("question_id", "other_id"), ["main_id", "answer", "source"])
 
 
-def finished_questions(pseudo: DataFrame, cache: DataFrame | None = None, provider=None, seed: int = 0) -> DataFrame:
+def finished_questions(pseudo: DataFrame, cache: DataFrame | None = None, provider=None, seed: int = 0, totals: Totals | None = None) -> DataFrame:
     """One question per topic, drawn so that rare combinations of sources count more, rephrased; flawed ones go.
 
     Returns (topic_id, question_id, signal, source, question, rephrase_question, answers, n_words, check_signal).
     """
-    pseudo = stored(pseudo, "pseudo-questions")
+    pseudo = stored(pseudo, "pseudo-questions", totals=totals)
     picked = weighted_pick(pseudo, inverse_weights(pseudo, "source"), "topic_id", "source", "question_id", seed)
     others = F.coalesce(F.transform("similar", lambda x: x["answer"]), F.array().cast(pseudo.select(F.array("answer")).schema[0].dataType))
     merged = picked.withColumn("answers", q.first_by(F.concat(F.array("answer"), others), "id"))

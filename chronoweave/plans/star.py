@@ -84,8 +84,9 @@ GROUP BY signal""")
 def year_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.col("b") - F.col("b") % 10000
     s = order_spans(spark, sf_dir).select("o_orderkey", "o_custkey", (y + 101).alias("b"), (y + F.when(F.col("o_orderkey") % 2 == 0, 1231).otherwise(11231)).alias("e"))
+    s = s.where("b is not null").select("o_orderkey", "o_custkey", relations.span_marks(F.col("b"), F.col("e")).alias("span"))
     pairs = s.alias("m").join(s.alias("c"), "o_custkey").where("m.o_orderkey <> c.o_orderkey")
-    found = F.coalesce(relations.signal(F.col("m.b"), F.col("m.e"), F.col("c.b"), F.col("c.e")), F.lit("none"))
+    found = F.coalesce(relations.marked_signal(F.col("m.span"), F.col("c.span")), F.lit("none"))
     return pairs.select(F.col("m.o_orderkey").alias("m"), found.alias("signal")).groupBy("signal").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("main_sum"))
 
 
@@ -238,7 +239,7 @@ WHERE {COS} > CASE WHEN a.vec_id % 3 = 0 OR b.vec_id % 3 = 0 THEN 0.1 ELSE 0.3 E
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").withColumn("source", F.when(F.col("vec_id") % 3 == 0, "text").otherwise("kb"))
     limit = questions.similar_threshold(F.col("source"), F.col("other_source"), 0.1, 0.3)
-    return questions.similar_pairs(v, "vec_id", "label", "embedding", limit).select("label", "vec_id", "other", F.format_string("%.3f", "score").alias("score"))
+    return questions.similar_pairs(v.select("vec_id", "label", "embedding", "source"), "vec_id", "label", "embedding", limit, least=0.1).select("label", "vec_id", "other", F.format_string("%.3f", "score").alias("score"))
 
 
 SIMQ = """q AS (SELECT o_custkey AS topic, o_orderkey AS question_id, o_orderkey % 50 AS main_id, o_custkey % 3 AS constraint_id, o_orderstatus AS signal FROM orders),

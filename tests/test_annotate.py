@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 from chronoweave.functions import tokens
 from chronoweave.operators.annotate import annotations
 from chronoweave.operators.ordinals import annotate_ordinals
-from chronoweave.plans import fixtures, generate
+from chronoweave.plans import generate
 from chronoweave.sources import html
 
+from . import golden as fixtures
+
 
 def test_annotations_are_numbered_and_nested(spark):
     rows = spark.createDataFrame([(1, "The second film came before 5 March 2003."), (2, "She ruled from 1990 to 1995, then the oldest man."), (3, ""), (4, None), (5, "no time at all")], "id int, text string")

@@ -257,7 +257,9 @@ def test_same_facts_go_and_spaces_collapse(spark):
 
 def test_mains_need_a_similar_one(spark):
     """No main of the small wiki is like another, so none is asked; where two are alike both are."""
-    from chronoweave.plans import fixtures, generate
+    from chronoweave.plans import generate
+
+    from . import golden as fixtures
 
     evidence = fixtures._evidence(spark)
     assert generate.pseudo_questions(evidence).count() == 0
@@ -277,3 +279,74 @@ def test_the_rest_does_not_import_the_training_data_operators():
     for p in home.rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"^\s*(from|import) .*\bllm\b", p.read_text(), re.M), p
+
+
+def test_hub_entities_meet_by_time(spark):
+    """An entity with many rows gives the same pairs by time, and few more rows than pairs meet."""
+    rng = random.Random(8)
+
+    def span():
+        b = rng.randrange(1900, 2020) * 10000 + rng.randrange(1, 13) * 100 + rng.randrange(1, 29)
+        return b, b + rng.choice([0, 0, 0, 2, 8, 30, 300, -5, 10000 * rng.randrange(3), 1231 - b % 10000])
+
+    def table(n, *names):
+        return [(f"{names[0]}{i}", f"text {i}", *span(), ["Q1"] if i % 5 else ["Q1", f"Q{i % 9}"], [f"Q{i % 7 + 20}"]) for i in range(n)]
+
+    mains = spark.createDataFrame(table(700, "m"), "main_id string, text string, begin int, end int, question_ids array<string>, answer_ids array<string>")
+    constraints = spark.createDataFrame([(*r[:4], r[4] + r[5]) for r in table(900, "c")] + [("c-", "x", None, 20000101, ["Q1"])], "constraint_id string, text string, begin int, end int, entity_ids array<string>")
+    for mode in ("int", "years"):
+        plain, timed = (questions.temporal_pairs(mains, constraints, gap_mode=mode, hub_pairs=n).collect() for n in (10**12, 1))
+        assert sorted(map(tuple, plain)) == sorted(map(tuple, timed)) and plain
+    points = lambda n, b, e: spark.range(n).select(F.lit("Q1").alias("entity"), F.col("id").alias(f"{b}_id"), (x := (19000101 + (F.col("id") * 7919 % 1_200_000)).cast("int")).alias(b), (x + F.col("id") % 3 * 20).cast("int").alias(e))
+    met = questions.near_in_time(points(50_000, "b", "e"), points(50_000, "cs", "ce"), relations.GAP)
+    close = met.where("b - ce < 3 and cs - e < 3").count()
+    assert close <= met.count() <= 2 * close
+
+
+def test_cosines_equal_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, int(i % 3), [float(x) for x in rng.normal(size=5)]) for i in range(90)] + [(90, 0, None), (91, 0, [0.0] * 5), (92, None, [1.0] * 5), (93, 1, [float("nan")] * 5), (94, 0, [None] * 5)]
+    want = {(i, j) for i, a, x in rows[:90] for j, b, y in rows[:90] if i < j and a == b and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) > 0.4}
+    df = spark.createDataFrame(rows, "id int, topic int, v array<float>")
+    for tile in (4096, 7):
+        got = [(r["id"], r["other"]) for r in questions.similar_pairs(df, "id", "topic", "v", 0.4, tile=tile).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_equal_prompts_are_asked_once(spark, tmp_path):
+    """A provider that counts its calls: distinct prompts that the cache lacks, failures again, later runs none."""
+    from chronoweave.operators import rephrase
+    from chronoweave.sources import io
+
+    calls, path = str(tmp_path / "calls"), str(tmp_path / "answers")
+
+    def provider(prompts):
+        with open(calls, "a") as f:
+            f.writelines(p.split("Statement: ")[1].split("\n")[0] + "\n" for p in prompts)
+        return prompts.map(lambda p: None if "mute" in p else "What " + p.split("Statement: ")[1].split("\n")[0] + "?")
+
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(["a", "b", "a", "a", "known", "mute", None, "b"])], "id int, question string").repartition(3)
+    known = spark.createDataFrame([(rephrase.PROMPT.replace("{}", "known"), "Known?", 1.0)], rephrase.CACHE)
+    io.upsert_cache(spark, path, known, ["prompt"])
+    want = {0: "What a?", 1: "What b?", 2: "What a?", 3: "What a?", 4: "Known?", 5: None, 6: None, 7: "What b?"}
+    assert {r["id"]: r["rephrase_question"] for r in rephrase.rephrased_with_cache(df, path, provider, 2.0).collect()} == want
+    said = open(calls).read().split()
+    assert sorted(said) == ["a", "b", "mute", "mute"]
+    assert {r["id"]: r["rephrase_question"] for r in rephrase.rephrased_with_cache(df, path, provider, 3.0).collect()} == want
+    assert open(calls).read().split()[len(said) :] == ["mute", "mute"]
+    assert {r["id"]: r["rephrase_question"] for r in rephrase.rephrased(df, known, provider).collect()} == want
+    assert rephrase.rephrased(df).where("id = 0").first()["rephrase_question"] == "a?"
+
+
+def test_totals_come_with_the_writes(spark):
+    from chronoweave.plans import generate
+    from chronoweave.session import Totals
+
+    from . import golden
+
+    totals = Totals()
+    pseudo = generate.pseudo_questions(golden._evidence(spark), need_similar=False, totals=totals)
+    finished = generate.finished_questions(pseudo, totals=totals)
+    assert totals.read() == {"evidence": 4, "questions": 5, "pseudo-questions": 5} and finished.count() == 1
