@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +74,66 @@ def link_anchors(text: Column, anchors: Column) -> Column:
     def taken(acc: Column, a: Column) -> Column:
         return F.exists(acc, lambda b: a["s"].between(b["s"], b["e"]) | a["e"].between(b["s"], b["e"]))
 
-    return F.aggregate(placed, start, lambda acc, a: F.when((a["s"] < 0) | taken(acc, a), acc).otherwise(F.concat(acc, F.array(a))))
+    return F.aggregate(placed, start, lambda acc, a: F.when(F.coalesce(a["s"] < 0, F.lit(True)) | taken(acc, a), acc).otherwise(F.concat(acc, F.array(a))))
+
+
+LINKS = "array<struct<text:string,path:string,s:int,e:int>>"
+
+
+class _Automaton:
+    """A page's anchors, found in a text in one pass over it."""
+
+    def __init__(self, anchors: list[tuple[str, str]]) -> None:
+        self.anchors = [(t, p) for t, p in anchors if t and p is not None and "#" not in p]
+        self.order = sorted(range(len(self.anchors)), key=lambda i: (-len(self.anchors[i][0]), i))
+        self.found = None
+        if self.anchors:
+            self.found = ahocorasick.Automaton()
+            for text, _ in self.anchors:
+                self.found.add_word(text, text)
+            self.found.make_automaton()
+
+    def links(self, text: str | None) -> list[tuple[str, str, int, int]]:
+        """As ``link_anchors``: an anchor is never longer than those placed before it, so only its neighbours by place can hold one of its ends."""
+        if not text or self.found is None:
+            return []
+        first: dict[str, int] = {}
+        for end, word in self.found.iter(text):
+            first.setdefault(word, end + 1 - len(word))
+        starts: list[int] = []
+        placed: dict[int, tuple[str, str, int, int]] = {}
+        out = []
+        for i in self.order:
+            word, path = self.anchors[i]
+            if (s := first.get(word)) is None:
+                continue
+            e = s + len(word)
+            at = bisect.bisect_right(starts, e)
+            if at and placed[starts[at - 1]][3] >= s:
+                continue
+            starts.insert(at, s)
+            placed[s] = (word, path, s, e)
+            out.append(placed[s])
+        return out
+
+
+def linked_texts(rows: DataFrame, anchors: DataFrame, key: str, number: str, text: str = "text") -> DataFrame:
+    """``(key, number, links)`` of ``rows(key, number, text)`` by the anchors ``(key, pos, text, path)`` of the same key, as ``link_anchors`` has them.
+
+    Rows meet their page's anchors in one place, where an automaton of all of them reads each text once; anchors are copied to no
+    row. Rows without anchors, null and empty texts have no links.
+    """
+
+    def link(page: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values("pos", kind="stable")
+        automaton = _Automaton(list(zip(known["text"], known["path"])))
+        links = [[dict(zip(("text", "path", "s", "e"), x)) for x in automaton.links(t)] for t in page["text"]]
+        return pd.DataFrame({key: page[key], number: page[number], "links": pd.Series(links, index=page.index, dtype=object)})
+
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    left = rows.select(key, number, F.col(text).alias("text")).groupBy(key)
+    right = anchors.where("text is not null").select(key, "pos", "text", "path").groupBy(key)
+    return left.cogroup(right).applyInPandas(link, f"`{key}` {kind(key)}, `{number}` {kind(number)}, links {LINKS}")
 
 
 def reconciled(rows: DataFrame, names: DataFrame, column: str = "url") -> DataFrame:

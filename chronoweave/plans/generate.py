@@ -16,7 +16,7 @@ from ..functions.predicates import answerable, constraint_sentence, meaningless_
 from ..functions.text import clean_template, clean_year_template, page_prose, sentences
 from ..operators import questions as q
 from ..operators.kb import kb_evidence
-from ..operators.link import label_of, link_anchors, resolve_paths, titled, with_types
+from ..operators.link import label_of, linked_texts, resolve_paths, titled, with_types
 from ..operators.records import SOURCES, union_all, with_similar_main
 from ..operators.rephrase import checked, rephrased
 from ..operators.sample import inverse_weights, weighted_pick
@@ -49,7 +49,7 @@ def text_evidence(pages: DataFrame, anchors: DataFrame, paths: DataFrame, redire
     """Evidence of the sentences of ``pages(topic_id, page_type, title, extract)`` that tell one time.
 
     ``anchors``: (topic_id, pos, text, path) of each page. Sentences without a date go before anything is
-    linked; a page's anchors meet only its own sentences.
+    linked; a page's anchors meet only its own sentences, in one automaton.
     """
     told = pages.select("topic_id", "page_type", "title", F.posexplode(sentences(page_prose(F.col("extract")))).alias("index", "sentence"))
     told = _step(told, "evidence_text", titled(F.col("title"), F.col("sentence")))
@@ -57,11 +57,10 @@ def text_evidence(pages: DataFrame, anchors: DataFrame, paths: DataFrame, redire
     told = _step(told, "told", explicit_expressions(F.col("evidence_text"), F.col("dates")))
     spans, signals = F.transform("told", lambda x: F.struct(x["begin"], x["end"])), F.transform("told", lambda x: x["signal"])
     told = told.where(F.when(F.col("page_type") == "year", year_snippet_kept(spans, signals)).otherwise(snippet_kept(F.lit("text"), spans, signals)))
-    known = anchors.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "path"))).alias("a"))
-    known = known.select("topic_id", F.transform("a", lambda x: F.struct(x["text"].alias("text"), x["path"].alias("path"))).alias("anchors"))
+    told = stored(told.withColumn("evidence_id", F.format_string("%s:text:%d", "topic_id", "index")), "told")
     # A page without anchors still tells of itself.
-    rows = told.join(known, "topic_id", "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<struct<text:string,path:string>>"))).withColumn("evidence_id", F.format_string("%s:text:%d", "topic_id", "index"))
-    rows = _step(rows, "links", link_anchors(F.col("sentence"), F.col("anchors"))).drop("anchors")
+    links = linked_texts(told, anchors, "topic_id", "evidence_id", "sentence").drop("topic_id")
+    rows = told.join(links, "evidence_id")
     rows = stored(rows, "snippets")
     return _linked_evidence(rows, "text", paths, redirects, labels, entities, most_entities)
 

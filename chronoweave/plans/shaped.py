@@ -149,11 +149,13 @@ def infobox_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_partkey, 'M@' || p_name || '@0-' || length(p_name) || ',B@' || p_brand || '@' || (length(p_name) + 4) || '-' || (length(p_name) + 4 + length(p_brand)) AS links FROM part""")
 def links_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    anchor = lambda t, p: F.struct(t.alias("text"), F.lit(p).alias("path"))
-    known = F.array(anchor(F.substring("p_name", 1, 5), "short"), anchor(F.col("p_brand"), "B"), anchor(F.col("p_name"), "M"), anchor(F.lit("of"), "x#y"), anchor(F.lit("absent"), "A"))
-    found = link.link_anchors(_said(F.col("p_name"), " of ", F.col("p_brand"), " and ", F.col("p_name")), known)
-    shown = F.transform(F.array_sort(found, lambda a, b: a["s"] - b["s"]), lambda x: _said(x["path"], "@", x["text"], "@", x["s"].cast("string"), "-", x["e"].cast("string")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(shown, ",").alias("links"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    anchor = lambda i, t, p: F.struct(F.lit(i).alias("pos"), t.alias("text"), F.lit(p).alias("path"))
+    known = F.array(anchor(0, F.substring("p_name", 1, 5), "short"), anchor(1, F.col("p_brand"), "B"), anchor(2, F.col("p_name"), "M"), anchor(3, F.lit("of"), "x#y"), anchor(4, F.lit("absent"), "A"))
+    texts = parts.select("p_partkey", F.lit(0).alias("i"), _said(F.col("p_name"), " of ", F.col("p_brand"), " and ", F.col("p_name")).alias("text"))
+    found = link.linked_texts(texts, parts.select("p_partkey", F.inline(known)), "p_partkey", "i")
+    shown = F.transform(F.array_sort("links", lambda a, b: a["s"] - b["s"]), lambda x: _said(x["path"], "@", x["text"], "@", x["s"].cast("string"), "-", x["e"].cast("string")))
+    return found.select("p_partkey", F.array_join(shown, ",").alias("links"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'kb' ELSE 'text' END AS source, 'Q' || p_size AS answer_id, 'Q1,Q' || p_partkey || 'x' AS question_ids, 'What ' || p_type || ' was made by ' || p_name AS main_pseudo_question FROM part WHERE p_partkey % 5 <> 0 AND p_size <> 1""")

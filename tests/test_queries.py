@@ -350,3 +350,19 @@ def test_totals_come_with_the_writes(spark):
     pseudo = generate.pseudo_questions(golden._evidence(spark), need_similar=False, totals=totals)
     finished = generate.finished_questions(pseudo, totals=totals)
     assert totals.read() == {"evidence": 4, "questions": 5, "pseudo-questions": 5} and finished.count() == 1
+
+
+def test_automaton_equals_the_fold(spark):
+    """Random anchors over a small alphabet: the automaton's links are those of the fold over anchors."""
+    from chronoweave.operators import link
+
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choices("abé🙂 ", k=rng.randint(1, n)))
+    pages = [(f"Q{i}", [(j, word(4), rng.choice(["P", "X", "a#b"])) for j in range(rng.randint(0, 9))]) for i in range(60)]
+    texts = [(k, n, rng.choice([None, "", word(30), word(60)])) for k, _ in pages for n in range(4)]
+    anchors = spark.createDataFrame([(k, *a) for k, held in pages for a in held] + [("Q0", 99, None, "P"), ("other", 1, "a", "P")], "page string, pos int, text string, path string")
+    rows = spark.createDataFrame(texts, "page string, n int, sentence string")
+    got = {(r["page"], r["n"]): [tuple(x) for x in r["links"]] for r in link.linked_texts(rows, anchors, "page", "n", "sentence").collect()}
+    held = spark.createDataFrame([(k, n, t, [(w, p) for _, w, p in dict(pages)[k]]) for k, n, t in texts], "page string, n int, sentence string, a array<struct<text:string,path:string>>")
+    want = {(r["page"], r["n"]): [tuple(x) for x in r["l"] or []] for r in held.select("page", "n", link.link_anchors(F.col("sentence"), F.col("a")).alias("l")).collect()}
+    assert {k: v for k, v in got.items() if k[0] != "other"} == {k: [] if v is None else v for k, v in want.items()}
