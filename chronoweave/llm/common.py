@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -59,6 +60,29 @@ def drop_stored(*tables: DataFrame | None) -> None:
             _made.remove((df.sparkSession, path))
 
 
+#: Bits of a table of keys, and of one of its pieces.
+KEY_BITS, PIECE_BITS = 25, 15
+
+
+def may_be_among(keys: DataFrame, *columns: str) -> Callable[..., Column]:
+    """A test on columns that holds for all values among ``keys``, and seldom for others: rows it fails for need not be shuffled to be compared.
+
+    The keys' hashes set bits of a table of fixed size (4 MB), put together by Spark; with more keys than bits it lets more through, never less.
+    """
+    h = F.pmod(F.xxhash64(*columns), F.lit(1 << KEY_BITS))
+    pieces = keys.select(F.shiftright(h, PIECE_BITS).cast("int").alias("piece"), h.bitwiseAND((1 << PIECE_BITS) - 1).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    table = np.zeros(1 << (KEY_BITS - 3), np.uint8)
+    for piece, bits in pieces.collect():  # at most 1 << (KEY_BITS - PIECE_BITS) rows of 4 KB
+        at = piece << (PIECE_BITS - 3)
+        table[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
+
+    def test(hashes: pa.Array) -> pa.Array:
+        i = hashes.to_numpy(zero_copy_only=False)
+        return pa.array((table[i >> 3] >> (i & 7).astype(np.uint8)) & 1 > 0)
+
+    return lambda *c: F.arrow_udf(test, "boolean")(F.pmod(F.xxhash64(*c), F.lit(1 << KEY_BITS)))
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name``, with underscores after it until no column is called so (in any case)."""
     held = {c.lower() for c in taken}
@@ -83,7 +107,6 @@ def crc_of_id(column: str = "doc_id"):
 
 def batches_of(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about ``limit`` bytes together, one row at least."""
-    import numpy as np
     import pyarrow.compute as pc
 
     if not batch.num_rows:

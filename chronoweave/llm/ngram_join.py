@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, drop_stored, free_name, materialize, row_hash
+from .common import batches_of, drop_stored, free_name, materialize, may_be_among, row_hash
 from .components import connected_components
 
 WORDS = 4
@@ -233,13 +233,24 @@ def _suspects(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFrame:
         if keys:
             yield from emit(tokens, keys)
 
+    def by_part(names: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order, at = _by_bucket(names.view(_U), buckets)
+        for part in np.flatnonzero(np.diff(at)):
+            own = order[at[part] : at[part + 1]]
+            yield _table([pa.array([int(part)], pa.int32()), pa.array([names[own].tobytes()], pa.binary()), pa.array([counts[own].astype(np.int64).tobytes()], pa.binary())], ["part", "keys", "counts"])
+
+    def total(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.frombuffer(k.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.int64)) for batch in rows for k, c in zip(batch.column("keys"), batch.column("counts"))]
+        names, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        yield _table([names, pa.array(np.bincount(where, np.concatenate([c for _, c in held])).astype(np.int64))], ["key", "shared"])
+
     def shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, keys, several = [np.empty(0, _U)], [np.empty(0, np.int64)], [np.empty(0, _U)]
         for batch in rows:
             for t, i, names, counts in zip(*(batch.column(c) for c in ("tokens", "idx", "keys", "counts"))):
                 names = np.frombuffer(names.as_buffer(), np.int64)
                 if counts.is_valid:
-                    yield _table([names, np.frombuffer(counts.as_buffer(), np.int64)], ["key", "shared"])
+                    yield from by_part(names, np.frombuffer(counts.as_buffer(), np.int64))
                     continue
                 t, raw = np.frombuffer(t.as_buffer(), _U), i.as_buffer()
                 i = np.frombuffer(raw, np.uint16 if raw.size == 2 * len(t) else np.uint32)
@@ -256,10 +267,12 @@ def _suspects(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFrame:
         t, v = t[once], v[once]
         same = t[1:] == t[:-1]
         names, n = np.unique(v[np.r_[False, same] | np.r_[same, False] | np.isin(t, np.concatenate(several))], return_counts=True)
-        yield _table([names, pa.array(n, pa.int64())], ["key", "shared"])
+        yield from by_part(names, n)
 
     blobs = docs.select("text").mapInArrow(run, "bucket int, tokens binary, idx binary, keys binary, counts binary")
-    return _grouped(blobs, ["bucket"], shared, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+    # A class has a count from each bucket; they go on as a row for each bucket and part of the classes, to be summed there.
+    parts = _grouped(blobs, ["bucket"], shared, "part int, keys binary, counts binary")
+    return _grouped(parts, ["part"], total, "key long, shared long")
 
 
 def _grouped(df: DataFrame, by: list[str], f, schema: str, extra: list[str] | None = None) -> DataFrame:
@@ -314,7 +327,10 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         if rows:
             yield out()
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep").select("key", "text")
+    # Only texts that may be wanted are shuffled.
+    wanted = materialize(wanted, "wanted")
+    asked = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null")
+    texts = asked.where(may_be_among(wanted, "rep")(F.col("rep"))).join(wanted, "rep").select("key", "text")
     return texts.mapInArrow(run, "block long, key long, n long, tokens binary")
 
 
@@ -459,7 +475,7 @@ class Union:
 
 
 def _with_tokens(rows: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:
-    return rows.join(sets.select("key", "tokens"), "key").select(*by, "role", "key", "tokens")
+    return rows.join(sets.select("key", "tokens").where(may_be_among(rows, "key")(F.col("key"))), "key").select(*by, "role", "key", "tokens")
 
 
 def _sides(rows: Iterator[pa.RecordBatch]) -> tuple[list[list[int]], list[list[np.ndarray]]]:
@@ -637,7 +653,9 @@ def one_of_each_group(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -
     marked = docs.withColumns({name: F.col("doc_id").cast("long"), mark: F.xxhash64("text")})
     by = lambda t: (F.col(name) == F.col(f"{t}.doc_id")) & (F.col(mark) == F.col(f"{t}.text_hash"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    stays = marked.join(goes.alias("goes"), by("goes"), "left_anti")
+    # Rows that can't be among those that go stay where they are; a null doc_id is among none.
+    doubtful = F.coalesce(may_be_among(goes, "doc_id", "text_hash")(F.col(name), F.col(mark)), F.lit(True))
+    stays = marked.where(~doubtful).unionByName(marked.where(doubtful).join(goes.alias("goes"), by("goes"), "left_anti"))
     again = materialize(told.where("stays and c > 1").select("doc_id", "text_hash"), "again")
     if not again.limit(1).count():
         return stays.select(*columns)
