@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,27 +59,28 @@ def drop_stored(*tables: DataFrame | None) -> None:
             _made.remove((df.sparkSession, path))
 
 
-#: Bits of a table of keys, and of one of its pieces.
-KEY_BITS, PIECE_BITS = 25, 15
+#: Bits of a table of keys, in words of 64.
+KEY_BITS = 25
 
 
-def may_be_among(keys: DataFrame, *columns: str) -> Callable[..., Column]:
-    """A test on columns that holds for all values among ``keys``, and seldom for others: rows it fails for need not be shuffled to be compared.
+def marked_among(df: DataFrame, columns: list[str], keys: DataFrame, key_columns: list[str], mark: str) -> DataFrame:
+    """``df`` with a boolean column ``mark``: true wherever ``columns`` are among ``keys``, and seldom elsewhere, so that the others need not be shuffled to be compared.
 
-    The keys' hashes set bits of a table of fixed size (4 MB), put together by Spark; with more keys than bits it lets more through, never less.
+    The keys' hashes set bits of a table of at most 2 ** KEY_BITS, whose words that are not empty (524,288 at most, of 16 bytes) are
+    broadcast; with more keys than bits it marks more rows, never fewer. Nulls hash like values.
     """
-    h = F.pmod(F.xxhash64(*columns), F.lit(1 << KEY_BITS))
-    pieces = keys.select(F.shiftright(h, PIECE_BITS).cast("int").alias("piece"), h.bitwiseAND((1 << PIECE_BITS) - 1).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    table = np.zeros(1 << (KEY_BITS - 3), np.uint8)
-    for piece, bits in pieces.collect():  # at most 1 << (KEY_BITS - PIECE_BITS) rows of 4 KB
-        at = piece << (PIECE_BITS - 3)
-        table[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
+    taken = [*df.columns, mark]
+    word, bits = free_name(taken, "key_word"), free_name(taken, "key_bits")
 
-    def test(hashes: pa.Array) -> pa.Array:
-        i = hashes.to_numpy(zero_copy_only=False)
-        return pa.array((table[i >> 3] >> (i & 7).astype(np.uint8)) & 1 > 0)
+    def place(names: list[str]) -> tuple[Column, Column]:
+        h = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(1 << KEY_BITS))
+        return F.shiftright(h, 6), h.bitwiseAND(63).cast("int")
 
-    return lambda *c: F.arrow_udf(test, "boolean")(F.pmod(F.xxhash64(*c), F.lit(1 << KEY_BITS)))
+    at, bit = place(key_columns)
+    words = keys.select(at.alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    at, bit = place(columns)
+    told = df.withColumn(word, at).join(F.broadcast(words), word, "left").withColumn(mark, F.coalesce(F.getbit(F.col(bits), bit) == 1, F.lit(False)))
+    return told.select(*[F.col(f"`{c}`") for c in df.columns], mark)
 
 
 def free_name(taken: list[str], name: str) -> str:
@@ -107,6 +107,7 @@ def crc_of_id(column: str = "doc_id"):
 
 def batches_of(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about ``limit`` bytes together, one row at least."""
+    import numpy as np
     import pyarrow.compute as pc
 
     if not batch.num_rows:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, drop_stored, free_name, materialize, may_be_among, row_hash
+from .common import batches_of, drop_stored, free_name, marked_among, materialize, row_hash
 from .components import connected_components
 
 WORDS = 4
@@ -330,7 +330,7 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     # Only texts that may be wanted are shuffled.
     wanted = materialize(wanted, "wanted")
     asked = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null")
-    texts = asked.where(may_be_among(wanted, "rep")(F.col("rep"))).join(wanted, "rep").select("key", "text")
+    texts = marked_among(asked, ["rep"], wanted, ["rep"], "may").where("may").join(wanted, "rep").select("key", "text")
     return texts.mapInArrow(run, "block long, key long, n long, tokens binary")
 
 
@@ -475,7 +475,7 @@ class Union:
 
 
 def _with_tokens(rows: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:
-    return rows.join(sets.select("key", "tokens").where(may_be_among(rows, "key")(F.col("key"))), "key").select(*by, "role", "key", "tokens")
+    return rows.join(marked_among(sets.select("key", "tokens"), ["key"], rows, ["key"], "may").where("may"), "key").select(*by, "role", "key", "tokens")
 
 
 def _sides(rows: Iterator[pa.RecordBatch]) -> tuple[list[list[int]], list[list[np.ndarray]]]:
@@ -654,8 +654,9 @@ def one_of_each_group(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -
     by = lambda t: (F.col(name) == F.col(f"{t}.doc_id")) & (F.col(mark) == F.col(f"{t}.text_hash"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     # Rows that can't be among those that go stay where they are; a null doc_id is among none.
-    doubtful = F.coalesce(may_be_among(goes, "doc_id", "text_hash")(F.col(name), F.col(mark)), F.lit(True))
-    stays = marked.where(~doubtful).unionByName(marked.where(doubtful).join(goes.alias("goes"), by("goes"), "left_anti"))
+    may = free_name(marked.columns, "join_may")
+    told_of = marked_among(marked, [name, mark], goes, ["doc_id", "text_hash"], may)
+    stays = told_of.where(~F.col(may)).drop(may).unionByName(told_of.where(F.col(may)).drop(may).join(goes.alias("goes"), by("goes"), "left_anti"))
     again = materialize(told.where("stays and c > 1").select("doc_id", "text_hash"), "again")
     if not again.limit(1).count():
         return stays.select(*columns)
