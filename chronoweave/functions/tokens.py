@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lemmas import lemma
+
 #: A token: its text, the text with the blanks behind it, its place, and what a model may tell of it ("" entity: none).
 TOKEN = "struct<text:string,spaced:string,s:int,e:int,pos:string,tag:string,lemma:string,entity:string>"
 _ROW = pa.struct([("text", pa.string()), ("spaced", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("pos", pa.string()), ("tag", pa.string()), ("lemma", pa.string()), ("entity", pa.string())])
@@ -29,6 +31,19 @@ def rule_model(texts: list[str]) -> list[list[Told]]:
     return [[told(m) for m in _WORD.finditer(t)] for t in texts]
 
 
+def lemma_model(known: Collection[str] = ()) -> Callable[[list[str]], list[list[Told]]]:
+    """As ``rule_model``, with lemmas by affix rules; where rules leave a choice it falls on a ``known`` lemma."""
+
+    def run(texts: list[str]) -> list[list[Told]]:
+        out = []
+        for text, tokens in zip(texts, rule_model(texts)):
+            words = [text[t[0] : t[1]] for t in tokens]
+            out.append([(*t[:4], lemma(w, before, known), t[5]) for t, w, before in zip(tokens, words, ["", *words])])
+        return out
+
+    return run
+
+
 def tokenizer(model: Callable[[list[str]], list[list[Told]]] = rule_model) -> Callable[[Column], Column]:
     """A column function from a model that maps texts to their tokens' places and tags, an Arrow batch at a time. Null texts give null."""
 

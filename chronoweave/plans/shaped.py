@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import predicates, text, tokens
+from ..functions import dates, predicates, text, tokens
 from ..operators import annotate, generators, kb, link, ordinals, questions, signals
 from ..sources import html
 from .star import Query, spread, table
@@ -55,6 +55,24 @@ def signals_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("o_orderkey", _said(F.col("x.text"), "=", F.col("x.signal")).alias("found"), F.col("x.begin").alias("begin_ts"), F.col("x.end").alias("end_ts"))
 
 
+# What is said before an order's year, how much of it counts as a keyword, and the signal: inflected, nouns and verbs in -ing, closer keywords, none.
+_FORMS = [
+    ("was preceded by", "by", "FINISH"), ("had begun", "begun", "START"), ("starts", "starts", "START"), ("was opening", "opening", "START"), ("in  the years", "in  the years", "OVERLAP"), ("no later than", "later than", "AFTER"),
+    ("at the ends of", "at the ends of", "FINISH"), ("at the beginning of", "at the beginning of", "START"), ("had the ending in", "in", "OVERLAP"), ("ended", "ended", "FINISH"), ("precedes", "", "No signal"), ("is", "", "No signal"),
+    ("liked the beginning", "", "No signal"), ("Prior to", "Prior to", "BEFORE"), ("wasbefore", "", "No signal"), ("before,", "", "No signal"),
+]
+
+
+@query(f"""WITH v(k, w, c, signal) AS (VALUES {', '.join(f"({i}, '{w}', '{c}', '{s}')" for i, (w, c, s) in enumerate(_FORMS))})
+SELECT o_orderkey, c || CASE WHEN c = '' THEN '' ELSE ' ' END || year(o_orderdate) AS found, signal, nullif(c, '') AS signal_text, 5 + length(w) - length(c) + CASE WHEN c = '' THEN 1 ELSE 0 END AS s FROM orders JOIN v ON k = o_orderkey % {len(_FORMS)}""")
+def keywords_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
+    said = _said("They ", F.get(F.array(*[F.lit(w) for w, _, _ in _FORMS]), (F.col("o_orderkey") % len(_FORMS)).cast("int")), " ", F.date_format("o_orderdate", "yyyy"), " men.")
+    told = rows.select("o_orderkey", said.alias("t")).select("o_orderkey", "t", dates.annotate_dates(F.col("t")).alias("d"), tokens.tokenizer(tokens.lemma_model(signals.lemmas_of(signals.KEYWORDS)))(F.col("t")).alias("k"))
+    x = told.select("o_orderkey", F.explode(signals.explicit_expressions(F.col("t"), F.col("d"), tokens=F.col("k"))).alias("x"))
+    return x.select("o_orderkey", F.col("x.text").alias("found"), "x.signal", "x.signal_text", "x.s")
+
+
 @query(f"""WITH s AS ({_SAID}), p AS (SELECT *, 8 + length(w) AS a, CASE WHEN k = 2 THEN 2 ELSE 1 END AS n, 8 + length(w) + CASE WHEN k = 2 THEN 12 ELSE 4 END AS e FROM s)
 SELECT o_orderkey, 0 AS id, 'date' AS type, y AS mention, '' AS signal, a AS s, a + 4 AS e, '' AS nest FROM p
 UNION ALL SELECT o_orderkey, 1, 'date', z, '', a + 8, a + 12, '' FROM p WHERE k = 2
