@@ -3,28 +3,30 @@
 The automaton holds every substring of every test item. Reading a document's words, its state is the
 longest suffix so far that occurs in an item; where that reaches a window's length, a window ends. It is
 built in parts of bounded size and kept in sorted arrays; words are only read by it where runs of several words
-occur in items.
+occur in items. Items that are too many for one automaton in memory make several, which read all documents one after the other.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import batches_of
+from .common import batches_of, drop_stored, free_name, materialize
 
 WINDOW = 13
 #: A document is contaminated if this many times its hit words make up its words.
 COVERAGE = 20
-#: Bytes of test items that may be sent to the driver, of what is built from them, and of the items of one part.
+#: Bytes of test items that are on the driver at once, of what is built from them (what exceeds either makes a further automaton), of a piece of an item, and of the items of one part.
 ITEM_BYTES = 24 << 20
 BUILT_BYTES = 384 << 20
+PIECE_BYTES = 1 << 20
 PART_BYTES = 1 << 20
 #: Words of a run that items must hold for the automaton to read it, at most.
 RUN = 4
@@ -231,56 +233,162 @@ class Automaton:
         for a, b in self._stretches(ids):
             for part, views in zip(self.parts, self._views):
                 hits += self._walk(part, views, ids[a:b].tolist(), a)
-        spans: list[tuple[int, int]] = []
-        for a, b in sorted(hits):
-            if spans and a <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-            else:
-                spans.append((a, b))
         items = {self.names[x] for part, state in self._found for x in part.items_of(state)} | {self.names[x] for x in self._short}
-        return len(words), spans, items
+        return len(words), _united(hits), items
+
+
+def _pieces(words: list[bytes], window: int, size: int) -> Iterator[list[bytes]]:
+    """Stretches of some ``size`` bytes that overlap by a window less a word: each window is in one, and none is shorter than a window if the words are not."""
+    at = 0
+    while True:
+        end, own = at, 0
+        while end < len(words) and (own < size or end - at < window):
+            own += len(words[end]) + 1
+            end += 1
+        yield words[at:end]
+        if end == len(words):
+            return
+        at = end - window + 1
+
+
+def _cut(benchmark: DataFrame, window: int, size: int) -> DataFrame:
+    """``(i, text)`` of the items, those of more than ``size`` bytes in pieces. Equal rows are one."""
+
+    def run(batches):
+        for batch in batches:
+            names, texts = [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                whole = text is None or len(text.encode("utf-8", "surrogatepass")) <= size
+                own = [text] if whole else [b" ".join(x).decode("utf-8", "surrogatepass") for x in _pieces(words_of(text), window, size)]
+                names += [name] * len(own)
+                texts += own
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["i", "text"])
+
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").mapInArrow(run, "i string, text string").distinct()
 
 
-def build(benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES, built_bytes: int = BUILT_BYTES) -> Automaton:
-    """The automaton of ``benchmark(item_id, text)``; the items' size and its own are checked before anything is sent anywhere."""
+def automata(benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES, built_bytes: int = BUILT_BYTES, piece_bytes: int = PIECE_BYTES) -> Iterator[Automaton]:
+    """Automata that together hold all items of ``benchmark(item_id, text)``, one at least.
+
+    Each is made of about ``item_bytes`` of items at most and takes ``built_bytes`` at most, or is that of one piece of ``piece_bytes`` alone.
+    The driver holds one group of items at a time. Items without words are left out.
+    """
+
+    def built(rows: list[tuple[str, str | None]]) -> Iterator[Automaton]:
+        automaton = Automaton(rows, window)
+        if automaton.bytes() <= built_bytes or len(rows) < 2:
+            yield automaton
+        else:
+            del automaton
+            for half in (rows[: len(rows) // 2], rows[len(rows) // 2 :]):
+                yield from built(half)
+
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    if size > item_bytes:
-        raise ValueError(f"the test items have {size} bytes; at most {item_bytes} fit (item_bytes)")
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").collect()
-    automaton = Automaton([(r["i"], r["text"]) for r in rows], window)
-    if automaton.bytes() > built_bytes:
-        raise ValueError(f"the automaton has {automaton.bytes()} bytes; at most {built_bytes} fit (built_bytes)")
-    return automaton
+    if size <= item_bytes:
+        rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").collect()
+        yield from built([(r["i"], r["text"]) for r in rows])
+        return
+    pieces = materialize(_cut(benchmark, window, piece_bytes), "items")
+    groups = max(2, -(-2 * size // item_bytes))
+    # Pieces are distinct and small against a group: with enough groups all are small enough, or hold a single piece.
+    while True:
+        group = F.pmod(F.xxhash64("i", "text"), F.lit(groups))
+        sizes = pieces.groupBy(group.alias("g")).agg(F.sum(F.octet_length("text")).alias("n"), F.count(F.lit(1)).alias("k"))
+        largest = sizes.where(F.col("k") > 1).agg(F.max("n").alias("n")).first()["n"] or 0
+        if largest <= item_bytes:
+            break
+        groups *= 2
+    for g in range(groups):
+        if rows := pieces.where(group == g).collect():
+            yield from built([(r["i"], r["text"]) for r in rows])
+    drop_stored(pieces)
+
+
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans by place, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
 
+Found = tuple[int, list[tuple[int, int]], set]
+_FOUND = pa.struct([("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+
+def _scanned(docs: DataFrame, found_by: Iterator[Automaton], finish: Callable[[pa.RecordBatch, list[Found]], pa.RecordBatch], schema) -> DataFrame:
+    """``docs`` with all they hold of all automata, given to ``finish`` a batch at a time.
+
+    One automaton is one pass without a shuffle. Of several each is a pass of its own, so that a task holds one: what
+    a pass finds goes on beside the rows in a table in the shared folder, and the one before it is deleted.
+    """
+    names = docs.columns
+    extra = free_name(names, "found_so_far")
+    held = None
+
+    def scan(automaton: Automaton, part: pa.RecordBatch) -> list[Found]:
+        found = [automaton.scan(t) for t in part.column(names.index("text")).to_pylist()]
+        if part.num_columns == len(names):
+            return found
+        before = part.column(len(names)).to_pylist()
+        return [(n, _united([*spans, *map(tuple, b["spans"])]), {*items, *b["items"]}) for (n, spans, items), b in zip(found, before)]
+
+    def middle(automaton: Automaton):
+        def run(batches):
+            for batch in batches:
+                for part in batches_of(batch, "text", CHUNK):
+                    found = [{"spans": [list(x) for x in spans], "items": sorted(items)} for _, spans, items in scan(automaton, part)]
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(found, _FOUND)], names=[*names, extra])
+
+        return run
+
+    def last(automaton: Automaton):
+        def run(batches):
+            for batch in batches:
+                for part in batches_of(batch, "text", CHUNK):
+                    found = scan(automaton, part)
+                    yield finish(part.select(names), found)
+
+        return run
+
+    carried = StructType([*docs.schema.fields, StructField(extra, StructType([StructField("spans", ArrayType(ArrayType(LongType()))), StructField("items", ArrayType(StringType()))]))])
+    automaton = next(found_by)
+    for following in found_by:
+        now = materialize((docs if held is None else held).mapInArrow(middle(automaton), carried), "scanned")
+        drop_stored(held)
+        held, automaton = now, following
+    return (docs if held is None else held).mapInArrow(last(automaton), schema)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **bounds: int) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_words, n_hit, items (sorted strings), spans of hit words.
 
     A window is ``window`` consecutive words of an item, or a shorter item whole; items without words have
     none. Null and empty texts have no words. Repeated rows, repeated item ids and null item ids (an empty
     string) are allowed; without items nothing is hit. Texts count whole; a null doc_id stays null; an empty table
-    gives an empty result; further columns, whatever their names, are ignored.
+    gives an empty result; further columns, whatever their names, are ignored. ``bounds`` are those of ``automata``: any
+    number of items is taken, in as many passes over the documents as they have groups.
     """
-    automaton = build(benchmark, window)
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
 
-    def run(batches):
-        for batch in batches:
-            for part in batches_of(batch, "text", CHUNK):
-                found = [automaton.scan(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([f[0] for f in found], pa.int64()),
-                        pa.array([sum(b - a for a, b in f[1]) for f in found], pa.int64()),
-                        pa.array([sorted(f[2]) for f in found], pa.list_(pa.string())),
-                        pa.array([[{"first": a, "after": b} for a, b in f[1]] for f in found], span),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "items", "spans"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<first: long, after: long>>")
+    def finish(part: pa.RecordBatch, found: list[Found]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                part.column(0),
+                pa.array([f[0] for f in found], pa.int64()),
+                pa.array([sum(b - a for a, b in f[1]) for f in found], pa.int64()),
+                pa.array([sorted(f[2]) for f in found], pa.list_(pa.string())),
+                pa.array([[{"first": a, "after": b} for a, b in f[1]] for f in found], span),
+            ],
+            names=["doc_id", "n_words", "n_hit", "items", "spans"],
+        )
+
+    schema = f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<first: long, after: long>>"
+    return _scanned(docs.select("doc_id", "text"), automata(benchmark, window, **bounds), finish, schema)
 
 
 def digests(found: DataFrame, coverage: int = COVERAGE) -> DataFrame:
@@ -290,20 +398,19 @@ def digests(found: DataFrame, coverage: int = COVERAGE) -> DataFrame:
     )
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, longest: int | None = None) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, longest: int | None = None, **bounds: int) -> DataFrame:
     """``docs`` with hit spans cut out of the texts of contaminated documents, or of any that exceed ``longest`` words.
 
     Texts without such spans stay byte for byte. What is before and after a cut is joined by a space; a text's own
-    ends stay where no cut touches them.
+    ends stay where no cut touches them. Null texts stay null, repeated rows are each cut alike, all columns stay as they are,
+    whatever their names, and an empty table stays empty; without items nothing is cut.
     """
     import re
 
-    automaton = build(benchmark, window)
     pattern = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
     at = docs.schema.fieldNames().index("text")
 
-    def clean(text: str | None) -> str | None:
-        n, spans, _ = automaton.scan(text)
+    def clean(text: str | None, n: int, spans: list[tuple[int, int]]) -> str | None:
         hit = sum(b - a for a, b in spans)
         if not (hit and coverage * hit >= n):
             spans = [s for s in spans if longest is not None and s[1] - s[0] > longest]
@@ -316,30 +423,24 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
         left = [x.rstrip(" ") if i < len(left) - 1 else x for i, x in enumerate(left)]
         return " ".join(x for x in left if x)
 
-    def run(batches):
-        for batch in batches:
-            for part in batches_of(batch, "text", CHUNK):
-                yield part.set_column(at, part.schema.field(at), pa.array([clean(t) for t in part.column(at).to_pylist()], part.schema.field(at).type))
+    def finish(part: pa.RecordBatch, found: list[Found]) -> pa.RecordBatch:
+        texts = [clean(t, n, spans) for t, (n, spans, _) in zip(part.column(at).to_pylist(), found)]
+        return part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return _scanned(docs, automata(benchmark, window, **bounds), finish, docs.schema)
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
-    """``docs`` without contaminated documents; the others stay byte for byte. No shuffle."""
-    automaton = build(benchmark, window)
-    at = docs.schema.fieldNames().index("text")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, **bounds: int) -> DataFrame:
+    """``docs`` without contaminated documents; the others stay byte for byte, with all their columns, whatever their names. No shuffle.
 
-    def run(batches):
-        for batch in batches:
-            for part in batches_of(batch, "text", CHUNK):
-                keep = []
-                for text in part.column(at).to_pylist():
-                    n, spans, _ = automaton.scan(text)
-                    hit = sum(b - a for a, b in spans)
-                    keep.append(not (hit and coverage * hit >= n))
-                yield part.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    Null and empty texts stay, repeated rows stay or go together, an empty table stays empty; without items all stay.
+    """
+
+    def finish(part: pa.RecordBatch, found: list[Found]) -> pa.RecordBatch:
+        hits = [(n, sum(b - a for a, b in spans)) for n, spans, _ in found]
+        return part.filter(pa.array([not (hit and coverage * hit >= n) for n, hit in hits], pa.bool_()))
+
+    return _scanned(docs, automata(benchmark, window, **bounds), finish, docs.schema)
 
 
 def items_digest(items: list[str]) -> str:

@@ -534,10 +534,25 @@ def test_decontamination(spark, docs, empty):
     assert [r["text"] for r in decontam.remove_spans(ends, items).orderBy("doc_id").collect()] == ["  a b  c ", "x", "  keep  "]
     stays = decontam.without_contaminated(docs, items)
     assert stays.columns == docs.columns and stays.where("doc_id in (5, 13, 14)").count() == 0 and stays.where("doc_id = 3").count() == 1
-    with pytest.raises(ValueError, match="item_bytes"):
-        decontam.build(items, item_bytes=3)
-    with pytest.raises(ValueError, match="built_bytes"):
-        decontam.build(items, built_bytes=30)
+    for bounds in ({"item_bytes": 30}, {"built_bytes": 1500}):
+        assert 1 < len(list(decontam.automata(items, **bounds))) < 6
+        many = decontam.find_contamination(docs, items, **bounds).collect()
+        assert sorted(map(str, many)) == sorted(map(str, got)), bounds
+    assert [r["text"] for r in decontam.remove_spans(ends, items, item_bytes=30).orderBy("doc_id").collect()] == ["  a b  c ", "x", "  keep  "]
+    clash = docs.withColumn("found_so_far", F.lit("x"))
+    assert sorted(map(str, decontam.without_contaminated(clash, items, item_bytes=30).collect())) == sorted(map(str, decontam.without_contaminated(clash, items).collect()))
+    assert decontam.without_contaminated(clash, items, item_bytes=30).columns == clash.columns
+
+
+def test_items_in_pieces_of_any_size_equal_brute_force(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choices("abc", k=n))
+    items = [(str(i % 7), say(rng.randint(0, 40))) for i in range(12)]
+    docs = [(i, say(rng.randint(0, 60))) for i in range(40)] + [(40, None), (41, ""), (1, "a b c")]
+    held = spark.createDataFrame(items, "item_id string, text string")
+    assert 1 < len(list(decontam.automata(held, 5, item_bytes=200, piece_bytes=20))) < 9
+    got = decontam.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), held, 5, item_bytes=200, piece_bytes=20).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got) == sorted((d, *brute_hits(t, items, 5)) for d, t in docs)
 
 
 def test_automaton_is_small():
