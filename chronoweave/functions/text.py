@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -104,9 +105,11 @@ def page_prose(c: Column, cut_all_sections: bool = False) -> Column:
     return F.trim(squeeze(F.translate(F.regexp_replace(c, r"={2,}[^=\n]+={2,}", ""), "\n", " ")))
 
 
-def sentences(c: Column) -> Column:
-    """Rule-based sentences: an end mark that no initial or title has, then blanks, then anything but a lower-case letter or digit."""
-    return F.filter(F.transform(F.split(c, SENTENCE_END), F.trim), lambda s: s != "")
+def sentences(c: Column, abbreviations: Collection[str] = ()) -> Column:
+    """Sentences: an end mark that no initial, title or one of ``abbreviations`` (in lower case, without the full stop) has, then blanks, then anything but a lower-case letter or digit."""
+    known = "|".join(re.escape(a) for a in sorted(abbreviations))
+    end = rf"(?<!(?<![\p{{L}}.])(?i:{known})\.){SENTENCE_END}" if known else SENTENCE_END
+    return F.filter(F.transform(F.split(c, end), F.trim), lambda s: s != "")
 
 
 def strip_token(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, predicates, relations, text
-from ..operators import generators, link, questions, records, sample
+from ..operators import abbreviations, generators, link, questions, records, sample
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -408,6 +408,15 @@ def text_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("sentence")).alias("longest"))
 
 
+@query(r"""WITH w AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\p{L}(?:[\p{L}.]*\p{L})?\.?')) AS w FROM documents),
+c AS (SELECT rtrim(w, '.') AS word, count(*) FILTER (ends_with(w, '.')) AS d, count(*) FILTER (NOT ends_with(w, '.')) AS p FROM w GROUP BY 1),
+t AS (SELECT least(sum(d) / sum(d + p), 0.99)::DOUBLE AS r FROM c),
+s AS (SELECT word, d, p, length(replace(word, '.', '')) AS l, 2 * (d * ln(0.99::DOUBLE) + p * ln(1 - 0.99::DOUBLE) - d * ln(r) - p * ln(1 - r)) AS ratio FROM c, t WHERE d > 0)
+SELECT word, d AS dotted, p AS plain, round(ratio * exp(-l) * (length(word) - l + 1) * pow(l, -p), 4) AS score FROM s WHERE ratio * exp(-l) * (length(word) - l + 1) * pow(l, -p) >= 0.3""")
+def abbreviations_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abbreviations.abbreviations(table(spark, sf_dir, "documents")).select("word", "dotted", "plain", F.round("score", 4).alias("score"))
+
+
 @query("""SELECT o_orderpriority AS priority, o_orderstatus AS status, count(*) AS n, count(DISTINCT o_custkey) AS topics FROM orders GROUP BY 1, 2""")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), "o_custkey")
