@@ -6,6 +6,8 @@ its work nor carry its plan.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -45,16 +47,17 @@ def _with_entities(rows: DataFrame, mentions: DataFrame, labels: DataFrame, enti
     return rows.join(held.select("evidence_id", bare.alias("entities")), "evidence_id")
 
 
-def text_evidence(pages: DataFrame, anchors: DataFrame, paths: DataFrame, redirects: DataFrame, labels: DataFrame, entities: DataFrame, most_entities: int = 3) -> DataFrame:
+def text_evidence(pages: DataFrame, anchors: DataFrame, paths: DataFrame, redirects: DataFrame, labels: DataFrame, entities: DataFrame, most_entities: int = 3, abbreviations: Collection[str] = (), keywords: dict[str, list[str]] | None = None) -> DataFrame:
     """Evidence of the sentences of ``pages(topic_id, page_type, title, extract)`` that tell one time.
 
-    ``anchors``: (topic_id, pos, text, path) of each page. Sentences without a date go before anything is
+    ``anchors``: (topic_id, pos, text, path) of each page; ``abbreviations``: those that ``operators.abbreviations`` learns; ``keywords``: of a
+    file that ``operators.signals`` reads, the library's own without. Sentences without a date go before anything is
     linked; a page's anchors meet only its own sentences, in one automaton.
     """
-    told = pages.select("topic_id", "page_type", "title", F.posexplode(sentences(page_prose(F.col("extract")))).alias("index", "sentence"))
+    told = pages.select("topic_id", "page_type", "title", F.posexplode(sentences(page_prose(F.col("extract")), abbreviations)).alias("index", "sentence"))
     told = _step(told, "evidence_text", titled(F.col("title"), F.col("sentence")))
     told = _step(told, "dates", annotate_dates(F.col("evidence_text"))).where(F.size("dates") > 0)
-    told = _step(told, "told", explicit_expressions(F.col("evidence_text"), F.col("dates")))
+    told = _step(told, "told", explicit_expressions(F.col("evidence_text"), F.col("dates"), keywords))
     spans, signals = F.transform("told", lambda x: F.struct(x["begin"], x["end"])), F.transform("told", lambda x: x["signal"])
     told = told.where(F.when(F.col("page_type") == "year", year_snippet_kept(spans, signals)).otherwise(snippet_kept(F.lit("text"), spans, signals)))
     told = stored(told.withColumn("evidence_id", F.format_string("%s:text:%d", "topic_id", "index")), "told")
