@@ -108,6 +108,12 @@ def asks_time(question: Column) -> Column:
     return has("during what") | has("during which") | (has("what year") & ~has("what yearly")) | later
 
 
+def entity_count(main: Column, constraint: Column) -> Column:
+    """How many different entities a question's main and constraint name; null arrays name none."""
+    none = F.array().cast("array<string>")
+    return F.size(F.array_distinct(F.concat(F.coalesce(main, none), F.coalesce(constraint, none))))
+
+
 def question_flaw(question: Column, answers: Column, entities: Column, least_words: int = 8, most_answers: int = 10, most_entities: int = 10) -> Column:
     """The first flaw of a question, null if it has none. ``answers`` and ``entities`` are counts."""
     from .text import word_count

@@ -17,6 +17,11 @@ def year_ranges(spark: SparkSession, start: int, end: int, interval: int, halo:
     return ranges.withColumn("halo_end", F.col("range_end") + halo).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("range_start"))))
 
 
+def pages_per_year(pool: DataFrame) -> DataFrame:
+    """How many pages of a pool each year has: ``(year, n)``, as ``apportioned_targets`` takes it."""
+    return pool.groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+
+
 def apportioned_targets(pages: DataFrame, ranges: DataFrame, target: int) -> DataFrame:
     """Each range's sum over its years of the target's share by pages, rounded up per year. ``pages``: (year, n)."""
     total = pages.agg(F.sum("n").alias("total"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import timestamp_int, widened_end
 from ..functions.text import is_item, rstrip_chars
+from ..sources.service import Service
 
 # Predicates for start, end, point in time, publication, inception and dissolution.
 START, END, POINT, PUBLISHED, INCEPTION, DISSOLVED = "P580", "P582", "P585", "P577", "P571", "P576"
@@ -94,12 +95,16 @@ def kb_evidence(facts: DataFrame, reference_end: str = REFERENCE_END) -> DataFra
     return flat.withColumns({"start_time_int": timestamp_int(F.col("begin")), "end_time_int": timestamp_int(F.col("end"))})
 
 
-def facts_of(entities: DataFrame, facts: DataFrame, most: int = 1000) -> DataFrame:
+def facts_of(entities: DataFrame, facts: DataFrame | Service, most: int = 1000) -> DataFrame:
     """Facts ``(fact_id, fact)`` that name an entity of ``entities(topic_id)`` in any place: ``(topic_id, fact_no, fact)``, the first ``most`` of each by fact_id.
 
     Facts are numbered from 1. Spark's limit on row_number cuts each task's share of an entity to ``most`` before the shuffle.
+    A service gives ``(topic_id, fact_id, fact)`` of each entity that it is asked for.
     """
-    named = facts.select("fact_id", "fact", F.explode(F.array_distinct(F.transform("fact", lambda x: x["id"]))).alias("topic_id"))
-    met = named.join(entities.select("topic_id").distinct(), "topic_id")
+    if isinstance(facts, Service):
+        met = facts.rows(entities.select("topic_id"))
+    else:
+        named = facts.select("fact_id", "fact", F.explode(F.array_distinct(F.transform("fact", lambda x: x["id"]))).alias("topic_id"))
+        met = named.join(entities.select("topic_id").distinct(), "topic_id")
     rank = F.row_number().over(Window.partitionBy("topic_id").orderBy("fact_id"))
     return met.withColumn("fact_no", rank).where(F.col("fact_no") <= most).select("topic_id", "fact_no", "fact")

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from ..functions.dates import is_timestamp, timestamp_label
 from ..functions.text import is_item, title_to_path
 from ..session import stored
+from ..sources.service import Service, dimension
 
 
-def resolve_paths(rows: DataFrame, paths: DataFrame, redirects: DataFrame, column: str = "path") -> DataFrame:
+def resolve_paths(rows: DataFrame, paths: DataFrame, redirects: DataFrame | Service, column: str = "path") -> DataFrame:
     """``rows`` with the id of each path: exact, else without dots, else that of its redirect; null if none.
 
     ``paths``: (path, id), ``redirects``: (from_path, to_title); of several ids or titles of a path the least
-    counts. Distinct paths are resolved once, so ``rows`` are shuffled once whatever the dimensions' size.
+    counts. Distinct paths are resolved once, so ``rows`` are shuffled once whatever the dimensions' size. A service of
+    redirects is asked for the paths that ``paths`` does not have, and no others.
     """
     ids = paths.groupBy("path").agg(F.min("id").alias("id"))
     exact = ids.select(F.col("path").alias("_p1"), F.col("id").alias("_id1"))
@@ -30,9 +32,9 @@ def resolve_paths(rows: DataFrame, paths: DataFrame, redirects: DataFrame, colum
     return rows.join(known, F.col(column) == F.col("_asked"), "left").select(*rows.columns, F.col("_id").alias("id"))
 
 
-def _redirected(candidates: DataFrame, ids: DataFrame, redirects: DataFrame) -> DataFrame:
+def _redirected(candidates: DataFrame, ids: DataFrame, redirects: DataFrame | Service) -> DataFrame:
     """``(_asked, _id)`` of those paths ``_asked``, which the dictionary does not know, whose redirect it knows."""
-    moved = redirects.groupBy(F.col("from_path").alias("_asked")).agg(title_to_path(F.min("to_title")).alias("_to"))
+    moved = dimension(redirects, candidates).groupBy(F.col("from_path").alias("_asked")).agg(title_to_path(F.min("to_title")).alias("_to"))
     return candidates.join(moved, "_asked").join(ids.select(F.col("path").alias("_to"), F.col("id").alias("_id")), "_to").select("_asked", "_id")
 
 
@@ -42,22 +44,22 @@ def label_of(item: Column, labels: Column) -> Column:
     return F.when(is_timestamp(item), timestamp_label(item)).otherwise(F.coalesce(F.get(named, F.lit(0)), F.get(labels, F.lit(0)), item))
 
 
-def with_labels(rows: DataFrame, labels: DataFrame, column: str = "id") -> DataFrame:
-    named = labels.select(F.col("id").alias("_id"), "labels")
+def with_labels(rows: DataFrame, labels: DataFrame | Service, column: str = "id") -> DataFrame:
+    named = dimension(labels, rows.select(column)).select(F.col("id").alias("_id"), "labels")
     return rows.join(named, F.col(column) == F.col("_id"), "left").withColumn("label", label_of(F.col(column), F.col("labels"))).drop("_id", "labels")
 
 
-def with_types(rows: DataFrame, entities: DataFrame, column: str = "id") -> DataFrame:
+def with_types(rows: DataFrame, entities: DataFrame | Service, column: str = "id") -> DataFrame:
     """``rows`` with each id's type, "NULL" if unknown, and the sum of its frequencies."""
-    dim = entities.select(F.col("id").alias("_id"), F.col("type").alias("_t"), F.aggregate(F.coalesce("frequency", F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("_f"))
+    dim = dimension(entities, rows.select(column)).select(F.col("id").alias("_id"), F.col("type").alias("_t"), F.aggregate(F.coalesce("frequency", F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("_f"))
     return rows.join(dim, F.col(column) == F.col("_id"), "left").select(*rows.columns, F.coalesce("_t", F.lit("NULL")).alias("type"), F.coalesce("_f", F.lit(0)).alias("frequency"))
 
 
-def with_all_types(rows: DataFrame, entities: DataFrame, column: str = "id") -> DataFrame:
+def with_all_types(rows: DataFrame, entities: DataFrame | Service, column: str = "id") -> DataFrame:
     """``rows`` whose id has types, with all of them by label (``types``) and the sum of its frequencies."""
     labels = F.array_distinct(F.filter(F.transform("types", lambda t: t["label"]), lambda t: t.isNotNull()))
     total = F.aggregate(F.coalesce("frequency", F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    dim = entities.select(F.col("id").alias("_id"), labels.alias("_types"), total.alias("_f")).where(F.size("_types") > 0)
+    dim = dimension(entities, rows.select(column)).select(F.col("id").alias("_id"), labels.alias("_types"), total.alias("_f")).where(F.size("_types") > 0)
     return rows.join(dim, F.col(column) == F.col("_id")).select(*rows.columns, F.col("_types").alias("types"), F.col("_f").alias("frequency"))
 
 

@@ -206,6 +206,25 @@ def merge_similar(questions: DataFrame, pairs: DataFrame, fields: list[str], dro
     return out.join(pairs.select(F.col("other_id").alias("question_id")).distinct(), "question_id", "left_anti") if drop_absorbed else out
 
 
+def with_slots_of_similar(questions: DataFrame, slots: tuple[str, ...], main_id: str = "main_id", answer: str = "answers", entities: str | None = None) -> DataFrame:
+    """Questions with what their ``similar`` ones tell of the same constraint.
+
+    ``slots`` are arrays that begin with the main's slot and end with the constraint's; the similar questions' own main slots (their
+    first) come behind the first one, the last similar question's foremost. ``answer`` takes their answers at its end, ``main_ids`` is the
+    main's id and theirs, and ``entities``, the main's different entities, take theirs that they lack. Null or empty ``similar`` changes nothing.
+    """
+    t = questions.schema
+    like = F.coalesce("similar", F.array().cast(t["similar"].dataType))
+    of = lambda c: F.transform(like, lambda x: x[c])
+    first = lambda c: F.reverse(F.transform(like, lambda x: F.get(x[c], F.lit(0))))
+    merged = {c: F.concat(F.slice(c, 1, 1), first(c), F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))) for c in slots}
+    merged[answer] = F.concat(answer, F.flatten(of(answer)))
+    merged["main_ids"] = F.concat(F.array(main_id), of(main_id))
+    if entities:
+        merged[entities] = F.array_union(entities, F.flatten(of(entities)))
+    return questions.withColumns(merged)
+
+
 def source_centric(questions: DataFrame) -> DataFrame:
     """Per topic: has a question with kb and no text (kb_centric), with text and no kb (text_centric)."""
     has = lambda s: F.array_contains("source", s)

@@ -46,6 +46,23 @@ def placed(rows: DataFrame, *order: Column | str, name: str = "place", first: in
     return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + first).drop("_part", "_at", "_before")  # one row for each partition
 
 
+def numbered_evidence(entity: DataFrame, year: DataFrame, iteration: int, *order: str) -> DataFrame:
+    """Evidence of entity and year pages with its ``evidence_type`` and ``evidence_id`` "{iteration}-{n}".
+
+    n counts from 1 over both, those of entity pages first, each in the given order; columns that one side lacks are null. Clashing columns of
+    these names are replaced.
+    """
+    kinds = ("entity_page", "year_page")
+    both = union_all(*[rows.withColumn("evidence_type", F.lit(kind)) for rows, kind in zip((entity, year), kinds)])
+    numbered = placed(both, "evidence_type", *order, name="_n")  # by name entity pages are first
+    return numbered.withColumn("evidence_id", F.format_string("%d-%d", F.lit(iteration), F.col("_n"))).drop("_n")
+
+
+def counts_of_combinations(questions: DataFrame, main: str, constraint: str, topic: str) -> DataFrame:
+    """How many questions, and topics, each combination ``"main; constraint"`` of sources has; a null source leaves its place out."""
+    return document_frequency(questions.withColumn("combination", F.concat_ws("; ", main, constraint)), ["combination"], topic)
+
+
 def not_sampled(pool: DataFrame, taken: DataFrame, key: str = "id") -> DataFrame:
     """The pool without what is already sampled."""
     return pool.join(taken.select(key), key, "left_anti")

@@ -15,8 +15,8 @@ from ..functions.dates import annotate_dates, merged_span, remove_spans, timesta
 from ..functions.predicates import answerable, constraint_sentence, meaningless_relation, no_relation, non_date_entities, snippet_kept, year_snippet_kept
 from ..functions.text import clean_template, clean_year_template, page_prose, sentences
 from ..operators import questions as q
-from ..operators.kb import kb_evidence
-from ..operators.link import label_of, linked_texts, resolve_paths, titled, with_types
+from ..operators.kb import facts_of, kb_evidence
+from ..operators.link import linked_texts, resolve_paths, titled, with_labels, with_types
 from ..operators.records import SOURCES, union_all, with_similar_main
 from ..operators.rephrase import checked, rephrased
 from ..operators.sample import inverse_weights, weighted_pick
@@ -24,6 +24,7 @@ from ..operators.signals import explicit_expressions
 from ..providers import hashed_embedding
 from ..session import Totals, stored
 from ..sources.html import infobox_evidence
+from ..sources.service import Service
 
 EVIDENCE = "evidence_id string, topic_id string, source string, page_type string, index int, evidence_text string, candidate_question_text string, begin int, end int, entities array<struct<id:string,label:string,type:string,disam_label:string>>, main_fact boolean"
 #: Days outside are no evidence, as yyyymmdd.
@@ -37,8 +38,7 @@ def _step(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def _with_entities(rows: DataFrame, mentions: DataFrame, labels: DataFrame, entities: DataFrame) -> DataFrame:
     """``rows`` with their ``mentions(evidence_id, id, place, mention)`` as typed and labelled entities, in the order of places, each once."""
-    dim = labels.select(F.col("id").alias("_id"), "labels")
-    typed = with_types(mentions, entities).join(dim, F.col("id") == F.col("_id"), "left").withColumn("label", label_of(F.col("id"), F.col("labels")))
+    typed = with_labels(with_types(mentions, entities), labels)
     once = typed.groupBy("evidence_id", "id").agg(F.min("place").alias("place"), F.max_by("mention", "place").alias("disam_label"), F.first("label").alias("label"), F.first("type").alias("type"))
     held = once.groupBy("evidence_id").agg(F.array_sort(F.collect_list(F.struct("place", "id", "label", "type", "disam_label"))).alias("e"))
     bare = F.transform("e", lambda x: F.struct(x["id"], x["label"], x["type"], x["disam_label"]))
@@ -98,7 +98,7 @@ def _linked_evidence(rows: DataFrame, source: str, paths: DataFrame, redirects:
 
 
 def fact_evidence(facts: DataFrame, labels: DataFrame, entities: DataFrame) -> DataFrame:
-    """Evidence of ``facts(topic_id, fact_no, fact)`` in the same columns; facts that only bound others are no mains."""
+    """Evidence of ``facts(topic_id, fact_no, fact)``, as ``kb.facts_of`` gives them, in the same columns; facts that only bound others are no mains."""
     found = stored(kb_evidence(facts).withColumn("evidence_id", F.format_string("%s:kb:%d:%s", "topic_id", "fact_no", "rule")), "facts")
     mentions = found.select("evidence_id", F.posexplode("entity_ids").alias("place", "id")).withColumn("mention", F.lit(None).cast("string"))
     rows = _with_entities(found, mentions, labels, entities)
@@ -109,15 +109,23 @@ def fact_evidence(facts: DataFrame, labels: DataFrame, entities: DataFrame) -> D
     )
 
 
-def all_evidence(pages: DataFrame, anchors: DataFrame, facts: DataFrame, paths: DataFrame, redirects: DataFrame, labels: DataFrame, entities: DataFrame, sources: tuple[str, ...] = SOURCES) -> DataFrame:
+def all_evidence(pages: DataFrame, anchors: DataFrame, facts: DataFrame | Service, paths: DataFrame, redirects: DataFrame | Service, labels: DataFrame | Service, entities: DataFrame | Service, sources: tuple[str, ...] = SOURCES, most_facts: int = 1000) -> DataFrame:
     """Evidence of the ``sources`` that are asked for, in the columns EVIDENCE; others are not worked out.
 
-    ``pages(topic_id, page_type, title, extract, html)``; infoboxes are read of entity pages alone.
+    ``pages(topic_id, page_type, title, extract, html)``; infoboxes are read of entity pages alone, and of ``facts(fact_id, fact)`` the
+    first ``most_facts`` that name an entity page. Facts that have a topic_id and fact_no already are taken as they are. Redirects, labels,
+    entities and facts are tables or services.
     """
     if unknown := set(sources) - set(SOURCES):
         raise ValueError(f"no such source: {sorted(unknown)}")
+
+    def known_facts() -> DataFrame:
+        if isinstance(facts, DataFrame) and "topic_id" in facts.columns:
+            return facts
+        return facts_of(pages.where("page_type = 'entity'"), facts, most_facts)
+
     parts = {
-        "kb": lambda: fact_evidence(facts, labels, entities),
+        "kb": lambda: fact_evidence(known_facts(), labels, entities),
         "text": lambda: text_evidence(pages.drop("html"), anchors, paths, redirects, labels, entities),
         "info": lambda: info_evidence(pages.where("page_type = 'entity'"), paths, redirects, labels, entities),
     }
@@ -129,7 +137,7 @@ def pseudo_questions(evidence: DataFrame, embed: Callable[[Column], Column] = ha
     """Mains and constraints of ``evidence`` (columns EVIDENCE) joined by entities and time, with similar questions merged into earlier ones.
 
     With ``need_similar`` only mains that another main of their topic is similar to are asked. ``totals`` gets the numbers of evidence and questions.
-    Returns (topic_id, question_id, main_id, constraint_id, signal, question, source, answer, question_ids, spans, similar).
+    Returns (topic_id, question_id, main_id, constraint_id, signal, question, source, sources, answers, answer, question_ids, spans, similar).
     """
     dated = stored(evidence, "evidence", totals=totals).where(F.col("begin").between(FIRST_DAY, LAST_DAY) & F.col("end").between(FIRST_DAY, LAST_DAY))
     names = F.transform("entities", lambda x: F.coalesce(x["disam_label"], x["label"]))
@@ -137,7 +145,8 @@ def pseudo_questions(evidence: DataFrame, embed: Callable[[Column], Column] = ha
     about = meant.where((F.col("page_type") == "entity") & F.col("main_fact")).withColumn("answers", answerable(F.col("entities"), F.col("topic_id")))
     parts = q.main_parts(about).join(about.select("evidence_id", "topic_id", "begin", "end", F.get("answers", F.lit(0)).alias("answer")), "evidence_id")
     mains = parts.select(F.col("evidence_id").alias("main_id"), F.col("main_pseudo_question").alias("text"), F.col("main_question_text").alias("told"), "begin", "end", "question_ids", F.array("answer_id").alias("answer_ids"), "topic_id", "source", "answer")
-    vectors = mains.select("main_id", "topic_id", "source", F.struct("begin", "end").alias("span"), embed(F.col("text")).alias("vector"))
+    # Written, so that the tests on vectors do not embed anew.
+    vectors = stored(mains.select("main_id", "topic_id", "source", F.struct("begin", "end").alias("span"), embed(F.col("text")).alias("vector")), "vectors")
     near = q.similar_pairs(vectors, "main_id", "topic_id", "vector", q.similar_threshold(F.col("source"), F.col("other_source")), "span", least=0.7)
     if need_similar:
         mains = with_similar_main(mains, near)
@@ -146,21 +155,21 @@ def pseudo_questions(evidence: DataFrame, embed: Callable[[Column], Column] = ha
     pairs = q.temporal_pairs(mains, constraints, max_words)
     told = mains.select("main_id", "topic_id", "source", "answer", "question_ids").join(pairs, "main_id").join(dated.select(F.col("evidence_id").alias("constraint_id"), F.col("source").alias("constraint_source")), "constraint_id")
     spans = F.array(F.array("b", "e"), F.array("cs", "ce"))
-    asked = told.select("topic_id", F.concat_ws("|", "main_id", "constraint_id").alias("question_id"), "main_id", "constraint_id", "signal", "question", F.concat_ws("; ", "source", "constraint_source").alias("source"), "answer", "question_ids", spans.alias("spans"))
+    asked = told.select("topic_id", F.concat_ws("|", "main_id", "constraint_id").alias("question_id"), "main_id", "constraint_id", "signal", "question", F.concat_ws("; ", "source", "constraint_source").alias("source"), F.array("source", "constraint_source").alias("sources"), F.array("answer").alias("answers"), "answer", "question_ids", spans.alias("spans"))
     asked = stored(asked, "questions", totals=totals)
     named = asked.withColumnRenamed("topic_id", "topic")
     similar = q.similar_questions(named.select("topic", "question_id", "main_id", "constraint_id", "signal"), near.select("main_id", "other"))
-    return q.merge_similar(asked, similar.select("question_id", "other_id"), ["main_id", "answer", "source"])
+    return q.merge_similar(asked, similar.select("question_id", "other_id"), ["main_id", "answer", "source", "answers", "sources", "spans", "question_ids"])
 
 
 def finished_questions(pseudo: DataFrame, cache: DataFrame | None = None, provider=None, seed: int = 0, totals: Totals | None = None) -> DataFrame:
     """One question per topic, drawn so that rare combinations of sources count more, rephrased; flawed ones go.
 
-    Returns (topic_id, question_id, signal, source, question, rephrase_question, answers, n_words, check_signal).
+    Sources, spans, entities and main ids are the question's and those of the similar ones that it took in.
+    Returns (topic_id, question_id, signal, source, question, rephrase_question, answers, n_words, check_signal, main_ids, sources, spans, question_ids).
     """
     pseudo = stored(pseudo, "pseudo-questions", totals=totals)
     picked = weighted_pick(pseudo, inverse_weights(pseudo, "source"), "topic_id", "source", "question_id", seed)
-    others = F.coalesce(F.transform("similar", lambda x: x["answer"]), F.array().cast(pseudo.select(F.array("answer")).schema[0].dataType))
-    merged = picked.withColumn("answers", q.first_by(F.concat(F.array("answer"), others), "id"))
+    merged = q.with_slots_of_similar(picked, ("sources", "spans"), entities="question_ids").withColumn("answers", q.first_by(F.col("answers"), "id"))
     out = checked(rephrased(merged, cache, provider), F.size("answers"), F.size("question_ids"), F.col("signal"))
-    return out.where("flaw is null").select("topic_id", "question_id", "signal", "source", "question", "rephrase_question", "answers", "n_words", "check_signal")
+    return out.where("flaw is null").select("topic_id", "question_id", "signal", "source", "question", "rephrase_question", "answers", "n_words", "check_signal", "main_ids", "sources", "spans", "question_ids")

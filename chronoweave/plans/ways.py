@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates
-from ..operators import kb, sample
+from ..functions import dates, predicates
+from ..operators import generators, kb, link, questions, records, sample
 from ..sources.html import page_anchors
+from ..sources.service import Service, redirect_service
 from . import generate, retrieve
 from .star import Query, spread, sql_draw, sql_signal, table
 
@@ -167,3 +168,78 @@ def questions_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finished_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = generate.finished_questions(_order_questions(spark, sf_dir))
     return out.select("topic_id", "question_id", "signal", "rephrase_question", "n_words", "check_signal")
+
+
+def _moved(paths: list[str]) -> dict:
+    """Titles with blanks are the normal form; every title of a length that 3 divides is a redirect."""
+    titles = {p: p.replace("_", " ") for p in paths}
+    return {"normalized": [{"from": p, "to": t} for p, t in titles.items() if p != t], "redirects": [{"from": t, "to": f"The {t}"} for t in titles.values() if len(t) % 3 == 0]}
+
+
+def _called(ids: list[str]) -> list[tuple]:
+    return [(i, [i, f"Name {i[1:]}"]) for i in ids if int(i[1:]) % 4]
+
+
+@query("""WITH w AS (SELECT p_partkey AS k, p_partkey % 97 || '_' || replace(p_name, ' ', '_') AS path FROM part),
+i AS (SELECT k, CASE WHEN k % 97 % 2 = 0 THEN 'Q' || k % 97 WHEN length(path) % 3 = 0 THEN 'Q' || (k % 97 + 1000) END AS id, path FROM w)
+SELECT k AS p_partkey, id, CASE WHEN id IS NULL THEN NULL WHEN substr(id, 2)::INT % 4 = 0 THEN id ELSE 'Name ' || substr(id, 2) END AS label FROM i""")
+def links_by_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of parts: known ones by a table, the rest by a service of redirects, labels by another."""
+    w = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 97).alias("n"), _said((F.col("p_partkey") % 97).cast("string"), "_", F.replace("p_name", F.lit(" "), F.lit("_"))).alias("path"))
+    known = w.where("n % 2 = 0").select("path", _said("Q", _text("n")).alias("id"))
+    targets = w.where("n % 2 = 1").select(_said("The_", F.col("path")).alias("path"), _said("Q", (F.col("n") + 1000).cast("string")).alias("id"))
+    found = link.resolve_paths(w, known.unionByName(targets), redirect_service(_moved))
+    named = link.with_labels(found, Service("id string, labels array<string>", _called))
+    return named.select("p_partkey", "id", "label")
+
+
+@query("""SELECT '7-' || row_number() OVER (ORDER BY o_orderstatus = 'F', o_orderdate, o_orderkey) AS evidence_id, CASE WHEN o_orderstatus = 'F' THEN 'year_page' ELSE 'entity_page' END AS evidence_type, o_orderkey FROM orders""")
+def numbered_evidence_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    return records.numbered_evidence(o.where("o_orderstatus <> 'F'"), o.where("o_orderstatus = 'F'"), 7, "o_orderdate", "o_orderkey").select("evidence_id", "evidence_type", "o_orderkey")
+
+
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber, ['kb', 'text', 'info'][l_partkey % 3 + 1] || '; ' || ['kb', 'text'][l_suppkey % 2 + 1] AS combination FROM lineitem)
+SELECT combination, count(*) AS n, count(DISTINCT l_orderkey) AS topics FROM i GROUP BY 1""")
+def combinations_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda c, *names: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % len(names) + 1).cast("int"))
+    i = table(spark, sf_dir, "lineitem").select("l_orderkey", pick("l_partkey", "kb", "text", "info").alias("main"), pick("l_suppkey", "kb", "text").alias("bound"))
+    return records.counts_of_combinations(i, "main", "bound", "l_orderkey")
+
+
+@query("""WITH y AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders), m AS (SELECT y, unnest(range(1, 13)) AS m FROM y), p AS (SELECT y FROM y UNION ALL SELECT y FROM m WHERE m <= y % 12),
+n AS (SELECT y, count(*) AS n FROM p GROUP BY 1), r AS (SELECT s, least(s + 1, (SELECT max(y) FROM n)) AS e FROM (SELECT unnest(range(min(y), max(y) + 1, 2)) AS s FROM n))
+SELECT s::INT AS range_start, e::INT AS range_end, sum(ceil(n * 1000 / (SELECT sum(n) FROM n)))::BIGINT AS target FROM r JOIN n ON y BETWEEN s AND e GROUP BY s, e""")
+def targets_of_page_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of each year of orders and of its first months, the ranges' targets by their numbers."""
+    years = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")).distinct()
+    lo, hi = years.agg(F.min("year"), F.max("year")).first()  # two numbers
+    months = years.select("year", F.posexplode(F.array(*[F.lit(m.capitalize()) for m in dates.MONTHS])).alias("at", "month")).where("at < year % 12")
+    paths = years.select(_text("year").alias("path")).unionByName(months.select(F.format_string("%s_%d", "month", "year").alias("path"))).withColumn("id", _said("Q", F.col("path")))
+    pool = generators.page_pool(years, paths)
+    ranges = generators.year_ranges(spark, 0 if lo is None else lo, -1 if hi is None else hi, 2).select("range_start", "range_end")
+    return generators.apportioned_targets(generators.pages_per_year(pool), ranges, 1000)
+
+
+@query("""SELECT o_orderkey, len(list_distinct(['Q' || o_orderkey % 2, 'Q' || o_custkey % 3, 'Q' || o_custkey % 5]))::INT AS n FROM orders""")
+def entities_of_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", predicates.entity_count(F.array(_said("Q", (F.col("o_orderkey") % 2).cast("string"))), F.array(*[_said("Q", (F.col("o_custkey") % n).cast("string")) for n in (3, 5)])).alias("n"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders),
+g AS (SELECT c, min(k) AS k, list(k ORDER BY k) AS up, list(k ORDER BY k DESC) FILTER (r > 1) AS down, list(DISTINCT 'E' || k % 7) AS e FROM o GROUP BY 1)
+SELECT c AS topic, k AS question_id, array_to_string(list_transform(up, lambda x: 'A' || x), ',') AS answers, array_to_string(up, ',') AS main_ids, array_to_string(list_concat(['m' || k], list_concat(coalesce(list_transform(down, lambda x: 'm' || x), []), ['bound'])), ',') AS slots, len(e)::INT AS n_entities FROM g""")
+def merged_questions_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's first order takes in the later ones as similar questions."""
+    k = F.col("o_orderkey")
+    asked = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("topic"), k.alias("question_id"), k.alias("main_id"), F.array(_said("A", k.cast("string"))).alias("answers"),
+        F.array(_said("m", k.cast("string")), F.lit("bound")).alias("slots"), F.array(_said("E", (k % 7).cast("string"))).alias("entities"),
+    )
+    first = asked.groupBy("topic").agg(F.min("question_id").alias("question_id"))
+    pairs = asked.select("topic", F.col("question_id").alias("other_id")).join(first, "topic").where("other_id > question_id").select("question_id", "other_id")
+    merged = questions.merge_similar(asked, pairs, ["main_id", "answers", "slots", "entities"], drop_absorbed=True)
+    out = questions.with_slots_of_similar(merged, ("slots",), entities="entities")
+    shown = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return out.select("topic", "question_id", shown("answers"), shown("main_ids"), shown("slots"), F.size("entities").alias("n_entities"))

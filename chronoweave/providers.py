@@ -15,8 +15,9 @@ from .functions.text import words
 def hashed_embedding(text: Column, dimensions: int = 64) -> Column:
     """A bag of words hashed to ``dimensions`` signed counts; native."""
     hashes = F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
-    count = lambda i: F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dimensions)) == i, F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), count)
+    sign = lambda h: F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0)
+    add = lambda counts, h: F.transform(counts, lambda v, i: v + F.when(F.pmod(h, F.lit(dimensions)) == i, sign(h)).otherwise(0.0))
+    return F.aggregate(hashes, F.array_repeat(F.lit(0.0), dimensions), add)
 
 
 def embedder(model: Callable[[list[str]], np.ndarray]) -> Callable[[Column], Column]:
