@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 import datetime
+import functools
 import hashlib
 import math
 import re
@@ -36,9 +37,18 @@ IBAN_LENGTHS = {
 }
 #: Hex digits beyond which a secret is permuted as two halves of bytes.
 LONG_HEX = 128
+#: Characters of an e-mail name that are permuted together; longer names go by parts of this length.
+NAME_PART = 64
 MONTHS = "January February March April May June July August September October November December".split()
 
 
+@functools.cache
+def short_days(day_width: int, month_width: int, late: bool) -> list[int]:
+    """Ordinals of the days that can be written with a day and month of these widths, of 2 with a leading zero where needed; ``late``: days above 12 alone."""
+    days = (datetime.date.fromordinal(x) for x in range(FIRST_DAY, LAST_DAY + 1))
+    return [x.toordinal() for x in days if (day_width == 2 or x.day < 10) and (month_width == 2 or x.month < 10) and (x.day > 12 or not late)]
+
+
 def feistel(value: int, n: int, key: bytes, tweak: str, inverse: bool = False) -> int:
     """A keyed permutation of 0 to n-1; ``tweak`` gives each kind of value its own."""
     if not 0 <= value < n:
@@ -123,12 +133,13 @@ class Pseudonyms:
         return _refilled(text, body + luhn_digit(body))
 
     def iban(self, text: str) -> str | None:
-        value = text.replace(" ", "")
+        value = text.replace(" ", "").upper()
         if not iban_ok(value):
             return None
         body = self._letters(value[4:], "iban" + value[:2])
         check = 98 - int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
-        it = iter(value[:2] + f"{check:02d}" + body)
+        new = value[:2] + f"{check:02d}" + body
+        it = iter(new.lower() if text == text.lower() else new)
         return "".join(next(it) if c != " " else c for c in text)
 
     def phone(self, text: str) -> str | None:
@@ -161,8 +172,9 @@ class Pseudonyms:
 
     def email(self, text: str) -> str | None:
         local, _, domain = text.rpartition("@")
-        new = self._letters(local, "email@" + domain.lower())
-        return f"{new}@{domain}"
+        parts = [local[i : i + NAME_PART] for i in range(0, len(local), NAME_PART)]
+        new = [self._letters(x, "email@" + domain.lower() + ("" if i == 0 else f"#{i}")) for i, x in enumerate(parts)]
+        return f"{''.join(new)}@{domain}"
 
     def _halves(self, text: str) -> str:
         """A Feistel network over the two halves of a hex string of any length, by an extendable hash of the other half; linear time."""
@@ -213,12 +225,28 @@ class Pseudonyms:
             return None
         return datetime.date.fromordinal(LATE_DAYS[feistel(bisect.bisect_left(LATE_DAYS, day), len(LATE_DAYS), self.key, "late date", self.inverse)])
 
+    def _short_date(self, a: str, s: str, b: str, y: int) -> str | None:
+        """Dates with a day or month of one digit are permuted among those that can be written in the same widths."""
+        for order, day, month in (("day", a, b), ("month", b, a)):
+            try:
+                old = datetime.date(y, int(month), int(day)).toordinal()
+            except ValueError:
+                continue
+            # With the month first only dates that don't read as day first.
+            days = short_days(len(day), len(month), order == "month")
+            new = datetime.date.fromordinal(days[feistel(bisect.bisect_left(days, old), len(days), self.key, f"short date {len(a)} {len(b)} {order}", self.inverse)])
+            d, m = f"{new.day:0{len(day)}d}", f"{new.month:0{len(month)}d}"
+            return f"{d}{s}{m}{s}{new.year}" if order == "day" else f"{m}{s}{d}{s}{new.year}"
+        return None
+
     def date(self, text: str) -> str | None:
-        """ISO dates, and day or month first with a full year; an ambiguous one counts as day first. Widths and separators stay."""
+        """ISO dates, and day or month first with a year of 1900 to 2099; an ambiguous one counts as day first. Widths and separators stay."""
         a, s, b, _, c = re.split(r"([-/.])", text)
         if len(a) == 4:
             new = self._day(int(a), int(b), int(c))
             return new and f"{new.year:04d}{s}{new.month:02d}{s}{new.day:02d}"
+        if len(a) + len(b) < 4:
+            return self._short_date(a, s, b, int(c))
         new = self._day(int(c), int(b), int(a))
         if new:
             return f"{new.day:02d}{s}{new.month:02d}{s}{new.year:04d}"
@@ -245,13 +273,13 @@ class Pseudonyms:
 _month = "|".join(MONTHS)
 #: Kinds and patterns, the first that is valid at a place wins.
 KINDS: dict[str, str] = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,29}(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])(?:[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,29}|[a-z]{2}[0-9]{2}(?: ?[0-9a-z]){11,29})(?![0-9A-Za-z])",
     "card": r"(?<![\d.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\d])",
     "ip": r"(?<![\d.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\d])(?!\.\d)",
     "ssn": r"(?<![\d\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d\-])",
-    "date": r"(?<![\d\-/.])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}-[0-9]{2}-(?:19|20)[0-9]{2})(?![\d\-/])",
+    "date": r"(?<![\d\-/.])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.(?:19|20)[0-9]{2}|[0-9]{1,2}-[0-9]{1,2}-(?:19|20)[0-9]{2})(?![\d\-/])",
     "long_date": rf"(?<!\w)(?:[0-9]{{1,2}} (?:{_month}) (?:19|20)[0-9]{{2}}|(?:{_month}) [0-9]{{1,2}}, (?:19|20)[0-9]{{2}})(?!\d)",
     "phone": r"(?<![\w.])(?:\+[0-9]{1,3}[ \-.]?(?:\([0-9]{1,4}\)[ \-.]?)?[0-9]{2,4}(?:[ \-.]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ \-.][0-9]{4}|[0-9]{3}[ \-.][0-9]{3}[ \-.][0-9]{4})(?![\w])(?!\.\d)",
 }
@@ -262,7 +290,7 @@ _each: dict[str, Callable] = {k: re.compile(p).match for k, p in KINDS.items()}
 def _beginnings(kind: str, found: str) -> Iterator[str]:
     """The match and, as it may have taken in what follows a value, its beginnings up to a blank or hyphen: of an IBAN that of its country's length, of a card those of 13 digits and more, longest first."""
     yield found
-    lengths = {"iban": (IBAN_LENGTHS.get(found[:2]),), "card": range(13, 19)}.get(kind, ())
+    lengths = {"iban": (IBAN_LENGTHS.get(found[:2].upper()),), "card": range(13, 19)}.get(kind, ())
     for i in range(len(found) - 1, 0, -1) if lengths else ():
         if found[i] in " -" and sum(c not in " -" for c in found[:i]) in lengths:
             yield found[:i]
@@ -296,7 +324,9 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
 
     Spans give kind, place in the old text and pseudonym, never the old value. A null text stays null and
     has no values; empty texts and texts without values stay byte for byte. Where values of several kinds begin at one
-    place the first of KINDS that is valid wins, and values never overlap. Digits are ASCII digits. Repeated
+    place the first of KINDS that is valid wins, and values never overlap. Digits are ASCII digits. Left as they are: dates outside 1900 to
+    2099 or without a full year, IBANs that mix cases, IPv6 addresses. Hex secrets over LONG_HEX digits and parts of
+    e-mail names after the first NAME_PART characters have permutations of their own. A value's pseudonym depends on nothing around it. Repeated
     rows give equal results, a null doc_id stays null, texts count whole, an empty table gives an empty result, and
     further columns, whatever their names, are ignored. No shuffle.
     """
