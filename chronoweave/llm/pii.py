@@ -283,6 +283,9 @@ KINDS: dict[str, str] = {
     "long_date": rf"(?<!\w)(?:[0-9]{{1,2}} (?:{_month}) (?:19|20)[0-9]{{2}}|(?:{_month}) [0-9]{{1,2}}, (?:19|20)[0-9]{{2}})(?!\d)",
     "phone": r"(?<![\w.])(?:\+[0-9]{1,3}[ \-.]?(?:\([0-9]{1,4}\)[ \-.]?)?[0-9]{2,4}(?:[ \-.]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ \-.][0-9]{4}|[0-9]{3}[ \-.][0-9]{3}[ \-.][0-9]{4})(?![\w])(?!\.\d)",
 }
+#: More characters than any value has between, before or after its digits across a blank.
+REACH = 64
+_mark = re.compile(r"[0-9@]+")
 _any = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
 _each: dict[str, Callable] = {k: re.compile(p).match for k, p in KINDS.items()}
 
@@ -296,18 +299,34 @@ def _beginnings(kind: str, found: str) -> Iterator[str]:
             yield found[:i]
 
 
+def _regions(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches outside which no value can be: every kind has a digit or an @, and blanks at REACH places from any are in no value."""
+    at, n = 0, len(text)
+    while m := _mark.search(text, at):
+        start = max(at, text.rfind(" ", at, max(at, m.start() - REACH)) + 1)
+        end = -1
+        while m:
+            last = m.end()
+            if end < last + REACH:
+                end = text.find(" ", last + REACH)
+                end = n if end < 0 else end
+            m = _mark.search(text, last, end + REACH)  # a value across that blank would have a digit so near
+        yield start, end
+        at = end
+
+
 def find_values(text: str, valid: Callable[[str, str], str | None]) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of valid values, from left to right without overlaps."""
-    at = 0
-    while m := _any.search(text, at):
-        for kind in KINDS:
-            own = _each[kind](text, m.start())
-            if own and (hit := next(((x, new) for x in _beginnings(kind, own[0]) if (new := valid(kind, x)) is not None), None)):
-                at = own.start() + len(hit[0])
-                yield own.start(), at, kind, hit[1]
-                break
-        else:
-            at = m.start() + 1
+    for at, end in _regions(text):
+        while m := _any.search(text, at, end):
+            for kind in KINDS:
+                own = _each[kind](text, m.start())
+                if own and (hit := next(((x, new) for x in _beginnings(kind, own[0]) if (new := valid(kind, x)) is not None), None)):
+                    at = own.start() + len(hit[0])
+                    yield own.start(), at, kind, hit[1]
+                    break
+            else:
+                at = m.start() + 1
 
 
 def replace_values(text: str, pseudonyms: Pseudonyms) -> tuple[str, list[dict]]:

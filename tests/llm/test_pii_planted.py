@@ -115,3 +115,25 @@ def test_short_dates_are_permuted_within_their_widths(form):
 def test_what_stays_in_clear():
     for text in ("on 5/6/1899 and 5/6/24", "De89370400440532013000", "2001:db8::1", "1.2.3", "5/6/20245", "15/6/2024/1"):
         assert pii.replace_values(text, pii.Pseudonyms(KEY)) == (text, [])
+
+
+def test_stretches_without_digits_hold_no_values():
+    """A search of the whole text finds the same as one around its digits and @ signs."""
+
+    def everywhere(text, valid):
+        at = 0
+        while at < len(text):
+            for kind in pii.KINDS:
+                own = pii._each[kind](text, at)
+                hit = own and next((x for x in pii._beginnings(kind, own[0]) if valid(kind, x) is not None), None)
+                if hit:
+                    yield at, at + len(hit), kind, valid(kind, hit)
+                    at += len(hit) - 1
+                    break
+            at += 1
+
+    r, own = random.Random(1), pii.Pseudonyms(KEY)
+    bits = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", " ", "\n", "a@b.de", "I paid", "4111 1111 1111 1111", " 12 September 2001", "March 4, 1999", "A B C D", "1.2.3.4", "+1 (743) 555-3824", "word " * 20, "w" * 90, "Z" * 70, "a1" * 40, "\t", "5/6/2001"]
+    for _ in range(1000):
+        text = "".join(r.choice(bits) + r.choice(["", "\xa0", " "]) for _ in range(r.randrange(12)))
+        assert list(pii.find_values(text, own.of)) == list(everywhere(text, own.of)), text
