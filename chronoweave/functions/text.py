@@ -109,7 +109,7 @@ def sentences(c: Column, abbreviations: Collection[str] = ()) -> Column:
     """Sentences: an end mark that no initial, title or one of ``abbreviations`` (in lower case, without the full stop) has, then blanks, then anything but a lower-case letter or digit."""
     known = "|".join(re.escape(a) for a in sorted(abbreviations))
     end = rf"(?<!(?<![\p{{L}}.])(?i:{known})\.){SENTENCE_END}" if known else SENTENCE_END
-    return F.filter(F.transform(F.split(c, end), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, end), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def strip_token(c: Column) -> Column:

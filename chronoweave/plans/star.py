@@ -403,7 +403,7 @@ def source_centric(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, count(*) AS n, max(length(sentence)) AS longest FROM s GROUP BY doc_id""")
 def text_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     prose = text.page_prose(F.col("text"))
-    cut = F.filter(F.transform(F.split(prose, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    cut = F.filter(F.transform(F.split(prose, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(cut).alias("i", "sentence"))
     return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("sentence")).alias("longest"))
 

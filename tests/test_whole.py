@@ -76,3 +76,13 @@ def test_snippets_of_all_languages(spark, tmp_path):
     rows = [(1, "One. Two is longer! Three?", "en"), (2, "Un. Deux est plus long! Trois?", "fr"), (3, "Eins.\nZwei.", "de"), (4, "No language. None.", None), (5, "", "en"), (6, None, "es")]
     got = run(spark, tmp_path, "text_snippets", documents=(rows, "doc_id long, text string, lang string"))
     assert {r["doc_id"]: (r["n"], r["longest"]) for r in got} == {1: (3, 14), 2: (3, 19), 3: (2, 5), 4: (2, 12)}
+
+
+def test_sentences_keep_their_digits(spark, tmp_path):
+    """A sentence loses blanks, not the digits of its number in the text."""
+    from chronoweave.functions import text
+
+    said = [f"{i} men, {i}" + "!" * (i % 2) + "." for i in range(30)]
+    got = run(spark, tmp_path, "text_snippets", documents=([(i, " ".join(said[: i + 1])) for i in range(30)], "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n"], r["longest"]) for r in got} == {i: (i + 1, max(map(len, said[: i + 1]))) for i in range(30)}
+    assert list(spark.range(1).select(text.sentences(F.lit("Ann left!  (0) She came?  \u00c9 1. Ends in 3")).alias("s")).first()["s"]) == ["Ann left!", "(0) She came?", "\u00c9 1.", "Ends in 3"]
