@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +80,7 @@ def link_anchors(text: Column, anchors: Column) -> Column:
 
 
 LINKS = "array<struct<text:string,path:string,s:int,e:int>>"
+ROW = pa.list_(pa.struct([("text", pa.string()), ("path", pa.string()), ("s", pa.int32()), ("e", pa.int32())]))
 
 
 class _Automaton:
@@ -122,20 +123,34 @@ class _Automaton:
 def linked_texts(rows: DataFrame, anchors: DataFrame, key: str, number: str, text: str = "text") -> DataFrame:
     """``(key, number, links)`` of ``rows(key, number, text)`` by the anchors ``(key, pos, text, path)`` of the same key, as ``link_anchors`` has them.
 
-    Rows meet their page's anchors in one place, where an automaton of all of them reads each text once; anchors are copied to no
-    row. Rows without anchors, null and empty texts have no links.
+    Rows meet their page's anchors in one place, sorted behind them, where an automaton of all of them reads each text once; anchors are
+    copied to no row, and a task holds the anchors of one page. Rows without anchors, null and empty texts have no links.
     """
 
-    def link(page: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        known = known.sort_values("pos", kind="stable")
-        automaton = _Automaton(list(zip(known["text"], known["path"])))
-        links = [[dict(zip(("text", "path", "s", "e"), x)) for x in automaton.links(t)] for t in page["text"]]
-        return pd.DataFrame({key: page[key], number: page[number], "links": pd.Series(links, index=page.index, dtype=object)})
-
-    kind = lambda c: rows.schema[c].dataType.simpleString()
-    left = rows.select(key, number, F.col(text).alias("text")).groupBy(key)
-    right = anchors.where("text is not null").select(key, "pos", "text", "path").groupBy(key)
-    return left.cogroup(right).applyInPandas(link, f"`{key}` {kind(key)}, `{number}` {kind(number)}, links {LINKS}")
+    t = rows.schema
+    left = rows.select(F.col(key).alias("_k"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_pos"), F.col(number).alias("_n"), F.col(text).alias("_text"), F.lit(None).cast("string").alias("_path"))
+    right = anchors.where("text is not null").select(F.col(key).alias("_k"), F.lit(0).alias("_side"), F.col("pos").cast("long").alias("_pos"), F.lit(None).cast(t[number].dataType).alias("_n"), F.col("text").alias("_text"), F.col("path").alias("_path"))
+
+    def run(batches):
+        """Pages one after the other, a page's anchors before its texts: no page costs a call of its own."""
+        page, known, automaton = object(), [], None
+        for batch in batches:
+            at, links = [], []
+            for i, (k, side, word, path) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_k", "_side", "_text", "_path")))):
+                if k != page:
+                    page, known, automaton = k, [], None
+                if side == 0:
+                    known.append((word, path))
+                    continue
+                if automaton is None:
+                    automaton = _Automaton(known)
+                at.append(i)
+                links.append([dict(zip(("text", "path", "s", "e"), x)) for x in automaton.links(word)])
+            own = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([own.column("_k"), own.column("_n"), pa.array(links, ROW)], names=[key, number, "links"])
+
+    both = left.unionByName(right).repartition("_k").sortWithinPartitions("_k", "_side", F.col("_pos").asc_nulls_last())
+    return both.mapInArrow(run, f"`{key}` {t[key].dataType.simpleString()}, `{number}` {t[number].dataType.simpleString()}, links {LINKS}")
 
 
 def reconciled(rows: DataFrame, names: DataFrame, column: str = "url") -> DataFrame:

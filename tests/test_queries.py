@@ -366,3 +366,20 @@ def test_automaton_equals_the_fold(spark):
     held = spark.createDataFrame([(k, n, t, [(w, p) for _, w, p in dict(pages)[k]]) for k, n, t in texts], "page string, n int, sentence string, a array<struct<text:string,path:string>>")
     want = {(r["page"], r["n"]): [tuple(x) for x in r["l"] or []] for r in held.select("page", "n", link.link_anchors(F.col("sentence"), F.col("a")).alias("l")).collect()}
     assert {k: v for k, v in got.items() if k[0] != "other"} == {k: [] if v is None else v for k, v in want.items()}
+
+
+def test_pages_are_linked_one_after_the_other(spark):
+    """Pages share tasks and batches: no call for each, the same links in batches of two rows, of a null page too."""
+    from chronoweave.operators import link
+
+    rows = spark.createDataFrame([(k, n, f"page {k} of {n}") for k in (None, "1", "2", "3") for n in range(5)], "page string, n int, text string")
+    anchors = spark.createDataFrame([(None, 0, "of", "N"), ("1", 1, "page", "P"), ("1", 0, "1", "One"), ("2", None, "page", "L"), ("2", 3, "page", "F")], "page string, pos int, text string, path string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = link.linked_texts(rows, anchors, "page", "n")
+        got = {(r["page"], r["n"]): [(x["path"], x["s"], x["e"]) for x in r["links"]] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {None: [("N", 10, 12)], "1": [("P", 0, 4), ("One", 5, 6)], "2": [("F", 0, 4)], "3": []}
+    assert got == {(k, n): v for k, v in want.items() for n in range(5)}
+    assert "MapInArrow" in (plan := found._jdf.queryExecution().toString()) and "CoGroup" not in plan
