@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,6 +127,32 @@ def unit(vector: Column) -> Column:
 TILE = 4096
 
 
+#: Rows of a tile whose products with another tile are in memory at a time.
+STRIP = 64
+
+
+def _runs(batches, by: list[str]):
+    """Sorted batches as ``(values, slices)`` of each run of equal values in the columns ``by``; a run may go over several batches."""
+    head, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.zeros(batch.num_rows - 1, bool)
+        for c in by:
+            column = batch.column(c)
+            ends |= pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+        starts = [0, *(np.flatnonzero(ends) + 1).tolist(), batch.num_rows]
+        for start, end in zip(starts, starts[1:]):
+            own = tuple(batch.column(c)[start].as_py() for c in by)
+            if parts and own != head:
+                yield head, parts
+                parts = []
+            head = own
+            parts.append(batch.slice(start, end - start))
+    if parts:
+        yield head, parts
+
+
 def _tiled(rows: DataFrame, topic: str, tile: int) -> DataFrame:
     """``rows (topic, key, vector)`` with the pair of tiles ``(_i, _j)``, i <= j, in which they are compared, and their own tile ``_t``; small topics are one tile."""
     zero = F.lit(0)
@@ -144,26 +171,52 @@ def cosines(rows: DataFrame, key: str, topic: str, vector: str, least: float, ti
     """
     t = rows.schema
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(vector, lambda x: x != 0)
-    good = rows.where(finite & F.col(topic).isNotNull() & F.col(key).isNotNull()).select(topic, F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_v"))
+    good = rows.where(finite & F.col(topic).isNotNull() & F.col(key).isNotNull()).select(topic, F.col(key).alias("_key"), F.col(vector).alias("_v"))
+
+    kind = lambda c: t[c].dataType.simpleString()
+    names = [topic, "_a", "_b", "score"]
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        keys, own = group["_key"].to_numpy(), group["_t"].to_numpy()
-        x = np.stack(group["_v"].to_numpy())
+    def compare(head: tuple, parts: list[pa.RecordBatch]):
+        """Strips of a pair of tiles' products: what is found in one goes on before the next is made."""
+        keys, own = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("_key", "_t"))
+        x = np.concatenate([p.column("_v").flatten().to_numpy(zero_copy_only=False) for p in parts]).astype(np.float64).reshape(len(keys), -1)
         x = x / np.linalg.norm(x, axis=1)[:, None]
-        i, j = group["_i"].iloc[0], group["_j"].iloc[0]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
-        for at in range(0, len(left), 512):
-            some = left[at : at + 512]
-            score = x[some] @ x[right].T
+        name, i, j = head
+        left, right = (slice(None), slice(None)) if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+        a_keys, b_keys, x_right = keys[left], keys[right], x[right].T
+        x = x[left]
+        for at in range(0, len(x), STRIP):
+            score = x[at : at + STRIP] @ x_right
             a, b = np.nonzero(score > least)
-            found = pd.DataFrame({topic: group[topic].iloc[0], "_a": keys[some[a]], "_b": keys[right[b]], "score": score[a, b]})
+            some, others = a_keys[at + a], b_keys[b]
             # A tile meets itself in both orders.
-            out.append(found[found["_a"] < found["_b"]] if i == j else found[found["_a"] != found["_b"]])
-        return pd.concat(out) if out else pd.DataFrame({topic: [], "_a": [], "_b": [], "score": []})
-
-    kind = lambda c: t[c].dataType.simpleString()
-    found = _tiled(good, topic, tile).groupBy(topic, "_i", "_j").applyInPandas(compare, f"`{topic}` {kind(topic)}, _a {kind(key)}, _b {kind(key)}, score double")
+            kept = some < others if i == j else some != others
+            yield name, some[kept], others[kept], score[a[kept], b[kept]]
+
+    def run(batches):
+        types = None
+        held, size = [], 0
+
+        def flushed():
+            return pa.RecordBatch.from_arrays([
+                pa.array([h[0] for h in held], types[0]).take(pa.array(np.repeat(np.arange(len(held)), [len(h[1]) for h in held]))),
+                *[pa.array(np.concatenate([h[c] for h in held]), types[c]) for c in (1, 2, 3)],
+            ], names=names)
+
+        for head, parts in _runs(batches, [topic, "_i", "_j"]):
+            types = types or [parts[0].column(topic).type, parts[0].column("_key").type, parts[0].column("_key").type, pa.float64()]
+            for found in compare(head, parts):
+                held.append(found)
+                size += len(found[1])
+                if size >= 1 << 16 or len(held) >= 1 << 12:
+                    yield flushed()
+                    held, size = [], 0
+        if held:
+            yield flushed()
+
+    # As many tasks as the session says, not as few as the bytes would fill: the work grows with the square of a tile.
+    dealt = _tiled(good, topic, tile).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), topic, "_i", "_j").sortWithinPartitions(topic, "_i", "_j")
+    found = dealt.mapInArrow(run, f"`{topic}` {kind(topic)}, _a {kind(key)}, _b {kind(key)}, score double")
     return found.select(topic, F.least("_a", "_b").alias(key), F.greatest("_a", "_b").alias("other"), "score")
 
 

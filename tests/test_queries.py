@@ -383,3 +383,42 @@ def test_pages_are_linked_one_after_the_other(spark):
     want = {None: [("N", 10, 12)], "1": [("P", 0, 4), ("One", 5, 6)], "2": [("F", 0, 4)], "3": []}
     assert got == {(k, n): v for k, v in want.items() for n in range(5)}
     assert "MapInArrow" in (plan := found._jdf.queryExecution().toString()) and "CoGroup" not in plan
+
+
+def test_year_pages_are_parsed_once(spark, tmp_path):
+    """However often the links are read, each page is parsed once."""
+    from chronoweave.plans import retrieve
+
+    calls = str(tmp_path / "calls")
+    page = '<a href="/wiki/Ann">Ann Lee</a><a href="/wiki/B.ob">Bob Ray</a><a href="/wiki/Old">Old Man</a>'
+
+    def noted(html):
+        with open(calls, "a") as f:
+            f.write("x\n")
+        return html
+
+    pages = spark.createDataFrame([(2000, page), (2001, page)], "year int, html string").select("year", F.udf(noted)("html").alias("html"))
+    paths = spark.createDataFrame([("Ann", "Q1"), ("Bob", "Q2"), ("New", "Q3")], "path string, id string")
+    entities = spark.createDataFrame([(f"Q{i}", [("t", "t")], [i]) for i in (1, 2, 3)], "id string, types array<struct<id:string,label:string>>, frequency array<bigint>")
+    found = retrieve.year_entities(pages, paths, spark.createDataFrame([("Old", "New")], "from_path string, to_title string"), spark.createDataFrame([("Q1", ["Ann"])], "id string, labels array<string>"), entities)
+    assert sorted((r["year"], r["id"], r["label"]) for r in found.collect()) == [(y, f"Q{i}", "Ann" if i == 1 else f"Q{i}") for y in (2000, 2001) for i in (1, 2, 3)]
+    assert open(calls).read().split() == ["x", "x"]
+
+
+def test_cosines_of_topics_in_one_stream(spark):
+    """Topics of other names and lengths share tasks and batches; results go on in strips, not by a call for each topic."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(f"k{i}", "ab"[i % 2] if i < 300 else f"t{i // 3}", [float(x) for x in rng.normal(size=3 + i % 2 if i < 300 else 2 + i // 3 % 3)]) for i in range(360)]
+    want = {(a, b) for a, s, x in rows for b, t, y in rows if a < b and s == t and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) > 0.6}
+    df = spark.createDataFrame(rows, "id string, topic string, v array<double>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for tile in (4096, 80):
+            found = questions.similar_pairs(df, "id", "topic", "v", 0.6, tile=tile)
+            got = [(r["id"], r["other"]) for r in found.collect()]
+            assert set(got) == want and len(got) == len(want)
+            assert "MapInArrow" in (plan := found._jdf.queryExecution().toString()) and "FlatMapGroups" not in plan
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
