@@ -72,27 +72,28 @@ def kb_evidence(facts: DataFrame, reference_end: str = REFERENCE_END) -> DataFra
     Triples: start with end and inception with dissolution, each merged over the topic's triples, the last
     one winning; dated triples are points of their own if the topic has no inception.
     """
-    f = facts.select("topic_id", "fact_no", unquoted(F.col("fact")).alias("fact")).where(is_temporal(F.col("fact")))
+    # Generators keep Spark from repeating what is inside wherever it is used.
+    told = lambda x: F.inline(F.array(x))
+    f = facts.select("topic_id", "fact_no", F.explode(F.array(unquoted(F.col("fact")))).alias("fact")).where(is_temporal(F.col("fact")))
     fact = F.col("fact")
     start, end = after_key(fact, START), widened_end(after_key(fact, END), reference_end)
     qualified = f.where(F.size("fact") > 3)
     named = lambda rule, b, e: _evidence(b, e, rule, True)
     point, published, last = after_key(fact, POINT), after_key(fact, PUBLISHED), last_timestamp(fact)
-    routed = qualified.select("topic_id", "fact_no", F.when(has(fact, START), named("start_end", start, end)).when(has(fact, POINT), named("point", point, widened_end(point))).when(has(fact, PUBLISHED), named("published", published, widened_end(published))).otherwise(named("last", last, widened_end(last))).alias("x"))
+    routed = qualified.select("topic_id", "fact_no", told(F.when(has(fact, START), named("start_end", start, end)).when(has(fact, POINT), named("point", point, widened_end(point))).when(has(fact, PUBLISHED), named("published", published, widened_end(published))).otherwise(named("last", last, widened_end(last)))))
     triples = f.where(F.size("fact") == 3).withColumn("p", F.get(fact, F.lit(1))["id"]).withColumn("v", F.get(fact, F.lit(2))["id"])
     merged = triples.groupBy("topic_id").agg(*[F.max(F.when(F.col("p") == p, F.struct("fact_no", "fact", "v"))).alias(p) for p in (START, END, INCEPTION, DISSOLVED)])
     spans = []
     for rule, a, b in (("triple_start_end", START, END), ("triple_inception", INCEPTION, DISSOLVED)):
         one = merged.where(F.col(a).isNotNull()).select("topic_id", F.col(f"{a}.fact_no").alias("fact_no"), F.col(f"{a}.fact").alias("fact"), F.col(f"{a}.v").alias("b"), widened_end(F.col(f"{b}.v"), reference_end).alias("e"))
-        spans.append(one.select("topic_id", "fact_no", _evidence(F.col("b"), F.col("e"), rule, False).alias("x")))
+        spans.append(one.select("topic_id", "fact_no", told(_evidence(F.col("b"), F.col("e"), rule, False))))
     without = triples.join(merged.where(F.col(INCEPTION).isNotNull()).select("topic_id"), "topic_id", "left_anti")
     v = F.col("v")
-    points = without.select("topic_id", "fact_no", _evidence(v, widened_end(v), "triple_point", False).alias("x"))
+    points = without.select("topic_id", "fact_no", told(_evidence(v, widened_end(v), "triple_point", False)))
     out = routed
     for part in (*spans, points):
         out = out.unionByName(part)
-    flat = out.select("topic_id", "fact_no", "x.*").where("begin is not null")
-    return flat.withColumns({"start_time_int": timestamp_int(F.col("begin")), "end_time_int": timestamp_int(F.col("end"))})
+    return out.where("begin is not null").withColumns({"start_time_int": timestamp_int(F.col("begin")), "end_time_int": timestamp_int(F.col("end"))})
 
 
 def facts_of(entities: DataFrame, facts: DataFrame | Service, most: int = 1000) -> DataFrame:
