@@ -28,10 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks that ``spread`` makes for each core: the longest one is a small part of the whole.
+TASKS_A_CORE = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores where a small file has them in fewer partitions; for work that costs far more than the rows."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows dealt evenly over several tasks a core where the files have them in fewer partitions; for work that costs far more than the rows."""
+    tasks = TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def day_int(c: Column) -> Column:
