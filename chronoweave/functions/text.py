@@ -125,7 +125,7 @@ def rstrip_chars(c: Column, chars: Column) -> Column:
 
 
 def is_item(c: Column) -> Column:
-    return F.coalesce(c.rlike("^Q[0-9]+$"), F.lit(False))
+    return F.coalesce(F.startswith(c, F.lit("Q")) & c.rlike("^Q[0-9]+$"), F.lit(False))
 
 
 def is_predicate(c: Column) -> Column:

@@ -6,6 +6,9 @@ facts are routed by their predicates; triples of a topic are merged by one condi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,80 +22,100 @@ REFERENCE_END = "2050-12-31T00:00:00Z"
 FACT = "array<struct<id:string,label:string>>"
 
 
+def _ids(fact: Column) -> Column:
+    return fact["id"]
+
+
 def is_temporal(fact: Column) -> Column:
-    return F.exists(fact, lambda x: F.contains(x["id"], F.lit("T00:00:00Z")))
+    # What is sought holds no line feed, so it lies in one id. Functions of arrays are compiled, lambdas are not.
+    return F.contains(F.array_join(_ids(fact), "\n"), F.lit("T00:00:00Z"))
 
 
 def unquoted(fact: Column) -> Column:
-    return F.transform(fact, lambda x: F.struct(F.replace(x["id"], F.lit('"'), F.lit("")).alias("id"), F.replace(x["label"], F.lit('"'), F.lit("")).alias("label")))
+    quoted = F.contains(F.concat(F.array_join(_ids(fact), ""), F.array_join(fact["label"], "")), F.lit('"'))
+    return F.when(quoted, F.transform(fact, lambda x: F.struct(F.replace(x["id"], F.lit('"'), F.lit("")).alias("id"), F.replace(x["label"], F.lit('"'), F.lit("")).alias("label")))).otherwise(fact)
 
 
 def has(fact: Column, predicate: str) -> Column:
-    return F.exists(fact, lambda x: x["id"] == predicate)
+    return F.array_contains(_ids(fact), predicate)
 
 
-def after_key(fact: Column, predicate: str) -> Column:
+def after_key(fact: Column, predicate: Column | str) -> Column:
     """The id that follows the last qualifier or predicate whose id contains ``predicate``."""
-    pairs = F.transform(fact, lambda x, i: F.struct(x["id"].alias("k"), F.get(fact, i + 1)["id"].alias("v")))
-    return F.try_element_at(F.filter(pairs, lambda p: F.contains(p["k"], F.lit(predicate)) & p["v"].isNotNull()), F.lit(-1))["v"]
+    key = F.lit(predicate) if isinstance(predicate, str) else predicate
+    following = F.slice(_ids(fact), F.lit(2), F.size(fact))
+    return F.try_element_at(F.filter(following, lambda v, i: v.isNotNull() & F.contains(F.get(_ids(fact), i), key)), F.lit(-1))
 
 
 def last_timestamp(fact: Column) -> Column:
-    return F.try_element_at(F.filter(fact, lambda x: F.contains(x["id"], F.lit("T00:00:00Z"))), F.lit(-1))["id"]
+    return F.try_element_at(F.filter(_ids(fact), lambda x: F.contains(x, F.lit("T00:00:00Z"))), F.lit(-1))
+
+
+def first_items(fact: Column) -> Column:
+    """The items of a fact that count in templates and as answers: of longer facts the first five."""
+    return F.when(F.size(fact) > 5, F.slice(fact, 1, 5)).otherwise(fact)
 
 
-def template(fact: Column) -> Column:
-    """Labels without dates: the first three items, then qualifier pairs whose value is no date. Of longer facts the first five items count.
+def template(short: Column) -> Column:
+    """Labels without dates: the first three items, then qualifier pairs whose value is no date, of a fact's ``first_items``.
 
     Where the object of a qualified fact is a date, the characters of its predicate's label go off the end too.
     """
-    short = F.when(F.size(fact) > 5, F.slice(fact, 1, 5)).otherwise(fact)
     date = lambda x: F.contains(x["id"], F.lit("T00:00:00Z"))
+    kept = lambda items: F.filter(items, lambda x, i: ~date(F.when((i < 3) | (i % 2 == 0), x).otherwise(F.get(items, i + 1))))
     head = F.filter(F.slice(short, 1, 3), lambda x: ~date(x))
     tail = F.filter(short, lambda x, i: (i >= 3) & ~date(F.get(short, F.when(i % 2 == 1, i + 1).otherwise(i))))
-    labels = lambda items: F.array_join(F.transform(items, lambda x: x["label"]), " ")
+    labels = lambda items: F.array_join(items["label"], " ")
     bare = F.concat(rstrip_chars(F.concat(F.lit(" "), labels(head)), F.get(short, F.lit(1))["label"]), F.lit(" "), labels(tail))
-    return F.when((F.size(fact) > 3) & date(F.get(short, F.lit(2))), F.trim(bare)).otherwise(labels(F.concat(head, tail)))
+    return F.when((F.size(short) > 3) & date(F.get(short, F.lit(2))), F.trim(bare)).otherwise(labels(kept(short)))
 
 
-def _evidence(begin: Column, end: Column, rule: str, answers: bool) -> Column:
-    f = F.col("fact")
-    items = F.filter(F.when(F.size(f) > 5, F.slice(f, 1, 5)).otherwise(f), lambda x: is_item(x["id"]) & (x["id"] != F.col("topic_id")))
-    return F.struct(
-        F.lit(rule).alias("rule"), F.array_join(F.transform(f, lambda x: x["label"]), ", ").alias("evidence_text"), template(f).alias("candidate_question_text"), begin.alias("begin"), end.alias("end"),
-        (F.transform(items, lambda x: x["id"]) if answers else F.array().cast("array<string>")).alias("answer_ids"), F.transform(F.filter(f, lambda x: is_item(x["id"])), lambda x: x["id"]).alias("entity_ids"),
-        (F.get(f, F.lit(0))["id"] == F.col("topic_id") if answers else F.lit(None).cast("boolean")).alias("main_fact"),
-    )
+def _told(fact: Column, short: Column, begin: Column, end: Column, rule: Column, answers: bool) -> dict[str, Column]:
+    return {
+        "rule": rule, "evidence_text": F.array_join(fact["label"], ", "), "candidate_question_text": template(short), "begin": begin, "end": end,
+        "answer_ids": F.filter(_ids(short), lambda x: is_item(x) & (x != F.col("topic_id"))) if answers else F.array().cast("array<string>"), "entity_ids": F.filter(_ids(fact), is_item),
+        "main_fact": F.get(fact, F.lit(0))["id"] == F.col("topic_id") if answers else F.lit(None).cast("boolean"),
+    }
 
 
-def kb_evidence(facts: DataFrame, reference_end: str = REFERENCE_END) -> DataFrame:
-    """Evidence of ``facts(topic_id, fact_no, fact)``, one row each: rule, text, template, span, answers, entities.
-
-    Qualified facts: start with end, else point in time, else publication, else the last timestamp.
-    Triples: start with end and inception with dissolution, each merged over the topic's triples, the last
-    one winning; dated triples are points of their own if the topic has no inception.
-    """
-    # Generators keep Spark from repeating what is inside wherever it is used.
-    told = lambda x: F.inline(F.array(x))
-    f = facts.select("topic_id", "fact_no", F.explode(F.array(unquoted(F.col("fact")))).alias("fact")).where(is_temporal(F.col("fact")))
+def _of_triples(triples: DataFrame, reference_end: str) -> DataFrame:
     fact = F.col("fact")
-    start, end = after_key(fact, START), widened_end(after_key(fact, END), reference_end)
-    qualified = f.where(F.size("fact") > 3)
-    named = lambda rule, b, e: _evidence(b, e, rule, True)
-    point, published, last = after_key(fact, POINT), after_key(fact, PUBLISHED), last_timestamp(fact)
-    routed = qualified.select("topic_id", "fact_no", told(F.when(has(fact, START), named("start_end", start, end)).when(has(fact, POINT), named("point", point, widened_end(point))).when(has(fact, PUBLISHED), named("published", published, widened_end(published))).otherwise(named("last", last, widened_end(last)))))
-    triples = f.where(F.size("fact") == 3).withColumn("p", F.get(fact, F.lit(1))["id"]).withColumn("v", F.get(fact, F.lit(2))["id"])
+    said = lambda *span: [c.alias(name) for name, c in _told(fact, fact, *span, False).items()]
+    triples = triples.withColumn("p", F.get(fact, F.lit(1))["id"]).withColumn("v", F.get(fact, F.lit(2))["id"])
     merged = triples.groupBy("topic_id").agg(*[F.max(F.when(F.col("p") == p, F.struct("fact_no", "fact", "v"))).alias(p) for p in (START, END, INCEPTION, DISSOLVED)])
-    spans = []
+    out = []
     for rule, a, b in (("triple_start_end", START, END), ("triple_inception", INCEPTION, DISSOLVED)):
         one = merged.where(F.col(a).isNotNull()).select("topic_id", F.col(f"{a}.fact_no").alias("fact_no"), F.col(f"{a}.fact").alias("fact"), F.col(f"{a}.v").alias("b"), widened_end(F.col(f"{b}.v"), reference_end).alias("e"))
-        spans.append(one.select("topic_id", "fact_no", told(_evidence(F.col("b"), F.col("e"), rule, False))))
+        out.append(one.select("topic_id", "fact_no", *said(F.col("b"), F.col("e"), F.lit(rule))))
     without = triples.join(merged.where(F.col(INCEPTION).isNotNull()).select("topic_id"), "topic_id", "left_anti")
     v = F.col("v")
-    points = without.select("topic_id", "fact_no", told(_evidence(v, widened_end(v), "triple_point", False)))
-    out = routed
-    for part in (*spans, points):
-        out = out.unionByName(part)
+    out.append(without.select("topic_id", "fact_no", *said(v, widened_end(v), F.lit("triple_point"))))
+    return reduce(DataFrame.unionByName, out)
+
+
+def kb_evidence(facts: DataFrame, reference_end: str = REFERENCE_END, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Evidence of ``facts(topic_id, fact_no, fact)``, one row each: rule, text, template, span, answers, entities.
+
+    Qualified facts: start with end, else point in time, else publication, else the last timestamp.
+    Triples: start with end and inception with dissolution, each merged over the topic's triples, the last
+    one winning; dated triples are points of their own if the topic has no inception. ``keep`` gets a table of one pass over the facts,
+    in which triples are as they were read, and the triples' evidence: written, neither is worked out again where the evidence is used.
+    """
+    fact, short, n, rule, key, begin = map(F.col, ("fact", "short", "n_items", "rule", "key", "begin"))
+    # Step by step, as each is used several times, and without a filter before the table is kept, which would work out anew what it tests.
+    read = facts.select("topic_id", "fact_no", unquoted(fact).alias("fact")).withColumns({"n_items": F.when(is_temporal(fact), F.size(fact)), "short": first_items(fact)})
+    rules = {"start_end": START, "point": POINT, "published": PUBLISHED}
+    by = F.lit("last")
+    for name, predicate in reversed(rules.items()):
+        by = F.when(has(fact, predicate), name).otherwise(by)
+    read = read.withColumn("rule", F.when(n > 3, by)).withColumn("key", F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])[rule])
+    read = read.withColumn("begin", F.when(rule == "last", last_timestamp(fact)).when(rule.isNotNull(), after_key(fact, key)))
+    end = F.when(rule == "start_end", widened_end(after_key(fact, END), reference_end)).otherwise(widened_end(begin))
+    told = {"triple": F.when(n == 3, fact), **{name: F.when(n > 3, c) for name, c in _told(fact, short, begin, end, rule, True).items()}}
+    read = keep(read.select("topic_id", "fact_no", "n_items", *[c.alias(name) for name, c in told.items()]))
+    qualified = read.where("n_items > 3").drop("n_items", "triple")
+    triples = read.where("n_items = 3").select("topic_id", "fact_no", F.col("triple").alias("fact"))
+    out = qualified.unionByName(keep(_of_triples(triples, reference_end)))
     return out.where("begin is not null").withColumns({"start_time_int": timestamp_int(F.col("begin")), "end_time_int": timestamp_int(F.col("end"))})
 
 

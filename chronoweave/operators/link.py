@@ -44,15 +44,20 @@ def label_of(item: Column, labels: Column) -> Column:
     return F.when(is_timestamp(item), timestamp_label(item)).otherwise(F.coalesce(F.get(named, F.lit(0)), F.get(labels, F.lit(0)), item))
 
 
+def _same(column: str) -> Column:
+    """The join of ``column`` with a dimension's ``_id``: by a hash as well, by which rows are sorted without a look at the ids, many of which begin alike."""
+    return (F.xxhash64(column) == F.xxhash64("_id")) & (F.col(column) == F.col("_id"))
+
+
 def with_labels(rows: DataFrame, labels: DataFrame | Service, column: str = "id") -> DataFrame:
     named = dimension(labels, rows.select(column)).select(F.col("id").alias("_id"), "labels")
-    return rows.join(named, F.col(column) == F.col("_id"), "left").withColumn("label", label_of(F.col(column), F.col("labels"))).drop("_id", "labels")
+    return rows.join(named, _same(column), "left").withColumn("label", label_of(F.col(column), F.col("labels"))).drop("_id", "labels")
 
 
 def with_types(rows: DataFrame, entities: DataFrame | Service, column: str = "id") -> DataFrame:
     """``rows`` with each id's type, "NULL" if unknown, and the sum of its frequencies."""
     dim = dimension(entities, rows.select(column)).select(F.col("id").alias("_id"), F.col("type").alias("_t"), F.aggregate(F.coalesce("frequency", F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("_f"))
-    return rows.join(dim, F.col(column) == F.col("_id"), "left").select(*rows.columns, F.coalesce("_t", F.lit("NULL")).alias("type"), F.coalesce("_f", F.lit(0)).alias("frequency"))
+    return rows.join(dim, _same(column), "left").select(*rows.columns, F.coalesce("_t", F.lit("NULL")).alias("type"), F.coalesce("_f", F.lit(0)).alias("frequency"))
 
 
 def with_all_types(rows: DataFrame, entities: DataFrame | Service, column: str = "id") -> DataFrame:

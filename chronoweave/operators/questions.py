@@ -18,6 +18,8 @@ MAX_WORDS = 80
 
 #: Pairs of an entity beyond which its mains and constraints meet by time as well.
 HUB_PAIRS = 4_000_000
+#: Slots of entities that are counted for hubs.
+HUB_SLOTS = 1 << 18
 #: Widths of the time buckets, in yyyymmdd integers; a span lies at the least one that is as wide as it.
 WIDTHS = (8, 32, 128, 512, 2_048, 8_192, 32_768, 1 << 31)
 
@@ -48,23 +50,43 @@ def near_in_time(left: DataFrame, right: DataFrame, pad: int) -> DataFrame:
     """
     m = _bucketed(left, "b", "e", pad, {True: ("both", "left"), False: ("right",)}).withColumnRenamed("first", "m_first")
     c = _bucketed(right, "cs", "ce", 0, {True: ("both", "right"), False: ("left",)}).withColumnRenamed("first", "c_first")
-    near = (F.least("b", "e") - pad <= F.greatest("cs", "ce")) & (F.greatest("b", "e") + pad >= F.least("cs", "ce"))
-    met = m.join(c, ["entity", "level", "bucket", "role"]).where(near & (F.col("bucket") == F.greatest("m_first", "c_first")))
+    met = m.join(c, ["entity", "level", "bucket", "role"]).where(_near(pad) & (F.col("bucket") == F.greatest("m_first", "c_first")))
     return met.drop("level", "bucket", "role", "m_first", "c_first")
 
 
+def _near(pad: int) -> Column:
+    """Whether spans ``(b, e)`` and ``(cs, ce)`` are at most ``pad`` apart."""
+    return (F.least("b", "e") - pad <= F.greatest("cs", "ce")) & (F.greatest("b", "e") + pad >= F.least("cs", "ce"))
+
+
+def _hubs(left: DataFrame, right: DataFrame, hub_pairs: int) -> DataFrame | None:
+    """Entities with more than ``hub_pairs`` possible pairs, none if there are no such. Only those in slots of entities that have more together are counted one by one."""
+    one = lambda rows, m, c: rows.select("entity", F.pmod(F.xxhash64("entity"), F.lit(HUB_SLOTS)).alias("slot"), F.lit(m).alias("m"), F.lit(c).alias("c"))
+    rows = one(left, 1, 0).unionByName(one(right, 0, 1)).where("entity is not null")
+    beyond = lambda rows, by: rows.groupBy(by).agg(F.sum("m").alias("m"), F.sum("c").alias("c")).where(F.col("m") * F.col("c") > hub_pairs).select(by)
+    slots = stored(beyond(rows, "slot"), "hub-slots")
+    if slots.isEmpty():
+        return None
+    hubs = stored(beyond(rows.join(slots, "slot"), "entity"), "hubs")
+    return None if hubs.isEmpty() else hubs
+
+
 def _met(left: DataFrame, right: DataFrame, pad: int, hub_pairs: int) -> DataFrame:
-    """Pairs of one ``entity``: all of them, but of hub entities those near in time."""
-    count = lambda rows, name: rows.groupBy("entity").agg(F.count(F.lit(1)).alias(name))
-    hubs = stored(count(left, "m").join(count(right, "c"), "entity").where(F.col("m") * F.col("c") > hub_pairs).select("entity"), "hubs")
-    if hubs.isEmpty():
-        return left.join(right, "entity")
-    rest = left.join(hubs, "entity", "left_anti").join(right, "entity")
+    """Pairs of one ``entity`` that are near in time; those of hub entities meet by time."""
+
+    def joined(left: DataFrame) -> DataFrame:
+        # The hash is joined as well: rows are sorted by it without a look at the names, many of which begin alike.
+        hashed = lambda rows: rows.withColumn("_h", F.xxhash64("entity"))
+        return hashed(left).join(hashed(right), ["_h", "entity"]).where(_near(pad)).drop("_h")
+
+    hubs = _hubs(left, right, hub_pairs)
+    if hubs is None:
+        return joined(left)
     hub = near_in_time(left.join(hubs, "entity", "left_semi"), right.join(hubs, "entity", "left_semi"), pad)
-    return rest.unionByName(hub)
+    return joined(left.join(hubs, "entity", "left_anti")).unionByName(hub)
 
 
-def temporal_pairs(mains: DataFrame, constraints: DataFrame, max_words: int | None = MAX_WORDS, gap_mode: str = "int", suppress_same_fact: bool = True, hub_pairs: int = HUB_PAIRS) -> DataFrame:
+def temporal_pairs(mains: DataFrame, constraints: DataFrame, max_words: int | None = MAX_WORDS, gap_mode: str = "int", suppress_same_fact: bool = True, hub_pairs: int = HUB_PAIRS, main_columns: tuple[str, ...] = (), constraint_columns: tuple[str, ...] = ()) -> DataFrame:
     """Mains with constraints that share a question entity, hold none of the answers, and stand before, after or during.
 
     ``mains``: (main_id, text, begin, end, question_ids, answer_ids), ``constraints``: (constraint_id,
@@ -73,44 +95,48 @@ def temporal_pairs(mains: DataFrame, constraints: DataFrame, max_words: int | No
     these tests and the word limit read instead of ``text``. Both sides are dealt by entity, so the pairs meet
     by an equi-join; an entity with more than ``hub_pairs`` of them is dealt by time as well. A pair that
     shares several entities is kept where it meets on the least of them, which needs no further shuffle.
+    Pairs keep ``main_columns`` and ``constraint_columns``, so that neither side has to be joined to them again.
     """
     told = F.col("told" if "told" in mains.columns else "text")
     themes = lambda c: F.array(*fact_marks(c)) if suppress_same_fact else F.array().cast("array<boolean>")
     n = lambda c: word_count(c) if max_words is not None else F.lit(0)
     dated = lambda rows: rows.where(F.col("begin").isNotNull() & F.col("end").isNotNull())
     span = span_marks(F.col("begin"), F.col("end"))
-    m = dated(mains).select("main_id", F.col("text").alias("main_text"), F.col("begin").alias("b"), F.col("end").alias("e"), span.alias("m_span"), "question_ids", "answer_ids", n(told).alias("n"), themes(told).alias("themes"))
-    c = dated(constraints).select("constraint_id", F.col("text").alias("constraint_text"), F.col("begin").alias("cs"), F.col("end").alias("ce"), span.alias("c_span"), "entity_ids", n(F.col("text")).alias("cn"), themes("text").alias("c_themes"))
+    m = dated(mains).select("main_id", F.col("text"), F.col("begin").alias("b"), F.col("end").alias("e"), span.alias("m_span"), "question_ids", "answer_ids", n(told).alias("n"), themes(told).alias("themes"), *[x for x in main_columns if x not in ("text", "question_ids", "answer_ids")])
+    c = dated(constraints).select("constraint_id", F.col("text").alias("constraint_text"), F.col("begin").alias("cs"), F.col("end").alias("ce"), span.alias("c_span"), "entity_ids", n(F.col("text")).alias("cn"), themes("text").alias("c_themes"), *constraint_columns)
     # What a pair needs is worked out once for each side; the texts stay with it, as a pair shows both.
     left = m.withColumn("entity", F.explode(F.array_distinct("question_ids")))
     right = c.withColumn("entity", F.explode(F.array_distinct("entity_ids")))
     met = _met(left, right, GAP if gap_mode == "int" else GAP * 10_000, hub_pairs).where(F.col("main_id") != F.col("constraint_id"))
     if max_words is not None:
         met = met.where(F.col("n") + F.col("cn") <= max_words)
-    met = met.withColumn("signal", marked_signal(F.col("m_span"), F.col("c_span"), gap_mode)).where("signal is not null")
-    # By lambdas, whose code stays outside the join's: with set operations in it the JVM would not compile it.
+    # By lambdas, whose code stays outside: with set operations in it the JVM would not compile it.
     held = lambda x: F.array_contains("entity_ids", x)
-    met = met.where(F.forall("question_ids", lambda q: (q >= F.col("entity")) | ~held(q))).where(~F.exists("answer_ids", held))
+    kept = F.forall("question_ids", lambda q: (q >= F.col("entity")) | ~held(q)) & ~F.exists("answer_ids", held)
     if suppress_same_fact:
-        met = met.where(~marked_same_fact(F.col("themes"), F.col("c_themes"), F.col("b"), F.col("e"), F.col("cs"), F.col("ce"), F.col("question_ids"), F.col("entity_ids")))
-    return met.select("main_id", "constraint_id", "signal", pseudo_question(F.col("main_text"), F.col("signal"), F.col("constraint_text")).alias("question"), "b", "e", "cs", "ce")
+        kept = kept & ~marked_same_fact(F.col("themes"), F.col("c_themes"), F.col("b"), F.col("e"), F.col("cs"), F.col("ce"), F.col("question_ids"), F.col("entity_ids"))
+    signal = marked_signal(F.col("m_span"), F.col("c_span"), gap_mode)
+    # A generator keeps these tests out of the join, which is compiled with the short ones above and leaves few pairs.
+    met = met.select("*", F.explode(F.array(F.when(signal.isNotNull(), F.when(kept, signal)))).alias("signal")).where("signal is not null")
+    return met.select("main_id", "constraint_id", "signal", pseudo_question(F.col("text"), F.col("signal"), F.col("constraint_text")).alias("question"), "b", "e", "cs", "ce", *main_columns, *constraint_columns)
 
 
 def pseudo_question(main: Column, relation: Column, constraint: Column) -> Column:
     return squeeze(F.concat_ws(", ", main, signal_word(relation), constraint))
 
 
-def main_parts(evidence: DataFrame) -> DataFrame:
+def main_parts(evidence: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     """Mains from ``(evidence_id, source, candidate_question_text, answers array<struct<id, label, type, disam_label>>, entities array<struct<id>>)``.
 
-    The first answer is asked for; its name leaves the text; all other entities are the question's.
+    The first answer is asked for; its name leaves the text; all other entities are the question's. Further ``columns`` stay with them.
     """
     a = F.get("answers", F.lit(0))
     name = F.when(F.col("source") == "kb", a["label"]).otherwise(a["disam_label"])
-    rest = F.transform(F.filter("entities", lambda x: x["id"] != a["id"]), lambda x: x["id"])
+    rest = F.filter(F.col("entities")["id"], lambda x: x != a["id"])
     bare = F.when(F.coalesce(name, F.lit("")) == "", F.col("candidate_question_text")).otherwise(F.replace("candidate_question_text", name, F.lit(" ")))
-    out = evidence.where(F.size("answers") > 0)
-    return out.select("evidence_id", "source", a["id"].alias("answer_id"), F.array_distinct(rest).alias("question_ids"), F.trim(squeeze(bare)).alias("main_question_text"), F.trim(squeeze(F.concat_ws(" ", F.lit("What"), a["type"], bare))).alias("main_pseudo_question"))
+    out = evidence.where(F.size("answers") > 0).withColumn("_bare", bare).withColumn("_asked", F.concat_ws(" ", F.lit("What"), a["type"], "_bare"))
+    single = lambda c: F.trim(F.when(F.contains(F.col(c), F.lit("  ")), squeeze(F.col(c))).otherwise(F.col(c)))
+    return out.select("evidence_id", "source", a["id"].alias("answer_id"), F.array_distinct(rest).alias("question_ids"), single("_bare").alias("main_question_text"), single("_asked").alias("main_pseudo_question"), *columns)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Collection
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import annotate_dates, merged_span, remove_spans, timestamp_int
@@ -38,11 +38,17 @@ def _step(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def _with_entities(rows: DataFrame, mentions: DataFrame, labels: DataFrame, entities: DataFrame) -> DataFrame:
     """``rows`` with their ``mentions(evidence_id, id, place, mention)`` as typed and labelled entities, in the order of places, each once."""
+    # Dealt and sorted by evidence once, for the window and the join.
     typed = with_labels(with_types(mentions, entities), labels)
-    once = typed.groupBy("evidence_id", "id").agg(F.min("place").alias("place"), F.max_by("mention", "place").alias("disam_label"), F.first("label").alias("label"), F.first("type").alias("type"))
-    held = once.groupBy("evidence_id").agg(F.array_sort(F.collect_list(F.struct("place", "id", "label", "type", "disam_label"))).alias("e"))
-    bare = F.transform("e", lambda x: F.struct(x["id"], x["label"], x["type"], x["disam_label"]))
-    return rows.join(held.select("evidence_id", bare.alias("entities")), "evidence_id")
+    own = Window.partitionBy("evidence_id").orderBy("place", "id")
+    named = F.collect_list(F.struct("id", "label", "type", F.col("mention").alias("disam_label"))).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    held = typed.select("evidence_id", named.alias("e"), F.row_number().over(own).alias("_r")).where("_r = 1")
+    # Of several mentions the place is the first one's, the name the last one's.
+    last = lambda x: F.element_at(F.filter("e", lambda y: y["id"].eqNullSafe(x["id"])), -1)["disam_label"]
+    first = F.filter("e", lambda x, i: ~F.exists(F.slice("e", F.lit(1), i), lambda y: y["id"].eqNullSafe(x["id"])))
+    once = F.transform(first, lambda x: F.struct(x["id"], x["label"], x["type"], last(x).alias("disam_label")))
+    distinct = F.size(F.array_distinct(F.col("e")["id"])) == F.size("e")
+    return rows.join(held.select("evidence_id", F.when(distinct, F.col("e")).otherwise(once).alias("entities")), "evidence_id")
 
 
 def text_evidence(pages: DataFrame, anchors: DataFrame, paths: DataFrame, redirects: DataFrame, labels: DataFrame, entities: DataFrame, most_entities: int = 3, abbreviations: Collection[str] = (), keywords: dict[str, list[str]] | None = None) -> DataFrame:
@@ -99,7 +105,9 @@ def _linked_evidence(rows: DataFrame, source: str, paths: DataFrame, redirects:
 
 def fact_evidence(facts: DataFrame, labels: DataFrame, entities: DataFrame) -> DataFrame:
     """Evidence of ``facts(topic_id, fact_no, fact)``, as ``kb.facts_of`` gives them, in the same columns; facts that only bound others are no mains."""
-    found = stored(kb_evidence(facts).withColumn("evidence_id", F.format_string("%s:kb:%d:%s", "topic_id", "fact_no", "rule")), "facts")
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    evidence_id = F.concat(said("topic_id"), F.lit(":kb:"), said("fact_no"), F.lit(":"), said("rule"))
+    found = kb_evidence(facts, keep=lambda df: stored(df.withColumn("evidence_id", evidence_id), "facts", dictionary=False))
     mentions = found.select("evidence_id", F.posexplode("entity_ids").alias("place", "id")).withColumn("mention", F.lit(None).cast("string"))
     rows = _with_entities(found, mentions, labels, entities)
     main = F.coalesce("main_fact", F.lit(False)) & (F.size("answer_ids") > 0)
@@ -139,29 +147,36 @@ def pseudo_questions(evidence: DataFrame, embed: Callable[[Column], Column] = ha
     With ``need_similar`` only mains that another main of their topic is similar to are asked. ``totals`` gets the numbers of evidence and questions.
     Returns (topic_id, question_id, main_id, constraint_id, signal, question, source, sources, answers, answer, question_ids, spans, similar).
     """
-    dated = stored(evidence, "evidence", totals=totals).where(F.col("begin").between(FIRST_DAY, LAST_DAY) & F.col("end").between(FIRST_DAY, LAST_DAY))
     names = F.transform("entities", lambda x: F.coalesce(x["disam_label"], x["label"]))
-    meant = dated.where(~meaningless_relation(F.col("evidence_text"), F.col("source")) & ~no_relation(F.col("candidate_question_text"), names))
-    about = meant.where((F.col("page_type") == "entity") & F.col("main_fact")).withColumn("answers", answerable(F.col("entities"), F.col("topic_id")))
-    parts = q.main_parts(about).join(about.select("evidence_id", "topic_id", "begin", "end", F.get("answers", F.lit(0)).alias("answer")), "evidence_id")
-    mains = parts.select(F.col("evidence_id").alias("main_id"), F.col("main_pseudo_question").alias("text"), F.col("main_question_text").alias("told"), "begin", "end", "question_ids", F.array("answer_id").alias("answer_ids"), "topic_id", "source", "answer")
-    # Written, so that the tests on vectors do not embed anew.
-    vectors = stored(mains.select("main_id", "topic_id", "source", F.struct("begin", "end").alias("span"), embed(F.col("text")).alias("vector")), "vectors")
-    near = q.similar_pairs(vectors, "main_id", "topic_id", "vector", q.similar_threshold(F.col("source"), F.col("other_source")), "span", least=0.7)
+    inside = F.col("begin").between(FIRST_DAY, LAST_DAY) & F.col("end").between(FIRST_DAY, LAST_DAY)
+    meant = inside & ~meaningless_relation(F.col("evidence_text"), F.col("source")) & ~no_relation(F.col("candidate_question_text"), names)
+    # Written with what the tests on texts say, so that mains, constraints and their counts do not test anew.
+    told = stored(evidence.withColumn("meant", meant), "evidence", totals=totals, dictionary=False).where("meant")
+    about = told.where((F.col("page_type") == "entity") & F.col("main_fact")).withColumn("answers", answerable(F.col("entities"), F.col("topic_id")))
+    parts = q.main_parts(about, ("topic_id", "begin", "end", "answers"))
+    mains = parts.select(F.col("evidence_id").alias("main_id"), F.col("main_pseudo_question").alias("text"), F.col("main_question_text").alias("told"), "begin", "end", "question_ids", F.array("answer_id").alias("answer_ids"), "topic_id", "source", F.get("answers", F.lit(0)).alias("answer"))
+    near = _similar_mains(mains, embed)
     if need_similar:
         mains = with_similar_main(mains, near)
-    bounds = meant.where(constraint_sentence(F.col("index"), F.col("source"), F.col("page_type")))
-    constraints = bounds.select(F.col("evidence_id").alias("constraint_id"), F.col("candidate_question_text").alias("text"), "begin", "end", F.transform("entities", lambda x: x["id"]).alias("entity_ids"))
-    pairs = q.temporal_pairs(mains, constraints, max_words)
-    told = mains.select("main_id", "topic_id", "source", "answer", "question_ids").join(pairs, "main_id").join(dated.select(F.col("evidence_id").alias("constraint_id"), F.col("source").alias("constraint_source")), "constraint_id")
+    bounds = told.where(constraint_sentence(F.col("index"), F.col("source"), F.col("page_type")))
+    constraints = bounds.select(F.col("evidence_id").alias("constraint_id"), F.col("candidate_question_text").alias("text"), "begin", "end", F.col("entities")["id"].alias("entity_ids"), F.col("source").alias("constraint_source"))
+    pairs = q.temporal_pairs(mains, constraints, max_words, main_columns=("topic_id", "source", "answer", "question_ids", "text"), constraint_columns=("constraint_source",))
     spans = F.array(F.array("b", "e"), F.array("cs", "ce"))
-    asked = told.select("topic_id", F.concat_ws("|", "main_id", "constraint_id").alias("question_id"), "main_id", "constraint_id", "signal", "question", F.concat_ws("; ", "source", "constraint_source").alias("source"), F.array("source", "constraint_source").alias("sources"), F.array("answer").alias("answers"), "answer", "question_ids", spans.alias("spans"))
-    asked = stored(asked, "questions", totals=totals)
+    asked = pairs.select("topic_id", F.concat_ws("|", "main_id", "constraint_id").alias("question_id"), "main_id", "constraint_id", "signal", "question", F.concat_ws("; ", "source", "constraint_source").alias("source"), F.array("source", "constraint_source").alias("sources"), F.array("answer").alias("answers"), "answer", "question_ids", spans.alias("spans"), "text")
+    asked = stored(asked, "questions", totals=totals, dictionary=False)
+    asked = asked.drop("text")
     named = asked.withColumnRenamed("topic_id", "topic")
     similar = q.similar_questions(named.select("topic", "question_id", "main_id", "constraint_id", "signal"), near.select("main_id", "other"))
     return q.merge_similar(asked, similar.select("question_id", "other_id"), ["main_id", "answer", "source", "answers", "sources", "spans", "question_ids"])
 
 
+def _similar_mains(mains: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """Pairs ``(main_id, other)`` of similar ``mains(main_id, topic_id, source, text, begin, end)`` of a topic."""
+    # Written, so that the tests on vectors do not embed anew.
+    vectors = stored(mains.select("main_id", "topic_id", "source", F.struct("begin", "end").alias("span"), embed(F.col("text")).alias("vector")), "vectors")
+    return q.similar_pairs(vectors, "main_id", "topic_id", "vector", q.similar_threshold(F.col("source"), F.col("other_source")), "span", least=0.7)
+
+
 def finished_questions(pseudo: DataFrame, cache: DataFrame | None = None, provider=None, seed: int = 0, totals: Totals | None = None) -> DataFrame:
     """One question per topic, drawn so that rare combinations of sources count more, rephrased; flawed ones go.
 

@@ -32,10 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TASKS_A_CORE = 8
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly over several tasks a core where the files have them in fewer partitions; for work that costs far more than the rows."""
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt evenly over several tasks a core where the files have them in fewer partitions; for work that costs far more than the rows. By columns of many values, if there are any, they need not be sorted."""
     tasks = TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+    return df.repartition(tasks, *by) if df.rdd.getNumPartitions() < tasks else df
 
 
 def day_int(c: Column) -> Column:
