@@ -272,7 +272,8 @@ def similar_questions(questions: DataFrame, similar: DataFrame) -> DataFrame:
     ``questions``: (topic, question_id, main_id, constraint_id, signal), ordered by question_id;
     ``similar``: (main_id, other).
     """
-    both = similar.select("main_id", F.col("other").alias("other_main")).unionByName(similar.select(F.col("other").alias("main_id"), F.col("main_id").alias("other_main"))).distinct()
+    way = lambda a, b: F.struct(F.col(a).alias("main_id"), F.col(b).alias("other_main"))
+    both = similar.select(F.inline(F.array(way("main_id", "other"), way("other", "main_id")))).distinct()
     later = questions.select("topic", F.col("question_id").alias("other_id"), F.col("main_id").alias("other_main"), "constraint_id", "signal")
     return questions.join(later, ["topic", "constraint_id", "signal"]).where("question_id < other_id").join(both, ["main_id", "other_main"]).select("topic", "question_id", "other_id")
 

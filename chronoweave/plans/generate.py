@@ -155,8 +155,8 @@ def pseudo_questions(evidence: DataFrame, embed: Callable[[Column], Column] = ha
     about = told.where((F.col("page_type") == "entity") & F.col("main_fact")).withColumn("answers", answerable(F.col("entities"), F.col("topic_id")))
     parts = q.main_parts(about, ("topic_id", "begin", "end", "answers"))
     mains = parts.select(F.col("evidence_id").alias("main_id"), F.col("main_pseudo_question").alias("text"), F.col("main_question_text").alias("told"), "begin", "end", "question_ids", F.array("answer_id").alias("answer_ids"), "topic_id", "source", F.get("answers", F.lit(0)).alias("answer"))
-    near = _similar_mains(mains, embed)
     if need_similar:
+        near = _similar_mains(mains, embed)
         mains = with_similar_main(mains, near)
     bounds = told.where(constraint_sentence(F.col("index"), F.col("source"), F.col("page_type")))
     constraints = bounds.select(F.col("evidence_id").alias("constraint_id"), F.col("candidate_question_text").alias("text"), "begin", "end", F.col("entities")["id"].alias("entity_ids"), F.col("source").alias("constraint_source"))
@@ -164,6 +164,12 @@ def pseudo_questions(evidence: DataFrame, embed: Callable[[Column], Column] = ha
     spans = F.array(F.array("b", "e"), F.array("cs", "ce"))
     asked = pairs.select("topic_id", F.concat_ws("|", "main_id", "constraint_id").alias("question_id"), "main_id", "constraint_id", "signal", "question", F.concat_ws("; ", "source", "constraint_source").alias("source"), F.array("source", "constraint_source").alias("sources"), F.array("answer").alias("answers"), "answer", "question_ids", spans.alias("spans"), "text")
     asked = stored(asked, "questions", totals=totals, dictionary=False)
+    if not need_similar:
+        # Only mains that share a constraint and signal with another main of their topic can be similar to any effect.
+        shared = ["topic_id", "constraint_id", "signal"]
+        several = asked.groupBy(*shared).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*shared)
+        own = asked.join(several, shared, "left_semi").select("main_id", "topic_id", F.get("sources", F.lit(0)).alias("source"), "text", F.get("spans", F.lit(0))[0].alias("begin"), F.get("spans", F.lit(0))[1].alias("end"))
+        near = _similar_mains(own.dropDuplicates(["main_id"]), embed)
     asked = asked.drop("text")
     named = asked.withColumnRenamed("topic_id", "topic")
     similar = q.similar_questions(named.select("topic", "question_id", "main_id", "constraint_id", "signal"), near.select("main_id", "other"))

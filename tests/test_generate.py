@@ -70,6 +70,28 @@ def test_kept_facts_are_the_same_evidence(spark):
     }
 
 
+def test_only_mains_that_share_a_constraint_are_embedded(spark):
+    """Two orders of neighbouring days are questions of each other; with a third the first two share a constraint."""
+
+    def evidence(*days):
+        who = ("Q1", "C1", "client", None)
+        rows = [(f"Q1:kb:{i}:point", "Q1", "kb", "entity", 0, f"C1, made, O{i}", f"C1 made O{i}", 19950300 + d, 19950300 + d, [who, (f"Q{i + 10}", f"O{i}", "order", None)], True) for i, d in enumerate(days)]
+        return spark.createDataFrame(rows, generate.EVIDENCE)
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def embed(text):
+        seen.add(1)
+        return [1.0, 2.0]
+
+    two = generate.pseudo_questions(evidence(2, 4), embed, need_similar=False).collect()
+    assert len(two) == 2 and seen.value == 0
+    three = {(r["main_id"][6], r["constraint_id"][6]): r["similar"] for r in generate.pseudo_questions(evidence(2, 4, 3, 20, 21), embed, need_similar=False).collect()}
+    assert {k: [c["main_id"][6] for c in v] for k, v in three.items() if v} == {("0", "1"): ["2"], ("1", "0"): ["2"]}
+    assert seen.value == 3 and len(three) == 8
+
+
 def test_entities_of_evidence_in_order_each_once(spark):
     """An entity stands at its first place, under its last mention; a repeated row of a dimension adds none."""
     rows = spark.createDataFrame([("e",), ("e",), ("f",), ("none",)], "evidence_id string")
