@@ -93,7 +93,21 @@ def _of_triples(triples: DataFrame, reference_end: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def kb_evidence(facts: DataFrame, reference_end: str = REFERENCE_END, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def _qualified(read: DataFrame, reference_end: str, once: Callable[[Column], Column]) -> DataFrame:
+    """``read (topic_id, fact_no, fact, n_items)`` with the evidence of facts of more than three items, step by step, as each is used several times."""
+    fact, short, n, rule, key, begin = map(F.col, ("fact", "short", "n_items", "rule", "key", "begin"))
+    rules = {"start_end": START, "point": POINT, "published": PUBLISHED}
+    by = F.lit("last")
+    for name, predicate in reversed(rules.items()):
+        by = F.when(has(fact, predicate), name).otherwise(by)
+    read = read.withColumns({"short": first_items(fact), "rule": F.when(n > 3, by)}).withColumn("key", F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])[rule])
+    read = read.select("*", once(F.when(rule == "last", last_timestamp(fact)).when(rule.isNotNull(), after_key(fact, key))).alias("begin"))
+    end = F.when(rule == "start_end", widened_end(after_key(fact, END), reference_end)).otherwise(widened_end(begin))
+    told = _told(fact, short, begin, end, rule, True)
+    return read.select("topic_id", "fact_no", "n_items", F.when(n == 3, fact).alias("triple"), *[F.when(n > 3, c).alias(name) for name, c in told.items()])
+
+
+def kb_evidence(facts: DataFrame, reference_end: str = REFERENCE_END, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Evidence of ``facts(topic_id, fact_no, fact)``, one row each: rule, text, template, span, answers, entities.
 
     Qualified facts: start with end, else point in time, else publication, else the last timestamp.
@@ -101,21 +115,18 @@ def kb_evidence(facts: DataFrame, reference_end: str = REFERENCE_END, keep: Call
     one winning; dated triples are points of their own if the topic has no inception. ``keep`` gets a table of one pass over the facts,
     in which triples are as they were read, and the triples' evidence: written, neither is worked out again where the evidence is used.
     """
-    fact, short, n, rule, key, begin = map(F.col, ("fact", "short", "n_items", "rule", "key", "begin"))
-    # Step by step, as each is used several times, and without a filter before the table is kept, which would work out anew what it tests.
-    read = facts.select("topic_id", "fact_no", unquoted(fact).alias("fact")).withColumns({"n_items": F.when(is_temporal(fact), F.size(fact)), "short": first_items(fact)})
-    rules = {"start_end": START, "point": POINT, "published": PUBLISHED}
-    by = F.lit("last")
-    for name, predicate in reversed(rules.items()):
-        by = F.when(has(fact, predicate), name).otherwise(by)
-    read = read.withColumn("rule", F.when(n > 3, by)).withColumn("key", F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])[rule])
-    read = read.withColumn("begin", F.when(rule == "last", last_timestamp(fact)).when(rule.isNotNull(), after_key(fact, key)))
-    end = F.when(rule == "start_end", widened_end(after_key(fact, END), reference_end)).otherwise(widened_end(begin))
-    told = {"triple": F.when(n == 3, fact), **{name: F.when(n > 3, c) for name, c in _told(fact, short, begin, end, rule, True).items()}}
-    read = keep(read.select("topic_id", "fact_no", "n_items", *[c.alias(name) for name, c in told.items()]))
-    qualified = read.where("n_items > 3").drop("n_items", "triple")
-    triples = read.where("n_items = 3").select("topic_id", "fact_no", F.col("triple").alias("fact"))
-    out = qualified.unionByName(keep(_of_triples(triples, reference_end)))
+    # Without a table in between, generators keep filters from working out anew what they test.
+    once = (lambda c: c) if keep else (lambda c: F.explode(F.array(c)))
+    fact = F.col("fact")
+    read = facts.select("topic_id", "fact_no", once(unquoted(fact)).alias("fact")).withColumn("n_items", F.when(is_temporal(fact), F.size(fact)))
+    if keep:
+        kept = keep(_qualified(read, reference_end, once))
+        qualified, triples = kept.where("n_items > 3"), kept.where("n_items = 3").select("topic_id", "fact_no", F.col("triple").alias("fact"))
+        of_triples = keep(_of_triples(triples, reference_end))
+    else:
+        qualified, triples = _qualified(read.where("n_items > 3"), reference_end, once), read.where("n_items = 3").select("topic_id", "fact_no", "fact")
+        of_triples = _of_triples(triples, reference_end)
+    out = qualified.drop("n_items", "triple").unionByName(of_triples)
     return out.where("begin is not null").withColumns({"start_time_int": timestamp_int(F.col("begin")), "end_time_int": timestamp_int(F.col("end"))})
 
 
